@@ -21,24 +21,35 @@ def allowed_edits(term: Column) -> Column:
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
-def _drop(text: Column, at: Column) -> Column:
-    return F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + 1))
+def _places(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def _drop_each(text: Column) -> Column:
-    """All strings made by dropping one character; none for an empty text."""
+def _without_one(text: Column) -> Column:
+    """All strings made by dropping one character."""
+    return F.transform(
+        _places(F.lit(1), F.char_length(text)),
+        lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)),
+    )
+
+
+def _without_two(text: Column) -> Column:
+    """All strings made by dropping two characters, each pair of places once."""
     n = F.char_length(text)
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: _drop(text, i))
+
+    def second(i: Column) -> Column:
+        head = F.substr(text, F.lit(1), i - 1)
+        return F.transform(
+            _places(i + 1, n),
+            lambda j: F.concat(head, F.substr(text, i + 1, j - i - 1), F.substr(text, j + 1)),
+        )
+
+    return F.flatten(F.transform(_places(F.lit(1), n - 1), second))
 
 
 def _drop_up_to(text: Column, edits: int) -> Column:
-    layer = F.array(text)
-    found = layer
-    for _ in range(edits):
-        layer = F.array_distinct(F.flatten(F.transform(layer, _drop_each)))
-        found = F.concat(found, layer)
-    return F.array_distinct(found)
+    found = [F.array(text), _without_one(text), _without_two(text)]
+    return F.concat(*found[: edits + 1])
 
 
 def _tagged(tag: str, keys: Column) -> Column:
@@ -112,8 +123,7 @@ def _tail(text: Column, after: Column) -> Column:
 
 
 def _swap_places(a: Column) -> Column:
-    n = F.char_length(a)
-    return F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    return _places(F.lit(1), F.char_length(a) - 1)
 
 
 def one_swap(a: Column, b: Column) -> Column:

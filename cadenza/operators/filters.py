@@ -75,7 +75,8 @@ def with_filter_columns(queries: DataFrame) -> DataFrame:
 
 def _bin(value: Column, name: str) -> Column:
     raw = F.floor(value / BIN_WIDTH[name])
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    clipped = F.least(F.greatest(raw, F.lit(0)), F.lit(BINS - 1)).cast("int")
+    return F.when(value.isNotNull(), clipped)
 
 
 def _bins_between(low: Column, high: Column, name: str) -> Column:

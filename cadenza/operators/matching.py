@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.artists import clean_artist, first_artist, first_artist_simple
 from cadenza.functions.text import contains_either_way, none_word, strip
-from cadenza.operators.skew import HOT_ROWS, join_many_to_one, join_one_to_many
+from cadenza.operators.skew import HOT_ROWS, SALT, join_many_to_one, join_one_to_many
 
 FALLBACK_TIER = 9
 
@@ -126,7 +126,8 @@ def match_links(
 
     The first search strategy with results counts. Within it the best tier wins, then the
     earliest place; a candidate that fits no tier is the fallback. A song on several albums is
-    matched once per album and keeps its best tier. Songs without a candidate have a null url.
+    compared once per album and keeps its best tier: all albums share the song's candidates,
+    hence its first strategy. Songs without a candidate have a null url.
     Candidates of one song are compared by a running minimum, never collected.
     """
     rows = cleaned.filter(~F.col("skipped")).select("song_id", "song_name", "artist", "album").distinct()
@@ -141,11 +142,11 @@ def match_links(
         "url",
     )
     names = rows.filter(searchable(F.col("song_name")))
-    pairs = join_many_to_one(offers, names, ["song_id"], ["url", "pos"], "inner", hot_rows)
-    place = F.struct("strategy_no", _tier(rules).alias("tier"), "pos", "title", "c_album", "c_artists", "result_type", "url")
-    per_album = pairs.groupBy("song_id", "song_name", "artist", "album").agg(F.min(place).alias("best"))
-    order = F.struct("best.tier", "best.strategy_no", "best.pos", "best.title", "best.url")
-    per_song = per_album.groupBy("song_id").agg(F.min(order).alias("best"))
+    pairs = join_many_to_one(offers, names, ["song_id"], ["url", "pos"], "inner", hot_rows, keep_salt=True)
+    order = F.struct("strategy_no", _tier(rules).alias("tier"), "pos", "title", "c_album", "c_artists", "result_type", "url")
+    # First where the join left the rows, then over the parts of split songs.
+    per_part = pairs.groupBy("song_id", SALT).agg(F.min(order).alias("best"))
+    per_song = per_part.groupBy("song_id").agg(F.min("best").alias("best"))
     return (
         rows.select("song_id")
         .distinct()
@@ -162,8 +163,9 @@ def match_links(
     )
 
 
-def song_address(video_id: Column, prefix: str) -> Column:
-    return F.concat(F.lit(prefix), video_id)
+def watch_address(video_id: Column) -> Column:
+    """Fixed value: the page of a service B song."""
+    return F.concat(F.lit("https://music.youtube.com/watch?v="), video_id)
 
 
 def link_failures(cleaned: DataFrame, links: DataFrame) -> DataFrame:

@@ -43,16 +43,19 @@ def join_many_to_one(
     row_key: list[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    keep_salt: bool = False,
 ) -> DataFrame:
     """left JOIN right (inner, left, left_semi or left_anti) with hot keys of left split.
 
     Every left row meets exactly one copy of each right row, so the result is that of the
-    plain join. row_key spreads the rows of one key and must differ between them.
+    plain join. row_key spreads the rows of one key and must differ between them. The result
+    lies by key and salt; keep_salt leaves that column in, to aggregate without a shuffle first.
     """
     hot = hot_keys(left.filter(F.col(on[0]).isNotNull()), on, hot_rows)
     spread = spread_hot(left, hot, on, [F.col(c) for c in row_key]).drop(PARTS)
     copies = copy_hot(right, hot, on).drop(PARTS)
-    return spread.join(copies, [*on, SALT], how).drop(SALT)
+    joined = spread.join(copies, [*on, SALT], how)
+    return joined if keep_salt else joined.drop(SALT)
 
 
 def join_one_to_many(

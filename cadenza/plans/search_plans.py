@@ -36,23 +36,29 @@ def keywords_tfidf(spark, sf_dir):
     return rows.select("query_id", F.col("place").cast("long").alias("place"), "word", "weight")
 
 
-def _clause(spark, sf_dir, clause):
-    given = inputs.search_inputs(spark, sf_dir)
-    small = hy.is_small_batch(given.queries)
-    weights = hy.clause_weights(given.index, given.queries, small)
-    scores = lx.score_postings(given.index, weights.filter(F.col(clause) > 0), small)
-    rounded = scores.select("query_id", "song_id", F.round(clause, 6).alias("score")).filter("score > 0")
+def _best_by_words(given, small, weights):
+    """The best hits of one clause alone."""
+    scores = lx.score_postings(
+        given.index, weights.withColumn("keyword", F.col("weight")).withColumn("prompt", F.lit(0.0)), small
+    )
+    rounded = scores.select("query_id", "song_id", F.round("keyword", 6).alias("score")).filter("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
     ranked = rounded.withColumn("rank", F.row_number().over(best).cast("long"))
     return ranked.filter(F.col("rank") <= hy.PAGE_SIZE)
 
 
 def bm25_keywords(spark, sf_dir):
-    return _clause(spark, sf_dir, "keyword")
+    given = inputs.search_inputs(spark, sf_dir)
+    small = hy.is_small_batch(given.queries)
+    asked = lx.keyword_words(given.queries)
+    return _best_by_words(given, small, lx.keyword_weights(given.index, asked, small))
 
 
 def bm25_fuzzy(spark, sf_dir):
-    return _clause(spark, sf_dir, "prompt")
+    given = inputs.search_inputs(spark, sf_dir)
+    small = hy.is_small_batch(given.queries)
+    asked = lx.prompt_words(given.queries)
+    return _best_by_words(given, small, lx.prompt_weights(given.index, asked, small))
 
 
 def fuzzy_expand(spark, sf_dir):

@@ -7,6 +7,8 @@ have a page, and half of the language groups name their artist in a form without
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = (
@@ -102,15 +104,27 @@ VIEWS = {
 }
 
 
+_opened: dict[tuple[str, str], DataFrame] = {}
+
+
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One given table; the footer that holds its schema is read once per application."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _opened:
+        _opened[key] = spark.read.parquet(path)
+    return _opened[key]
+
+
+def _tables_in(query: str) -> list[str]:
+    named = re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", query)
+    return [table for table in BASE_TABLES if table in named]
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One catalogue table over the parquet files of sf_dir."""
-    for table in BASE_TABLES:
-        if table in VIEWS[name]:
-            base_table(spark, sf_dir, table).createOrReplaceTempView(table)
+    for table in _tables_in(VIEWS[name]):
+        base_table(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(VIEWS[name])
 
 

@@ -33,7 +33,8 @@ def save_index(documents: DataFrame, name: str, path: str, buckets: int | None =
     fields = _save(ix.field_stats(docs), f"{path}/fields")
     posts = ix.postings(ix.term_counts(docs), fields)
     posts = _save_bucketed(posts, f"{name}_postings", f"{path}/postings", count, "song_id")
-    terms = _save(ix.term_stats(posts), f"{path}/terms")
+    # As many files as buckets: finding near spellings costs far more time than bytes.
+    terms = _save(ix.term_stats(posts).repartition(count, "term"), f"{path}/terms")
     layout = {"buckets": count, "schemas": {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields))}}
     spark.createDataFrame([(json.dumps(layout),)], "layout string").coalesce(1).write.mode("overwrite").text(
         f"{path}/layout"
