@@ -6,22 +6,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 NEIGHBOURS = 100
 # Query vectors are sent to every task only up to this many bytes; more go through the grid.
 SMALL_QUERY_BYTES = 64 * 1024 * 1024
+# Scores held at once by a task.
+SCORES_AT_ONCE = 8_000_000
 QUERIES_PER_BLOCK = 1024
 DOCUMENTS_PER_BLOCK = 20_000
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _smallest(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    return _unit(np.stack([np.asarray(v, dtype=np.float64) for v in vectors]))
+
+
+def _unit_column(vectors: pa.ListArray) -> np.ndarray:
+    """The vectors of an Arrow column as rows of one matrix, without a Python list per row."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit(flat.reshape(len(vectors), -1))
+
+
+def _best_places(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best rows: highest score first, then smallest id."""
     if len(scores) > k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -35,30 +49,28 @@ def _rounded_scores(queries: np.ndarray, documents: np.ndarray) -> np.ndarray:
     return np.round((1.0 + queries @ documents.T) / 2.0, 6)
 
 
-def _best_of_stream(query_ids: list, unit: np.ndarray, k: int):
+def _best_of_stream(query_ids: list, unit: np.ndarray, k: int, out: pa.Schema):
     """Keep k neighbours per query over all batches of a task, then give them out once."""
+    step = max(1, SCORES_AT_ONCE // max(1, len(query_ids)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.empty(0, dtype=object), np.empty(0)) for _ in query_ids]
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["song_id"].to_numpy(dtype=object)
-            table = _rounded_scores(unit, _unit_rows(batch["embedding"]))
-            for q, scores in enumerate(table):
-                old_ids, old_scores = best[q]
-                if len(old_scores) == k:
-                    near = np.flatnonzero(scores >= old_scores[-1])
-                    scores, new_ids = scores[near], ids[near]
-                else:
-                    new_ids = ids
-                all_ids = np.concatenate([old_ids, new_ids])
-                all_scores = np.concatenate([old_scores, scores])
-                top = _smallest(all_scores, all_ids, k)
-                best[q] = (all_ids[top], all_scores[top])
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+            ids = batch.column("song_id").to_numpy(zero_copy_only=False)
+            for q, scores in enumerate(_rounded_scores(unit, _unit_column(batch.column("embedding")))):
+                held_ids, held = best[q]
+                near = np.flatnonzero(scores >= held[-1]) if len(held) == k else np.arange(len(scores))
+                if len(near):
+                    all_ids = np.concatenate([held_ids, ids[near]])
+                    all_scores = np.concatenate([held, scores[near]])
+                    top = _best_places(all_scores, all_ids, k)
+                    best[q] = (all_ids[top], all_scores[top])
         for query_id, (ids, scores) in zip(query_ids, best):
             if len(ids):
-                yield pd.DataFrame({"query_id": query_id, "song_id": ids, "score": scores})
+                columns = [pa.array([query_id] * len(ids)), pa.array(ids, pa.string()), pa.array(scores)]
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(t) for c, t in zip(columns, out.types)], names=out.names
+                )
 
     return run
 
@@ -71,7 +83,7 @@ def _best_of_block(k: int):
             ids = left["song_id"].to_numpy(dtype=object)
             table = _rounded_scores(_unit_rows(right["vec"]), _unit_rows(left["embedding"]))
             for query_id, scores in zip(right["query_id"], table):
-                top = _smallest(scores, ids, k)
+                top = _best_places(scores, ids, k)
                 parts.append(pd.DataFrame({"query_id": query_id, "song_id": ids[top], "score": scores[top]}))
         if not parts:
             return pd.DataFrame({"query_id": [], "song_id": [], "score": []})
@@ -112,7 +124,8 @@ def nearest(
         batch = asked.toPandas()
         if batch.empty:
             return docs.sparkSession.createDataFrame([], schema)
-        found = docs.mapInPandas(_best_of_stream(list(batch["query_id"]), _unit_rows(batch["vec"]), k), schema)
+        out = to_arrow_schema(T.StructType.fromDDL(schema))
+        found = docs.mapInArrow(_best_of_stream(batch["query_id"].tolist(), _unit_rows(batch["vec"]), k, out), schema)
     else:
         found = _grid(docs, asked, schema, k, size["n"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
