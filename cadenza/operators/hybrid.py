@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,26 +12,55 @@ from cadenza.functions.vectors import cosine
 from cadenza.operators import filters as fl
 from cadenza.operators import knn, lexical
 from cadenza.operators.index import FIELD_BOOSTS, Index
+from cadenza.operators.skew import join_many_to_one
 from cadenza.session import cut
 
 PAGE_SIZE = 20
+# Query rows are sent to every task only up to this many.
+FEW_QUERIES = 200_000
 # Clause names in the order they are reported.
 CLAUSES = {"vector": "vector_search", "keyword": "keyword_search", "prompt": "prompt_search"}
 
 
-def is_small_batch(queries: DataFrame) -> bool:
-    """Whether the batch certainly expands to few enough rows to be sent to every task.
+@dataclass(frozen=True)
+class BatchSize:
+    """Upper bounds on what a batch of queries can expand to."""
+
+    queries: int
+    rows: int
+
+    @property
+    def few_queries(self) -> bool:
+        """The queries themselves may be sent to every task."""
+        return self.queries <= FEW_QUERIES
+
+    @property
+    def small(self) -> bool:
+        """Everything derived from the queries alone may be sent to every task."""
+        return self.few_queries and self.rows <= lexical.SMALL_ROWS
+
 
-    A prompt word stands for at most MAX_EXPANSIONS words in each field and a query has at
-    most NEIGHBOURS vector hits, so counting queries and words bounds everything derived.
+def batch_size(queries: DataFrame) -> BatchSize:
+    """Count queries and their words, which bounds all rows derived from them.
+
+    A prompt word stands for at most MAX_EXPANSIONS words in each field, and a query has at
+    most NEIGHBOURS vector hits.
     """
-    prompt = F.size(words(F.col("prompt")))
-    keyword = F.size(words(F.array_join(F.coalesce("keywords", F.array()), " "))) if "keywords" in queries.columns else F.lit(lexical.MAX_KEYWORDS)
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(prompt), F.lit(0)).alias("p"), F.coalesce(F.sum(keyword), F.lit(0)).alias("k")
+    n_prompt = F.size(words(F.col("prompt")))
+    n_keyword = F.lit(lexical.MAX_KEYWORDS)
+    if "keywords" in queries.columns:
+        n_keyword = F.size(words(F.array_join("keywords", " ")))
+    found = queries.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(n_prompt), F.lit(0)).alias("prompt"),
+        F.coalesce(F.sum(n_keyword), F.lit(0)).alias("keyword"),
     ).first()
-    rows = len(FIELD_BOOSTS) * (size["p"] * lexical.MAX_EXPANSIONS + size["k"]) + size["n"] * knn.NEIGHBOURS
-    return rows <= lexical.SMALL_ROWS
+    per_field = found["prompt"] * lexical.MAX_EXPANSIONS + found["keyword"]
+    return BatchSize(found["n"], len(FIELD_BOOSTS) * per_field + found["n"] * knn.NEIGHBOURS)
+
+
+def is_small_batch(queries: DataFrame) -> bool:
+    return batch_size(queries).small
 
 
 def clause_weights(index: Index, queries: DataFrame, is_small: bool) -> DataFrame:
@@ -68,22 +99,32 @@ def search(
     documents that match no clause, with score 0, unless require_match is set.
     """
     use_filters = use_filters and bool(set(fl.FILTER_COLUMNS) & set(queries.columns))
+    own_sizes = "size" in queries.columns
     queries = fl.with_filter_columns(queries).withColumn("__size", _size(queries, size))
-    is_small = is_small_batch(queries)
+    batch = batch_size(queries)
+    is_small = batch.small
     limits = fl.query_limits(queries, "__size")
     values = fl.document_values(index.documents)
 
     lexical_scores = lexical.score_postings(index, clause_weights(index, queries, is_small), is_small)
     if use_filters and filter_before_vectors:
-        vectors = _nearest_passing(index, queries, is_small)
+        vectors = _nearest_passing(index, queries, batch)
     else:
         vectors = knn.nearest(index.documents, queries)
     # Read twice below, and at most NEIGHBOURS rows per query.
     vectors = cut(vectors.select("query_id", "song_id", F.col("score").alias("vector")))
 
+    def limited(rows: DataFrame) -> DataFrame:
+        """Add page size and filters. A query may match most documents, so it is split if hot."""
+        if not use_filters and not own_sizes:
+            return rows.withColumn("__size", F.lit(size))
+        if batch.few_queries:
+            return rows.join(F.broadcast(limits), "query_id")
+        return join_many_to_one(rows, limits, ["query_id"], ["song_id"], "inner")
+
     def finish(rows: DataFrame) -> DataFrame:
         """Apply filters, add up the clauses and keep the best rows of each query."""
-        rows = rows.join(lexical.small(limits, is_small), "query_id")
+        rows = limited(rows)
         if use_filters:
             rows = rows.filter(fl.passes())
         vector = F.coalesce("vector", F.lit(0.0))
@@ -106,29 +147,29 @@ def search(
 
     if use_filters and not require_match:
         hits = cut(hits)
-        hits = _fill_with_passing(index, queries, hits, is_small)
+        hits = _fill_with_passing(index, queries, hits, batch)
     return hits.select("query_id", "rank", "song_id", "score", "matched_queries")
 
 
-def _nearest_passing(index: Index, queries: DataFrame, is_small: bool) -> DataFrame:
+def _nearest_passing(index: Index, queries: DataFrame, batch: BatchSize) -> DataFrame:
     """Nearest vectors among the documents that pass each query's filters."""
     plain = knn.nearest(index.documents, queries.filter(~fl.has_filter()))
     filtered = queries.filter(fl.has_filter())
-    passing = fl.passing_documents(index.documents, filtered, is_small).distinct()
+    passing = fl.passing_documents(index.documents, filtered, batch.few_queries).distinct()
     vectors = index.documents.select("song_id", "embedding")
     asked = filtered.select("query_id", "vec").filter("vec IS NOT NULL")
-    pairs = passing.join(vectors, "song_id").join(lexical.small(asked, is_small), "query_id")
+    pairs = passing.join(vectors, "song_id").join(lexical.small(asked, batch.small), "query_id")
     score = F.round((1 + cosine(F.col("embedding"), F.col("vec"))) / 2, 6).alias("score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
     scored = pairs.select("query_id", "song_id", score).withColumn("__rank", F.row_number().over(order))
     return plain.unionByName(scored.filter(F.col("__rank") <= knn.NEIGHBOURS).drop("__rank"))
 
 
-def _fill_with_passing(index: Index, queries: DataFrame, hits: DataFrame, is_small: bool) -> DataFrame:
+def _fill_with_passing(index: Index, queries: DataFrame, hits: DataFrame, batch: BatchSize) -> DataFrame:
     """Top up queries with filters and too few hits by passing documents of score 0."""
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("__found"))
     short = queries.join(found, "query_id", "left").filter(F.coalesce("__found", F.lit(0)) < F.col("__size"))
-    more = fl.first_passing(index.documents, short, "__size", is_small)
+    more = fl.first_passing(index.documents, short, "__size", batch.few_queries)
     more = more.join(hits.select("query_id", "song_id"), ["query_id", "song_id"], "left_anti")
     more = more.join(queries.select("query_id", "__size"), "query_id")
     zero = more.select(

@@ -1,7 +1,9 @@
 """The table changes, fed by files that keep arriving.
 
-Each batch reads the newest version of the table and writes the next one. A version is named
-after its batch, so a batch repeated after a failure overwrites only its own output.
+Each batch reads the newest version of the table and writes the next one, together with the
+last sequence number applied per key. A version is named after its batch, so a batch repeated
+after a failure overwrites only its own output. Late or repeated commands carry a number that
+is not larger than the last one of their key and are left out.
 """
 
 from __future__ import annotations
@@ -9,44 +11,78 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cadenza.operators.mutations import upsert_links
-from cadenza.operators.playlists import apply_playlist_commands
+from cadenza.operators import playlists as pl
+from cadenza.operators.mutations import LINK_COLUMNS, upsert_links
+from cadenza.operators.skew import join_many_to_one
 
 COMMANDS = "seq long, op string, user_id string, playlist_name string, songs array<string>"
 LINK_UPDATES = "seq long, song_id string, spotify_url string, youtube_music_url string"
 
 
-def version_path(table: str, batch: int) -> str:
-    return f"{table}/version={batch}"
+def rows_path(table: str, version: int) -> str:
+    return f"{table}/rows/version={version}"
 
 
-def apply_stream(
-    spark: SparkSession,
-    schema: str,
-    inbox: str,
+def seen_path(table: str, version: int) -> str:
+    return f"{table}/seen/version={version}"
+
+
+def create_table(rows: DataFrame, table: str) -> None:
+    """Write the table as it is before the first batch (version -1)."""
+    rows.write.mode("overwrite").parquet(rows_path(table, -1))
+
+
+def _link_cells(updates: DataFrame) -> DataFrame:
+    """One row per link given: (seq, song_id, link_column, link_value)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("link_column"), F.col(c).alias("link_value")) for c in LINK_COLUMNS])
+    return updates.select("seq", "song_id", F.inline(pairs)).filter("link_value IS NOT NULL")
+
+
+def _upsert_cells(old: DataFrame, cells: DataFrame) -> DataFrame:
+    values = [F.when(F.col("link_column") == c, F.col("link_value")).alias(c) for c in LINK_COLUMNS]
+    return upsert_links(old, cells.select("seq", "song_id", *values))
+
+
+def _apply_stream(
+    source: DataFrame,
     table: str,
     checkpoint: str,
+    keys: list[str],
+    split: Callable[[DataFrame], DataFrame],
     change: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> StreamingQuery:
-    """Apply change(old, batch) to the table for all files in inbox, then stop.
-
-    version -1 is the table before the first batch and must exist.
-    """
-
     def apply(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(version_path(table, number - 1))
-        change(old, batch).write.mode("overwrite").parquet(version_path(table, number))
+        spark = batch.sparkSession
+        given = split(batch)
+        last = given.select(*keys, "seq")
+        fresh = given
+        if number > 0:
+            seen = spark.read.parquet(seen_path(table, number - 1))
+            known = seen.withColumnRenamed("seq", "last_seq")
+            met = join_many_to_one(given, known, keys, ["seq"])
+            fresh = met.filter(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq"))).drop("last_seq")
+            last = last.unionByName(seen.select(*keys, "seq"))
+        old = spark.read.parquet(rows_path(table, number - 1))
+        change(old, fresh).write.mode("overwrite").parquet(rows_path(table, number))
+        newest = last.groupBy(*keys).agg(F.max("seq").alias("seq"))
+        newest.write.mode("overwrite").parquet(seen_path(table, number))
 
-    source = spark.readStream.schema(schema).parquet(inbox)
     writer = source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
 
 
-def stream_playlist_commands(spark: SparkSession, inbox: str, table: str, checkpoint: str) -> StreamingQuery:
-    return apply_stream(spark, COMMANDS, inbox, table, checkpoint, apply_playlist_commands)
+def stream_playlist_commands(
+    spark: SparkSession, inbox: str, table: str, checkpoint: str
+) -> StreamingQuery:
+    """Apply all playlist commands that have arrived in inbox, then stop."""
+    source = spark.readStream.schema(COMMANDS).parquet(inbox)
+    return _apply_stream(source, table, checkpoint, pl.KEY, lambda b: b, pl.apply_playlist_commands)
 
 
 def stream_link_updates(spark: SparkSession, inbox: str, table: str, checkpoint: str) -> StreamingQuery:
-    return apply_stream(spark, LINK_UPDATES, inbox, table, checkpoint, upsert_links)
+    """Apply all link updates that have arrived in inbox, then stop."""
+    source = spark.readStream.schema(LINK_UPDATES).parquet(inbox)
+    return _apply_stream(source, table, checkpoint, ["song_id", "link_column"], _link_cells, _upsert_cells)
