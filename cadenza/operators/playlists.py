@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.skew import HOT_ROWS, join_many_to_one, numbered
 
 KEY = ["user_id", "playlist_name"]
+TABLE = ["id", *KEY, "song_data", "created_at", "updated_at"]
 PAGE = 1000
 
 
@@ -49,23 +52,26 @@ def _last_commands(commands: DataFrame) -> DataFrame:
 
 
 def apply_playlist_commands(
-    playlists: DataFrame, commands: DataFrame, hot_rows: int = HOT_ROWS
+    playlists: DataFrame, commands: DataFrame, hot_rows: int = HOT_ROWS, run_at: datetime | None = None
 ) -> DataFrame:
-    """The table (id, user_id, playlist_name, song_data) after all commands.
+    """The table after all commands, with the columns it came with.
 
     commands hold (seq, op, user_id, playlist_name, songs) with op replace or delete; the last
     command per playlist counts. Replacing by no songs deletes. New rows get the ids after the
-    largest old one, in order of command and song.
+    largest old one, in order of command and song, and run_at as their times.
     """
+    columns = [c for c in TABLE if c in playlists.columns]
     last = _last_commands(commands)
-    kept = join_many_to_one(
-        playlists.select("id", *KEY, "song_data"), last.select(*KEY), KEY, ["id"], "left_anti", hot_rows
-    )
+    kept = join_many_to_one(playlists.select(*columns), last.select(*KEY), KEY, ["id"], "left_anti", hot_rows)
     added = last.filter(F.col("op") == "replace").select("seq", *KEY, F.posexplode("songs").alias("place", "song_data"))
     added = numbered(added, [], "seq", ["place", *KEY], "number")
     top = playlists.agg(F.coalesce(F.max("id"), F.lit(-1)).cast("long")).scalar()
-    new = added.select((top + F.col("number") + 1).alias("id"), *KEY, "song_data")
-    return kept.withColumn("id", F.col("id").cast("long")).unionByName(new)
+    now = F.lit(run_at).cast("timestamp")
+    new = added.select(
+        (top + F.col("number") + 1).alias("id"), *KEY, "song_data", now.alias("created_at"), now.alias("updated_at")
+    )
+    kept = kept.withColumn("id", F.col("id").cast("long"))
+    return kept.select(*columns).unionByName(new.select(*columns))
 
 
 def replace_playlist(playlists: DataFrame, user_id: str, name: str, songs: list[str]) -> DataFrame:

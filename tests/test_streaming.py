@@ -1,0 +1,31 @@
+from cadenza.streaming import apply as st
+
+
+def test_playlist_commands_arrive_in_batches(spark, rows, tmp_path):
+    inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
+    old = spark.createDataFrame([(1, "u", "p", "a")], "id long, user_id string, playlist_name string, song_data string")
+    st.create_table(old, table)
+
+    def send(*commands):
+        spark.createDataFrame(list(commands), st.COMMANDS).coalesce(1).write.mode("append").parquet(inbox)
+        st.stream_playlist_commands(spark, inbox, table, checkpoint).awaitTermination()
+
+    send((5, "replace", "u", "p", ["x", "y"]), (4, "delete", "u", "p", None))
+    assert rows(spark.read.parquet(st.rows_path(table, 0))) == [(2, "u", "p", "x"), (3, "u", "p", "y")]
+    # A late command, a repeated one, and a new one.
+    send((3, "delete", "u", "p", None), (5, "replace", "u", "p", ["x", "y"]), (6, "replace", "v", "q", ["z"]))
+    assert rows(spark.read.parquet(st.rows_path(table, 1))) == [(2, "u", "p", "x"), (3, "u", "p", "y"), (4, "v", "q", "z")]
+
+
+def test_link_updates_arrive_in_batches(spark, rows, tmp_path):
+    inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
+    st.create_table(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
+
+    def send(*updates):
+        spark.createDataFrame(list(updates), st.LINK_UPDATES).coalesce(1).write.mode("append").parquet(inbox)
+        st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
+
+    send((5, "a", "new", None), (2, "b", None, "v"), (3, "c", None, None))
+    # Late for one link of a song, in time for the other.
+    send((4, "a", "late", "w"), (1, "b", "s", "late"))
+    assert rows(spark.read.parquet(st.rows_path(table, 1))) == [("a", "new", "w"), ("b", "s", "v")]
