@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.matching import with_albums
+
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows)."""
@@ -44,24 +46,28 @@ def linked_songs_like(
     named = songs.select("song_id", "song_name", "artists").filter(
         F.contains(F.lower("song_name"), F.lower(F.lit(text)))
     )
-    rows = (
-        named.join(tracks.select("song_id", "album_id"), "song_id", "left")
-        .join(albums.select("album_id", F.col("name").alias("album_name")), "album_id", "left")
-        .join(links.select("song_id", "spotify_url", "youtube_music_url"), "song_id", "left")
-        .filter(F.col("spotify_url").isNotNull() & F.col("youtube_music_url").isNotNull())
-        .select("song_id", "song_name", "artists", "album_name", "spotify_url", "youtube_music_url")
+    both = links.select("song_id", "spotify_url", "youtube_music_url").filter(
+        F.col("spotify_url").isNotNull() & F.col("youtube_music_url").isNotNull()
     )
+    # The test on the links makes that join an inner one, so it comes first.
+    linked = named.join(both, "song_id")
+    rows = with_albums(linked, tracks, albums)
+    rows = rows.select("song_id", "song_name", "artists", "album_name", "spotify_url", "youtube_music_url")
     return rows if limit is None else rows.orderBy("song_id", "album_name").limit(limit)
 
 
 def embedding_preview(
     songs: DataFrame, embeddings: DataFrame, text: str, shown: int = 3, limit: int | None = None
 ) -> DataFrame:
-    """Songs whose name contains text in any case, with the first entries of their vector."""
-    preview = F.slice("embedding", 1, shown).alias("embedding_preview")
+    """Songs whose name contains text in any case, with the start of their vector.
+
+    first_values are its first entries, embedding_preview the first 50 characters as JSON.
+    """
+    values = F.slice("embedding", 1, shown).alias("first_values")
+    preview = F.substring(F.to_json("embedding"), 1, 50).alias("embedding_preview")
     rows = (
         songs.filter(F.contains(F.lower("song_name"), F.lower(F.lit(text))))
         .join(embeddings.select("song_id", "embedding"), "song_id", "left")
-        .select("song_id", "song_name", "artists", preview)
+        .select("song_id", "song_name", "artists", values, preview)
     )
     return rows if limit is None else rows.orderBy("song_id").limit(limit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import first_quoted
 from cadenza.functions.vectors import norm, parse_vector
-from cadenza.operators.skew import join_many_to_one, one_per_key
+from cadenza.operators.skew import HOT_ROWS, hot_keys, join_many_to_one, join_one_to_many, one_per_key
 
 DOCUMENT_COLUMNS = (
     "song_id song_name lyrics popularity song_type artist_id name_artists artist_type "
@@ -15,19 +15,28 @@ DOCUMENT_COLUMNS = (
 ).split()
 
 
-def join_ignoring_case(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Equi-join on a key whose letter case does not matter; keeps the key of the left side."""
+def join_ignoring_case(left: DataFrame, right: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
+    """Left join on a key whose letter case does not matter; keeps the key of the left side.
+
+    With hot_rows, keys with more rows than that on the right are split.
+    """
     keyed_left = left.withColumn("__key", F.lower(key))
     keyed_right = right.withColumn("__key", F.lower(key)).drop(key)
-    return keyed_left.join(keyed_right, "__key", how).drop("__key")
+    if hot_rows is None:
+        return keyed_left.join(keyed_right, "__key", "left").drop("__key")
+    row_key = [c for c in keyed_right.columns if c != "__key"]
+    return join_one_to_many(keyed_left, keyed_right, ["__key"], row_key, hot_rows).drop("__key")
 
 
-def join_artist(songs: DataFrame, artists: DataFrame, **skew) -> DataFrame:
+def join_artist(
+    songs: DataFrame, artists: DataFrame, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Attach the artist whose id is the first quoted token of songs.artists.
 
     An artist may hold a large share of all songs, so its songs are spread over several tasks.
+    Artists are counted in `counted`, a table that holds all of songs, if that is cheaper.
     """
-    keyed = songs.withColumn("artist_key", first_quoted(F.col("artists")))
+    key = first_quoted(F.col("artists")).alias("artist_key")
     named = artists.select(
         F.col("artist_id").alias("artist_key"),
         "artist_id",
@@ -37,7 +46,8 @@ def join_artist(songs: DataFrame, artists: DataFrame, **skew) -> DataFrame:
         "genres",
         "image_url",
     )
-    return join_many_to_one(keyed, named, ["artist_key"], ["song_id"], **skew)
+    hot = hot_keys((songs if counted is None else counted).select(key).filter("artist_key IS NOT NULL"), ["artist_key"], hot_rows)
+    return join_many_to_one(songs.select("*", key), named, ["artist_key"], ["song_id"], hot=hot)
 
 
 def _sides(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -56,28 +66,32 @@ def _sides(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def build_catalog(
-    tables: dict[str, DataFrame], one_row_per_song: bool = False, ignore_case: bool = True
+    tables: dict[str, DataFrame],
+    one_row_per_song: bool = False,
+    ignore_case: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left-join songs with lyrics, embeddings, links, artists and features.
 
-    Repeated ids fan out as in any join. With one_row_per_song every side is first reduced to
+    Repeated ids fan out as in any join, and an id with very many rows is split. With one_row_per_song every side is first reduced to
     its smallest row per id. The sides multiply independently, so this equals keeping the
     smallest row of the fanned-out result, without ever building it.
     """
     side = _sides(tables)
+    all_songs = side["songs"]
     if one_row_per_song:
         side = {n: one_per_key(df, "artist_id" if n == "artists" else "song_id") for n, df in side.items()}
-    joined = join_artist(side["songs"], side["artists"]).drop("artist_key")
-    for name in ("links", "features", "embeddings"):
-        joined = joined.join(side[name], "song_id", "left")
-    lyrics = side["lyrics"]
-    if ignore_case:
-        if one_row_per_song:
-            folded = lyrics.withColumn("song_id", F.lower("song_id"))
-            lyrics = one_per_key(folded, "song_id")
-        joined = join_ignoring_case(joined, lyrics, "song_id")
-    else:
-        joined = joined.join(lyrics, "song_id", "left")
+    joined = join_artist(side["songs"], side["artists"], hot_rows, all_songs).drop("artist_key")
+    for name, value in (("links", "spotify_url"), ("features", "energy"), ("embeddings", "embedding"), ("lyrics", "lyrics")):
+        right = side[name]
+        if name == "lyrics" and ignore_case:
+            if one_row_per_song:
+                right = one_per_key(right.withColumn("song_id", F.lower("song_id")), "song_id")
+            joined = join_ignoring_case(joined, right, "song_id", None if one_row_per_song else hot_rows)
+        elif one_row_per_song:
+            joined = joined.join(right, "song_id", "left")
+        else:
+            joined = join_one_to_many(joined, right, ["song_id"], [value], hot_rows)
     return joined.select(
         "song_id",
         "song_name",
@@ -121,16 +135,46 @@ def accepted_documents(catalog: DataFrame, dims: int) -> DataFrame:
     return check_documents(catalog, dims).filter("reason IS NULL").select(*DOCUMENT_COLUMNS)
 
 
-def rejected_documents(catalog: DataFrame, dims: int) -> DataFrame:
-    return check_documents(catalog, dims).filter("reason IS NOT NULL").select("song_id", "reason")
+def index_outcomes(tables: dict[str, DataFrame], dims: int, ignore_case: bool = True) -> DataFrame:
+    """(song_id, reason, n_rows): what becomes of the rows of the fanned-out catalogue.
 
+    The sides multiply independently, so rows are counted per song and side and the counts
+    multiplied; the catalogue itself is not built. A null reason means accepted.
+    """
+    side = _sides(tables)
 
-def index_summary(catalog: DataFrame, dims: int) -> DataFrame:
+    def counted(df: DataFrame, *keys) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+
+    songs = side["songs"].select("song_id", first_quoted(F.col("artists")).alias("artist_key"))
+    names = counted(side["artists"], F.col("artist_id").alias("artist_key"))
+    named = join_many_to_one(songs, names, ["artist_key"], ["song_id"])
+    rows = named.groupBy("song_id").agg(F.sum(F.coalesce("n_rows", F.lit(1))).alias("n"))
+    vectors = side["embeddings"].withColumn("present", F.lit(True))
+    checked = counted(check_documents(vectors, dims), "song_id", "reason")
+    rows = rows.join(checked.withColumn("present", F.lit(True)), "song_id", "left")
+    n = F.col("n") * F.coalesce("n_rows", F.lit(1))
+    reason = F.when(F.col("present"), F.col("reason")).otherwise("missing_embedding")
+    rows = rows.select("song_id", reason.alias("reason"), n.alias("n"))
+    for name in ("links", "features", "lyrics"):
+        key = F.lower("song_id") if name == "lyrics" and ignore_case else F.col("song_id")
+        right = counted(side[name], key.alias("__key"))
+        rows = rows.withColumn("__key", key).join(right, "__key", "left")
+        rows = rows.select("song_id", "reason", (F.col("n") * F.coalesce("n_rows", F.lit(1))).alias("n"))
+    return rows.groupBy("song_id", "reason").agg(F.sum("n").alias("n_rows"))
+
+
+def rejected_documents(tables: dict[str, DataFrame], dims: int) -> DataFrame:
+    """(song_id, reason, n_rows) of the rows that cannot be indexed."""
+    return index_outcomes(tables, dims).filter("reason IS NOT NULL")
+
+
+def index_summary(tables: dict[str, DataFrame], dims: int) -> DataFrame:
     """Number of rows per outcome."""
-    checked = check_documents(catalog, dims)
     status = F.when(F.col("reason").isNull(), "indexed").otherwise("rejected").alias("status")
     return (
-        checked.select(status, F.coalesce("reason", F.lit("")).alias("reason"))
+        index_outcomes(tables, dims)
+        .select(status, F.coalesce("reason", F.lit("")).alias("reason"), "n_rows")
         .groupBy("status", "reason")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
+        .agg(F.sum("n_rows").alias("n_rows"))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import clip_words, embedding_text
 from cadenza.operators.catalog import join_ignoring_case
+from cadenza.operators.skew import HOT_ROWS, join_many_to_one, join_one_to_many
 
 # Texts per model call, and words kept per song.
 BATCH_SIZE = 25
@@ -25,7 +26,10 @@ def song_texts(songs: DataFrame, lyrics: DataFrame, ignore_case: bool = True) ->
     """(song_id, text): chart note and lyrics of every song."""
     notes = songs.select(F.col("song_id").cast("string").alias("song_id"), "billboard")
     words = lyrics.select(F.col("song_id").cast("string").alias("song_id"), "lyrics")
-    joined = join_ignoring_case(notes, words, "song_id") if ignore_case else notes.join(words, "song_id", "left")
+    if ignore_case:
+        joined = join_ignoring_case(notes, words, "song_id", HOT_ROWS)
+    else:
+        joined = join_one_to_many(notes, words, ["song_id"], ["lyrics"])
     return joined.select("song_id", embedding_text(F.col("billboard"), F.col("lyrics")).alias("text"))
 
 
@@ -78,4 +82,4 @@ def embed_prompts(queries: DataFrame, embedder: Embedder, batch_size: int = BATC
     prompts = queries.select(F.col("prompt").alias("song_id"), F.col("prompt").alias("text")).distinct()
     vectors = embed_texts(prompts, embedder, batch_size)
     vectors = vectors.select(F.col("song_id").alias("prompt"), F.col("embedding").alias("vec"))
-    return queries.drop("vec").join(vectors, "prompt", "left")
+    return join_many_to_one(queries.drop("vec"), vectors, ["prompt"], ["query_id"])

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import DEFAULT_ARTIST, DEFAULT_TITLE, or_else
+from cadenza.operators.skew import HOT_ROWS, join_many_to_one
 
 # Hits are sent to every task only up to this many rows.
 SMALL_HITS = 1_000_000
 
 
 def enrich(
-    hits: DataFrame, documents: DataFrame, tracks: DataFrame, links: DataFrame, features: DataFrame
+    hits: DataFrame,
+    documents: DataFrame,
+    tracks: DataFrame,
+    links: DataFrame,
+    features: DataFrame,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One result row per hit.
 
@@ -33,9 +39,11 @@ def enrich(
     shown = of_hits(
         documents.select("song_id", "song_name", "name_artists", "spotify_url", "popularity", "energy", "lyrics")
     )
-    joined = hits.join(shown, "song_id", "left")
+    known = ids.join(shown, "song_id", "left")
     for side, column in ((tracks, "release_date"), (links, "youtube_music_url"), (features, "energy")):
-        joined = joined.join(largest(side, column), "song_id", "left")
+        known = known.join(largest(side, column), "song_id", "left")
+    # One song may be a hit of very many queries.
+    joined = join_many_to_one(hits, known, ["song_id"], ["query_id"], "left", hot_rows)
     nothing = F.lit(None).cast("string")
     return joined.select(
         "query_id",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import words
+from cadenza.operators.skew import join_many_to_one
 
 FILTER_COLUMNS = ("energy_min", "energy_max", "artist", "popularity_min", "popularity_max")
 # Coarse value bins for the filter join; values outside fall into the first or last bin.
@@ -120,7 +121,11 @@ def passing_documents(documents: DataFrame, queries: DataFrame, small_queries: b
     """
     wanted = query_limits(queries.filter(has_filter()), *keep).withColumn("__key", F.explode(_query_keys()))
     held = document_values(documents).withColumn("__key", F.explode(_document_keys()))
-    met = held.join(F.broadcast(wanted) if small_queries else wanted, "__key").filter(passes())
+    if small_queries:
+        met = held.join(F.broadcast(wanted), "__key")
+    else:
+        met = join_many_to_one(held, wanted, ["__key"], ["song_id"], "inner")
+    met = met.filter(passes())
     return met.select("query_id", "song_id", *keep)
 
 

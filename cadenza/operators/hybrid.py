@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import words
-from cadenza.functions.vectors import cosine
 from cadenza.operators import filters as fl
 from cadenza.operators import knn, lexical
 from cadenza.operators.index import FIELD_BOOSTS, Index
-from cadenza.operators.skew import join_many_to_one
+from cadenza.operators.skew import join_in_parts
 from cadenza.session import cut
 
 PAGE_SIZE = 20
@@ -89,13 +88,11 @@ def search(
     size: int = PAGE_SIZE,
     use_filters: bool = True,
     require_match: bool = False,
-    filter_before_vectors: bool = False,
 ) -> DataFrame:
     """(query_id, rank, song_id, score, matched_queries) for a batch of queries.
 
     queries hold query_id, prompt, keywords, vec and optionally size and the filter columns.
-    The nearest vectors are found among all documents and filtered afterwards; set
-    filter_before_vectors for the other order. A query with filters also returns passing
+    The nearest vectors are found among all documents and filtered afterwards. A query with filters also returns passing
     documents that match no clause, with score 0, unless require_match is set.
     """
     use_filters = use_filters and bool(set(fl.FILTER_COLUMNS) & set(queries.columns))
@@ -107,20 +104,17 @@ def search(
     values = fl.document_values(index.documents)
 
     lexical_scores = lexical.score_postings(index, clause_weights(index, queries, is_small), is_small)
-    if use_filters and filter_before_vectors:
-        vectors = _nearest_passing(index, queries, batch)
-    else:
-        vectors = knn.nearest(index.documents, queries)
     # Read twice below, and at most NEIGHBOURS rows per query.
+    vectors = knn.nearest(index.documents, queries)
     vectors = cut(vectors.select("query_id", "song_id", F.col("score").alias("vector")))
 
     def limited(rows: DataFrame) -> DataFrame:
-        """Add page size and filters. A query may match most documents, so it is split if hot."""
+        """Add page size and filters. A query may match most documents, so it is split."""
         if not use_filters and not own_sizes:
             return rows.withColumn("__size", F.lit(size))
         if batch.few_queries:
             return rows.join(F.broadcast(limits), "query_id")
-        return join_many_to_one(rows, limits, ["query_id"], ["song_id"], "inner")
+        return join_in_parts(rows, limits, ["query_id"], ["song_id"])
 
     def finish(rows: DataFrame) -> DataFrame:
         """Apply filters, add up the clauses and keep the best rows of each query."""
@@ -151,20 +145,6 @@ def search(
     return hits.select("query_id", "rank", "song_id", "score", "matched_queries")
 
 
-def _nearest_passing(index: Index, queries: DataFrame, batch: BatchSize) -> DataFrame:
-    """Nearest vectors among the documents that pass each query's filters."""
-    plain = knn.nearest(index.documents, queries.filter(~fl.has_filter()))
-    filtered = queries.filter(fl.has_filter())
-    passing = fl.passing_documents(index.documents, filtered, batch.few_queries).distinct()
-    vectors = index.documents.select("song_id", "embedding")
-    asked = filtered.select("query_id", "vec").filter("vec IS NOT NULL")
-    pairs = passing.join(vectors, "song_id").join(lexical.small(asked, batch.small), "query_id")
-    score = F.round((1 + cosine(F.col("embedding"), F.col("vec"))) / 2, 6).alias("score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
-    scored = pairs.select("query_id", "song_id", score).withColumn("__rank", F.row_number().over(order))
-    return plain.unionByName(scored.filter(F.col("__rank") <= knn.NEIGHBOURS).drop("__rank"))
-
-
 def _fill_with_passing(index: Index, queries: DataFrame, hits: DataFrame, batch: BatchSize) -> DataFrame:
     """Top up queries with filters and too few hits by passing documents of score 0."""
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("__found"))

@@ -111,12 +111,13 @@ def nearest(
 ) -> DataFrame:
     """(query_id, song_id, score): the k documents of highest cosine for every query vector.
 
-    documents need song_id and embedding, queries query_id and vec. Scores are (1 + cos) / 2
+    documents need song_id and embedding, queries query_id and vec; a query without a vector or
+    with a zero vector has no neighbours. Scores are (1 + cos) / 2
     on six decimals, ties go to the smaller id. A small batch of queries visits every document
     where it lies, so documents are not shuffled; its size is counted first.
     """
     docs = documents.select("song_id", "embedding").filter("embedding IS NOT NULL")
-    asked = queries.select("query_id", "vec").filter("vec IS NOT NULL")
+    asked = queries.select("query_id", "vec").filter(F.exists("vec", lambda x: x != 0))
     id_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {id_type}, song_id string, score double"
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()

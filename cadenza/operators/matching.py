@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.artists import clean_artist, first_artist, first_artist_simple
 from cadenza.functions.text import contains_either_way, none_word, strip
-from cadenza.operators.skew import HOT_ROWS, SALT, join_many_to_one, join_one_to_many
+from cadenza.operators.skew import HOT_ROWS, SALT, hot_keys, join_many_to_one, join_one_to_many
 
 FALLBACK_TIER = 9
 
@@ -32,6 +32,14 @@ SERVICE_A_SIMPLE = Rules("A", uses_album=False)
 SERVICE_B_SIMPLE = Rules("B", uses_album=False, songs_only=True)
 
 
+def with_albums(songs: DataFrame, tracks: DataFrame, albums: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """songs LEFT JOIN tracks LEFT JOIN albums, adding album_name; popular keys are split."""
+    of_song = tracks.select("song_id", "album_id")
+    named = albums.select("album_id", F.col("name").alias("album_name"))
+    with_name = join_many_to_one(of_song, named, ["album_id"], ["song_id"], "left", hot_rows)
+    return join_one_to_many(songs, with_name, ["song_id"], ["album_id"], hot_rows).drop("album_id")
+
+
 def match_input(
     songs: DataFrame,
     tracks: DataFrame,
@@ -40,12 +48,7 @@ def match_input(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Songs with the name of every album they are on; a limit takes the first by id."""
-    of_song = tracks.select("song_id", "album_id")
-    named = albums.select("album_id", F.col("name").alias("album_name"))
-    with_album = join_many_to_one(of_song, named, ["album_id"], ["song_id"], "left", hot_rows)
-    rows = join_one_to_many(
-        songs.select("song_id", "song_name", "artists"), with_album, ["song_id"], ["album_id"], hot_rows
-    ).select("song_id", "song_name", "artists", "album_name")
+    rows = with_albums(songs.select("song_id", "song_name", "artists"), tracks, albums, hot_rows)
     return rows if limit is None else rows.orderBy("song_id", "album_name").limit(limit)
 
 
@@ -92,31 +95,46 @@ def search_texts(cleaned: DataFrame) -> DataFrame:
     return rows.select("song_id", "album", F.inline(texts))
 
 
-def _tier(rules: Rules) -> Column:
-    def plain(column: str) -> Column:
-        return strip(F.lower(F.col(column)))
+def _plain(column: str) -> Column:
+    return strip(F.lower(F.col(column)))
+
 
-    name, title = plain("song_name"), plain("title")
-    artist, album = plain("artist"), plain("album")
-    offered = F.coalesce(strip(F.lower(F.col("c_album"))), F.lit(""))
+def _judged(pairs: DataFrame, rules: Rules) -> DataFrame:
+    """What a candidate is worth by name and artist; `offered` is its album if it is near."""
+    name, title, artist = _plain("song_name"), _plain("title"), _plain("artist")
     artists = F.coalesce(F.col("c_artists"), F.array().cast("array<string>"))
     same = name == title
-    alike = same | contains_either_way(name, title)
     artist_ok = (
         artist.isNull()
         | (artist == "")
         | F.exists(artists, lambda a: F.coalesce(contains_either_way(artist, strip(F.lower(a))), F.lit(False)))
     )
-    album_ok = album.isNull() | (album == "") | contains_either_way(album, offered)
-    if not rules.open_album:
-        album_ok = album.isNull() | (album == "") | ((offered != "") & contains_either_way(album, offered))
-    eligible = F.coalesce(F.col("result_type") == "song", F.lit(False)) if rules.songs_only else F.lit(True)
-    near = F.coalesce(eligible & alike & artist_ok, F.lit(False))
+    near = (same | contains_either_way(name, title)) & artist_ok
+    if rules.songs_only:
+        near = near & (F.col("result_type") == "song")
+    near = F.coalesce(near, F.lit(False))
+    offered = F.coalesce(_plain("c_album"), F.lit(""))
+    return pairs.select(
+        "song_id",
+        SALT,
+        "strategy_no",
+        near.alias("near"),
+        (near & same).alias("same"),
+        F.when(near & F.lit(rules.uses_album), offered).alias("offered"),
+        F.struct("pos", "title", "c_album", "c_artists", "result_type", "url").alias("place"),
+    )
+
+
+def _tier(rules: Rules) -> Column:
+    near, same, offered = F.col("near"), F.col("same"), F.col("offered")
     if not rules.uses_album:
         return F.when(near, 1).otherwise(FALLBACK_TIER)
-    return (
-        F.when(near & same & album_ok, 1).when(near & album_ok, 2).when(near, 3).otherwise(FALLBACK_TIER)
-    )
+    wanted = _plain("album")
+    fits = contains_either_way(wanted, offered)
+    if not rules.open_album:
+        fits = fits & (offered != "")
+    album_ok = wanted.isNull() | (wanted == "") | fits
+    return F.when(near & album_ok & same, 1).when(near & album_ok, 2).when(near, 3).otherwise(FALLBACK_TIER)
 
 
 def match_links(
@@ -126,11 +144,15 @@ def match_links(
 
     The first search strategy with results counts. Within it the best tier wins, then the
     earliest place; a candidate that fits no tier is the fallback. A song on several albums is
-    compared once per album and keeps its best tier: all albums share the song's candidates,
-    hence its first strategy. Songs without a candidate have a null url.
-    Candidates of one song are compared by a running minimum, never collected.
+    compared with each and keeps its best tier: all albums share the song's candidates, hence
+    its first strategy. Songs without a candidate have a null url.
+
+    Candidates are never collected per song. They are judged by name and artist where the join
+    left them and reduced to the earliest one per outcome and offered album, so that the
+    album test sees different album names only.
     """
-    rows = cleaned.filter(~F.col("skipped")).select("song_id", "song_name", "artist", "album").distinct()
+    rows = cleaned.filter(~F.col("skipped"))
+    names = rows.filter(searchable(F.col("song_name"))).select("song_id", "song_name", "artist").distinct()
     offers = candidates.select(
         "song_id",
         "strategy_no",
@@ -141,24 +163,30 @@ def match_links(
         "result_type",
         "url",
     )
-    names = rows.filter(searchable(F.col("song_name")))
-    pairs = join_many_to_one(offers, names, ["song_id"], ["url", "pos"], "inner", hot_rows, keep_salt=True)
-    order = F.struct("strategy_no", _tier(rules).alias("tier"), "pos", "title", "c_album", "c_artists", "result_type", "url")
-    # First where the join left the rows, then over the parts of split songs.
-    per_part = pairs.groupBy("song_id", SALT).agg(F.min(order).alias("best"))
-    per_song = per_part.groupBy("song_id").agg(F.min("best").alias("best"))
+    hot = hot_keys(offers.filter(F.col("song_id").isNotNull()), ["song_id"], hot_rows)
+    pairs = join_many_to_one(offers, names, ["song_id"], ["url", "pos"], "inner", hot=hot, keep_salt=True)
+    outcome = ["song_id", "strategy_no", "near", "same", "offered"]
+    first = F.min("place").alias("place")
+    judged = _judged(pairs, rules).groupBy(*outcome, SALT).agg(first).groupBy(*outcome).agg(first)
+    if rules.uses_album:
+        # Only near candidates look at albums; the others keep a null key and stay as they are.
+        judged = judged.withColumn("album_of", F.when(F.col("near"), F.col("song_id")))
+        albums = rows.select(F.col("song_id").alias("album_of"), "album").distinct()
+        popular = hot.withColumnRenamed("song_id", "album_of")
+        judged = join_many_to_one(judged, albums, ["album_of"], ["offered", "song_id"], "left", hot=popular)
+    best = judged.groupBy("song_id").agg(F.min(F.struct("strategy_no", _tier(rules).alias("tier"), "place")).alias("best"))
     return (
         rows.select("song_id")
         .distinct()
-        .join(per_song, "song_id", "left")
+        .join(best, "song_id", "left")
         .select(
             "song_id",
             F.lit(rules.service).alias("service"),
-            "best.url",
+            "best.place.url",
             "best.tier",
             "best.strategy_no",
-            "best.pos",
-            "best.title",
+            "best.place.pos",
+            "best.place.title",
         )
     )
 
@@ -168,12 +196,11 @@ def watch_address(video_id: Column) -> Column:
     return F.concat(F.lit("https://music.youtube.com/watch?v="), video_id)
 
 
-def link_failures(cleaned: DataFrame, links: DataFrame) -> DataFrame:
+def link_failures(cleaned: DataFrame, links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Songs of the input without a link, per service."""
     services = links.select("song_id", "service").filter(F.col("url").isNull())
-    return cleaned.filter(~F.col("skipped")).join(services, "song_id").select(
-        "song_id", "song_name", "artist", "album", "service"
-    )
+    rows = join_many_to_one(cleaned.filter(~F.col("skipped")), services, ["song_id"], ["album"], "inner", hot_rows)
+    return rows.select("song_id", "song_name", "artist", "album", "service")
 
 
 def link_summary(cleaned: DataFrame, links: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.skew import one_per_key
+
 LINK_COLUMNS = ("spotify_url", "youtube_music_url")
 
 
@@ -31,7 +33,16 @@ def _stamps(old: DataFrame, run_at: datetime | None, changed: Column) -> list[Co
 def upsert_embeddings(
     old: DataFrame, new: DataFrame, run_at: datetime | None = None, keep_existing: bool = False
 ) -> DataFrame:
-    """Insert or replace vectors by song_id. A new null replaces too, unless keep_existing."""
+    """Insert or replace vectors by song_id. A new null replaces too, unless keep_existing.
+
+    Of several new rows for a song the one with the largest seq counts, without that column
+    the smallest vector.
+    """
+    if "seq" in new.columns:
+        latest = new.groupBy("song_id").agg(F.max(F.struct("seq", "embedding")).alias("last"))
+        new = latest.select("song_id", "last.embedding")
+    else:
+        new = one_per_key(new.select("song_id", "embedding"), "song_id")
     joined = _both(old, new, ["embedding"])
     given = F.coalesce("given", F.lit(False))
     takes = given & F.col("new_embedding").isNotNull() if keep_existing else given

@@ -81,11 +81,11 @@ def index_docs(spark, sf_dir):
 
 
 def index_rejects(spark, sf_dir):
-    return ct.rejected_documents(inputs.catalog(spark, sf_dir), inputs.DIMS)
+    return ct.rejected_documents(inputs.tables(spark, sf_dir), inputs.DIMS)
 
 
 def index_summary(spark, sf_dir):
-    return ct.index_summary(inputs.catalog(spark, sf_dir), inputs.DIMS)
+    return ct.index_summary(inputs.tables(spark, sf_dir), inputs.DIMS)
 
 
 def tokens(spark, sf_dir):
@@ -94,33 +94,33 @@ def tokens(spark, sf_dir):
 
 
 def index_postings(spark, sf_dir):
-    rows = ix.build_index(inputs.documents(spark, sf_dir)).postings
+    rows = ix.build_index(inputs.stored_documents(spark, sf_dir)).postings
     return rows.select("song_id", "field", "term", "tf", F.col("dl").cast("long").alias("dl"), F.round("impact", 6).alias("impact"))
 
 
 def index_stats(spark, sf_dir):
-    index = ix.build_index(inputs.documents(spark, sf_dir))
+    index = ix.build_index(inputs.stored_documents(spark, sf_dir))
     met = index.terms.join(F.broadcast(index.fields), "field")
     return met.select("field", "term", "df", F.round(ix.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
 
 
 def index_fields(spark, sf_dir):
-    rows = ix.field_stats(inputs.documents(spark, sf_dir))
+    rows = ix.field_stats(inputs.stored_documents(spark, sf_dir))
     return rows.select("field", "n_docs", "n_words", F.round("avg_dl", 6).alias("avg_dl"))
 
 
 def filter_energy(spark, sf_dir):
-    rows = fl.range_filter(inputs.catalog(spark, sf_dir), "energy", 0.0, 0.5)
+    rows = fl.range_filter(inputs.documents(spark, sf_dir), "energy", 0.0, 0.5)
     return rows.select("song_id", "energy")
 
 
 def filter_popularity(spark, sf_dir):
-    rows = fl.range_filter(inputs.catalog(spark, sf_dir), "popularity", 10)
+    rows = fl.range_filter(inputs.documents(spark, sf_dir), "popularity", 10)
     return rows.select("song_id", "popularity")
 
 
 def filter_artist(spark, sf_dir):
-    rows = fl.match_filter(inputs.catalog(spark, sf_dir), "name_artists", "Nobody or SUPPLIER")
+    rows = fl.match_filter(inputs.documents(spark, sf_dir), "name_artists", "Nobody or SUPPLIER")
     return rows.select("song_id", "name_artists")
 
 
@@ -153,7 +153,7 @@ def catalog_like(spark, sf_dir):
 
 def catalog_preview(spark, sf_dir):
     rows = audit.embedding_preview(view(spark, sf_dir, "songs"), view(spark, sf_dir, "song_embeddings"), "Ring")
-    entries = [F.round(F.get("embedding_preview", F.lit(i)).cast("double"), 6).alias(f"e{i}") for i in range(3)]
+    entries = [F.round(F.get("first_values", F.lit(i)).cast("double"), 6).alias(f"e{i}") for i in range(3)]
     return rows.select("song_id", "song_name", "artists", *entries)
 
 
@@ -195,7 +195,7 @@ ORACLES = {
         f"FROM songs s LEFT JOIN artists a ON a.artist_id = {TOKEN}",
     ),
     "index_docs": _from_docs(f"SELECT {_shown} FROM docs"),
-    "index_rejects": _from_docs("SELECT song_id, reason FROM checked WHERE reason IS NOT NULL"),
+    "index_rejects": _from_docs("SELECT song_id, reason, count(*) AS n_rows FROM checked WHERE reason IS NOT NULL GROUP BY song_id, reason"),
     "index_summary": _from_docs(
         "SELECT CASE WHEN reason IS NULL THEN 'indexed' ELSE 'rejected' END AS status, "
         "coalesce(reason, '') AS reason, count(*) AS n_rows FROM checked GROUP BY 1, 2"
@@ -210,10 +210,10 @@ ORACLES = {
         "FROM terms JOIN fields USING (field)"
     ),
     "index_fields": _from_index("SELECT field, n_docs, n_words, round(avg_dl, 6) AS avg_dl FROM fields"),
-    "filter_energy": _from_catalog("SELECT song_id, energy FROM catalog WHERE energy BETWEEN 0 AND 0.5e0"),
-    "filter_popularity": _from_catalog("SELECT song_id, popularity FROM catalog WHERE popularity >= 10"),
-    "filter_artist": _from_catalog(
-        f"SELECT song_id, name_artists FROM catalog WHERE list_has_any({WORDS.format('name_artists')}, "
+    "filter_energy": _from_docs("SELECT song_id, energy FROM docs WHERE energy BETWEEN 0 AND 0.5e0"),
+    "filter_popularity": _from_docs("SELECT song_id, popularity FROM docs WHERE popularity >= 10"),
+    "filter_artist": _from_docs(
+        f"SELECT song_id, name_artists FROM docs WHERE list_has_any({WORDS.format('name_artists')}, "
         "['nobody', 'or', 'supplier'])"
     ),
     "artist_parse": with_views(

@@ -58,3 +58,8 @@ def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
         queries = cut(with_suggested_keywords(index, queries, is_small=is_small_batch(queries)))
         _built[key] = SearchInputs(index, queries)
     return _built[key]
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document table that the index is made from."""
+    return search_inputs(spark, sf_dir).index.documents

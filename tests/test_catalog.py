@@ -45,17 +45,26 @@ def test_catalog_fans_out_and_ignores_case_of_lyrics_only(tables, rows):
 
 def test_accepted_and_rejected_make_up_the_input(tables, rows):
     catalog = ct.build_catalog(tables)
-    accepted, rejected = ct.accepted_documents(catalog, 2), ct.rejected_documents(catalog, 2)
-    assert accepted.count() + rejected.count() == catalog.count()
-    assert {(r.song_id, r.reason) for r in rejected.collect()} == {
-        ("b", "missing_embedding"),
-        ("c", "missing_embedding"),
-        ("d", "bad_dims"),
-        ("", "empty_song_id"),
-        ("e", "zero_norm"),
-    }
-    total = sum(r.n_rows for r in ct.index_summary(catalog, 2).collect())
-    assert total == catalog.count()
+    accepted = ct.accepted_documents(catalog, 2).count()
+    rejected = rows(ct.rejected_documents(tables, 2))
+    assert rejected == [
+        ("", "empty_song_id", 1), ("b", "missing_embedding", 2), ("c", "missing_embedding", 1),
+        ("d", "bad_dims", 1), ("e", "zero_norm", 1),
+    ]
+    assert accepted + sum(n for _, _, n in rejected) == catalog.count()
+    summary = {(r.status, r.reason): r.n_rows for r in ct.index_summary(tables, 2).collect()}
+    assert summary[("indexed", "")] == accepted
+    assert sum(summary.values()) == catalog.count()
+
+
+def test_outcomes_equal_those_of_the_fanned_out_rows(tables, rows):
+    checked = ct.check_documents(ct.build_catalog(tables), 2)
+    assert rows(ct.index_outcomes(tables, 2)) == rows(checked.groupBy("song_id", "reason").count())
+
+
+def test_hot_ids_are_joined_like_any_other(tables, rows):
+    plain = ct.build_catalog(tables)
+    assert rows(ct.build_catalog(tables, hot_rows=1)) == rows(plain)
 
 
 def test_one_document_per_song(tables):

@@ -179,14 +179,6 @@ def test_require_match_drops_hits_of_score_zero(world):
     assert hy.search(index, asked, size=200).filter("size(matched_queries) = 0").count() > 0
 
 
-def test_filter_before_vectors_finds_only_passing_neighbours(world):
-    docs, _, index, asked, _ = world
-    hits = hy.search(index, asked.filter("query_id = 6"), size=200, filter_before_vectors=True)
-    passing = {d[0] for d in docs if d[3] is not None and 30 <= d[3] <= 99}
-    got = {r.song_id for r in hits.collect() if "vector_search" in r.matched_queries}
-    assert got <= passing and len(got) == min(100, len(passing))
-
-
 def test_own_page_size(world):
     from pyspark.sql import functions as F
 

@@ -73,7 +73,7 @@ def test_inspection_limits(spark, rows):
     songs = spark.createDataFrame([("1", "Thank you", "x"), ("2", "thankful", "y"), ("3", "No", "z")], "song_id string, song_name string, artists string")
     vectors = spark.createDataFrame([("1", [1.0, 2.0, 3.0, 4.0])], "song_id string, embedding array<float>")
     assert rows(audit.embedding_preview(songs, vectors, "Thank")) == [
-        ("1", "Thank you", "x", [1.0, 2.0, 3.0]), ("2", "thankful", "y", None),
+        ("1", "Thank you", "x", [1.0, 2.0, 3.0], "[1.0,2.0,3.0,4.0]"), ("2", "thankful", "y", None, None),
     ]
     assert audit.embedding_preview(songs, vectors, "thank", limit=1).count() == 1
 
