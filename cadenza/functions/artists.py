@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from cadenza.functions.text import before_parenthesis, strip
 
 STRICT = {"allowSingleQuotes": "false"}
+# Anything else is not JSON, so it need not be parsed.
+JSON_START = r"^\s*(?:[\[{\"0-9-]|(?:null|true|false)\s*$)"
 
 
-def _as_items(text: Column) -> Column:
-    """The text as the only item of a JSON array, else null.
+def _is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
 
     The JSON reader stops at the end of the first value. Closing the text once with a
     bracket and once with a brace leaves no way for trailing text to slip through.
     """
-    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)
+    item = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)
     member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", STRICT)
-    alone = (F.size(items) == 1) & (F.size(member) == 1) & (text != "")
-    return F.when(alone, items)
+    one = F.coalesce((F.size(item) == 1) & (F.size(member) == 1), F.lit(False))
+    return text.rlike(JSON_START) & one
 
 
 def _first_value(json_object: Column) -> Column:
@@ -30,6 +32,24 @@ def _first_value(json_object: Column) -> Column:
     return F.get(same, F.size(same) - 1)["value"]
 
 
+def _first_item(json_array: Column) -> Column:
+    """First item of a list; the first value of an item that is an object."""
+    items = F.from_json(json_array, "array<string>", STRICT)
+    return F.get(F.transform(items, lambda i: F.when(_starts(i, "{"), _first_value(i)).otherwise(i)), F.lit(0))
+
+
+def _scalar(json_scalar: Column) -> Column:
+    """Text of a single value, constants spelled as None, True and False."""
+    bare = strip(json_scalar)
+    content = F.get(F.from_json(F.concat(F.lit("["), json_scalar, F.lit("]")), "array<string>", STRICT), F.lit(0))
+    return (
+        F.when(bare == "null", F.lit("None"))
+        .when(bare == "true", F.lit("True"))
+        .when(bare == "false", F.lit("False"))
+        .otherwise(content)
+    )
+
+
 def _starts(text: Column, mark: str) -> Column:
     return F.ltrim(text).startswith(mark)
 
@@ -42,22 +62,11 @@ def _after_last_colon(text: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """Rule for everything that is not a dict literal."""
-    items = _as_items(text)
-    value = F.get(items, F.lit(0))
-    inner = F.from_json(text, "array<string>", STRICT)
-    inner_first = F.get(inner, F.lit(0))
-    from_list = F.when(_starts(inner_first, "{"), _first_value(inner_first)).otherwise(inner_first)
-    scalar = (
-        F.when(value.isNull(), F.lit("None"))
-        .when(strip(text) == "true", F.lit("True"))
-        .when(strip(text) == "false", F.lit("False"))
-        .otherwise(value)
-    )
     return (
-        F.when(items.isNull(), strip(F.substring_index(text, ",", 1)))
+        F.when(~_is_json(text), strip(F.substring_index(text, ",", 1)))
         .when(_starts(text, "{"), _first_value(text))
-        .when(_starts(text, "["), from_list)
-        .otherwise(scalar)
+        .when(_starts(text, "["), _first_item(text))
+        .otherwise(_scalar(text))
     )
 
 
@@ -65,9 +74,8 @@ def first_artist(text: Column) -> Column:
     """First artist name of a field in any of its forms; null for an empty field."""
     looks_like_dict = text.contains("{") & text.contains(":") & text.contains("}")
     quoted = F.replace(text, F.lit("'"), F.lit('"'))
-    is_json = _as_items(quoted).isNotNull()
     from_dict = (
-        F.when(~is_json, _after_last_colon(text))
+        F.when(~_is_json(quoted), _after_last_colon(text))
         .when(_starts(quoted, "{"), _first_value(quoted))
         .otherwise(_plain(text))
     )

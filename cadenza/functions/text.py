@@ -10,13 +10,20 @@ WORD = r"[\p{L}\p{N}_]+"
 # Keeps don't and 3.14 whole, closer to a full Unicode word break.
 WORD_WITH_INNER_MARKS = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*"
 
+# All characters that count as white space.
+WHITE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 DEFAULT_TITLE = "Unknown Title"
 DEFAULT_ARTIST = "Unknown Artist"
 
 
 def strip(text: Column) -> Column:
     """Drop all leading and trailing white space (trim() drops blanks only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def words(text: Column, pattern: str = WORD) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,18 +38,22 @@ def clip_texts(texts: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     return texts.withColumn("text", clip_words(F.col("text"), max_words))
 
 
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
+
+
 def hashed_words(dims: int = 64) -> Embedder:
     """Offline stand-in for a model: signed counts of hashed words, scaled to length 1."""
 
-    def one(text: str) -> list[float]:
-        vector = np.zeros(dims)
-        for word in re.findall(r"\w+", text.lower()):
-            digest = hashlib.md5(word.encode()).digest()
-            vector[int.from_bytes(digest[:4], "big") % dims] += 1 if digest[4] % 2 else -1
+    def one(text: str) -> np.ndarray:
+        codes = np.array([_word_hash(w) for w in re.findall(r"\w+", text.lower())], dtype=np.uint64)
+        signs = np.where(codes >> np.uint64(63), 1.0, -1.0)
+        vector = np.bincount((codes % np.uint64(dims)).astype(np.int64), signs, dims)
         length = np.linalg.norm(vector)
-        return (vector / length if length else vector).astype("float32").tolist()
+        return (vector / length if length else vector).astype("float32")
 
-    def embed(texts: Sequence[str]) -> list[list[float]]:
+    def embed(texts: Sequence[str]) -> list[np.ndarray]:
         return [one(t) for t in texts]
 
     return embed

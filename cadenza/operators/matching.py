@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.artists import clean_artist, first_artist, first_artist_simple
 from cadenza.functions.text import contains_either_way, none_word, strip
-from cadenza.operators.skew import HOT_ROWS, SALT, hot_keys, join_many_to_one, join_one_to_many
+from cadenza.operators.skew import HOT_ROWS, hot_keys, join_many_to_one, join_one_to_many
 
 FALLBACK_TIER = 9
 
@@ -95,33 +95,33 @@ def search_texts(cleaned: DataFrame) -> DataFrame:
     return rows.select("song_id", "album", F.inline(texts))
 
 
-def _plain(column: str) -> Column:
-    return strip(F.lower(F.col(column)))
+def _plain(text: Column) -> Column:
+    return strip(F.lower(text))
 
 
 def _judged(pairs: DataFrame, rules: Rules) -> DataFrame:
     """What a candidate is worth by name and artist; `offered` is its album if it is near."""
-    name, title, artist = _plain("song_name"), _plain("title"), _plain("artist")
-    artists = F.coalesce(F.col("c_artists"), F.array().cast("array<string>"))
+    pairs = pairs.withColumn("plain_title", _plain(F.col("title")))
+    name, title, artist = F.col("plain_name"), F.col("plain_title"), F.col("plain_artist")
+    artists = F.coalesce("c_artists", F.array().cast("array<string>"))
     same = name == title
     artist_ok = (
         artist.isNull()
         | (artist == "")
-        | F.exists(artists, lambda a: F.coalesce(contains_either_way(artist, strip(F.lower(a))), F.lit(False)))
+        | F.exists(artists, lambda a: F.coalesce(contains_either_way(artist, _plain(a)), F.lit(False)))
     )
     near = (same | contains_either_way(name, title)) & artist_ok
     if rules.songs_only:
         near = near & (F.col("result_type") == "song")
     near = F.coalesce(near, F.lit(False))
-    offered = F.coalesce(_plain("c_album"), F.lit(""))
+    offered = F.coalesce(_plain(F.col("c_album")), F.lit(""))
     return pairs.select(
         "song_id",
-        SALT,
         "strategy_no",
         near.alias("near"),
         (near & same).alias("same"),
         F.when(near & F.lit(rules.uses_album), offered).alias("offered"),
-        F.struct("pos", "title", "c_album", "c_artists", "result_type", "url").alias("place"),
+        F.struct("pos", "title", "url").alias("place"),
     )
 
 
@@ -129,7 +129,7 @@ def _tier(rules: Rules) -> Column:
     near, same, offered = F.col("near"), F.col("same"), F.col("offered")
     if not rules.uses_album:
         return F.when(near, 1).otherwise(FALLBACK_TIER)
-    wanted = _plain("album")
+    wanted = _plain(F.col("album"))
     fits = contains_either_way(wanted, offered)
     if not rules.open_album:
         fits = fits & (offered != "")
@@ -148,11 +148,12 @@ def match_links(
     its first strategy. Songs without a candidate have a null url.
 
     Candidates are never collected per song. They are judged by name and artist where the join
-    left them and reduced to the earliest one per outcome and offered album, so that the
+    left them and reduced there to the earliest one per outcome and offered album, so that the
     album test sees different album names only.
     """
     rows = cleaned.filter(~F.col("skipped"))
-    names = rows.filter(searchable(F.col("song_name"))).select("song_id", "song_name", "artist").distinct()
+    plain_names = [_plain(F.col(c)).alias(n) for c, n in (("song_name", "plain_name"), ("artist", "plain_artist"))]
+    names = rows.filter(searchable(F.col("song_name"))).select("song_id", *plain_names).distinct()
     offers = candidates.select(
         "song_id",
         "strategy_no",
@@ -164,10 +165,9 @@ def match_links(
         "url",
     )
     hot = hot_keys(offers.filter(F.col("song_id").isNotNull()), ["song_id"], hot_rows)
-    pairs = join_many_to_one(offers, names, ["song_id"], ["url", "pos"], "inner", hot=hot, keep_salt=True)
+    pairs = join_many_to_one(offers, names, ["song_id"], ["url", "pos"], "inner", hot=hot)
     outcome = ["song_id", "strategy_no", "near", "same", "offered"]
-    first = F.min("place").alias("place")
-    judged = _judged(pairs, rules).groupBy(*outcome, SALT).agg(first).groupBy(*outcome).agg(first)
+    judged = _judged(pairs, rules).groupBy(*outcome).agg(F.min("place").alias("place"))
     if rules.uses_album:
         # Only near candidates look at albums; the others keep a null key and stay as they are.
         judged = judged.withColumn("album_of", F.when(F.col("near"), F.col("song_id")))

@@ -44,22 +44,19 @@ def join_many_to_one(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
-    keep_salt: bool = False,
 ) -> DataFrame:
     """left JOIN right (inner, left, left_semi or left_anti) with hot keys of left split.
 
     Every left row meets exactly one copy of each right row, so the result is that of the
     plain join, whichever keys are split. row_key spreads the rows of one key and must differ
     between them. Give `hot` (see hot_keys) where counting left itself would repeat much work;
-    counting a larger table in its place is fine. The result lies by key and salt; keep_salt
-    leaves that column in, to aggregate without a shuffle first.
+    counting a larger table in its place is fine.
     """
     if hot is None:
         hot = hot_keys(left.filter(F.col(on[0]).isNotNull()), on, hot_rows)
     spread = spread_hot(left, hot, on, [F.col(c) for c in row_key]).drop(PARTS)
     copies = copy_hot(right, hot, on).drop(PARTS)
-    joined = spread.join(copies, [*on, SALT], how)
-    return joined if keep_salt else joined.drop(SALT)
+    return spread.join(copies, [*on, SALT], how).drop(SALT)
 
 
 def join_in_parts(

@@ -127,7 +127,7 @@ CLEANED_CTE = f"""parsed AS (SELECT *, {FIRST_ARTIST} AS first_artist FROM match
     SELECT song_id, song_name, CASE WHEN artists <> '' THEN trim(split_part(trim(split_part(artists, ',', 1)), '(', 1)) END AS artist,
            CAST(NULL AS VARCHAR) AS album, song_name IS NULL OR song_name IN ('', 'None') AS skipped FROM match_songs),
   offers AS (
-    SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY strategy_no, pos, title, album, artist_1, artist_2, result_type, url) AS place,
+    SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY strategy_no, pos, title, url) AS place,
            min(strategy_no) OVER (PARTITION BY song_id) AS first_strategy FROM candidates)"""
 
 

@@ -38,6 +38,7 @@ def test_failed_batch_gives_nulls_with_a_reason(spark):
 def test_offline_embedder_is_deterministic_and_unit(spark):
     embed = em.hashed_words(16)
     a, b, empty = embed(["One two, two", "one TWO two", ""])
+    a, b, empty = a.tolist(), b.tolist(), empty.tolist()
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6 and not any(empty)
 
 
