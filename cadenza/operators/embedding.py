@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,9 @@ from pyspark.sql import functions as F
 from cadenza.functions.text import clip_words, embedding_text
 from cadenza.operators.catalog import join_ignoring_case
 from cadenza.operators.skew import HOT_ROWS, join_many_to_one, join_one_to_many
+from cadenza.session import send_with_tasks
+
+send_with_tasks(__name__)
 
 # Texts per model call, and words kept per song.
 BATCH_SIZE = 25
@@ -38,16 +40,23 @@ def clip_texts(texts: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     return texts.withColumn("text", clip_words(F.col("text"), max_words))
 
 
-@lru_cache(maxsize=200_000)
 def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
 
 
 def hashed_words(dims: int = 64) -> Embedder:
     """Offline stand-in for a model: signed counts of hashed words, scaled to length 1."""
+    known: dict[str, int] = {}
+
+    def code(word: str) -> int:
+        if word not in known:
+            if len(known) >= 200_000:
+                known.clear()
+            known[word] = _word_hash(word)
+        return known[word]
 
     def one(text: str) -> np.ndarray:
-        codes = np.array([_word_hash(w) for w in re.findall(r"\w+", text.lower())], dtype=np.uint64)
+        codes = np.array([code(w) for w in re.findall(r"\w+", text.lower())], dtype=np.uint64)
         signs = np.where(codes >> np.uint64(63), 1.0, -1.0)
         vector = np.bincount((codes % np.uint64(dims)).astype(np.int64), signs, dims)
         length = np.linalg.norm(vector)

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from cadenza.session import send_with_tasks
+
+send_with_tasks(__name__)
+
 NEIGHBOURS = 100
 # Query vectors are sent to every task only up to this many bytes; more go through the grid.
 SMALL_QUERY_BYTES = 64 * 1024 * 1024

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,14 +27,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "cad
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a scratch folder only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, else the one the context was given.
+
+    Without either, a scratch folder of this machine, in local mode only.
+    """
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="cadenza-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -46,3 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once, so that later branches do not recompute it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def send_with_tasks(module: str) -> None:
+    """Send the functions of a module along with the tasks that call them.
+
+    The machines of a cluster then need not have this package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])

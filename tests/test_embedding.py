@@ -47,3 +47,28 @@ def test_every_distinct_prompt_is_embedded_once(spark):
     got = em.embed_prompts(queries, em.hashed_words(8)).collect()
     vectors = {r.query_id: r.vec for r in got}
     assert len(got) == 3 and vectors[1] == vectors[2] and all(vectors.values())
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """A task finds everything it calls, also where this package is not installed."""
+    import subprocess
+    import sys
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    from cadenza.operators import knn
+
+    out = pa.schema([("query_id", pa.int64()), ("song_id", pa.string()), ("score", pa.float64())])
+    parts = {
+        "embed": em.hashed_words(8),
+        "stream": knn._best_of_stream([1], np.ones((1, 2)), 3, out),
+        "block": knn._best_of_block(3),
+    }
+    (tmp_path / "parts").write_bytes(cloudpickle.dumps(parts))
+    code = (
+        "import pickle, pyarrow as pa; p = pickle.load(open('parts', 'rb')); p['embed'](['a b']);"
+        "b = pa.RecordBatch.from_pydict({'song_id': ['x'], 'embedding': [[1.0, 2.0]]}); assert list(p['stream']([b]))"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
