@@ -2,75 +2,30 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import words
 from cadenza.operators import filters as fl
 from cadenza.operators import knn, lexical
-from cadenza.operators.index import FIELD_BOOSTS, Index
+from cadenza.operators.index import Index
 from cadenza.operators.skew import join_in_parts
 from cadenza.session import cut
 
 PAGE_SIZE = 20
-# Query rows are sent to every task only up to this many.
-FEW_QUERIES = 200_000
 # Clause names in the order they are reported.
 CLAUSES = {"vector": "vector_search", "keyword": "keyword_search", "prompt": "prompt_search"}
 
 
-@dataclass(frozen=True)
-class BatchSize:
-    """Upper bounds on what a batch of queries can expand to."""
-
-    queries: int
-    rows: int
-
-    @property
-    def few_queries(self) -> bool:
-        """The queries themselves may be sent to every task."""
-        return self.queries <= FEW_QUERIES
-
-    @property
-    def small(self) -> bool:
-        """Everything derived from the queries alone may be sent to every task."""
-        return self.few_queries and self.rows <= lexical.SMALL_ROWS
-
-
-def batch_size(queries: DataFrame) -> BatchSize:
-    """Count queries and their words, which bounds all rows derived from them.
-
-    A prompt word stands for at most MAX_EXPANSIONS words in each field, and a query has at
-    most NEIGHBOURS vector hits.
-    """
-    n_prompt = F.size(words(F.col("prompt")))
-    n_keyword = F.lit(lexical.MAX_KEYWORDS)
-    if "keywords" in queries.columns:
-        n_keyword = F.size(words(F.array_join("keywords", " ")))
-    found = queries.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(n_prompt), F.lit(0)).alias("prompt"),
-        F.coalesce(F.sum(n_keyword), F.lit(0)).alias("keyword"),
-    ).first()
-    per_field = found["prompt"] * lexical.MAX_EXPANSIONS + found["keyword"]
-    return BatchSize(found["n"], len(FIELD_BOOSTS) * per_field + found["n"] * knn.NEIGHBOURS)
-
-
-def is_small_batch(queries: DataFrame) -> bool:
-    return batch_size(queries).small
-
-
-def clause_weights(index: Index, queries: DataFrame, is_small: bool) -> DataFrame:
+def clause_weights(index: Index, queries: DataFrame, batch: lexical.BatchSize) -> DataFrame:
     """(query_id, field, term, keyword, prompt): one row per word that scores for a query."""
     zero = F.lit(0.0)
-    keyword = lexical.keyword_weights(index, lexical.keyword_words(queries), is_small)
-    prompt = lexical.prompt_weights(index, lexical.prompt_words(queries), is_small)
-    both = keyword.select("query_id", "field", "term", F.col("weight").alias("keyword"), zero.alias("prompt")).unionByName(
-        prompt.select("query_id", "field", "term", zero.alias("keyword"), F.col("weight").alias("prompt"))
+    keyword = lexical.keyword_weights(index, lexical.keyword_words(queries), batch)
+    prompt = lexical.prompt_weights(index, lexical.prompt_words(queries), batch)
+    word = ["query_id", "field", "term"]
+    both = keyword.select(*word, F.col("weight").alias("keyword"), zero.alias("prompt")).unionByName(
+        prompt.select(*word, zero.alias("keyword"), F.col("weight").alias("prompt"))
     )
-    return both.groupBy("query_id", "field", "term").agg(F.sum("keyword").alias("keyword"), F.sum("prompt").alias("prompt"))
+    return both.groupBy(*word).agg(F.sum("keyword").alias("keyword"), F.sum("prompt").alias("prompt"))
 
 
 def _size(queries: DataFrame, size: int) -> Column:
@@ -91,19 +46,21 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, song_id, score, matched_queries) for a batch of queries.
 
-    queries hold query_id, prompt, keywords, vec and optionally size and the filter columns.
+    queries hold query_id, prompt, vec and optionally keywords, size and the filter columns.
     The nearest vectors are found among all documents and filtered afterwards. A query with filters also returns passing
     documents that match no clause, with score 0, unless require_match is set.
     """
     use_filters = use_filters and bool(set(fl.FILTER_COLUMNS) & set(queries.columns))
     own_sizes = "size" in queries.columns
+    if "keywords" not in queries.columns:
+        queries = queries.withColumn("keywords", F.lit(None).cast("array<string>"))
     queries = fl.with_filter_columns(queries).withColumn("__size", _size(queries, size))
-    batch = batch_size(queries)
-    is_small = batch.small
+    batch = lexical.batch_size(queries)
+    few_vectors = batch.queries * knn.NEIGHBOURS <= lexical.SMALL_ROWS
     limits = fl.query_limits(queries, "__size")
     values = fl.document_values(index.documents)
 
-    lexical_scores = lexical.score_postings(index, clause_weights(index, queries, is_small), is_small)
+    lexical_scores = lexical.score_postings(index, clause_weights(index, queries, batch))
     # Read twice below, and at most NEIGHBOURS rows per query.
     vectors = knn.nearest(index.documents, queries)
     vectors = cut(vectors.select("query_id", "song_id", F.col("score").alias("vector")))
@@ -128,11 +85,11 @@ def search(
         named = F.filter(names, lambda n: n.isNotNull()).alias("matched_queries")
         return _best(rows.select("query_id", "__size", "song_id", score.alias("score"), named))
 
-    by_words = lexical_scores.join(lexical.small(vectors, is_small), ["query_id", "song_id"], "left")
+    by_words = lexical_scores.join(lexical.small(vectors, few_vectors), ["query_id", "song_id"], "left")
     by_vector = vectors.withColumn("keyword", F.lit(0.0)).withColumn("prompt", F.lit(0.0))
     if use_filters:
         by_words = by_words.join(values, "song_id")
-        by_vector = values.join(lexical.small(by_vector, is_small), "song_id")
+        by_vector = values.join(lexical.small(by_vector, few_vectors), "song_id")
     # A vector hit with matching words appears in both parts; its full score is the larger one.
     # If the full row missed the best of its part, so does the row with the vector alone.
     full = finish(by_words).drop("rank").unionByName(finish(by_vector).drop("rank"))
@@ -145,7 +102,7 @@ def search(
     return hits.select("query_id", "rank", "song_id", "score", "matched_queries")
 
 
-def _fill_with_passing(index: Index, queries: DataFrame, hits: DataFrame, batch: BatchSize) -> DataFrame:
+def _fill_with_passing(index: Index, queries: DataFrame, hits: DataFrame, batch: lexical.BatchSize) -> DataFrame:
     """Top up queries with filters and too few hits by passing documents of score 0."""
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("__found"))
     short = queries.join(found, "query_id", "left").filter(F.coalesce("__found", F.lit(0)) < F.col("__size"))

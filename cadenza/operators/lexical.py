@@ -2,20 +2,61 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.distance import allowed_edits, osa_up_to_2, search_keys, vocabulary_keys
 from cadenza.functions.text import clean_keywords, words
 from cadenza.operators.index import FIELD_BOOSTS, Index, idf
-from cadenza.operators.skew import HOT_ROWS, PARTS, SALT, copy_hot, spread_hot
+from cadenza.operators.skew import PARTS, SALT, copy_hot, join_many_to_one, spread_hot
+from cadenza.session import cut
 
 # A search word stands for at most this many indexed words per field,
 # and a prompt yields at most this many keywords.
 MAX_EXPANSIONS = 50
 MAX_KEYWORDS = 10
-# Query-side rows sent to every task; a larger batch is joined by shuffle instead.
+# Tables that come from the queries are sent to every task only up to this many rows; larger
+# ones are joined by shuffle instead.
 SMALL_ROWS = 2_000_000
+FEW_QUERIES = 200_000
+# Postings of a word times queries asking for it, above which the word is split.
+PAIRS_PER_TASK = 50_000_000
+
+
+@dataclass(frozen=True)
+class BatchSize:
+    """What a batch of queries holds, counted before anything is broadcast."""
+
+    queries: int
+    words: int
+    keys: int
+
+    @property
+    def few_queries(self) -> bool:
+        return self.queries <= FEW_QUERIES
+
+    @property
+    def small_words(self) -> bool:
+        return self.words <= SMALL_ROWS
+
+    @property
+    def small_keys(self) -> bool:
+        return self.keys <= SMALL_ROWS
+
+
+def batch_size(queries: DataFrame) -> BatchSize:
+    """Queries, their words (prompt and keywords), and lookup keys of the different prompt words."""
+    prompt = F.size(words(F.col("prompt")))
+    keyword = F.lit(MAX_KEYWORDS)
+    if "keywords" in queries.columns:
+        keyword = F.size(words(F.array_join("keywords", " ")))
+    n_words = F.coalesce(F.sum(prompt + keyword), F.lit(0))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), n_words.alias("words")).first()
+    asked = queries.select(F.explode(words(F.col("prompt"))).alias("word")).distinct()
+    keys = asked.agg(F.coalesce(F.sum(F.size(search_keys(F.col("word")))), F.lit(0))).first()[0]
+    return BatchSize(size["n"], size["words"], keys)
 
 
 def small(df: DataFrame, is_small: bool) -> DataFrame:
@@ -49,15 +90,21 @@ def _with_idf(df: DataFrame, fields: DataFrame) -> DataFrame:
     return joined.withColumn("idf", idf(F.col("n_docs"), F.col("df")))
 
 
-def keyword_weights(index: Index, query_words: DataFrame, is_small: bool = True) -> DataFrame:
+def _of_words(query_words: DataFrame, facts: DataFrame, on: str, batch: BatchSize) -> DataFrame:
+    """Facts about words for every query that uses them; common words are split."""
+    if batch.small_words:
+        return facts.join(F.broadcast(query_words), on)
+    return join_many_to_one(query_words, facts, [on], ["query_id"], "inner")
+
+
+def keyword_weights(index: Index, query_words: DataFrame, batch: BatchSize) -> DataFrame:
     """(query_id, field, term, weight) for exact words."""
-    asked = query_words.withColumnRenamed("word", "term")
-    met = index.terms.join(small(asked, is_small), "term")
+    met = _of_words(query_words.withColumnRenamed("word", "term"), index.terms, "term", batch)
     weight = (boost() * F.col("n") * F.col("idf")).alias("weight")
     return _with_idf(met, index.fields).select("query_id", "field", "term", weight)
 
 
-def expand_words(terms: DataFrame, asked: DataFrame, is_small: bool = True) -> DataFrame:
+def expand_words(terms: DataFrame, asked: DataFrame, batch: BatchSize) -> DataFrame:
     """(word, field, term, dist, closeness, df): indexed words near each search word.
 
     Both sides are turned into keys that any near pair must share, so they meet by equality.
@@ -67,7 +114,7 @@ def expand_words(terms: DataFrame, asked: DataFrame, is_small: bool = True) -> D
     """
     wanted = asked.select("word").distinct().withColumn("key", F.explode(search_keys(F.col("word"))))
     held = terms.withColumn("key", F.explode(vocabulary_keys(F.col("term"))))
-    met = held.join(small(wanted, is_small), "key").groupBy("word", "field", "term").agg(F.first("df").alias("df"))
+    met = held.join(small(wanted, batch.small_keys), "key").groupBy("word", "field", "term").agg(F.first("df").alias("df"))
     near = met.withColumn("dist", osa_up_to_2(F.col("word"), F.col("term")))
     near = near.filter(F.col("dist") <= allowed_edits(F.col("word")))
     shorter = F.least(F.char_length("word"), F.char_length("term"))
@@ -78,29 +125,32 @@ def expand_words(terms: DataFrame, asked: DataFrame, is_small: bool = True) -> D
     return kept.drop("__rank").withColumn("df", F.max("df").over(together))
 
 
-def prompt_weights(index: Index, query_words: DataFrame, is_small: bool = True) -> DataFrame:
+def prompt_weights(index: Index, query_words: DataFrame, batch: BatchSize) -> DataFrame:
     """(query_id, field, term, weight) for words and their near spellings."""
-    expanded = expand_words(index.terms, query_words, is_small)
-    met = expanded.join(small(query_words, is_small), "word")
+    met = _of_words(query_words, expand_words(index.terms, query_words, batch), "word", batch)
     weight = boost() * F.col("n") * F.col("closeness") * F.col("idf")
     rows = _with_idf(met, index.fields).select("query_id", "field", "term", weight.alias("weight"))
     return rows.groupBy("query_id", "field", "term").agg(F.sum("weight").alias("weight"))
 
 
-def score_postings(index: Index, weights: DataFrame, is_small: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+def score_postings(index: Index, weights: DataFrame) -> DataFrame:
     """(query_id, song_id, keyword, prompt): summed relevance per clause.
 
-    weights hold (query_id, field, term, keyword, prompt). With a small batch the postings
-    are read once, bucket by bucket, and summed in place: a bucket holds whole songs. A large
-    batch is joined by shuffle, with the postings of frequent words spread over several tasks.
+    weights hold (query_id, field, term, keyword, prompt); they are written once and counted.
+    If they are few, the postings are read once, bucket by bucket, and summed in place: a
+    bucket holds whole songs. Else both sides are shuffled by word, with the postings of a word
+    spread over several tasks where it has many pairs of postings and queries.
     """
     held = index.postings.select("song_id", "field", "term", "impact")
-    if is_small:
+    weights = cut(weights)
+    if weights.count() <= SMALL_ROWS:
         met = held.join(F.broadcast(weights), ["field", "term"])
     else:
         on = ["field", "term"]
-        parts = F.ceil(F.col("df") / hot_rows).cast("int").alias(PARTS)
-        hot = index.terms.filter(F.col("df") > hot_rows).select(*on, parts)
+        asked = weights.groupBy(*on).agg(F.count(F.lit(1)).alias("asked"))
+        pairs = F.col("df") * F.col("asked")
+        hot = index.terms.join(asked, on).filter(pairs > PAIRS_PER_TASK)
+        hot = hot.select(*on, F.least(F.ceil(pairs / PAIRS_PER_TASK), F.col("df")).cast("int").alias(PARTS))
         spread = spread_hot(held, hot, on, [F.col("song_id")]).drop(PARTS)
         met = spread.join(copy_hot(weights, hot, on).drop(PARTS), [*on, SALT])
     return met.groupBy("query_id", "song_id").agg(
@@ -109,22 +159,22 @@ def score_postings(index: Index, weights: DataFrame, is_small: bool = True, hot_
     )
 
 
-def suggest_keywords(index: Index, queries: DataFrame, field: str = "lyrics", is_small: bool = True) -> DataFrame:
+def suggest_keywords(index: Index, queries: DataFrame, field: str = "lyrics") -> DataFrame:
     """Stand-in for a keyword model: the prompt words of highest tf-idf that are indexed.
 
     Gives (query_id, place, word, weight) with at most MAX_KEYWORDS words per query.
     """
     asked = prompt_words(queries).withColumnRenamed("word", "term")
-    met = index.terms.filter(F.col("field") == field).join(small(asked, is_small), "term")
+    met = _of_words(asked, index.terms.filter(F.col("field") == field), "term", batch_size(queries))
     weight = F.round(F.col("n") * F.col("idf"), 6).alias("weight")
     rows = _with_idf(met, index.fields).select("query_id", F.col("term").alias("word"), weight)
     best = Window.partitionBy("query_id").orderBy(F.desc("weight"), "word")
     return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= MAX_KEYWORDS)
 
 
-def with_suggested_keywords(index: Index, queries: DataFrame, is_small: bool = True) -> DataFrame:
+def with_suggested_keywords(index: Index, queries: DataFrame) -> DataFrame:
     """Fill the keywords column of queries."""
-    picked = suggest_keywords(index, queries, is_small=is_small)
+    picked = suggest_keywords(index, queries)
     ordered = F.array_sort(F.collect_list(F.struct("place", "word")))
     lists = picked.groupBy("query_id").agg(F.transform(ordered, lambda p: p["word"]).alias("keywords"))
     return queries.drop("keywords").join(lists, "query_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -196,11 +197,14 @@ def watch_address(video_id: Column) -> Column:
     return F.concat(F.lit("https://music.youtube.com/watch?v="), video_id)
 
 
-def link_failures(cleaned: DataFrame, links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Songs of the input without a link, per service."""
+def link_failures(
+    cleaned: DataFrame, links: DataFrame, run_at: datetime | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Songs of the input without a link, per service, with the time of the run if given."""
     services = links.select("song_id", "service").filter(F.col("url").isNull())
     rows = join_many_to_one(cleaned.filter(~F.col("skipped")), services, ["song_id"], ["album"], "inner", hot_rows)
-    return rows.select("song_id", "song_name", "artist", "album", "service")
+    when = [] if run_at is None else [F.lit(run_at).cast("timestamp").alias("timestamp")]
+    return rows.select("song_id", "song_name", "artist", "album", "service", *when)
 
 
 def link_summary(cleaned: DataFrame, links: DataFrame) -> DataFrame:

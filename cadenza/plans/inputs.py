@@ -7,12 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.operators.catalog import build_catalog, build_documents
-from cadenza.operators.hybrid import is_small_batch
 from cadenza.operators.index import Index
 from cadenza.operators.lexical import with_suggested_keywords
 from cadenza.session import cut, new_path
-from cadenza.sources.catalog_views import view
-from cadenza.sources.index_store import save_index
+from cadenza.sources.catalog_views import base_table, view
+from cadenza.sources.index_store import buckets_for, save_index
 
 DIMS = 64
 
@@ -53,9 +52,11 @@ def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
     if key not in _built:
         path = new_path(spark, "index")
         name = "cadenza_" + path.rsplit("-", 1)[1]
-        index = save_index(documents(spark, sf_dir), name, path)
+        # No more documents than vectors.
+        buckets = buckets_for(spark, base_table(spark, sf_dir, "embeddings").count())
+        index = save_index(documents(spark, sf_dir), name, path, buckets)
         queries = view(spark, sf_dir, "queries")
-        queries = cut(with_suggested_keywords(index, queries, is_small=is_small_batch(queries)))
+        queries = cut(with_suggested_keywords(index, queries))
         _built[key] = SearchInputs(index, queries)
     return _built[key]
 

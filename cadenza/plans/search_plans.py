@@ -32,15 +32,14 @@ def keywords_clean(spark, sf_dir):
 
 def keywords_tfidf(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
-    rows = lx.suggest_keywords(given.index, given.queries, is_small=hy.is_small_batch(given.queries))
+    rows = lx.suggest_keywords(given.index, given.queries)
     return rows.select("query_id", F.col("place").cast("long").alias("place"), "word", "weight")
 
 
-def _best_by_words(given, small, weights):
+def _best_by_words(given, weights):
     """The best hits of one clause alone."""
-    scores = lx.score_postings(
-        given.index, weights.withColumn("keyword", F.col("weight")).withColumn("prompt", F.lit(0.0)), small
-    )
+    weights = weights.withColumnRenamed("weight", "keyword").withColumn("prompt", F.lit(0.0))
+    scores = lx.score_postings(given.index, weights)
     rounded = scores.select("query_id", "song_id", F.round("keyword", 6).alias("score")).filter("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
     ranked = rounded.withColumn("rank", F.row_number().over(best).cast("long"))
@@ -49,22 +48,20 @@ def _best_by_words(given, small, weights):
 
 def bm25_keywords(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
-    small = hy.is_small_batch(given.queries)
     asked = lx.keyword_words(given.queries)
-    return _best_by_words(given, small, lx.keyword_weights(given.index, asked, small))
+    return _best_by_words(given, lx.keyword_weights(given.index, asked, lx.batch_size(given.queries)))
 
 
 def bm25_fuzzy(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
-    small = hy.is_small_batch(given.queries)
     asked = lx.prompt_words(given.queries)
-    return _best_by_words(given, small, lx.prompt_weights(given.index, asked, small))
+    return _best_by_words(given, lx.prompt_weights(given.index, asked, lx.batch_size(given.queries)))
 
 
 def fuzzy_expand(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
     asked = lx.prompt_words(given.queries)
-    rows = lx.expand_words(given.index.terms, asked, hy.is_small_batch(given.queries))
+    rows = lx.expand_words(given.index.terms, asked, lx.batch_size(given.queries))
     return rows.select(
         "word", "field", "term", F.col("dist").cast("long").alias("dist"), F.round("closeness", 6).alias("closeness"), "df"
     )
@@ -89,8 +86,8 @@ def search_filtered(spark, sf_dir):
 
 def filter_queries(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
-    small = hy.is_small_batch(given.queries)
-    pairs = fl.passing_documents(given.index.documents, given.queries, small).distinct()
+    few = lx.batch_size(given.queries).few_queries
+    pairs = fl.passing_documents(given.index.documents, given.queries, few).distinct()
     return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_passing"), F.min("song_id").alias("first_song"))
 
 

@@ -10,6 +10,15 @@ from pyspark.sql import types as T
 from cadenza.operators import index as ix
 
 PARTS = ("documents", "postings", "terms", "fields")
+DOCUMENTS_PER_BUCKET = 20_000
+# Fixed value: Spark's default limit on the buckets of a table.
+MOST_BUCKETS = 100_000
+
+
+def buckets_for(spark: SparkSession, n_documents: int) -> int:
+    """Enough buckets to keep all cores busy, and more where buckets would grow too large."""
+    by_size = -(-n_documents // DOCUMENTS_PER_BUCKET)
+    return min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, by_size))
 
 
 def _save_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str) -> DataFrame:
@@ -25,10 +34,10 @@ def _save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def save_index(documents: DataFrame, name: str, path: str, buckets: int | None = None) -> ix.Index:
-    """Drop and rebuild the index tables `<name>_*` under path."""
+def save_index(documents: DataFrame, name: str, path: str, buckets: int) -> ix.Index:
+    """Drop and rebuild the index tables `<name>_*` under path. See buckets_for."""
     spark = documents.sparkSession
-    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = buckets
     docs = _save_bucketed(documents, f"{name}_documents", f"{path}/documents", count, "song_id")
     fields = _save(ix.field_stats(docs), f"{path}/fields")
     posts = ix.postings(ix.term_counts(docs), fields)

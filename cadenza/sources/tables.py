@@ -61,5 +61,6 @@ def list_tables(spark: SparkSession, like: str | None = None) -> DataFrame:
     return found.filter(F.col("tableName").like(like)) if like else found
 
 
-def describe_table(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(f"DESCRIBE TABLE {name}")
+def describe_table(spark: SparkSession, name: str, extended: bool = False) -> DataFrame:
+    """Columns and types; extended adds what the catalogue knows of the table itself."""
+    return spark.sql(f"DESCRIBE TABLE {'EXTENDED ' if extended else ''}{name}")

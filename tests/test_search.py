@@ -151,12 +151,13 @@ def test_search_matches_the_definition(world):
 
 def test_large_batches_give_the_same_hits(world, monkeypatch):
     docs, queries, index, asked, _ = world
-    nearest, score = knn.nearest, lx.score_postings
-    monkeypatch.setattr(hy, "FEW_QUERIES", 0)
+    nearest = knn.nearest
+    monkeypatch.setattr(lx, "FEW_QUERIES", 0)
+    monkeypatch.setattr(lx, "SMALL_ROWS", 0)
+    monkeypatch.setattr(lx, "PAIRS_PER_TASK", 7)
     monkeypatch.setattr(knn, "DOCUMENTS_PER_BLOCK", 50)
     monkeypatch.setattr(knn, "QUERIES_PER_BLOCK", 3)
     monkeypatch.setattr(knn, "nearest", lambda d, q: nearest(d, q, small_query_bytes=0))
-    monkeypatch.setattr(lx, "score_postings", lambda i, w, s: score(i, w, s, hot_rows=5))
     assert_same(as_lists(hy.search(index, asked, size=15)), expected_hits(docs, queries, 15))
 
 
@@ -190,9 +191,9 @@ def test_own_page_size(world):
 
 def test_postings_are_not_shuffled_for_small_batches(world):
     _, _, index, asked, _ = world
-    weights = hy.clause_weights(index, asked, True)
+    weights = hy.clause_weights(index, asked, lx.batch_size(asked))
     plan = lx.score_postings(index, weights)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan.split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_ties_of_copies_go_to_the_smaller_id(world):
@@ -201,6 +202,21 @@ def test_ties_of_copies_go_to_the_smaller_id(world):
     assert got == [f"t{i:02d}" for i in range(10)]
 
 
+def test_neighbours_agree_with_the_column_expression(world, rows):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from cadenza.functions.vectors import cosine
+
+    docs, _, index, asked, _ = world
+    pairs = index.documents.select("song_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("query_id"))
+    pairs = pairs.join(asked.select("query_id", "vec"), "query_id")
+    score = F.round((1 + cosine(F.col("embedding"), F.col("vec"))) / 2, 6).alias("score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
+    plain = pairs.select("query_id", "song_id", score).withColumn("r", F.row_number().over(best)).filter("r <= 9").drop("r")
+    assert rows(knn.nearest(index.documents, asked, k=9)) == rows(plain)
+
+
 def test_suggested_keywords_are_bounded(world):
     _, _, index, asked, _ = world
     filled = lx.with_suggested_keywords(index, asked)

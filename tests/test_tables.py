@@ -27,6 +27,13 @@ def test_upsert_embeddings(spark, rows):
     assert rows(mu.upsert_embeddings(once, new, NOW)) == rows(once)
 
 
+def test_upsert_embeddings_takes_the_last_of_several(spark, rows):
+    old = spark.createDataFrame([("a", [1.0])], "song_id string, embedding array<float>")
+    new = spark.createDataFrame([(1, "a", [3.0]), (2, "a", [2.0]), (3, "b", None)], "seq long, song_id string, embedding array<float>")
+    assert rows(mu.upsert_embeddings(old, new)) == [("a", [2.0]), ("b", None)]
+    assert rows(mu.upsert_embeddings(old, new.drop("seq"))) == [("a", [2.0]), ("b", None)]
+
+
 def test_upsert_links(spark, rows):
     old = spark.createDataFrame([("a", "x", "z"), ("b", "x", None)], LINKS)
     new = spark.createDataFrame([("a", None, "y"), ("c", None, None), ("d", "n", None), ("b", None, None)], LINKS)
