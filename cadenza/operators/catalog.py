@@ -46,7 +46,8 @@ def join_artist(
         "genres",
         "image_url",
     )
-    hot = hot_keys((songs if counted is None else counted).select(key).filter("artist_key IS NOT NULL"), ["artist_key"], hot_rows)
+    keys = (songs if counted is None else counted).select(key).filter("artist_key IS NOT NULL")
+    hot = hot_keys(keys, ["artist_key"], hot_rows)
     return join_many_to_one(songs.select("*", key), named, ["artist_key"], ["song_id"], hot=hot)
 
 
@@ -73,16 +74,18 @@ def build_catalog(
 ) -> DataFrame:
     """Left-join songs with lyrics, embeddings, links, artists and features.
 
-    Repeated ids fan out as in any join, and an id with very many rows is split. With one_row_per_song every side is first reduced to
-    its smallest row per id. The sides multiply independently, so this equals keeping the
-    smallest row of the fanned-out result, without ever building it.
+    Repeated ids fan out as in any join, and an id with very many rows is split. With
+    one_row_per_song every side is first reduced to its smallest row per id. The sides multiply
+    independently, so this equals keeping the smallest row of the fanned-out result, without
+    ever building it.
     """
     side = _sides(tables)
     all_songs = side["songs"]
     if one_row_per_song:
         side = {n: one_per_key(df, "artist_id" if n == "artists" else "song_id") for n, df in side.items()}
     joined = join_artist(side["songs"], side["artists"], hot_rows, all_songs).drop("artist_key")
-    for name, value in (("links", "spotify_url"), ("features", "energy"), ("embeddings", "embedding"), ("lyrics", "lyrics")):
+    values = {"links": "spotify_url", "features": "energy", "embeddings": "embedding", "lyrics": "lyrics"}
+    for name, value in values.items():
         right = side[name]
         if name == "lyrics" and ignore_case:
             if one_row_per_song:

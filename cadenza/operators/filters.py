@@ -129,13 +129,18 @@ def passing_documents(documents: DataFrame, queries: DataFrame, small_queries: b
     return met.select("query_id", "song_id", *keep)
 
 
-def first_passing(documents: DataFrame, queries: DataFrame, size: str, small_queries: bool) -> DataFrame:
-    """For each query with a filter, as many passing documents as `size` says, smallest ids first.
-
-    Each task keeps only its first documents per query before anything is shuffled.
+def first_passing(
+    documents: DataFrame, queries: DataFrame, size: str, largest: int, small_queries: bool
+) -> DataFrame:
+    """For each query with a filter, as many passing documents as its `size` column says, smallest
+    ids first.
+
+    No size is above `largest`: each task keeps only so many documents per query before anything
+    is shuffled.
     """
     met = passing_documents(documents, queries, small_queries, size)
     by_id = Window.partitionBy("query_id").orderBy("song_id")
     # A repeated document takes the same rank.
     ranked = met.withColumn("__rank", F.dense_rank().over(by_id))
-    return ranked.filter(F.col("__rank") <= F.col(size)).select("query_id", "song_id").distinct()
+    kept = ranked.filter((F.col("__rank") <= largest) & (F.col("__rank") <= F.col(size)))
+    return kept.select("query_id", "song_id").distinct()

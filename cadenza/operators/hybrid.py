@@ -11,7 +11,6 @@ from cadenza.operators.index import Index
 from cadenza.operators.skew import join_in_parts
 from cadenza.session import cut
 
-PAGE_SIZE = 20
 # Clause names in the order they are reported.
 CLAUSES = {"vector": "vector_search", "keyword": "keyword_search", "prompt": "prompt_search"}
 
@@ -32,30 +31,33 @@ def _size(queries: DataFrame, size: int) -> Column:
     return F.coalesce(F.col("size"), F.lit(size)) if "size" in queries.columns else F.lit(size)
 
 
-def _best(rows: DataFrame) -> DataFrame:
+def _best(rows: DataFrame, batch: lexical.BatchSize) -> DataFrame:
+    """The page of each query. The fixed limit lets every task cut its rows before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("__size"))
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    return ranked.filter((F.col("rank") <= batch.largest_page) & (F.col("rank") <= F.col("__size")))
 
 
 def search(
     index: Index,
     queries: DataFrame,
-    size: int = PAGE_SIZE,
+    size: int = lexical.PAGE_SIZE,
     use_filters: bool = True,
     require_match: bool = False,
 ) -> DataFrame:
     """(query_id, rank, song_id, score, matched_queries) for a batch of queries.
 
     queries hold query_id, prompt, vec and optionally keywords, size and the filter columns.
-    The nearest vectors are found among all documents and filtered afterwards. A query with filters also returns passing
-    documents that match no clause, with score 0, unless require_match is set.
+    The nearest vectors are found among all documents and filtered afterwards. A query with
+    filters also returns passing documents that match no clause, with score 0, unless
+    require_match is set.
     """
     use_filters = use_filters and bool(set(fl.FILTER_COLUMNS) & set(queries.columns))
     own_sizes = "size" in queries.columns
     if "keywords" not in queries.columns:
         queries = queries.withColumn("keywords", F.lit(None).cast("array<string>"))
     queries = fl.with_filter_columns(queries).withColumn("__size", _size(queries, size))
-    batch = lexical.batch_size(queries)
+    batch = lexical.batch_size(queries, size)
     few_vectors = batch.queries * knn.NEIGHBOURS <= lexical.SMALL_ROWS
     limits = fl.query_limits(queries, "__size")
     values = fl.document_values(index.documents)
@@ -83,7 +85,7 @@ def search(
         met = {"vector": F.col("vector").isNotNull(), "keyword": F.col("keyword") > 0, "prompt": F.col("prompt") > 0}
         names = F.array(*[F.when(met[clause], F.lit(name)) for clause, name in CLAUSES.items()])
         named = F.filter(names, lambda n: n.isNotNull()).alias("matched_queries")
-        return _best(rows.select("query_id", "__size", "song_id", score.alias("score"), named))
+        return _best(rows.select("query_id", "__size", "song_id", score.alias("score"), named), batch)
 
     by_words = lexical_scores.join(lexical.small(vectors, few_vectors), ["query_id", "song_id"], "left")
     by_vector = vectors.withColumn("keyword", F.lit(0.0)).withColumn("prompt", F.lit(0.0))
@@ -94,7 +96,7 @@ def search(
     # If the full row missed the best of its part, so does the row with the vector alone.
     full = finish(by_words).drop("rank").unionByName(finish(by_vector).drop("rank"))
     once = Window.partitionBy("query_id", "song_id").orderBy(F.desc("score"), F.desc(F.size("matched_queries")))
-    hits = _best(full.withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").drop("__copy"))
+    hits = _best(full.withColumn("__copy", F.row_number().over(once)).filter("__copy = 1").drop("__copy"), batch)
 
     if use_filters and not require_match:
         hits = cut(hits)
@@ -106,7 +108,7 @@ def _fill_with_passing(index: Index, queries: DataFrame, hits: DataFrame, batch:
     """Top up queries with filters and too few hits by passing documents of score 0."""
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("__found"))
     short = queries.join(found, "query_id", "left").filter(F.coalesce("__found", F.lit(0)) < F.col("__size"))
-    more = fl.first_passing(index.documents, short, "__size", batch.few_queries)
+    more = fl.first_passing(index.documents, short, "__size", batch.largest_page, batch.few_queries)
     more = more.join(hits.select("query_id", "song_id"), ["query_id", "song_id"], "left_anti")
     more = more.join(queries.select("query_id", "__size"), "query_id")
     zero = more.select(
@@ -116,4 +118,4 @@ def _fill_with_passing(index: Index, queries: DataFrame, hits: DataFrame, batch:
         F.lit(0.0).alias("score"),
         F.array().cast("array<string>").alias("matched_queries"),
     )
-    return _best(hits.drop("rank").unionByName(zero))
+    return _best(hits.drop("rank").unionByName(zero), batch)

@@ -17,6 +17,7 @@ from cadenza.session import cut
 # and a prompt yields at most this many keywords.
 MAX_EXPANSIONS = 50
 MAX_KEYWORDS = 10
+PAGE_SIZE = 20
 # Tables that come from the queries are sent to every task only up to this many rows; larger
 # ones are joined by shuffle instead.
 SMALL_ROWS = 2_000_000
@@ -32,6 +33,7 @@ class BatchSize:
     queries: int
     words: int
     keys: int
+    largest_page: int
 
     @property
     def few_queries(self) -> bool:
@@ -46,17 +48,22 @@ class BatchSize:
         return self.keys <= SMALL_ROWS
 
 
-def batch_size(queries: DataFrame) -> BatchSize:
-    """Queries, their words (prompt and keywords), and lookup keys of the different prompt words."""
+def batch_size(queries: DataFrame, page: int = PAGE_SIZE) -> BatchSize:
+    """Queries, their words (prompt and keywords), lookup keys of the different prompt words, and
+    the largest page asked for (page, unless queries have a size column)."""
     prompt = F.size(words(F.col("prompt")))
     keyword = F.lit(MAX_KEYWORDS)
     if "keywords" in queries.columns:
         keyword = F.size(words(F.array_join("keywords", " ")))
-    n_words = F.coalesce(F.sum(prompt + keyword), F.lit(0))
-    size = queries.agg(F.count(F.lit(1)).alias("n"), n_words.alias("words")).first()
+    own_page = F.coalesce("size", F.lit(page)) if "size" in queries.columns else F.lit(page)
+    size = queries.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(prompt + keyword), F.lit(0)).alias("words"),
+        F.coalesce(F.max(own_page), F.lit(page)).alias("page"),
+    ).first()
     asked = queries.select(F.explode(words(F.col("prompt"))).alias("word")).distinct()
     keys = asked.agg(F.coalesce(F.sum(F.size(search_keys(F.col("word")))), F.lit(0))).first()[0]
-    return BatchSize(size["n"], size["words"], keys)
+    return BatchSize(size["n"], size["words"], keys, size["page"])
 
 
 def small(df: DataFrame, is_small: bool) -> DataFrame:

@@ -192,6 +192,17 @@ def match_links(
     )
 
 
+def link_updates(links: DataFrame) -> DataFrame:
+    """(song_id, spotify_url, youtube_music_url) from the matches of one or both services.
+
+    A service that was not run leaves its column null, so the stored link stays.
+    """
+    def url(service: str) -> Column:
+        return F.max(F.when(F.col("service") == service, F.col("url")))
+
+    return links.groupBy("song_id").agg(url("A").alias("spotify_url"), url("B").alias("youtube_music_url"))
+
+
 def watch_address(video_id: Column) -> Column:
     """Fixed value: the page of a service B song."""
     return F.concat(F.lit("https://music.youtube.com/watch?v="), video_id)

@@ -95,7 +95,8 @@ def tokens(spark, sf_dir):
 
 def index_postings(spark, sf_dir):
     rows = ix.build_index(inputs.stored_documents(spark, sf_dir)).postings
-    return rows.select("song_id", "field", "term", "tf", F.col("dl").cast("long").alias("dl"), F.round("impact", 6).alias("impact"))
+    dl, impact = F.col("dl").cast("long").alias("dl"), F.round("impact", 6).alias("impact")
+    return rows.select("song_id", "field", "term", "tf", dl, impact)
 
 
 def index_stats(spark, sf_dir):

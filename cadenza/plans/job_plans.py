@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import embedding as em, mutations as mu, playlists as pl
 from cadenza.plans import inputs
+from cadenza.plans.catalog_plans import WORDS
+from cadenza.session import new_path
 from cadenza.sources.catalog_views import base_table, view, with_views
+from cadenza.streaming import apply as st
 
 
 def _texts(spark, sf_dir):
@@ -21,9 +24,20 @@ def embed_clip(spark, sf_dir):
     return em.clip_texts(_texts(spark, sf_dir))
 
 
+def _signs(vector):
+    """Whole numbers that describe a vector: its width, and how many entries are above and below 0."""
+    above, below = F.filter(vector, lambda x: x > 0), F.filter(vector, lambda x: x < 0)
+    return [F.size(c).cast("long").alias(n) for c, n in ((F.col(vector), "dims"), (above, "above"), (below, "below"))]
+
+
 def embed_batch(spark, sf_dir):
     rows = em.embed_texts(em.clip_texts(_texts(spark, sf_dir)), em.hashed_words(inputs.DIMS))
-    return rows.select("song_id", F.size("embedding").alias("dims"), "error")
+    return rows.select("song_id", *_signs("embedding"), "error")
+
+
+def embed_prompts(spark, sf_dir):
+    rows = em.embed_prompts(view(spark, sf_dir, "queries"), em.hashed_words(inputs.DIMS))
+    return rows.select("query_id", *_signs("vec"))
 
 
 def _new_vectors(spark, sf_dir):
@@ -70,17 +84,31 @@ def playlist_delete(spark, sf_dir):
     return rows.select("id", "user_id", "playlist_name", "song_data")
 
 
+def _commands(spark, sf_dir):
+    songs = F.filter(F.array("song_1", "song_2"), lambda s: s.isNotNull()).alias("songs")
+    rows = view(spark, sf_dir, "playlist_commands")
+    return rows.select("seq", "op", "user_id", "playlist_name", songs)
+
+
 def playlist_commands(spark, sf_dir):
-    songs = F.filter(F.array("song_1", "song_2"), lambda s: s.isNotNull())
-    commands = view(spark, sf_dir, "playlist_commands").withColumn("songs", songs)
-    return pl.apply_playlist_commands(view(spark, sf_dir, "user_playlists"), commands)
+    return pl.apply_playlist_commands(view(spark, sf_dir, "user_playlists"), _commands(spark, sf_dir))
+
+
+def playlist_stream(spark, sf_dir):
+    """The same commands, arriving as files."""
+    home = new_path(spark, "playlists")
+    st.create_table(view(spark, sf_dir, "user_playlists"), f"{home}/table")
+    _commands(spark, sf_dir).write.parquet(f"{home}/inbox")
+    run = st.stream_playlist_commands(spark, f"{home}/inbox", f"{home}/table", f"{home}/progress")
+    run.awaitTermination()
+    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(run)))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        embed_text, embed_clip, embed_batch, embed_upsert, embed_upsert_keep, playlists_by_user,
-        playlist_pages, playlist_apply, playlist_delete, playlist_commands,
+        embed_text, embed_clip, embed_batch, embed_prompts, embed_upsert, embed_upsert_keep, playlists_by_user,
+        playlist_pages, playlist_apply, playlist_delete, playlist_commands, playlist_stream,
     )
 }
 
@@ -89,6 +117,26 @@ TEXT_CTE = """texts AS (
            ELSE s.billboard || chr(10) || chr(10) || coalesce(l.lyrics, '') END AS text
     FROM songs s LEFT JOIN lyrics l ON lower(s.song_id) = lower(l.song_id))"""
 
+_BLANK = "[ \\t\\n\\r\\f]"
+_INK = "[^ \\t\\n\\r\\f]"
+
+CLIP_CTE = f"""heads AS (SELECT *, regexp_extract(text, '^(?:{_BLANK}*{_INK}+){{0,400}}') AS head FROM texts),
+  clipped AS (
+    SELECT song_id, CASE WHEN regexp_matches(substr(text, length(head) + 1), '{_INK}') THEN head ELSE text END AS text
+    FROM heads)"""
+
+
+def _slots(table: str, key: str, text: str) -> str:
+    """The hashed-words vector of every text, before scaling, one row per slot that is hit."""
+    return f"""codes AS (
+      SELECT {key}, CAST('0x' || substr(md5(word), 1, 16) AS UBIGINT) AS code
+      FROM (SELECT {key}, unnest({WORDS.format(text)}) AS word FROM {table})),
+    slots AS (SELECT {key}, code % {inputs.DIMS} AS slot, sum(CASE WHEN code >= 9223372036854775808 THEN 1 ELSE -1 END) AS v
+              FROM codes GROUP BY ALL)"""
+
+
+_SIGNS = f"{inputs.DIMS}::BIGINT AS dims, count(*) FILTER (v > 0) AS above, count(*) FILTER (v < 0) AS below"
+
 VECTORS_CTE = """fresh AS (
     SELECT CAST(l.doc_id AS VARCHAR) AS song_id, CASE WHEN l.quality = 1 THEN e.embedding END AS embedding
     FROM labels l JOIN part p ON p.p_partkey = l.doc_id JOIN embeddings e ON e.vec_id = p.p_size)"""
@@ -121,11 +169,17 @@ COMMANDS_CTE = """last AS (
 
 ORACLES = {
     "embed_text": with_views("songs lyrics", f"WITH {TEXT_CTE} SELECT song_id, text FROM texts"),
-    "embed_clip": with_views(
+    "embed_clip": with_views("songs lyrics", f"WITH {TEXT_CTE}, {CLIP_CTE} SELECT song_id, text FROM clipped"),
+    "embed_batch": with_views(
         "songs lyrics",
-        f"""WITH {TEXT_CTE}, cut AS (SELECT *, regexp_extract(text, '^(?:[ \\t\\n\\r\\f]*[^ \\t\\n\\r\\f]+){{0,400}}') AS head FROM texts)
-        SELECT song_id, CASE WHEN regexp_matches(substr(text, length(head) + 1), '[^ \\t\\n\\r\\f]') THEN head ELSE text END AS text
-        FROM cut""",
+        f"WITH {TEXT_CTE}, {CLIP_CTE}, {_slots('clipped', 'song_id', 'text')} "
+        f"SELECT song_id, {_SIGNS}, CAST(NULL AS VARCHAR) AS error "
+        "FROM clipped LEFT JOIN slots USING (song_id) GROUP BY song_id",
+    ),
+    "embed_prompts": with_views(
+        "queries",
+        f"WITH {_slots('queries', 'query_id', 'prompt')} "
+        f"SELECT query_id, {_SIGNS} FROM queries LEFT JOIN slots USING (query_id) GROUP BY query_id",
     ),
     "embed_upsert": _vectors("CASE WHEN n.song_id IS NOT NULL THEN n.embedding ELSE o.embedding END"),
     "embed_upsert_keep": _vectors("coalesce(n.embedding, o.embedding)"),
@@ -152,3 +206,5 @@ ORACLES = {
           user_id, playlist_name, song_data FROM added""",
     ),
 }
+
+ORACLES["playlist_stream"] = ORACLES["playlist_commands"]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from cadenza.functions.text import strip
 from cadenza.operators import audit, matching as mt, mutations as mu
 from cadenza.plans.catalog_plans import FIRST_ARTIST
-from cadenza.session import cut
+from cadenza.session import new_path
 from cadenza.sources.catalog_views import base_table, view, with_views
+from cadenza.streaming import apply as st
 
 
 def _candidates(spark, sf_dir):
@@ -68,10 +69,7 @@ def link_summary(spark, sf_dir):
 
 def link_save(spark, sf_dir):
     """The whole collection run: match for both services, then upsert into the link table."""
-    found = cut(_both_services(spark, sf_dir))
-    updates = found.groupBy("song_id").agg(
-        *[F.max(F.when(F.col("service") == s, F.col("url"))).alias(c) for s, c in zip("AB", mu.LINK_COLUMNS)]
-    )
+    updates = mt.link_updates(_both_services(spark, sf_dir))
     return mu.upsert_links(view(spark, sf_dir, "song_links"), updates)
 
 
@@ -89,6 +87,17 @@ def link_upsert(spark, sf_dir):
     return mu.upsert_links(view(spark, sf_dir, "song_links"), _updates(spark, sf_dir))
 
 
+def link_stream(spark, sf_dir):
+    """The same updates, arriving as several files."""
+    home = new_path(spark, "links")
+    st.create_table(view(spark, sf_dir, "song_links"), f"{home}/table")
+    arrivals = _updates(spark, sf_dir).withColumn("seq", F.col("song_id").cast("long"))
+    arrivals.repartition(3, "song_id").write.parquet(f"{home}/inbox")
+    run = st.stream_link_updates(spark, f"{home}/inbox", f"{home}/table", f"{home}/progress", files_per_batch=1)
+    run.awaitTermination()
+    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(run)))
+
+
 def link_upsert_all(spark, sf_dir):
     return mu.upsert_links(view(spark, sf_dir, "song_links"), _updates(spark, sf_dir), keep_empty=True)
 
@@ -114,7 +123,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         match_input, match_strategies, link_match_a, link_match_b, link_match_simple, link_failures,
-        link_summary, link_save, link_upsert, link_upsert_all, link_patch, link_coverage,
+        link_summary, link_save, link_upsert, link_stream, link_upsert_all, link_patch, link_coverage,
         coverage_after_patch, clean_names,
     )
 }
@@ -250,3 +259,5 @@ ORACLES = {
     "coverage_after_patch": with_views("song_links link_patch", f"WITH {PATCH_CTE} {_coverage('patched')}"),
     "clean_names": "SELECT conv_id, turn, regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS stripped FROM conversations",
 }
+
+ORACLES["link_stream"] = ORACLES["link_upsert"]

@@ -43,7 +43,7 @@ def _best_by_words(given, weights):
     rounded = scores.select("query_id", "song_id", F.round("keyword", 6).alias("score")).filter("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
     ranked = rounded.withColumn("rank", F.row_number().over(best).cast("long"))
-    return ranked.filter(F.col("rank") <= hy.PAGE_SIZE)
+    return ranked.filter(F.col("rank") <= lx.PAGE_SIZE)
 
 
 def bm25_keywords(spark, sf_dir):

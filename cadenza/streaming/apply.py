@@ -74,15 +74,30 @@ def _apply_stream(
     return writer.trigger(availableNow=True).start()
 
 
+def _arriving(spark: SparkSession, schema: str, inbox: str, files_per_batch: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(inbox)
+
+
+def newest_version(query: StreamingQuery) -> int:
+    """Number of the last batch applied; -1 before the first."""
+    progress = query.lastProgress
+    return -1 if progress is None else progress["batchId"]
+
+
 def stream_playlist_commands(
-    spark: SparkSession, inbox: str, table: str, checkpoint: str
+    spark: SparkSession, inbox: str, table: str, checkpoint: str, files_per_batch: int | None = None
 ) -> StreamingQuery:
     """Apply all playlist commands that have arrived in inbox, then stop."""
-    source = spark.readStream.schema(COMMANDS).parquet(inbox)
+    source = _arriving(spark, COMMANDS, inbox, files_per_batch)
     return _apply_stream(source, table, checkpoint, pl.KEY, lambda b: b, pl.apply_playlist_commands)
 
 
-def stream_link_updates(spark: SparkSession, inbox: str, table: str, checkpoint: str) -> StreamingQuery:
+def stream_link_updates(
+    spark: SparkSession, inbox: str, table: str, checkpoint: str, files_per_batch: int | None = None
+) -> StreamingQuery:
     """Apply all link updates that have arrived in inbox, then stop."""
-    source = spark.readStream.schema(LINK_UPDATES).parquet(inbox)
+    source = _arriving(spark, LINK_UPDATES, inbox, files_per_batch)
     return _apply_stream(source, table, checkpoint, ["song_id", "link_column"], _link_cells, _upsert_cells)

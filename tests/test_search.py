@@ -196,6 +196,15 @@ def test_postings_are_not_shuffled_for_small_batches(world):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
+def test_tasks_cut_their_rows_to_a_page_before_the_shuffle(world):
+    from pyspark.sql import functions as F
+
+    _, _, index, asked, _ = world
+    sized = asked.withColumn("size", F.col("query_id").cast("int") + 1)
+    plan = hy.search(index, sized, require_match=True)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 10, Partial" in plan
+
+
 def test_ties_of_copies_go_to_the_smaller_id(world):
     _, _, index, asked, _ = world
     got = sorted(r.song_id for r in knn.nearest(index.documents, asked.filter("query_id = 1"), k=10).collect())
