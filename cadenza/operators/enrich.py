@@ -26,7 +26,7 @@ def enrich(
     largest, where a song has several rows), and only then joined. Pass hits that have been
     cut (session.cut) or read from a table: they are used once per side table.
     """
-    is_small = hits.limit(SMALL_HITS + 1).count() <= SMALL_HITS
+    is_small = hits.count() <= SMALL_HITS
     ids = hits.select("song_id").distinct()
 
     def of_hits(df: DataFrame) -> DataFrame:

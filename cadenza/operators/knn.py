@@ -69,12 +69,14 @@ def _best_of_stream(query_ids: list, unit: np.ndarray, k: int, out: pa.Schema):
                     all_scores = np.concatenate([held, scores[near]])
                     top = _best_places(all_scores, all_ids, k)
                     best[q] = (all_ids[top], all_scores[top])
-        for query_id, (ids, scores) in zip(query_ids, best):
-            if len(ids):
-                columns = [pa.array([query_id] * len(ids)), pa.array(ids, pa.string()), pa.array(scores)]
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(t) for c, t in zip(columns, out.types)], names=out.names
-                )
+        for at in range(0, len(query_ids), QUERIES_PER_BLOCK):
+            group = best[at : at + QUERIES_PER_BLOCK]
+            repeats = [len(ids) for ids, _ in group]
+            asked = np.repeat(np.array(query_ids[at : at + QUERIES_PER_BLOCK], dtype=object), repeats)
+            found = np.concatenate([ids for ids, _ in group])
+            scores = np.concatenate([s for _, s in group])
+            columns = [pa.array(c, type=t) for c, t in zip((asked, found, scores), out.types)]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return run
 

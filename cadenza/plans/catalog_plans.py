@@ -20,16 +20,16 @@ CATALOG_VIEWS = "songs lyrics song_embeddings song_links artists acoustic_featur
 # The first quoted token, written for the oracle.
 TOKEN = "trim(CASE WHEN contains(s.artists, '''') THEN split_part(s.artists, '''', 2) ELSE s.artists END, '''')"
 
-CATALOG_CTE = f"""catalog AS (
-    SELECT s.song_id, s.song_name, s.artists AS s_artists, m.spotify_url, s.popularity, s.song_type,
-           l.lyrics, e.embedding, ar.artist_id, ar.name AS name_artists, ar.artist_type,
-           ar.main_genre, ar.genres, ar.image_url, af.energy
-    FROM songs s
-    LEFT JOIN lyrics l ON lower(s.song_id) = lower(l.song_id)
-    LEFT JOIN song_embeddings e ON s.song_id = e.song_id
-    LEFT JOIN song_links m ON s.song_id = m.song_id
-    LEFT JOIN artists ar ON ar.artist_id = {TOKEN}
-    LEFT JOIN acoustic_features af ON s.song_id = af.song_id)"""
+CATALOG_CTE = f"""named AS (
+    SELECT s.song_id, s.song_name, s.artists AS s_artists, s.popularity, s.song_type, a.artist_id,
+           a.name AS name_artists, a.artist_type, a.main_genre, a.genres, a.image_url
+    FROM songs s LEFT JOIN artists a ON a.artist_id = {TOKEN}),
+  sung AS (SELECT n.*, l.lyrics FROM named n LEFT JOIN lyrics l ON lower(l.song_id) = lower(n.song_id)),
+  catalog AS (
+    SELECT sung.*, spotify_url, embedding, energy FROM sung
+    LEFT JOIN song_links USING (song_id)
+    LEFT JOIN song_embeddings USING (song_id)
+    LEFT JOIN acoustic_features USING (song_id))"""
 
 REASON = f"""CASE WHEN embedding IS NULL THEN 'missing_embedding'
     WHEN song_id IS NULL OR song_id = '' THEN 'empty_song_id'
@@ -233,16 +233,16 @@ ORACLES = {
     ),
     "catalog_like": with_views(
         "songs tracks albums song_links",
-        """SELECT s.song_id, s.song_name, s.artists, a.name AS album_name, l.spotify_url, l.youtube_music_url
-        FROM songs s LEFT JOIN tracks t ON s.song_id = t.song_id
-        LEFT JOIN albums a ON t.album_id = a.album_id LEFT JOIN song_links l ON s.song_id = l.song_id
-        WHERE l.spotify_url IS NOT NULL AND l.youtube_music_url IS NOT NULL
-          AND lower(s.song_name) LIKE lower('%RED%')""",
+        """WITH linked AS (
+          SELECT song_id, song_name, artists, spotify_url, youtube_music_url FROM songs JOIN song_links USING (song_id)
+          WHERE spotify_url IS NOT NULL AND youtube_music_url IS NOT NULL AND contains(lower(song_name), 'red'))
+        SELECT song_id, song_name, artists, name AS album_name, spotify_url, youtube_music_url
+        FROM linked LEFT JOIN tracks USING (song_id) LEFT JOIN albums USING (album_id)""",
     ),
     "catalog_preview": with_views(
         "songs song_embeddings",
-        """SELECT s.song_id, s.song_name, s.artists, round(CAST(e.embedding[1] AS DOUBLE), 6) AS e0,
-        round(CAST(e.embedding[2] AS DOUBLE), 6) AS e1, round(CAST(e.embedding[3] AS DOUBLE), 6) AS e2
-        FROM songs s LEFT JOIN song_embeddings e ON s.song_id = e.song_id WHERE s.song_name ILIKE '%Ring%'""",
+        "SELECT song_id, song_name, artists, "
+        + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS e{i}" for i in range(3))
+        + " FROM songs LEFT JOIN song_embeddings USING (song_id) WHERE song_name ILIKE '%Ring%'",
     ),
 }
