@@ -21,12 +21,14 @@ def buckets_for(spark: SparkSession, n_documents: int) -> int:
     return min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, by_size))
 
 
-def _save_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str) -> DataFrame:
-    """One file per bucket, rows of a bucket sorted by key."""
-    spark = df.sparkSession
-    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet")
-    writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+def _save_bucketed(df: DataFrame, table: str, path: str, buckets: int, in_order: bool = False) -> DataFrame:
+    """One file per bucket of songs; in_order also keeps the rows of a song next to each other."""
+    writer = df.repartition(buckets, "song_id").write.mode("overwrite").format("parquet")
+    writer = writer.bucketBy(buckets, "song_id")
+    if in_order:
+        writer = writer.sortBy("song_id")
+    writer.option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def _save(df: DataFrame, path: str) -> DataFrame:
@@ -38,10 +40,10 @@ def save_index(documents: DataFrame, name: str, path: str, buckets: int) -> ix.I
     """Drop and rebuild the index tables `<name>_*` under path. See buckets_for."""
     spark = documents.sparkSession
     count = buckets
-    docs = _save_bucketed(documents, f"{name}_documents", f"{path}/documents", count, "song_id")
+    docs = _save_bucketed(documents, f"{name}_documents", f"{path}/documents", count)
     fields = _save(ix.field_stats(docs), f"{path}/fields")
     posts = ix.postings(ix.term_counts(docs), fields)
-    posts = _save_bucketed(posts, f"{name}_postings", f"{path}/postings", count, "song_id")
+    posts = _save_bucketed(posts, f"{name}_postings", f"{path}/postings", count, in_order=True)
     # As many files as buckets: finding near spellings costs far more time than bytes.
     terms = _save(ix.term_stats(posts).repartition(count, "term"), f"{path}/terms")
     layout = {"buckets": count, "schemas": {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields))}}
@@ -55,21 +57,21 @@ def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
     """An index written by save_index, also from another session."""
     layout = json.loads(spark.read.text(f"{path}/layout").first()["value"])
 
-    def bucketed(part: str) -> DataFrame:
+    def bucketed(part: str, order: str = "") -> DataFrame:
         table = f"{name}_{part}"
         if not spark.catalog.tableExists(table):
             schema = T.StructType.fromJson(layout["schemas"][part])
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             spark.sql(
                 f"CREATE TABLE {table} ({columns}) USING parquet "
-                f"CLUSTERED BY (song_id) SORTED BY (song_id) INTO {layout['buckets']} BUCKETS "
+                f"CLUSTERED BY (song_id) {order} INTO {layout['buckets']} BUCKETS "
                 f"LOCATION '{path}/{part}'"
             )
         return spark.table(table)
 
     return ix.Index(
         bucketed("documents"),
-        bucketed("postings"),
+        bucketed("postings", "SORTED BY (song_id)"),
         spark.read.parquet(f"{path}/terms"),
         spark.read.parquet(f"{path}/fields"),
     )

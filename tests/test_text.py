@@ -16,6 +16,8 @@ def one(spark, value, make):
         ("{'i': \"A's: Live\"}", "Live"),
         ("{'i': 'A', 'j': \"B's\"}", "B's"),
         ("{}", None),
+        ("{'i': u\"Edgar Winter's White Trash\"}", "u\"Edgar Winter's White Trash"),
+        ("{'i': 'The Beach Boys'}", "The Beach Boys"),
         ('["A","B"]', "A"),
         ("311", "311"),
         ("A, B", "A"),
