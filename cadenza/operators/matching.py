@@ -25,12 +25,14 @@ class Rules:
     open_album: bool = True
     # Only candidates of type song can match; any type can be the fallback.
     songs_only: bool = False
+    # Songs named none, in any case, are not searched.
+    skips_none: bool = True
 
 
 SERVICE_A = Rules("A")
 SERVICE_B = Rules("B", open_album=False, songs_only=True)
-SERVICE_A_SIMPLE = Rules("A", uses_album=False)
-SERVICE_B_SIMPLE = Rules("B", uses_album=False, songs_only=True)
+SERVICE_A_SIMPLE = Rules("A", uses_album=False, skips_none=False)
+SERVICE_B_SIMPLE = Rules("B", uses_album=False, songs_only=True, skips_none=False)
 
 
 def with_albums(songs: DataFrame, tracks: DataFrame, albums: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -54,10 +56,13 @@ def match_input(
 
 
 def clean_input(rows: DataFrame, simple: bool = False) -> DataFrame:
-    """Parse the artist, tidy the names and mark rows without a usable song name."""
+    """Parse the artist, tidy the names and mark rows without a usable song name.
+
+    The simple job splits artists at commas, knows no albums and skips no row.
+    """
     name = F.col("song_name")
     parsed = first_artist_simple(F.col("artists")) if simple else clean_artist(first_artist(F.col("artists")))
-    skipped = name.isNull() | (name == "") | (name == "None")
+    skipped = F.lit(False) if simple else name.isNull() | (name == "") | (name == "None")
     return rows.select(
         "song_id",
         "song_name",
@@ -67,18 +72,21 @@ def clean_input(rows: DataFrame, simple: bool = False) -> DataFrame:
     )
 
 
-def searchable(name: Column) -> Column:
-    return name.isNotNull() & (name != "") & ~none_word(name)
+def searchable(name: Column, skips_none: bool = True) -> Column:
+    return name.isNotNull() & (name != "") & ~none_word(name) if skips_none else name.isNotNull()
 
 
-def _present(text: Column) -> Column:
-    """The text unless it is empty or the word none."""
-    return F.when(F.coalesce((text != "") & ~none_word(text), F.lit(False)), text)
+def search_texts(cleaned: DataFrame, skips_none: bool = True) -> DataFrame:
+    """The query texts per song: (song_id, album, service, strategy_no, query).
 
+    An artist or album that is empty is left out, and one named none too, unless that word
+    has no meaning (skips_none=False).
+    """
+    def present(text: Column) -> Column:
+        given = (text != "") & ~none_word(text) if skips_none else text != ""
+        return F.when(F.coalesce(given, F.lit(False)), text)
 
-def search_texts(cleaned: DataFrame) -> DataFrame:
-    """The query texts per song: (song_id, album, service, strategy_no, query)."""
-    name, artist, album = F.col("song_name"), _present(F.col("artist")), _present(F.col("album"))
+    name, artist, album = F.col("song_name"), present(F.col("artist")), present(F.col("album"))
     strict = F.concat(
         F.lit('track:"'),
         name,
@@ -92,7 +100,7 @@ def search_texts(cleaned: DataFrame) -> DataFrame:
         return F.struct(F.lit(service).alias("service"), F.lit(number).alias("strategy_no"), query.alias("query"))
 
     texts = F.array(text("A", 1, strict), text("A", 2, loose), text("B", 1, loose))
-    rows = cleaned.filter(~F.col("skipped") & searchable(name))
+    rows = cleaned.filter(~F.col("skipped") & searchable(name, skips_none))
     return rows.select("song_id", "album", F.inline(texts))
 
 
@@ -154,7 +162,9 @@ def match_links(
     """
     rows = cleaned.filter(~F.col("skipped"))
     plain_names = [_plain(F.col(c)).alias(n) for c, n in (("song_name", "plain_name"), ("artist", "plain_artist"))]
-    names = rows.filter(searchable(F.col("song_name"))).select("song_id", *plain_names).distinct()
+    names = rows.filter(searchable(F.col("song_name"), rules.skips_none)).select("song_id", *plain_names).distinct()
+    if "service" in candidates.columns:
+        candidates = candidates.filter(F.col("service") == rules.service)
     offers = candidates.select(
         "song_id",
         "strategy_no",

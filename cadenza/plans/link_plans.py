@@ -34,6 +34,11 @@ def match_strategies(spark, sf_dir):
     return rows.select("song_id", "service", F.col("strategy_no").cast("long").alias("strategy_no"), "query")
 
 
+def match_strategies_simple(spark, sf_dir):
+    rows = mt.search_texts(_cleaned(spark, sf_dir, simple=True), skips_none=False)
+    return rows.select("song_id", "service", F.col("strategy_no").cast("long").alias("strategy_no"), "query")
+
+
 def _shown(rows):
     return rows.select(
         "song_id", "service", "url", F.col("tier").cast("long").alias("tier"),
@@ -114,7 +119,7 @@ def coverage_after_patch(spark, sf_dir):
     return audit.link_coverage(link_patch(spark, sf_dir))
 
 
-def clean_names(spark, sf_dir):
+def text_strip(spark, sf_dir):
     parts = base_table(spark, sf_dir, "conversations")
     return parts.select("conv_id", "turn", strip(F.col("text")).alias("stripped"))
 
@@ -122,9 +127,9 @@ def clean_names(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        match_input, match_strategies, link_match_a, link_match_b, link_match_simple, link_failures,
+        match_input, match_strategies, match_strategies_simple, link_match_a, link_match_b, link_match_simple, link_failures,
         link_summary, link_save, link_upsert, link_stream, link_upsert_all, link_patch, link_coverage,
-        coverage_after_patch, clean_names,
+        coverage_after_patch, text_strip,
     )
 }
 
@@ -134,7 +139,7 @@ CLEANED_CTE = f"""parsed AS (SELECT *, {FIRST_ARTIST} AS first_artist FROM match
            song_name IS NULL OR song_name IN ('', 'None') AS skipped FROM parsed),
   simple AS (
     SELECT song_id, song_name, CASE WHEN artists <> '' THEN trim(split_part(trim(split_part(artists, ',', 1)), '(', 1)) END AS artist,
-           CAST(NULL AS VARCHAR) AS album, song_name IS NULL OR song_name IN ('', 'None') AS skipped FROM match_songs),
+           CAST(NULL AS VARCHAR) AS album, FALSE AS skipped FROM match_songs),
   offers AS (
     SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY strategy_no, pos, title, url) AS place,
            min(strategy_no) OVER (PARTITION BY song_id) AS first_strategy FROM candidates)"""
@@ -159,10 +164,11 @@ def _match_sql(name: str, service: str, source: str, album: bool, open_album: bo
         if album
         else f"CASE WHEN {near} THEN 1 ELSE 9 END"
     )
+    usable = "lower(s.song_name) <> 'none'" if album else "s.song_name IS NOT NULL"
     return f"""{name}_pairs AS (
       SELECT s.song_id, c.url, c.strategy_no, c.pos, c.title, c.place, {tiers} AS tier
       FROM {source} s JOIN offers c ON c.song_id = s.song_id AND c.strategy_no = c.first_strategy
-      WHERE NOT s.skipped AND lower(s.song_name) <> 'none'),
+      WHERE NOT s.skipped AND {usable}),
     {name}_first AS (
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY tier, place) AS r FROM {name}_pairs) WHERE r = 1),
     {name} AS (
@@ -227,6 +233,14 @@ ORACLES = {
         SELECT song_id, 'A' AS service, 1::BIGINT AS strategy_no, strict AS query FROM texts
         UNION ALL SELECT song_id, 'A', 2, loose FROM texts UNION ALL SELECT song_id, 'B', 1, loose FROM texts""",
     ),
+    "match_strategies_simple": with_views(
+        "match_songs",
+        f"""WITH {CLEANED_CTE.split('offers AS')[0].rstrip().rstrip(',')},
+        texts AS (SELECT song_id, 'track:"' || song_name || '"' || coalesce(' artist:"' || nullif(artist, '') || '"', '') AS strict,
+                  song_name || coalesce(' ' || nullif(artist, ''), '') AS loose FROM simple WHERE song_name IS NOT NULL)
+        SELECT song_id, 'A' AS service, 1::BIGINT AS strategy_no, strict AS query FROM texts
+        UNION ALL SELECT song_id, 'A', 2, loose FROM texts UNION ALL SELECT song_id, 'B', 1, loose FROM texts""",
+    ),
     "link_match_a": _match(f"WITH {CLEANED_CTE}, {MATCH_A} SELECT * FROM match_a"),
     "link_match_b": _match(f"WITH {CLEANED_CTE}, {MATCH_B} SELECT * FROM match_b"),
     "link_match_simple": _match(
@@ -257,7 +271,7 @@ ORACLES = {
     "link_patch": with_views("song_links link_patch", f"WITH {PATCH_CTE} SELECT * FROM patched"),
     "link_coverage": with_views("song_links", _coverage("song_links")),
     "coverage_after_patch": with_views("song_links link_patch", f"WITH {PATCH_CTE} {_coverage('patched')}"),
-    "clean_names": "SELECT conv_id, turn, regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS stripped FROM conversations",
+    "text_strip": "SELECT conv_id, turn, regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS stripped FROM conversations",
 }
 
 ORACLES["link_stream"] = ORACLES["link_upsert"]

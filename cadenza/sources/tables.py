@@ -41,6 +41,15 @@ def dump_table(df: DataFrame, path: str, structure: bool = True, data: bool = Tr
         df.write.mode("overwrite").parquet(f"{path}/data")
 
 
+def write_clustered(df: DataFrame, path: str, by: list[str], files: int) -> None:
+    """Write df in ranges of `by`, so that a filter on its first columns reads few files.
+
+    End `by` with a column that differs between rows: a very common first value then spans
+    several files instead of filling one.
+    """
+    df.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
 def read_structure(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType.fromJson(json.loads(spark.read.text(f"{path}/structure").first()["value"]))
 

@@ -109,6 +109,24 @@ def test_search_texts(cleaned):
     assert {k[0] for k in got} == {"1", "6", "7", "8"}
 
 
+def test_the_simple_job_skips_nothing(spark):
+    raw = spark.createDataFrame(RAW, "song_id string, song_name string, artists string, album_name string")
+    simple = mt.clean_input(raw, simple=True)
+    assert simple.filter("skipped").count() == 0
+    got = {(r.song_id, r.strategy_no): r.query for r in mt.search_texts(simple, skips_none=False).filter("service = 'A'").collect()}
+    assert got[("6", 1)] == 'track:"Red" artist:"none"' and got[("5", 2)] == "NONE x" and ("2", 1) not in got
+    found = offers(spark, ("3", 1, 0, "Any", ["x"], None, "song", "u3"), ("5", 1, 0, "none", ["x"], None, "song", "u5"))
+    urls = {r.song_id: r.url for r in mt.match_links(simple, found, mt.SERVICE_A_SIMPLE).collect()}
+    assert urls["3"] == "u3" and urls["5"] == "u5" and urls["2"] is None and len(urls) == len(RAW)
+
+
+def test_candidates_of_the_other_service_are_ignored(spark):
+    offer = offers(spark, ("1", 1, 0, "Blue", ["Ann"], "Sky", "song", "a"), ("1", 1, 1, "Blue", ["Ann"], "Sky", "song", "b"))
+    offer = offer.withColumn("service", F.upper("url"))
+    some = songs(spark, ONE)
+    assert [mt.match_links(some, offer, r).first().url for r in (mt.SERVICE_A, mt.SERVICE_B)] == ["a", "b"]
+
+
 def test_failures_and_summary(spark, cleaned, rows):
     found = offers(spark, ("1", 1, 0, "Blue", ["Ann"], "Sky", "song", "u"), ("5", 1, 0, "NONE", [], None, "song", "u5"))
     links = mt.match_links(cleaned, found, mt.SERVICE_A)

@@ -158,6 +158,18 @@ def test_dump_and_restore(spark, rows, tmp_path):
     assert empty.count() == 0 and empty.schema == links.schema
 
 
+def test_clustered_rows_of_a_common_user_span_files(spark, rows, tmp_path):
+    from pyspark.sql import functions as F
+
+    data = [(i, "hot" if i % 3 else f"u{i}", "p", "{}") for i in range(900)]
+    lists = spark.createDataFrame(data, PLAYLISTS)
+    tb.write_clustered(lists, str(tmp_path / "p"), ["user_id", "playlist_name", "id"], 6)
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert rows(back) == rows(lists)
+    by_file = back.filter("user_id = 'hot'").groupBy(F.input_file_name()).count().collect()
+    assert len(by_file) > 2 and max(r["count"] for r in by_file) < 400
+
+
 def test_listing(spark):
     spark.createDataFrame([(1, "x")], "id int, name string").createOrReplaceTempView("listed_table")
     assert tb.list_tables(spark, "listed%").count() == 1
