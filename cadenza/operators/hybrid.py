@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import filters as fl
@@ -15,6 +15,29 @@ from cadenza.session import cut
 CLAUSES = {"vector": "vector_search", "keyword": "keyword_search", "prompt": "prompt_search"}
 
 
+REQUEST = (
+    "query_id long, prompt string, keywords array<string>, vec array<float>, size int, energy_min double, "
+    "energy_max double, artist string, popularity_min int, popularity_max int"
+)
+
+
+def request(
+    spark: SparkSession,
+    prompt: str,
+    vec: list[float] | None = None,
+    keywords: list[str] | None = None,
+    size: int = lexical.PAGE_SIZE,
+    energy_min: float | None = None,
+    energy_max: float | None = None,
+    artist: str | None = None,
+    popularity_min: int | None = None,
+    popularity_max: int | None = None,
+) -> DataFrame:
+    """A single request as a table of one query."""
+    row = (0, prompt, keywords, vec, size, energy_min, energy_max, artist, popularity_min, popularity_max)
+    return spark.createDataFrame([row], REQUEST)
+
+
 def clause_weights(index: Index, queries: DataFrame, batch: lexical.BatchSize) -> DataFrame:
     """(query_id, field, term, keyword, prompt): one row per word that scores for a query."""
     zero = F.lit(0.0)

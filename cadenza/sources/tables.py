@@ -23,6 +23,13 @@ SCHEMAS = {
 }
 
 
+def ensure_table(spark: SparkSession, table: str, name: str, path: str) -> DataFrame:
+    """The catalogue table `name`, created empty at path with the schema of SCHEMAS[table] if missing."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in T.StructType.fromDDL(SCHEMAS[table]))
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{path}'")
+    return spark.table(name)
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, key: str, low: str, high: str, partitions: int, **options: str
 ) -> DataFrame:

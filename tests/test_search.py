@@ -226,6 +226,17 @@ def test_neighbours_agree_with_the_column_expression(world, rows):
     assert rows(knn.nearest(index.documents, asked, k=9)) == rows(plain)
 
 
+def test_single_request(spark, world):
+    docs, queries, index, _, _ = world
+    _, prompt, keywords, vec, *_ = queries[8]
+    asked = hy.request(spark, prompt, vec, keywords, size=4, energy_min=0.1, energy_max=0.95, artist="solo", popularity_min=0)
+    want = expected_hits(docs, [(0, *queries[8][1:])], 4)
+    assert_same(as_lists(hy.search(index, asked)), want)
+    # Without a vector or keywords, the prompt alone finds.
+    hits = hy.search(index, hy.request(spark, prompt)).collect()
+    assert hits and {name for r in hits for name in r.matched_queries} == {"prompt_search"}
+
+
 def test_suggested_keywords_are_bounded(world):
     _, _, index, asked, _ = world
     filled = lx.with_suggested_keywords(index, asked)
@@ -249,7 +260,7 @@ def test_match_filter(spark):
 
 def test_enrich(spark):
     hits = spark.createDataFrame(
-        [(1, 1, "a", 2.0, ["vector_search"]), (1, 2, "b", 1.0, [])],
+        [(1, 1, "a", 2.0, ["vector_search"]), (1, 2, "b", 1.0, []), (2, 1, "a", 3.0, []), (3, 1, "a", 4.0, [])],
         "query_id int, rank int, song_id string, score double, matched_queries array<string>",
     )
     docs = spark.createDataFrame(
@@ -259,7 +270,10 @@ def test_enrich(spark):
     tracks = spark.createDataFrame([("a", "2001"), ("a", "1999"), ("c", "1")], "song_id string, release_date string")
     links = spark.createDataFrame([("a", ""), ("b", "y")], "song_id string, youtube_music_url string")
     features = spark.createDataFrame([("a", 0.0), ("b", 0.7)], "song_id string, energy double")
-    a, b = sorted(en.enrich(hits, docs, tracks, links, features).collect(), key=lambda r: r.rank)
+    split = en.enrich(hits, docs, tracks, links, features, hot_rows=1)
+    assert sorted(split.collect()) == sorted(en.enrich(hits, docs, tracks, links, features).collect())
+    assert split.count() == 4
+    a, b = sorted(split.filter("query_id = 1").collect(), key=lambda r: r.rank)
     assert (a.title, a.artist, a.release_date, a.youtube_music_url, a.energy) == ("A", "X", "2001", None, 0.4)
     assert (b.title, b.artist, b.release_date, b.youtube_music_url, b.energy) == (
         "Unknown Title", "Unknown Artist", None, "y", 0.7,

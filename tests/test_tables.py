@@ -170,6 +170,15 @@ def test_clustered_rows_of_a_common_user_span_files(spark, rows, tmp_path):
     assert len(by_file) > 2 and max(r["count"] for r in by_file) < 400
 
 
+def test_ensure_table(spark, rows, tmp_path):
+    path = str(tmp_path / "embeddings")
+    empty = tb.ensure_table(spark, "embeddings", "t_embeddings", path)
+    assert empty.count() == 0 and empty.columns == ["song_id", "embedding", "created_at", "updated_at"]
+    new = spark.createDataFrame([("a", [1.0])], "song_id string, embedding array<float>")
+    mu.upsert_embeddings(empty, new, NOW).write.mode("append").insertInto("t_embeddings")
+    assert rows(tb.ensure_table(spark, "embeddings", "t_embeddings", path)) == [("a", [1.0], NOW, NOW)]
+
+
 def test_listing(spark):
     spark.createDataFrame([(1, "x")], "id int, name string").createOrReplaceTempView("listed_table")
     assert tb.list_tables(spark, "listed%").count() == 1
