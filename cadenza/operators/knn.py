@@ -21,6 +21,7 @@ NEIGHBOURS = 100
 SMALL_QUERY_BYTES = 64 * 1024 * 1024
 # Scores held at once by a task.
 SCORES_AT_ONCE = 8_000_000
+MERGE_PARTS = 32
 QUERIES_PER_BLOCK = 1024
 DOCUMENTS_PER_BLOCK = 20_000
 
@@ -112,6 +113,11 @@ def _grid(documents: DataFrame, queries: DataFrame, schema: str, k: int, n_queri
     return docs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_best_of_block(k), schema)
 
 
+def _best_rows(found: DataFrame, k: int, *within: str) -> DataFrame:
+    order = Window.partitionBy("query_id", *within).orderBy(F.desc("score"), "song_id")
+    return found.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k).drop("__rank")
+
+
 def nearest(
     documents: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, small_query_bytes: int = SMALL_QUERY_BYTES
 ) -> DataFrame:
@@ -135,5 +141,6 @@ def nearest(
         found = docs.mapInArrow(_best_of_stream(batch["query_id"].tolist(), _unit_rows(batch["vec"]), k, out), schema)
     else:
         found = _grid(docs, asked, schema, k, size["n"])
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
-    return found.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= k).drop("__rank")
+    # Every task of a large table gives k rows per query: first merge them in parts.
+    merged = _best_rows(found.withColumn("__part", F.pmod(F.xxhash64("song_id"), F.lit(MERGE_PARTS))), k, "__part")
+    return _best_rows(merged.drop("__part"), k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,11 +65,12 @@ def read_structure(spark: SparkSession, path: str) -> T.StructType:
 def restore_table(spark: SparkSession, path: str) -> DataFrame:
     """A dumped table with its rows, or an empty one if only the structure was dumped."""
     schema = read_structure(spark, path)
-    data = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
-    files = data.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(data):
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/data")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/data")
 
 
 def list_tables(spark: SparkSession, like: str | None = None) -> DataFrame:
