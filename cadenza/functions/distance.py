@@ -160,10 +160,15 @@ def _swap_and_one_more(a: Column, b: Column) -> Column:
 
 def osa_up_to_2(a: Column, b: Column) -> Column:
     """The distance if it is at most 2, else null."""
-    plain = F.levenshtein(a, b)
-    return (
-        F.when(plain <= 1, plain)
-        .when((plain == 2) & one_swap(a, b), F.lit(1))
-        .when(plain == 2, F.lit(2))
-        .when((plain <= 4) & _swap_and_one_more(a, b), F.lit(2))
-    )
+
+    def corrected(plain: Column) -> Column:
+        # Without swaps a distance of 2 is 4 at most; above that levenshtein gives -1.
+        return (
+            F.when(plain.between(0, 1), plain)
+            .when((plain == 2) & one_swap(a, b), F.lit(1))
+            .when(plain == 2, F.lit(2))
+            .when((plain > 2) & _swap_and_one_more(a, b), F.lit(2))
+        )
+
+    # As an array of one, so that the distance is computed once.
+    return F.get(F.transform(F.array(F.levenshtein(a, b, 4)), corrected), F.lit(0))

@@ -122,8 +122,10 @@ def expand_words(terms: DataFrame, asked: DataFrame, batch: BatchSize) -> DataFr
     wanted = asked.select("word").distinct().withColumn("key", F.explode(search_keys(F.col("word"))))
     held = terms.withColumn("key", F.explode(vocabulary_keys(F.col("term"))))
     met = held.join(small(wanted, batch.small_keys), "key").groupBy("word", "field", "term").agg(F.first("df").alias("df"))
-    near = met.withColumn("dist", osa_up_to_2(F.col("word"), F.col("term")))
-    near = near.filter(F.col("dist") <= allowed_edits(F.col("word")))
+    # As an array of at most one, so that each pair is measured once, after duplicates are gone.
+    measured = F.array(osa_up_to_2(F.col("word"), F.col("term")))
+    allowed = F.filter(measured, lambda d: d <= allowed_edits(F.col("word")))
+    near = met.withColumn("dist", F.explode(allowed))
     shorter = F.least(F.char_length("word"), F.char_length("term"))
     near = near.withColumn("closeness", 1 - F.col("dist") / shorter)
     closest = Window.partitionBy("word", "field").orderBy(F.desc("closeness"), "term")
