@@ -158,16 +158,17 @@ def _swap_and_one_more(a: Column, b: Column) -> Column:
     return F.exists(_swap_places(a), split)
 
 
-def osa_up_to_2(a: Column, b: Column) -> Column:
-    """The distance if it is at most 2, else null."""
+def osa_within(a: Column, b: Column, limit: Column) -> Column:
+    """The distance if it is at most limit, which is at most 2, else null."""
 
     def corrected(plain: Column) -> Column:
-        # Without swaps a distance of 2 is 4 at most; above that levenshtein gives -1.
+        # Counted without swaps, two edits are four at most; above that levenshtein gives -1.
+        two = limit == 2
         return (
-            F.when(plain.between(0, 1), plain)
-            .when((plain == 2) & one_swap(a, b), F.lit(1))
-            .when(plain == 2, F.lit(2))
-            .when((plain > 2) & _swap_and_one_more(a, b), F.lit(2))
+            F.when(plain.between(0, 1) & (plain <= limit), plain)
+            .when((plain == 2) & (limit >= 1) & one_swap(a, b), F.lit(1))
+            .when((plain == 2) & two, F.lit(2))
+            .when((plain > 2) & two & _swap_and_one_more(a, b), F.lit(2))
         )
 
     # As an array of one, so that the distance is computed once.

@@ -56,12 +56,15 @@ def _sides(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     embeddings = tables["embeddings"]
     if embeddings.schema["embedding"].dataType.simpleString() == "string":
         embeddings = embeddings.withColumn("embedding", parse_vector(F.col("embedding")))
+    features = tables["features"]
+    if features.schema["energy"].dataType.simpleString() == "string":
+        features = features.withColumn("energy", F.col("energy").try_cast("double"))
     return {
         "songs": tables["songs"].select(text_id, "song_name", "artists", "popularity", "song_type"),
         "lyrics": tables["lyrics"].select(text_id, "lyrics"),
         "embeddings": embeddings.select(text_id, "embedding"),
         "links": tables["links"].select(text_id, "spotify_url"),
-        "features": tables["features"].select(text_id, "energy"),
+        "features": features.select(text_id, "energy"),
         "artists": tables["artists"],
     }
 
@@ -100,7 +103,7 @@ def build_catalog(
         "song_name",
         F.col("artists").alias("s_artists"),
         "spotify_url",
-        F.col("popularity").cast("int").alias("popularity"),
+        F.col("popularity").try_cast("int").alias("popularity"),
         "song_type",
         "lyrics",
         "embedding",

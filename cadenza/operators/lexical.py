@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.distance import allowed_edits, osa_up_to_2, search_keys, vocabulary_keys
+from cadenza.functions.distance import allowed_edits, osa_within, search_keys, vocabulary_keys
 from cadenza.functions.text import clean_keywords, words
 from cadenza.operators.index import FIELD_BOOSTS, Index, idf
 from cadenza.operators.skew import PARTS, SALT, copy_hot, join_many_to_one, spread_hot
@@ -123,9 +123,8 @@ def expand_words(terms: DataFrame, asked: DataFrame, batch: BatchSize) -> DataFr
     held = terms.withColumn("key", F.explode(vocabulary_keys(F.col("term"))))
     met = held.join(small(wanted, batch.small_keys), "key").groupBy("word", "field", "term").agg(F.first("df").alias("df"))
     # As an array of at most one, so that each pair is measured once, after duplicates are gone.
-    measured = F.array(osa_up_to_2(F.col("word"), F.col("term")))
-    allowed = F.filter(measured, lambda d: d <= allowed_edits(F.col("word")))
-    near = met.withColumn("dist", F.explode(allowed))
+    measured = F.array(osa_within(F.col("word"), F.col("term"), allowed_edits(F.col("word"))))
+    near = met.withColumn("dist", F.explode(F.filter(measured, lambda d: d.isNotNull())))
     shorter = F.least(F.char_length("word"), F.char_length("term"))
     near = near.withColumn("closeness", 1 - F.col("dist") / shorter)
     closest = Window.partitionBy("word", "field").orderBy(F.desc("closeness"), "term")

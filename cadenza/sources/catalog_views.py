@@ -104,16 +104,15 @@ VIEWS = {
 }
 
 
-_opened: dict[tuple[str, str], DataFrame] = {}
+_opened: dict[str, DataFrame] = {}
 
 
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; the footer that holds its schema is read once per application."""
+    """One given table; the footer that holds its schema is read once per session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _opened:
-        _opened[key] = spark.read.parquet(path)
-    return _opened[key]
+    if path not in _opened or _opened[path].sparkSession is not spark:
+        _opened[path] = spark.read.parquet(path)
+    return _opened[path]
 
 
 def _tables_in(query: str) -> list[str]:

@@ -74,6 +74,17 @@ def test_one_document_per_song(tables):
     assert (docs["b"].lyrics, docs["b"].embedding, docs["b"].name_artists) == ("l1", [0.0, 1.0], None)
 
 
+def test_numbers_given_as_text(spark, tables):
+    songs = spark.createDataFrame(
+        [("Aa", "One", None, "7", "solo"), ("b", "Two", None, "many", "solo")],
+        "song_id string, song_name string, artists string, popularity string, song_type string",
+    )
+    features = spark.createDataFrame([("Aa", "0.25"), ("b", "x")], "song_id string, energy string")
+    docs = {r.song_id: r for r in ct.build_documents({**tables, "songs": songs, "features": features}, 2).collect()}
+    assert (docs["Aa"].popularity, docs["Aa"].energy) == (7, 0.25)
+    assert (docs["b"].popularity, docs["b"].energy) == (None, None)
+
+
 def test_hot_artist_is_joined_like_any_other(tables, rows):
     plain = ct.join_artist(tables["songs"], tables["artists"])
     split = ct.join_artist(tables["songs"], tables["artists"], hot_rows=1)

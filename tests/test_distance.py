@@ -43,9 +43,10 @@ def test_distance_and_keys(spark):
     a, b = F.col("a"), F.col("b")
     meet = F.arrays_overlap(ds.search_keys(a), ds.vocabulary_keys(b))
     near = 0
-    for r in df.select("a", "b", ds.osa_up_to_2(a, b).alias("d"), meet.alias("meet"), ds.allowed_edits(a).alias("k")).collect():
+    limits = [ds.osa_within(a, b, F.lit(n)).alias(f"d{n}") for n in range(3)]
+    for r in df.select("a", "b", *limits, meet.alias("meet"), ds.allowed_edits(a).alias("k")).collect():
         d = osa(r.a, r.b)
-        assert r.d == (d if d <= 2 else None), r
+        assert [r.d0, r.d1, r.d2] == [d if d <= n else None for n in range(3)], r
         if d <= r.k:
             near += 1
             assert r.meet, r
@@ -55,7 +56,7 @@ def test_distance_and_keys(spark):
 def test_literal_cases(spark):
     pairs = [("teh", "the", 1), ("é", "e", 1), ("ca", "abc", None), ("abcdef", "badcef", 2), ("leelle", "ellele", 2)]
     df = spark.createDataFrame(pairs, "a string, b string, d int")
-    for r in df.select("a", "b", "d", ds.osa_up_to_2(F.col("a"), F.col("b")).alias("got")).collect():
+    for r in df.select("a", "b", "d", ds.osa_within(F.col("a"), F.col("b"), F.lit(2)).alias("got")).collect():
         assert r.got == r.d, r
 
 
