@@ -28,6 +28,18 @@ def row_of(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")]
 
 
+def stretches(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in stretches of about `size` bytes, cut after white space only."""
+    start = 0
+    while len(text) - start > size:
+        end = start + size
+        while end < len(text) and text[end - 1] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 def rows_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, one batch in memory at a time."""
     for batch in batches:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from cadenza.llm import line_dedup, simhash
+from cadenza.llm import bpe, line_dedup, multiset_hash, packing, simhash
 from cadenza.llm.common import table
 
 
+def op2_multiset_hash(spark, sf_dir):
+    return multiset_hash.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark, sf_dir):
     cut_docs = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return cut_docs.select(
@@ -36,13 +41,25 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trips(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op2_multiset_hash": op2_multiset_hash,
     "op3_line_dedup": op3_line_dedup,
+    "op5_packing": op5_packing,
+    "op6_bpe": op6_bpe,
     "op10_simhash": op10_simhash,
 }
 ORACLES = {"op3_line_dedup": OP3_SQL}
