@@ -21,6 +21,7 @@ import base64
 import hashlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -31,10 +32,11 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import batches_of, rows_in
 from cadenza.session import send_with_tasks
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 KEPT_BYTES = 64
 KEPT_PAIRS = 1_000_000
 AT_ONCE = 1 << 18
+LONG = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +51,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=1)
+        self.above = max(ranks.values(), default=0) + 2
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.automaton = ahocorasick.Automaton()
@@ -84,7 +87,7 @@ class Vocabulary:
     def _never_joined(self, left: int, right: int) -> bool:
         # Merges are undone at the border, latest first. The two parts now at the border were both
         # there until `until`, the rank of the earlier of the merges that took one of them in.
-        until = len(self.ranks) + max(self.tokens)
+        until = self.above
         while True:
             joined = self.ranks.get(self.tokens[left] + self.tokens[right])
             if joined is not None and joined < until:
@@ -203,15 +206,13 @@ class Codec:
 
     def written(self, text: str):
         """The ids of a text in decimal, joined by commas, in parts of bounded size."""
-        held = []
         pattern = self.exact if not text.isascii() and self.odd.search(text) else self.usual
-        for match in pattern.finditer(text):
-            held.append(self._written(match[0]))
-            if len(held) == AT_ONCE:
-                yield ",".join(held)
-                held = []
-        if held:
-            yield ",".join(held)
+        found = iter(pattern.findall(text)) if len(text) < LONG else (m[0] for m in pattern.finditer(text))
+        while pieces := list(islice(found, AT_ONCE)):
+            ids = list(map(self.kept.get, pieces))
+            if None in ids:
+                ids = [known or self._written(piece) for known, piece in zip(ids, pieces)]
+            yield ",".join(ids)
 
     def decoded(self, written: str) -> bytes:
         """The bytes of ids in decimal, joined by commas."""
