@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import BLANKS, row_of, with_columns_replaced
+from cadenza.session import cut
 
 # Letters that count as equal in both cases.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,8 +66,10 @@ def keep_bitmaps(
     keep is a list of (word, bits), by word; bit i of word w is set if line 64 * w + i stays.
     Words of which all lines stay are left out.
     """
-    places = line_places(docs, id_col, text_col, least_chars)
-    met = places.join(repeated_lines(places, least_docs), ["h1", "h2"])
+    # Both sides of the join come from written tables, so that adaptive execution can split the
+    # places of a very common line over several tasks, and texts are cut into lines once.
+    places = cut(line_places(docs, id_col, text_col, least_chars))
+    met = places.join(cut(repeated_lines(places, least_docs)), ["h1", "h2"])
     dropped = met.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     bits = F.expr(f"bit_or(shiftleft(1L, pos % {WORD_BITS}))")
     words = dropped.groupBy("doc_id", "text_hash", F.expr(f"cast(pos div {WORD_BITS} as int)").alias("word")).agg(
