@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, line_dedup, multiset_hash, packing, simhash
+from cadenza.llm import bpe, line_dedup, multiset_hash, packing, simhash, warc
 from cadenza.llm.common import table
 
 
@@ -50,6 +50,25 @@ def op6_bpe(spark, sf_dir):
     return bpe.round_trips(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+OP8_SQL = """
+WITH sized AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM sized),
+kept AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM hashed
+  WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT h.page_id, h.payload_bytes, h.payload_digest,
+       CASE WHEN k.keeper IS NULL OR k.keeper = h.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN k.keeper <> h.page_id THEN k.keeper END AS refers_to
+FROM hashed h LEFT JOIN kept k USING (payload_digest, payload_bytes)
+"""
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -60,6 +79,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op8_warc": op8_warc,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op8_warc": OP8_SQL}
