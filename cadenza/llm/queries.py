@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, line_dedup, multiset_hash, packing, simhash, warc
+from cadenza.llm import bpe, line_dedup, multiset_hash, packing, quality_rules, simhash, warc
 from cadenza.llm.common import table
 
 
@@ -41,6 +41,75 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op4_quality_rules(spark, sf_dir):
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+OP4_SQL = r"""
+WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT doc_id, lang, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs),
+places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM split WHERE len(words) >= 5),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i+4]) AS n FROM places),
+starts AS (
+  SELECT doc_id, i, lag(i, 1, -5) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows WHERE n > 1),
+repeats AS (SELECT doc_id, sum(least(5, i - before)) AS n FROM starts GROUP BY doc_id),
+left_1 AS (SELECT *, regexp_replace(text, '\p{Ll}+', '', 'g') AS t1 FROM split),
+left_2 AS (SELECT *, regexp_replace(t1, '[\x20\x09-\x0D]+', '', 'g') AS t2 FROM left_1),
+left_3 AS (SELECT *, regexp_replace(t2, '[.,;:!?]+', '', 'g') AS t3 FROM left_2),
+left_4 AS (SELECT *, regexp_replace(t3, '[\p{Lu}\p{Lt}]+', '', 'g') AS t4 FROM left_3),
+left_5 AS (SELECT *, regexp_replace(t4, '[\p{Lm}\p{Lo}\p{M}]+', '', 'g') AS t5 FROM left_4),
+left_6 AS (SELECT *, regexp_replace(t5, '\p{N}+', '', 'g') AS t6 FROM left_5),
+counted AS (
+  SELECT l.doc_id, lang, len(words) AS n_words, length(text) - (length(t1) - length(t2)) AS word_chars,
+         length(t6) - length(regexp_replace(t6, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         [length(text) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4),
+          length(t4) - length(t5), length(t5) - length(t6), length(t6)] AS classes
+  FROM left_6 l LEFT JOIN repeats r USING (doc_id)),
+class_bins AS (SELECT doc_id, lang, unnest(classes) AS n, unnest(range(7)) AS bin FROM counted),
+class_refs AS (SELECT lang, bin, sum(n) AS s FROM class_bins GROUP BY ALL),
+class_shares AS (
+  SELECT b.doc_id, b.n / sum(b.n) OVER (PARTITION BY b.doc_id) AS p, r.s / sum(r.s) OVER (PARTITION BY b.doc_id) AS q
+  FROM class_bins b JOIN class_refs r ON r.lang IS NOT DISTINCT FROM b.lang AND r.bin = b.bin),
+class_js AS (
+  SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+                                 + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d
+  FROM class_shares GROUP BY doc_id),
+words AS (
+  SELECT doc_id, lang, unnest(list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS word
+  FROM docs),
+word_counts AS (SELECT lang, word, count(*) AS n FROM words GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank, sum(n) OVER (PARTITION BY lang) AS total
+  FROM word_counts),
+common AS (SELECT lang, word, n / total AS share FROM ranked WHERE rank <= 50),
+rest AS (SELECT lang, 1 - sum(share) AS share FROM common GROUP BY lang),
+word_bins AS (
+  SELECT w.doc_id, w.lang, c.word, c.share, count(*) AS n
+  FROM words w LEFT JOIN common c ON c.lang IS NOT DISTINCT FROM w.lang AND c.word = w.word GROUP BY ALL),
+word_shares AS (
+  SELECT b.doc_id, b.n / sum(b.n) OVER (PARTITION BY b.doc_id) AS p, coalesce(b.share, r.share) AS q
+  FROM word_bins b JOIN rest r ON r.lang IS NOT DISTINCT FROM b.lang),
+word_js AS (
+  SELECT doc_id, sqrt(greatest((sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)
+                                + greatest(1 - sum(q), 0)) / 2, 0)) AS d
+  FROM word_shares GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+       AND NOT coalesce(n_words >= 50 AND c.d > 0.30, false) AND NOT coalesce(n_words >= 100 AND w.d > 0.42, false) AS kept
+FROM counted LEFT JOIN class_js c USING (doc_id) LEFT JOIN word_js w USING (doc_id)
+"""
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -77,9 +146,10 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op2_multiset_hash": op2_multiset_hash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op8_warc": op8_warc,
     "op10_simhash": op10_simhash,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op8_warc": OP8_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_warc": OP8_SQL}
