@@ -31,10 +31,12 @@ from cadenza.llm.common import batches_of, rows_in, stretches, utf8
 from cadenza.session import cut, send_with_tasks
 
 END_ID = 1
-# Words kept with their ids by each Python worker; longer words are not kept.
-KEPT_WORDS = 400_000
+# Words kept with their ids by each Python worker, twice at most; longer words are not kept.
+KEPT_WORDS = 300_000
 KEPT_BYTES = 48
 BLOCK = 50_000
+# A character that is a token of its own.
+BORDER = "\x00"
 
 
 class WordEncoder:
@@ -49,23 +51,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[bytes, bytes] = {}
+        self.border = np.array(self._ids(BORDER), dtype="<u4")
+        # Two generations: words not met again while one fills up are forgotten.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        """The ids of each word, from one call over all of them with a border in between."""
+        joined = f" {BORDER} ".join([w.decode() for w in words])
+        ids = np.array(self._ids(joined), dtype="<u4")
+        borders = 4 * np.flatnonzero(ids == self.border[0])
+        if len(self.border) != 1 or len(borders) != len(words) - 1:
+            return [np.array(self._ids(w.decode()), dtype="<u4").tobytes() for w in words]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(borders + 4).tolist()], [*borders.tolist(), len(raw)])]
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self._encode_words, map(bytes.split, stretches(text))))
 
     def _encode_words(self, words: list[bytes]) -> bytes:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = [*{*words}.difference(self.kept)]
-        found = dict(zip(new, self._encoded(new)))
-        self.kept.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_BYTES)
-        kept = self.kept
-        return b"".join([kept.get(w) or found[w] for w in words])
+        young, old, new = self.young, self.old, []
+        for word in {*words}.difference(young):
+            ids = old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                young[word] = ids
+        if new:
+            young.update(zip(new, self._encoded(new)))
+        encoded = b"".join(map(young.__getitem__, words))
+        for word in new:
+            if len(word) > KEPT_BYTES:
+                del young[word]
+        if len(young) > KEPT_WORDS:
+            self.old, self.young = young, {}
+        return encoded
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, line_dedup, multiset_hash, packing, quality_rules, simhash, warc
+from cadenza.llm import bpe, line_dedup, multiset_hash, packing, quality_rules, simhash, url_rules, warc
 from cadenza.llm.common import table
 
 
@@ -119,6 +119,23 @@ def op6_bpe(spark, sf_dir):
     return bpe.round_trips(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+# Verdict, host and path of the given rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op7_url_rules(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    named = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("bad"))
+    return url_rules.judge(table(spark, sf_dir, "pages"), named, URL_RULES)
+
+
 def op8_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -149,6 +166,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_url_rules": op7_url_rules,
     "op8_warc": op8_warc,
     "op10_simhash": op10_simhash,
 }
