@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from cadenza.session import send_with_tasks
 
 # The white space that separates words.
 BLANKS = " \t\n\x0b\x0c\r"
+SMALL_ROWS = 100_000
+PARTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """rows LEFT JOIN small on keys that may be missing, none of which may gather in one task.
+
+    small goes to all tasks if it has been counted and found small; beyond that, every key is split
+    into parts by the columns `spread`, which tell rows of one key apart.
+    """
+    renamed = small.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in small.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    if renamed.count() <= SMALL_ROWS:
+        right = F.broadcast(renamed)
+    else:
+        rows = rows.withColumn("__part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)))
+        right = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long"))
+        on.append(F.col("__part") == F.col("__copy"))
+    joined = rows.join(right, reduce(Column.__and__, on), "left")
+    return joined.drop(*[f"__{k}" for k in keys], "__part", "__copy")
+
+
 def with_columns_replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns; one of the same name in df, in any case, is replaced."""
     taken = {c.lower() for c in columns}

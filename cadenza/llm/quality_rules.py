@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import row_of
+from cadenza.llm.common import join_small, row_of
 from cadenza.session import cut
 
 # What separates words, what counts as a symbol, and the classes of characters, in the
@@ -36,8 +36,6 @@ CLASSES = {
     "digit": r"\p{N}+",
 }
 BINS = [*CLASSES, "other"]
-# References of more rows than this are joined in salted parts instead of being sent to all tasks.
-SMALL_ROWS = 100_000
 
 # w: words; h: hashes of their windows; t: (hash, place) in order; the sum is over the places of
 # windows that occur twice, each counting the words that the window before it has not covered. The
@@ -110,24 +108,6 @@ def common_words(docs: DataFrame, totals: DataFrame, text_col: str, lang_col: st
     return shares.unionByName(others.select("lang", F.lit(None).cast("string").alias("word"), "share"))
 
 
-def _met(rows: DataFrame, references: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
-    """rows LEFT JOIN references on keys that may be missing; spread tells rows of one key apart."""
-    renamed = references.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in references.columns])
-    if renamed.count() <= SMALL_ROWS:
-        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-        right = F.broadcast(renamed)
-    else:
-        parts = 64
-        rows = rows.withColumn("__part", F.pmod(F.xxhash64(*spread), F.lit(parts)))
-        right = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
-        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__part") == F.col("__copy")]
-    joined = rows
-    condition = on[0]
-    for more in on[1:]:
-        condition = condition & more
-    return joined.join(right, condition, "left").drop(*[f"__{k}" for k in keys], "__part", "__copy")
-
-
 def _term(p: Column, q: Column) -> Column:
     """What a bin adds to twice the divergence."""
     own = F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
@@ -142,7 +122,7 @@ def class_distances(counted: DataFrame) -> DataFrame:
     """counted with class_distance, to the classes of all documents of the language."""
     sums = [F.sum(f"c_{name}").alias(f"s_{name}") for name in BINS]
     references = cut(counted.groupBy("lang").agg(*sums))
-    met = _met(counted, references, ["lang"], ["doc_id", "text_hash"])
+    met = join_small(counted, references, ["lang"], ["doc_id", "text_hash"])
     own, all_ = sum(F.col(f"c_{name}") for name in BINS), sum(F.col(f"s_{name}") for name in BINS)
     terms = [_term(F.col(f"c_{name}") / own, F.col(f"s_{name}") / all_) for name in BINS]
     distance = F.when(own > 0, _distance(sum(terms)))
@@ -158,11 +138,11 @@ def word_distances(
     references = cut(references.select("lang", F.xxhash64("word").alias("h"), F.col("word").isNull().alias("rest"), "share"))
     words = _lower_words(docs, text_col, *row_of(id_col, text_col), F.col(lang_col).alias("lang"))
     hashed = words.select("doc_id", "text_hash", "lang", F.xxhash64("word").alias("h"))
-    met = _met(hashed, references.filter(~F.col("rest")).drop("rest"), ["lang", "h"], ["doc_id", "text_hash"])
+    met = join_small(hashed, references.filter(~F.col("rest")).drop("rest"), ["lang", "h"], ["doc_id", "text_hash"])
     bins = met.groupBy("doc_id", "text_hash", "lang", "share", F.when(F.col("share").isNotNull(), F.col("h")).alias("h"))
     counted = bins.agg(F.count(F.lit(1)).alias("n"))
     rest = references.filter("rest").select("lang", F.col("share").alias("rest_share"))
-    shared = _met(counted, rest, ["lang"], ["doc_id", "text_hash"])
+    shared = join_small(counted, rest, ["lang"], ["doc_id", "text_hash"])
     q = F.coalesce(F.col("share"), F.col("rest_share"))
     held = shared.select("doc_id", "text_hash", "n", q.alias("q"))
     totals = held.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("total"), F.collect_list(F.struct("n", "q")).alias("bins"))

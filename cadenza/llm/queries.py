@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, line_dedup, multiset_hash, packing, quality_rules, simhash, url_rules, warc
+from cadenza.llm import bpe, kneser_ney, line_dedup, multiset_hash, packing, quality_rules, simhash, url_rules, warc
 from cadenza.llm.common import table
 
 
@@ -155,6 +155,16 @@ FROM hashed h LEFT JOIN kept k USING (payload_digest, payload_bytes)
 """
 
 
+def trusted_ids(spark, sf_dir):
+    """Documents labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op9_kneser_ney(spark, sf_dir):
+    judged = kneser_ney.judge(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return judged.drop("text_hash")
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -168,6 +178,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_url_rules": op7_url_rules,
     "op8_warc": op8_warc,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_simhash": op10_simhash,
 }
 ORACLES = {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_warc": OP8_SQL}
