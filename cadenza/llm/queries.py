@@ -5,10 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, kneser_ney, line_dedup, multiset_hash, packing, quality_rules, simhash, url_rules, warc
+from cadenza.llm import bpe, kneser_ney, line_dedup, multiset_hash, packing, quality_rules, simhash, toxicity, url_rules, warc
 from cadenza.llm.common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, toxicity.learn_labels(table(spark, sf_dir, "labels")))
+    judged = toxicity.scored(docs.select("doc_id", "text"), model)
+    return judged.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_multiset_hash(spark, sf_dir):
     return multiset_hash.fingerprinted(table(spark, sf_dir, "documents"))
 
@@ -171,6 +181,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_multiset_hash": op2_multiset_hash,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
