@@ -65,14 +65,17 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
-    """rows LEFT JOIN small on keys that may be missing, none of which may gather in one task.
+def join_small(
+    rows: DataFrame, small: DataFrame, keys: list[str], spread: list[str], missing: bool = True
+) -> DataFrame:
+    """rows LEFT JOIN small on keys, none of which may gather in one task; `missing`: keys may be missing.
 
     small goes to all tasks if it has been counted and found small; beyond that, every key is split
     into parts by the columns `spread`, which tell rows of one key apart.
     """
     renamed = small.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in small.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    meets = Column.eqNullSafe if missing else Column.__eq__
+    on = [meets(F.col(k), F.col(f"__{k}")) for k in keys]
     if renamed.count() <= SMALL_ROWS:
         right = F.broadcast(renamed)
     else:

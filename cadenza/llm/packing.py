@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
@@ -43,35 +44,69 @@ class WordEncoder:
     """Token ids, as little-endian 32-bit numbers, of texts by a tokenizer that never joins words.
 
     The tokenizer drops white space and cuts there, so a text is encoded word by word and every
-    word once.
+    word once. It also cuts between letters and a point or comma, and ignores case: a word of
+    letters is looked up in lower case and without them, and needs no normalizing when it is new.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.border = np.array(self._ids(BORDER), dtype="<u4")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.general = Tokenizer.from_file(path)
+        self.general.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.border = self._ids(self.general, BORDER)[0]
+        self.ends = {end: np.array(self._ids(self.general, end), dtype="<u4").tobytes() for end in ("", ".", ",")}
         # Two generations: words not met again while one fills up are forgotten.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _ids(self, tokenizer, text: str) -> list[int]:
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _encoded(self, words: list[bytes]) -> list[bytes]:
+    def _encoded(self, tokenizer, words: list[str]) -> list[bytes]:
         """The ids of each word, from one call over all of them with a border in between."""
-        joined = f" {BORDER} ".join([w.decode() for w in words])
-        ids = np.array(self._ids(joined), dtype="<u4")
-        borders = 4 * np.flatnonzero(ids == self.border[0])
-        if len(self.border) != 1 or len(borders) != len(words) - 1:
-            return [np.array(self._ids(w.decode()), dtype="<u4").tobytes() for w in words]
+        if not words:
+            return []
+        ids = np.array(self._ids(tokenizer, f" {BORDER} ".join(words)), dtype="<u4")
+        borders = 4 * np.flatnonzero(ids == self.border)
+        if len(borders) != len(words) - 1:
+            return [np.array(self._ids(tokenizer, w), dtype="<u4").tobytes() for w in words]
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(borders + 4).tolist()], [*borders.tolist(), len(raw)])]
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self._encode_words, map(bytes.split, stretches(text))))
 
+    def _learn(self, words: list[bytes]) -> None:
+        young, old = self.young, self.old
+        other, plain, waiting = [], {}, []
+        for word in words:
+            text = word.decode()
+            end = text[-1] if text[-1] in ".," else ""
+            base = text.removesuffix(end)
+            lower = base if base.islower() else base.lower()
+            # Lower-casing a whole word differs from doing so letter by letter for these only.
+            if not base.isalpha() or len(lower) != len(base) or "\u03a3" in base or not is_normalized("NFC", base):
+                other.append(word)
+                continue
+            key = lower.encode()
+            ids = young.get(key) or old.get(key)
+            if ids is None:
+                plain[lower] = key
+                waiting.append((word, key, end))
+            else:
+                young[key] = ids
+                young[word] = ids + self.ends[end]
+        young.update(zip(plain.values(), self._encoded(self.plain, list(plain))))
+        for word, key, end in waiting:
+            young[word] = young[key] + self.ends[end]
+        young.update(zip(other, self._encoded(self.general, [w.decode() for w in other])))
+
     def _encode_words(self, words: list[bytes]) -> bytes:
         young, old, new = self.young, self.old, []
         for word in {*words}.difference(young):
@@ -80,12 +115,12 @@ class WordEncoder:
                 new.append(word)
             else:
                 young[word] = ids
-        if new:
-            young.update(zip(new, self._encoded(new)))
+        self._learn(new)
         encoded = b"".join(map(young.__getitem__, words))
         for word in new:
             if len(word) > KEPT_BYTES:
-                del young[word]
+                young.pop(word.decode().rstrip(".,").lower().encode(), None)
+                young.pop(word, None)
         if len(young) > KEPT_WORDS:
             self.old, self.young = young, {}
         return encoded

@@ -129,22 +129,31 @@ def class_distances(counted: DataFrame) -> DataFrame:
     return met.withColumn("class_distance", distance).drop(*[f"s_{name}" for name in BINS])
 
 
+def _lang_key(lang: Column) -> Column:
+    return F.xxhash64(lang.isNull(), lang)
+
+
 def word_distances(
     docs: DataFrame, counted: DataFrame, id_col: str, text_col: str, lang_col: str, most: int
 ) -> DataFrame:
-    """doc_id, text_hash, word_distance of every document with words; counted is that of `measures`."""
+    """doc_id, text_hash, word_distance of every document with words; counted is that of `measures`.
+
+    A word is known by one number, a hash of its language and itself; the other words of a language
+    by that of the language.
+    """
     totals = counted.groupBy("lang").agg(F.sum("n_words").alias("total"))
-    references = common_words(docs, totals, text_col, lang_col, most)
-    references = cut(references.select("lang", F.xxhash64("word").alias("h"), F.col("word").isNull().alias("rest"), "share"))
-    words = _lower_words(docs, text_col, *row_of(id_col, text_col), F.col(lang_col).alias("lang"))
-    hashed = words.select("doc_id", "text_hash", "lang", F.xxhash64("word").alias("h"))
-    met = join_small(hashed, references.filter(~F.col("rest")).drop("rest"), ["lang", "h"], ["doc_id", "text_hash"])
-    bins = met.groupBy("doc_id", "text_hash", "lang", "share", F.when(F.col("share").isNotNull(), F.col("h")).alias("h"))
-    counted = bins.agg(F.count(F.lit(1)).alias("n"))
-    rest = references.filter("rest").select("lang", F.col("share").alias("rest_share"))
-    shared = join_small(counted, rest, ["lang"], ["doc_id", "text_hash"])
-    q = F.coalesce(F.col("share"), F.col("rest_share"))
-    held = shared.select("doc_id", "text_hash", "n", q.alias("q"))
+    references = common_words(docs, totals, text_col, lang_col, most).withColumn("lang_key", _lang_key(F.col("lang")))
+    key = F.when(F.col("word").isNull(), F.col("lang_key")).otherwise(F.xxhash64("lang_key", "word"))
+    references = cut(references.select(key.alias("key"), F.col("word").isNull().alias("rest"), "share"))
+    common = references.filter(~F.col("rest")).select("key", F.lit(True).alias("common"))
+    keyed = docs.withColumn("__lang_key", _lang_key(F.col(lang_col)))
+    words = _lower_words(keyed, text_col, *row_of(id_col, text_col), F.col("__lang_key").alias("lang_key"))
+    hashed = words.select("doc_id", "text_hash", "lang_key", F.xxhash64("lang_key", "word").alias("key"))
+    met = join_small(hashed, common, ["key"], ["doc_id", "text_hash"], missing=False)
+    bins = met.groupBy("doc_id", "text_hash", F.when(F.col("common"), F.col("key")).otherwise(F.col("lang_key")).alias("key"))
+    counts = bins.agg(F.count(F.lit(1)).alias("n"))
+    shares = references.select("key", F.col("share").alias("q"))
+    held = join_small(counts, shares, ["key"], ["doc_id", "text_hash"], missing=False).select("doc_id", "text_hash", "n", "q")
     totals = held.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("total"), F.collect_list(F.struct("n", "q")).alias("bins"))
     # Bins of the language that the document lacks add their share.
     present = F.aggregate("bins", F.lit(0.0), lambda a, b: a + b["q"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import batches_of, rows_in, utf8
+from cadenza.llm.common import batches_of, row_of, utf8
 from cadenza.llm.components import components
 from cadenza.session import cut, send_with_tasks
 
@@ -45,18 +45,18 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint of every row as a signed number."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, text_hash, fp: the fingerprint of every row as a signed number."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
-            signed = np.array(found, dtype="<u8").view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(signed)], schema=schema)
+            found = [fingerprint(t, width) for t in batch.column(2).to_pylist()]
+            signed = pa.array(np.array(found, dtype="<u8").view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    row_id, row_hash = row_of(id_col, text_col)
+    rows = docs.select(row_id.cast("long").alias("doc_id"), row_hash, utf8(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _halves(fps: DataFrame, values: str) -> DataFrame:
@@ -134,17 +134,50 @@ def links(fps: DataFrame, most: int = 3, block: int = 1024) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3, block: int = 1024
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    most: int = 3,
+    block: int = 1024,
+    named: bool = False,
 ) -> DataFrame:
-    """doc_id, fp, component_id of every row: the smallest doc_id that can be reached over links."""
+    """doc_id, fp, component_id of every row: the smallest doc_id that can be reached over links.
+
+    `named` adds text_hash and root, a fingerprint that names the group also where ids are missing.
+    """
     rows = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct.select("fp"), most, block))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    met = rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return met.select("doc_id", "fp", "component_id", *(["text_hash", "root"] if named else []))
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3, block: int = 1024
+) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the smallest doc_id, columns as they were.
+
+    Of rows that share that doc_id, and of those without any, the one with the smallest hash of its
+    text stays; of equal ones, any.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, most, block, named=True)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    kept = found.groupBy("root").agg(F.min(order).alias("first")).select(
+        F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash")
+    )
+    # Missing ids as the smallest number, so that rows meet by plain keys.
+    none = F.lit(-(2**63)).cast("long")
+    row_id, row_hash = row_of(id_col, text_col)
+    kept = kept.select(F.coalesce("__id", none).alias("__id"), "__hash")
+    marked = docs.withColumn("__id", F.coalesce(row_id.cast("long"), none)).withColumn("__hash", row_hash)
+    held = marked.join(kept, ["__id", "__hash"], "left_semi")
+    # Rows that are equal in id and text; all others are alone in their group.
+    return held.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
 def hex_of(fp):
