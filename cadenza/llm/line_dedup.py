@@ -42,7 +42,9 @@ def line_key(line: Column) -> Column:
 
 def line_places(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
     """doc_id, text_hash, pos, h1, h2 of every line whose key is long enough."""
-    lines = docs.select(*row_of(id_col, text_col), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    # The hash of a text is computed before its lines are taken apart, once per row.
+    rows = docs.select(*row_of(id_col, text_col), F.col(text_col).alias("text"))
+    lines = rows.select("doc_id", "text_hash", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keyed = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key"))
     long = keyed.filter(F.char_length("key") >= least_chars)
     return long.select(
