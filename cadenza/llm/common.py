@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from functools import reduce
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,20 @@ def row_of(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")]
 
 
+def kept_by_worker(key, make: Callable):
+    """make(), made once per Python worker for as long as its tasks ask for the same key.
+
+    The functions of a task arrive with globals of their own each time, so what a worker keeps lies
+    in a module that only names it. One thing is kept, so memory does not add up over stages.
+    """
+    store = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if store.get("key") != key:
+        store["key"], store["value"] = None, None
+        store["value"] = make()
+        store["key"] = key
+    return store["value"]
+
+
 def stretches(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """A text in stretches of about `size` bytes, cut after white space only."""
     start = 0
@@ -80,7 +96,8 @@ def join_small(
         right = F.broadcast(renamed)
     else:
         rows = rows.withColumn("__part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)))
-        right = renamed.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long"))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))
+        right = renamed.withColumn("__copy", copies)
         on.append(F.col("__part") == F.col("__copy"))
     joined = rows.join(right, reduce(Column.__and__, on), "left")
     return joined.drop(*[f"__{k}" for k in keys], "__part", "__copy")

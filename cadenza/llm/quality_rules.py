@@ -86,8 +86,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def _lower_words(docs: DataFrame, text_col: str, *kept: Column) -> DataFrame:
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.select(*kept, F.explode(F.split(text, BLANKS, -1)).alias("word")).filter(F.col("word") != "")
+    # What is kept is computed before the words are taken apart, once per row.
+    rows = docs.select(*kept, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"))
+    names = [c for c in rows.columns if c != "__text"]
+    return rows.select(*names, F.explode(F.split("__text", BLANKS, -1)).alias("word")).filter(F.col("word") != "")
 
 
 def common_words(docs: DataFrame, totals: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
