@@ -93,13 +93,12 @@ def _spanning(members: np.ndarray, probes, most: int):
         met = np.flatnonzero(np.bitwise_count((members ^ probe).view(np.uint64)) <= most)
         if not len(met):
             continue
-        if members[met[0]] != probe:
-            yield int(probe), int(members[met[0]])
         found = groups[met]
-        if len(met) > 1 and (found != found[0]).any():
-            for label in np.unique(found[found != found[0]]):
-                yield int(members[met[0]]), int(members[met[np.argmax(found == label)]])
-                groups[groups == label] = found[0]
+        firsts = [0, *(np.argmax(found == label) for label in np.unique(found[found != found[0]]))]
+        for at in firsts:
+            if members[met[at]] != probe:
+                yield int(probe), int(members[met[at]])
+            groups[groups == found[at]] = found[0]
 
 
 def links(fps: DataFrame, most: int = 3, block: int = 1024) -> DataFrame:
