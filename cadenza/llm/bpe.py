@@ -6,6 +6,9 @@ tokens may stand side by side if merging their bytes would never have joined acr
 The table of last tokens is all that is kept: reading it backwards gives the encoding of any
 prefix, appended bytes only add entries, and an edit leaves the entries before it as they are.
 
+This holds for vocabularies made by merging, whose ranks follow the order in which tokens were made,
+so that a token's halves have lower ranks than the token.
+
 Texts are first cut by the pattern; a piece that is a token itself is encoded as that token. Each
 Python worker keeps the encodings of short pieces.
 
@@ -29,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import batches_of, rows_in
+from cadenza.llm.common import batches_of, kept_by_worker, rows_in
 from cadenza.session import send_with_tasks
 
 KEPT_PIECES = 800_000
@@ -225,9 +228,8 @@ class Codec:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
 def codec(path: str, splitting: tuple[str, str, str]) -> Codec:
-    return Codec(read_ranks(path), splitting)
+    return kept_by_worker(("codec", path, splitting), lambda: Codec(read_ranks(path), splitting))
 
 
 def _with_codec(docs: DataFrame, path: str, pattern: str, result, fields: str, schema: pa.Schema, id_col: str, value) -> DataFrame:

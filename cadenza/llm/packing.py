@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import batches_of, rows_in, stretches, utf8
+from cadenza.llm.common import batches_of, kept_by_worker, rows_in, stretches, utf8
 from cadenza.session import cut, send_with_tasks
 
 END_ID = 1
@@ -132,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = _encoder(tokenizer)
+        encoder = kept_by_worker(("words", tokenizer), lambda: WordEncoder(tokenizer))
 
         def found():
             for doc_id, text in rows_in(batches):
@@ -147,15 +147,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int, id_col: str = "doc_
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
 class Instance:
     """How many pieces of every length are left, and the plan made of them so far.
 

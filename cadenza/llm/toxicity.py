@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import batches_of, rows_in, stretches, utf8, with_columns_replaced
+from cadenza.llm.common import batches_of, kept_by_worker, rows_in, stretches, utf8, with_columns_replaced
 from cadenza.session import cut, send_with_tasks
 
 PUNCTUATION = string.punctuation.encode()
@@ -304,8 +304,8 @@ def _calibrated(base: bytes, toxic: bytes, rows) -> Model:
     return Model(base, toxic, ratios, means, scales, _logistic((x - means) / scales, y))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with toxicity (0 to 1, higher: more likely toxic)."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """docs with a score (0 to 1, higher: more likely toxic) in the column `name`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     # One value for each row, whatever other columns there are.
@@ -316,22 +316,11 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         known = shared.value
         if not len(known.scales):
             return pd.Series([score_of(known, None)] * len(texts))
-        lengths = _lengths(known)
+        pair = known.ordinary, known.toxic
+        lengths = kept_by_worker(("lengths", *pair), lambda: Lengths(*pair))
         return pd.Series([score_of(known, lengths.counts(text)) for text in texts], dtype="float64")
 
-    return with_columns_replaced(docs, toxicity=score(utf8(text_col)))
-
-
-_LENGTHS: dict[int, Lengths] = {}
-
-
-def _lengths(model: Model) -> Lengths:
-    """One set of dictionaries per worker and model."""
-    key = hash((model.ordinary, model.toxic))
-    if key not in _LENGTHS:
-        _LENGTHS.clear()
-        _LENGTHS[key] = Lengths(model.ordinary, model.toxic)
-    return _LENGTHS[key]
+    return with_columns_replaced(docs, **{name: score(utf8(text_col))})
 
 
 def learn_labels(labels: DataFrame) -> DataFrame:
@@ -346,7 +335,7 @@ def held_out(id_col: str):
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """docs (doc_id, text, ...) without those that score `limit` or more, columns as they were."""
     model = train(docs, learn_labels(labels))
-    return scored(docs, model).filter(F.col("toxicity") < limit).select(*docs.columns)
+    return scored(docs, model, name="__toxicity").filter(F.col("__toxicity") < limit).drop("__toxicity")
 
 
 send_with_tasks(__name__)
