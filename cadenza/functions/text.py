@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word is a run of letters, digits and underscores.
-WORD = r"[\p{L}\p{N}_]+"
-# Keeps don't and 3.14 whole, closer to a full Unicode word break.
-WORD_WITH_INNER_MARKS = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*"
+# A word is a run of letters with their marks, digits and underscores; an apostrophe or
+# a point between two of them does not end it (don't, 3.14).
+WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 
 # All characters that count as white space.
 WHITE = (
@@ -32,10 +31,6 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | (text == "")
-
-
 def none_word(text: Column) -> Column:
     """The word 'none' in any case."""
     return F.lower(text) == "none"

@@ -13,6 +13,9 @@ from cadenza.operators.skew import join_many_to_one
 FILTER_COLUMNS = ("energy_min", "energy_max", "artist", "popularity_min", "popularity_max")
 # Coarse value bins for the filter join; values outside fall into the first or last bin.
 BINS = 32
+# Filters are sent to every task only up to so many bytes, with so many per row besides texts.
+SMALL_BYTES = 64 << 20
+ROW_BYTES = 64
 BIN_WIDTH = {"popularity": 100 / BINS, "energy": 1 / BINS}
 
 
@@ -119,7 +122,12 @@ def passing_documents(documents: DataFrame, queries: DataFrame, small_queries: b
     Documents and queries meet on a shared word or value bin, never all with all. A document
     that shares two artist words with a query appears twice.
     """
-    wanted = query_limits(queries.filter(has_filter()), *keep).withColumn("__key", F.explode(_query_keys()))
+    limits = query_limits(queries.filter(has_filter()), *keep)
+    # A key stands next to all that its query asks for, the artist text whole and in words.
+    row = 3 * F.coalesce(F.octet_length("artist"), F.lit(0)) + 2 * ROW_BYTES
+    sent = F.sum(F.size(_query_keys()) * row)
+    small_queries = small_queries and (limits.agg(sent).first()[0] or 0) <= SMALL_BYTES
+    wanted = limits.withColumn("__key", F.explode(_query_keys()))
     held = document_values(documents).withColumn("__key", F.explode(_document_keys()))
     if small_queries:
         met = held.join(F.broadcast(wanted), "__key")

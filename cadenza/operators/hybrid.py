@@ -38,11 +38,13 @@ def request(
     return spark.createDataFrame([row], REQUEST)
 
 
-def clause_weights(index: Index, queries: DataFrame, batch: lexical.BatchSize) -> DataFrame:
+def clause_weights(
+    index: Index, queries: DataFrame, batch: lexical.BatchSize, expansions: int | None = lexical.MAX_EXPANSIONS
+) -> DataFrame:
     """(query_id, field, term, keyword, prompt): one row per word that scores for a query."""
     zero = F.lit(0.0)
     keyword = lexical.keyword_weights(index, lexical.keyword_words(queries), batch)
-    prompt = lexical.prompt_weights(index, lexical.prompt_words(queries), batch)
+    prompt = lexical.prompt_weights(index, lexical.prompt_words(queries), batch, expansions)
     word = ["query_id", "field", "term"]
     both = keyword.select(*word, F.col("weight").alias("keyword"), zero.alias("prompt")).unionByName(
         prompt.select(*word, zero.alias("keyword"), F.col("weight").alias("prompt"))
@@ -67,13 +69,16 @@ def search(
     size: int = lexical.PAGE_SIZE,
     use_filters: bool = True,
     require_match: bool = False,
+    neighbours: int = knn.NEIGHBOURS,
+    expansions: int | None = lexical.MAX_EXPANSIONS,
 ) -> DataFrame:
     """(query_id, rank, song_id, score, matched_queries) for a batch of queries.
 
     queries hold query_id, prompt, vec and optionally keywords, size and the filter columns.
     The nearest vectors are found among all documents and filtered afterwards. A query with
     filters also returns passing documents that match no clause, with score 0, unless
-    require_match is set.
+    require_match is set. neighbours is the number of vector hits per query, expansions that of
+    indexed words a search word stands for per field (None: all).
     """
     use_filters = use_filters and bool(set(fl.FILTER_COLUMNS) & set(queries.columns))
     own_sizes = "size" in queries.columns
@@ -81,13 +86,13 @@ def search(
         queries = queries.withColumn("keywords", F.lit(None).cast("array<string>"))
     queries = fl.with_filter_columns(queries).withColumn("__size", _size(queries, size))
     batch = lexical.batch_size(queries, size)
-    few_vectors = batch.queries * knn.NEIGHBOURS <= lexical.SMALL_ROWS
+    few_vectors = batch.queries * neighbours <= lexical.SMALL_ROWS
     limits = fl.query_limits(queries, "__size")
     values = fl.document_values(index.documents)
 
-    lexical_scores = lexical.score_postings(index, clause_weights(index, queries, batch))
-    # Read twice below, and at most NEIGHBOURS rows per query.
-    vectors = knn.nearest(index.documents, queries)
+    lexical_scores = lexical.score_postings(index, clause_weights(index, queries, batch, expansions))
+    # Read twice below, and at most `neighbours` rows per query.
+    vectors = knn.nearest(index.documents, queries, neighbours)
     vectors = cut(vectors.select("query_id", "song_id", F.col("score").alias("vector")))
 
     def limited(rows: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +13,24 @@ from cadenza.functions.distance import allowed_edits, osa_within, search_keys, v
 from cadenza.functions.text import clean_keywords, words
 from cadenza.operators.index import FIELD_BOOSTS, Index, idf
 from cadenza.operators.skew import PARTS, SALT, copy_hot, join_many_to_one, spread_hot
-from cadenza.session import cut
+from cadenza.session import cut, send_with_tasks
 
-# A search word stands for at most this many indexed words per field,
-# and a prompt yields at most this many keywords.
+send_with_tasks(__name__)
+
+Provider = Callable[[Sequence[str]], Sequence[str | None]]
+PROMPTS_PER_CALL = 25
+
+# The server that is matched lets a search word stand for at most this many indexed
+# words per field, and its pages hold so many hits. Both are defaults of arguments.
 MAX_EXPANSIONS = 50
-MAX_KEYWORDS = 10
 PAGE_SIZE = 20
-# Tables that come from the queries are sent to every task only up to this many rows; larger
-# ones are joined by shuffle instead.
+# Tables that come from the queries are sent to every task only up to this many rows and bytes;
+# larger ones are joined by shuffle instead.
 SMALL_ROWS = 2_000_000
 FEW_QUERIES = 200_000
+SMALL_BYTES = 64 << 20
+# Bytes of a row besides its texts.
+ROW_BYTES = 64
 # Postings of a word times queries asking for it, above which the word is split.
 PAIRS_PER_TASK = 50_000_000
 
@@ -34,36 +43,51 @@ class BatchSize:
     words: int
     keys: int
     largest_page: int
+    filter_bytes: int
+    word_bytes: int
+    key_bytes: int
 
     @property
     def few_queries(self) -> bool:
-        return self.queries <= FEW_QUERIES
+        return self.queries <= FEW_QUERIES and self.filter_bytes <= SMALL_BYTES
 
     @property
     def small_words(self) -> bool:
-        return self.words <= SMALL_ROWS
+        return self.words <= SMALL_ROWS and self.word_bytes <= SMALL_BYTES
 
     @property
     def small_keys(self) -> bool:
-        return self.keys <= SMALL_ROWS
+        return self.keys <= SMALL_ROWS and self.key_bytes <= SMALL_BYTES
 
 
 def batch_size(queries: DataFrame, page: int = PAGE_SIZE) -> BatchSize:
     """Queries, their words (prompt and keywords), lookup keys of the different prompt words, and
-    the largest page asked for (page, unless queries have a size column)."""
+    the largest page asked for (page, unless queries have a size column), with the bytes of each as
+    they would be sent. Queries without a keywords column may get each prompt word as a keyword."""
     prompt = F.size(words(F.col("prompt")))
-    keyword = F.lit(MAX_KEYWORDS)
+    text = F.coalesce(F.octet_length("prompt"), F.lit(0))
+    keyword, keyword_text = prompt, text
     if "keywords" in queries.columns:
         keyword = F.size(words(F.array_join("keywords", " ")))
+        keyword_text = F.coalesce(F.octet_length(F.array_join("keywords", " ")), F.lit(0))
+    # The artist text stands in a filter row twice, whole and in words.
+    artist = F.coalesce(F.octet_length("artist"), F.lit(0)) if "artist" in queries.columns else F.lit(0)
     own_page = F.coalesce("size", F.lit(page)) if "size" in queries.columns else F.lit(page)
     size = queries.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(prompt + keyword), F.lit(0)).alias("words"),
         F.coalesce(F.max(own_page), F.lit(page)).alias("page"),
+        F.coalesce(F.sum(3 * artist + 2 * ROW_BYTES), F.lit(0)).alias("filter_bytes"),
+        F.coalesce(F.sum(text + keyword_text + ROW_BYTES * (prompt + keyword)), F.lit(0)).alias("word_bytes"),
     ).first()
     asked = queries.select(F.explode(words(F.col("prompt"))).alias("word")).distinct()
-    keys = asked.agg(F.coalesce(F.sum(F.size(search_keys(F.col("word")))), F.lit(0))).first()[0]
-    return BatchSize(size["n"], size["words"], keys, size["page"])
+    keys = F.size(search_keys(F.col("word")))
+    # A key is no longer than its word.
+    row = F.octet_length("word") * 2 + ROW_BYTES
+    found = asked.agg(F.coalesce(F.sum(keys), F.lit(0)).alias("n"), F.coalesce(F.sum(keys * row), F.lit(0)).alias("bytes")).first()
+    return BatchSize(
+        size["n"], size["words"], found["n"], size["page"], size["filter_bytes"], size["word_bytes"], found["bytes"]
+    )
 
 
 def small(df: DataFrame, is_small: bool) -> DataFrame:
@@ -111,13 +135,15 @@ def keyword_weights(index: Index, query_words: DataFrame, batch: BatchSize) -> D
     return _with_idf(met, index.fields).select("query_id", "field", "term", weight)
 
 
-def expand_words(terms: DataFrame, asked: DataFrame, batch: BatchSize) -> DataFrame:
+def expand_words(
+    terms: DataFrame, asked: DataFrame, batch: BatchSize, most: int | None = MAX_EXPANSIONS
+) -> DataFrame:
     """(word, field, term, dist, closeness, df): indexed words near each search word.
 
     Both sides are turned into keys that any near pair must share, so they meet by equality.
-    The vocabulary stays where it is while a small batch of search keys comes to it. At most
-    MAX_EXPANSIONS words are kept per field, the closest first; all count with the document
-    frequency of the most frequent one.
+    The vocabulary stays where it is while a small batch of search keys comes to it. At most `most`
+    words are kept per field, the closest first (None: all); all count with the document frequency
+    of the most frequent one.
     """
     wanted = asked.select("word").distinct().withColumn("key", F.explode(search_keys(F.col("word"))))
     held = terms.withColumn("key", F.explode(vocabulary_keys(F.col("term"))))
@@ -127,15 +153,18 @@ def expand_words(terms: DataFrame, asked: DataFrame, batch: BatchSize) -> DataFr
     near = met.withColumn("dist", F.explode(F.filter(measured, lambda d: d.isNotNull())))
     shorter = F.least(F.char_length("word"), F.char_length("term"))
     near = near.withColumn("closeness", 1 - F.col("dist") / shorter)
-    closest = Window.partitionBy("word", "field").orderBy(F.desc("closeness"), "term")
-    kept = near.withColumn("__rank", F.row_number().over(closest)).filter(F.col("__rank") <= MAX_EXPANSIONS)
+    if most is not None:
+        closest = Window.partitionBy("word", "field").orderBy(F.desc("closeness"), "term")
+        near = near.withColumn("__rank", F.row_number().over(closest)).filter(F.col("__rank") <= most).drop("__rank")
     together = Window.partitionBy("word", "field")
-    return kept.drop("__rank").withColumn("df", F.max("df").over(together))
+    return near.withColumn("df", F.max("df").over(together))
 
 
-def prompt_weights(index: Index, query_words: DataFrame, batch: BatchSize) -> DataFrame:
+def prompt_weights(
+    index: Index, query_words: DataFrame, batch: BatchSize, most: int | None = MAX_EXPANSIONS
+) -> DataFrame:
     """(query_id, field, term, weight) for words and their near spellings."""
-    met = _of_words(query_words, expand_words(index.terms, query_words, batch), "word", batch)
+    met = _of_words(query_words, expand_words(index.terms, query_words, batch, most), "word", batch)
     weight = boost() * F.col("n") * F.col("closeness") * F.col("idf")
     rows = _with_idf(met, index.fields).select("query_id", "field", "term", weight.alias("weight"))
     return rows.groupBy("query_id", "field", "term").agg(F.sum("weight").alias("weight"))
@@ -151,7 +180,8 @@ def score_postings(index: Index, weights: DataFrame) -> DataFrame:
     """
     held = index.postings.select("song_id", "field", "term", "impact")
     weights = cut(weights)
-    if weights.count() <= SMALL_ROWS:
+    size = weights.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + ROW_BYTES).alias("bytes")).first()
+    if size["n"] <= SMALL_ROWS and (size["bytes"] or 0) <= SMALL_BYTES:
         met = held.join(F.broadcast(weights), ["field", "term"])
     else:
         on = ["field", "term"]
@@ -167,22 +197,56 @@ def score_postings(index: Index, weights: DataFrame) -> DataFrame:
     )
 
 
-def suggest_keywords(index: Index, queries: DataFrame, field: str = "lyrics") -> DataFrame:
-    """Stand-in for a keyword model: the prompt words of highest tf-idf that are indexed.
+def read_keywords(answer: Column) -> Column:
+    """The keywords in the answer of a model, {"keywords": [...]}; of any other text an empty list."""
+    listed = F.from_json(answer, "keywords array<string>")["keywords"]
+    return clean_keywords(listed)
+
+
+def with_keywords(queries: DataFrame, provider: Provider, batch_size: int = PROMPTS_PER_CALL) -> DataFrame:
+    """Fill the keywords column of queries by a model, asked once for every distinct prompt.
+
+    provider turns a list of prompts into as many answers, each read by read_keywords. A call that
+    fails, or gives another number of answers, leaves its prompts without keywords.
+    """
 
-    Gives (query_id, place, word, weight) with at most MAX_KEYWORDS words per query.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), batch_size):
+                part = frame["prompt"].iloc[start : start + batch_size].tolist()
+                answers: list[str | None] = [None] * len(part)
+                try:
+                    given = list(provider(part))
+                    answers = given if len(given) == len(part) else answers
+                except Exception:  # the hook is foreign code
+                    pass
+                yield pd.DataFrame({"prompt": part, "answer": answers})
+
+    prompts = queries.select("prompt").filter(F.col("prompt").isNotNull()).distinct()
+    read = prompts.mapInPandas(run, "prompt string, answer string")
+    read = read.select("prompt", read_keywords(F.col("answer")).alias("keywords"))
+    return join_many_to_one(queries.drop("keywords"), read, ["prompt"], ["query_id"])
+
+
+def suggest_keywords(
+    index: Index, queries: DataFrame, field: str = "lyrics", most: int | None = None
+) -> DataFrame:
+    """Without a model: the prompt words that are indexed, by tf-idf.
+
+    Gives (query_id, place, word, weight), at most `most` words per query (None: all).
     """
     asked = prompt_words(queries).withColumnRenamed("word", "term")
     met = _of_words(asked, index.terms.filter(F.col("field") == field), "term", batch_size(queries))
     weight = F.round(F.col("n") * F.col("idf"), 6).alias("weight")
     rows = _with_idf(met, index.fields).select("query_id", F.col("term").alias("word"), weight)
     best = Window.partitionBy("query_id").orderBy(F.desc("weight"), "word")
-    return rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= MAX_KEYWORDS)
+    placed = rows.withColumn("place", F.row_number().over(best))
+    return placed if most is None else placed.filter(F.col("place") <= most)
 
 
-def with_suggested_keywords(index: Index, queries: DataFrame) -> DataFrame:
+def with_suggested_keywords(index: Index, queries: DataFrame, most: int | None = None) -> DataFrame:
     """Fill the keywords column of queries."""
-    picked = suggest_keywords(index, queries)
+    picked = suggest_keywords(index, queries, most=most)
     ordered = F.array_sort(F.collect_list(F.struct("place", "word")))
     lists = picked.groupBy("query_id").agg(F.transform(ordered, lambda p: p["word"]).alias("keywords"))
     return queries.drop("keywords").join(lists, "query_id", "left")

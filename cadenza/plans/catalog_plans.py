@@ -40,7 +40,9 @@ DOCS_CTE = f"""{CATALOG_CTE},
   checked AS (SELECT *, {REASON} AS reason FROM catalog),
   docs AS (SELECT * FROM checked WHERE reason IS NULL)"""
 
-WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+(?:[''’.][\p{{L}}\p{{M}}\p{{N}}_]+)*')"
+# What the stand-in for a model calls a word.
+PLAIN_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
 INDEX_CTE = f"""{DOCS_CTE},
   field_words AS (

@@ -14,6 +14,8 @@ from cadenza.sources.catalog_views import base_table, view
 from cadenza.sources.index_store import buckets_for, save_index
 
 DIMS = 64
+# Keywords per registered query, as many as the model is asked for.
+KEYWORDS = 10
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -56,7 +58,7 @@ def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
         buckets = buckets_for(spark, base_table(spark, sf_dir, "embeddings").count())
         index = save_index(documents(spark, sf_dir), name, path, buckets)
         queries = view(spark, sf_dir, "queries")
-        queries = cut(with_suggested_keywords(index, queries))
+        queries = cut(with_suggested_keywords(index, queries, KEYWORDS))
         _built[key] = SearchInputs(index, queries)
     return _built[key]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import embedding as em, mutations as mu, playlists as pl
 from cadenza.plans import inputs
-from cadenza.plans.catalog_plans import WORDS
+from cadenza.plans.catalog_plans import PLAIN_WORDS
 from cadenza.session import new_path
 from cadenza.sources.catalog_views import base_table, view, with_views
 from cadenza.streaming import apply as st
@@ -130,7 +130,7 @@ def _slots(table: str, key: str, text: str) -> str:
     """The hashed-words vector of every text, before scaling, one row per slot that is hit."""
     return f"""codes AS (
       SELECT {key}, CAST('0x' || substr(md5(word), 1, 16) AS UBIGINT) AS code
-      FROM (SELECT {key}, unnest({WORDS.format(text)}) AS word FROM {table})),
+      FROM (SELECT {key}, unnest({PLAIN_WORDS.format(text)}) AS word FROM {table})),
     slots AS (SELECT {key}, code % {inputs.DIMS} AS slot, sum(CASE WHEN code >= 9223372036854775808 THEN 1 ELSE -1 END) AS v
               FROM codes GROUP BY ALL)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def keywords_clean(spark, sf_dir):
 
 def keywords_tfidf(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
-    rows = lx.suggest_keywords(given.index, given.queries)
+    rows = lx.suggest_keywords(given.index, given.queries, most=inputs.KEYWORDS)
     return rows.select("query_id", F.col("place").cast("long").alias("place"), "word", "weight")
 
 
@@ -58,15 +60,41 @@ def bm25_fuzzy(spark, sf_dir):
     return _best_by_words(given, lx.prompt_weights(given.index, asked, lx.batch_size(given.queries)))
 
 
-def fuzzy_expand(spark, sf_dir):
+def keywords_all(spark, sf_dir):
+    """Every indexed prompt word as a keyword."""
+    given = inputs.search_inputs(spark, sf_dir)
+    rows = lx.suggest_keywords(given.index, given.queries)
+    return rows.select("query_id", F.col("place").cast("long").alias("place"), "word", "weight")
+
+
+def _answers(prompts):
+    """What a model might say: the first two words as JSON, or plain text for short prompts."""
+    return [json.dumps({"keywords": [*p.split()[:2], " "]}) if len(p) > 300 else f"I suggest {p[:9]}" for p in prompts]
+
+
+def keywords_answers(spark, sf_dir):
+    rows = lx.with_keywords(view(spark, sf_dir, "queries"), _answers)
+    return rows.select("query_id", F.size("keywords").cast("long").alias("n"), F.array_join("keywords", " ").alias("keywords"))
+
+
+def _expanded(spark, sf_dir, most):
     given = inputs.search_inputs(spark, sf_dir)
     asked = lx.prompt_words(given.queries)
-    rows = lx.expand_words(given.index.terms, asked, lx.batch_size(given.queries))
+    rows = lx.expand_words(given.index.terms, asked, lx.batch_size(given.queries), most)
     return rows.select(
         "word", "field", "term", F.col("dist").cast("long").alias("dist"), F.round("closeness", 6).alias("closeness"), "df"
     )
 
 
+def fuzzy_expand(spark, sf_dir):
+    return _expanded(spark, sf_dir, lx.MAX_EXPANSIONS)
+
+
+def fuzzy_expand_all(spark, sf_dir):
+    """Near spellings without a limit per word."""
+    return _expanded(spark, sf_dir, None)
+
+
 def _shown(hits):
     return hits.select(
         "query_id", F.col("rank").cast("long").alias("rank"), "song_id", "score",
@@ -111,7 +139,8 @@ def search_enriched(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_top, keywords_clean, keywords_tfidf, bm25_keywords, fuzzy_expand, bm25_fuzzy,
+        knn_top, keywords_clean, keywords_tfidf, keywords_all, keywords_answers, bm25_keywords, fuzzy_expand,
+        fuzzy_expand_all, bm25_fuzzy,
         search_hybrid, search_filtered, filter_queries, search_enriched,
     )
 }
@@ -129,11 +158,11 @@ BASE_CTE = f"""{INDEX_CTE},
                       ln(1 + (f.n_docs - t.df + 0.5e0) / (t.df + 0.5e0)) AS idf
                FROM terms t JOIN fields f USING (field)),
   boosts AS (SELECT * FROM (VALUES ('song_name', 3e0), ('name_artists', 2e0), ('lyrics', 1e0)) b(field, boost)),
-  picked AS (
-    SELECT * FROM (
-      SELECT p.query_id, p.word, round(p.n * t.idf, 6) AS weight,
-             row_number() OVER (PARTITION BY p.query_id ORDER BY round(p.n * t.idf, 6) DESC, p.word) AS place
-      FROM prompt_words p JOIN term_idf t ON t.term = p.word AND t.field = 'lyrics') WHERE place <= 10)"""
+  placed AS (
+    SELECT p.query_id, p.word, round(p.n * t.idf, 6) AS weight,
+           row_number() OVER (PARTITION BY p.query_id ORDER BY round(p.n * t.idf, 6) DESC, p.word) AS place
+    FROM prompt_words p JOIN term_idf t ON t.term = p.word AND t.field = 'lyrics'),
+  picked AS (SELECT * FROM placed WHERE place <= {inputs.KEYWORDS})"""
 
 KEYWORD_CTE = f"""{BASE_CTE},
   keyword_weights AS (SELECT k.query_id, t.field, t.term, b.boost * t.idf AS weight
@@ -234,10 +263,23 @@ ORACLES = {
             lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')), lambda x: x <> '') AS k FROM documents)
         SELECT doc_id, len(k) AS n, array_to_string(k, ' ') AS keywords FROM k""",
     "keywords_tfidf": _search(f"WITH {BASE_CTE} SELECT query_id, place, word, weight FROM picked"),
+    "keywords_all": _search(f"WITH {BASE_CTE} SELECT query_id, place, word, weight FROM placed"),
+    "keywords_answers": with_views(
+        "queries",
+        """WITH two AS (SELECT query_id, list_slice(string_split_regex(trim(prompt, chr(32) || chr(10)), '[ \\n]+'), 1, 2) AS k,
+                               prompt IS NOT NULL AND length(prompt) > 300 AS good FROM queries)
+        SELECT query_id, CASE WHEN good THEN len(k) ELSE 0 END AS n,
+               CASE WHEN good THEN array_to_string(k, ' ') ELSE '' END AS keywords FROM two""",
+    ),
     "bm25_keywords": _clause_top(KEYWORD_CTE, "keyword_scores", "keyword"),
     "fuzzy_expand": _search(
         f"WITH {FUZZY_CTE} SELECT word, field, term, CAST(dist AS BIGINT) AS dist, round(closeness, 6) AS closeness, df FROM expanded"
     ),
+    "fuzzy_expand_all": _search(
+        f"""WITH {FUZZY_CTE} SELECT word, field, term, CAST(d AS BIGINT) AS dist,
+          round(1 - d / CAST(least(length(word), length(term)) AS DOUBLE), 6) AS closeness,
+          max(df) OVER (PARTITION BY word, field) AS df FROM near JOIN terms USING (term)"""
+    ),
     "bm25_fuzzy": _clause_top(FUZZY_CTE, "prompt_scores", "prompt"),
     "search_hybrid": _search(f"WITH {HYBRID_CTE} {_top.format('scored')}"),
     "search_filtered": _search(f"WITH {FILTERED_CTE} SELECT * FROM hits"),

@@ -157,7 +157,7 @@ def test_large_batches_give_the_same_hits(world, monkeypatch):
     monkeypatch.setattr(lx, "PAIRS_PER_TASK", 7)
     monkeypatch.setattr(knn, "DOCUMENTS_PER_BLOCK", 50)
     monkeypatch.setattr(knn, "QUERIES_PER_BLOCK", 3)
-    monkeypatch.setattr(knn, "nearest", lambda d, q: nearest(d, q, small_query_bytes=0))
+    monkeypatch.setattr(knn, "nearest", lambda d, q, k=100: nearest(d, q, k, small_query_bytes=0))
     assert_same(as_lists(hy.search(index, asked, size=15)), expected_hits(docs, queries, 15))
 
 
@@ -239,9 +239,28 @@ def test_single_request(spark, world):
 
 def test_suggested_keywords_are_bounded(world):
     _, _, index, asked, _ = world
-    filled = lx.with_suggested_keywords(index, asked)
+    filled = lx.with_suggested_keywords(index, asked, 3)
     assert filled.count() == asked.count()
-    assert max(len(r.keywords or []) for r in filled.collect()) <= lx.MAX_KEYWORDS
+    assert max(len(r.keywords or []) for r in filled.collect()) <= 3
+    uncut = lx.suggest_keywords(index, asked).collect()
+    assert {(r.query_id, r.place, r.word) for r in lx.suggest_keywords(index, asked, most=3).collect()} == {
+        (r.query_id, r.place, r.word) for r in uncut if r.place <= 3
+    }
+
+
+def test_keywords_of_a_model(spark):
+    asked = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", "a", "bad", None, "none"])], "query_id long, prompt string")
+
+    def answers(prompts):
+        if "raise" in prompts:
+            raise RuntimeError("no model")
+        said = {"a": '{"keywords": [" x ", "", 7]}', "b": '{"other": []}', "bad": "keywords: x", "none": None}
+        return [said[p] for p in prompts]
+
+    got = {r.query_id: r.keywords for r in lx.with_keywords(asked, answers).collect()}
+    assert got == {0: ["x", "7"], 1: [], 2: ["x", "7"], 3: [], 4: None, 5: []}
+    failing = spark.createDataFrame([(0, "raise"), (1, "a")], "query_id long, prompt string")
+    assert {r.query_id: r.keywords for r in lx.with_keywords(failing, answers, 1).collect()} == {0: [], 1: ["x", "7"]}
 
 
 def test_range_filter_bounds(spark, rows):
