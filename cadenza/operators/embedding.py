@@ -92,8 +92,8 @@ def embed_texts(texts: DataFrame, embedder: Embedder, batch_size: int = BATCH_SI
 
 
 def embed_prompts(queries: DataFrame, embedder: Embedder, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Fill queries.vec; every distinct prompt is embedded once."""
-    prompts = queries.select(F.col("prompt").alias("song_id"), F.col("prompt").alias("text")).distinct()
+    """Fill queries.vec; every distinct prompt is embedded once. A missing prompt has no vector."""
+    prompts = queries.filter(F.col("prompt").isNotNull()).select(F.col("prompt").alias("song_id"), F.col("prompt").alias("text")).distinct()
     vectors = embed_texts(prompts, embedder, batch_size)
     vectors = vectors.select(F.col("song_id").alias("prompt"), F.col("embedding").alias("vec"))
     return join_many_to_one(queries.drop("vec"), vectors, ["prompt"], ["query_id"])

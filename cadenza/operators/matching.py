@@ -27,12 +27,17 @@ class Rules:
     songs_only: bool = False
     # Songs named none, in any case, are not searched.
     skips_none: bool = True
+    # Candidates bring the id of a page instead of its address.
+    gives_ids: bool = False
 
 
 SERVICE_A = Rules("A")
-SERVICE_B = Rules("B", open_album=False, songs_only=True)
+SERVICE_B = Rules("B", open_album=False, songs_only=True, gives_ids=True)
 SERVICE_A_SIMPLE = Rules("A", uses_album=False, skips_none=False)
-SERVICE_B_SIMPLE = Rules("B", uses_album=False, songs_only=True, skips_none=False)
+SERVICE_B_SIMPLE = Rules("B", uses_album=False, songs_only=True, skips_none=False, gives_ids=True)
+# The album that a candidate was searched for, where candidates are given per song and album.
+SEARCHED_ALBUM = "searched_album"
+ALBUM_KEY = "album_key"
 
 
 def with_albums(songs: DataFrame, tracks: DataFrame, albums: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -108,7 +113,19 @@ def _plain(text: Column) -> Column:
     return strip(F.lower(text))
 
 
-def _judged(pairs: DataFrame, rules: Rules) -> DataFrame:
+def album_key(album: Column) -> Column:
+    """A missing album and an empty one are searched alike."""
+    return F.coalesce(strip(album), F.lit(""))
+
+
+def keyed(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, list[str]]:
+    """rows with the key that links have: the song, or song and album."""
+    if ALBUM_KEY not in links.columns:
+        return rows, ["song_id"]
+    return rows.withColumn(ALBUM_KEY, album_key(F.col("album"))), ["song_id", ALBUM_KEY]
+
+
+def _judged(pairs: DataFrame, rules: Rules, keys: list[str]) -> DataFrame:
     """What a candidate is worth by name and artist; `offered` is its album if it is near."""
     pairs = pairs.withColumn("plain_title", _plain(F.col("title")))
     name, title, artist = F.col("plain_name"), F.col("plain_title"), F.col("plain_artist")
@@ -125,7 +142,7 @@ def _judged(pairs: DataFrame, rules: Rules) -> DataFrame:
     near = F.coalesce(near, F.lit(False))
     offered = F.coalesce(_plain(F.col("c_album")), F.lit(""))
     return pairs.select(
-        "song_id",
+        *keys,
         "strategy_no",
         near.alias("near"),
         (near & same).alias("same"),
@@ -159,14 +176,22 @@ def match_links(
     Candidates are never collected per song. They are judged by name and artist where the join
     left them and reduced there to the earliest one per outcome and offered album, so that the
     album test sees different album names only.
+
+    Where candidates say which album they were searched for (searched_album), every song and album
+    is matched by its own candidates, and the result has one row for each, with album_key.
     """
     rows = cleaned.filter(~F.col("skipped"))
-    plain_names = [_plain(F.col(c)).alias(n) for c, n in (("song_name", "plain_name"), ("artist", "plain_artist"))]
-    names = rows.filter(searchable(F.col("song_name"), rules.skips_none)).select("song_id", *plain_names).distinct()
     if "service" in candidates.columns:
         candidates = candidates.filter(F.col("service") == rules.service)
+    by_album = SEARCHED_ALBUM in candidates.columns
+    keys = ["song_id", ALBUM_KEY] if by_album else ["song_id"]
+    if by_album:
+        rows = rows.withColumn(ALBUM_KEY, album_key(F.col("album")))
+        candidates = candidates.withColumn(ALBUM_KEY, album_key(F.col(SEARCHED_ALBUM)))
+    plain_names = [_plain(F.col(c)).alias(n) for c, n in (("song_name", "plain_name"), ("artist", "plain_artist"))]
+    names = rows.filter(searchable(F.col("song_name"), rules.skips_none)).select(*keys, *plain_names).distinct()
     offers = candidates.select(
-        "song_id",
+        *keys,
         "strategy_no",
         "pos",
         "title",
@@ -175,25 +200,28 @@ def match_links(
         "result_type",
         "url",
     )
-    hot = hot_keys(offers.filter(F.col("song_id").isNotNull()), ["song_id"], hot_rows)
-    pairs = join_many_to_one(offers, names, ["song_id"], ["url", "pos"], "inner", hot=hot)
-    outcome = ["song_id", "strategy_no", "near", "same", "offered"]
-    judged = _judged(pairs, rules).groupBy(*outcome).agg(F.min("place").alias("place"))
-    if rules.uses_album:
+    hot = hot_keys(offers.filter(F.col("song_id").isNotNull()), keys, hot_rows)
+    pairs = join_many_to_one(offers, names, keys, ["url", "pos"], "inner", hot=hot)
+    outcome = [*keys, "strategy_no", "near", "same", "offered"]
+    judged = _judged(pairs, rules, keys).groupBy(*outcome).agg(F.min("place").alias("place"))
+    if by_album:
+        judged = judged.withColumn("album", F.col(ALBUM_KEY))
+    elif rules.uses_album:
         # Only near candidates look at albums; the others keep a null key and stay as they are.
         judged = judged.withColumn("album_of", F.when(F.col("near"), F.col("song_id")))
         albums = rows.select(F.col("song_id").alias("album_of"), "album").distinct()
         popular = hot.withColumnRenamed("song_id", "album_of")
         judged = join_many_to_one(judged, albums, ["album_of"], ["offered", "song_id"], "left", hot=popular)
-    best = judged.groupBy("song_id").agg(F.min(F.struct("strategy_no", _tier(rules).alias("tier"), "place")).alias("best"))
+    best = judged.groupBy(*keys).agg(F.min(F.struct("strategy_no", _tier(rules).alias("tier"), "place")).alias("best"))
+    url = F.col("best.place.url")
     return (
-        rows.select("song_id")
+        rows.select(*keys)
         .distinct()
-        .join(best, "song_id", "left")
+        .join(best, keys, "left")
         .select(
-            "song_id",
+            *keys,
             F.lit(rules.service).alias("service"),
-            "best.place.url",
+            (watch_address(url) if rules.gives_ids else url).alias("url"),
             "best.tier",
             "best.strategy_no",
             "best.place.pos",
@@ -205,10 +233,14 @@ def match_links(
 def link_updates(links: DataFrame) -> DataFrame:
     """(song_id, spotify_url, youtube_music_url) from the matches of one or both services.
 
-    A service that was not run leaves its column null, so the stored link stays.
+    A service that was not run leaves its column null, so the stored link stays. Of a song matched
+    per album, the link of the last album counts, albums in order of their names.
     """
+    found = (F.col(ALBUM_KEY) if ALBUM_KEY in links.columns else F.lit("")).alias(ALBUM_KEY)
+
     def url(service: str) -> Column:
-        return F.max(F.when(F.col("service") == service, F.col("url")))
+        given = (F.col("service") == service) & F.col("url").isNotNull()
+        return F.max(F.when(given, F.struct(found, "url")))["url"]
 
     return links.groupBy("song_id").agg(url("A").alias("spotify_url"), url("B").alias("youtube_music_url"))
 
@@ -222,22 +254,27 @@ def link_failures(
     cleaned: DataFrame, links: DataFrame, run_at: datetime | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Songs of the input without a link, per service, with the time of the run if given."""
-    services = links.select("song_id", "service").filter(F.col("url").isNull())
-    rows = join_many_to_one(cleaned.filter(~F.col("skipped")), services, ["song_id"], ["album"], "inner", hot_rows)
+    rows, keys = keyed(cleaned.filter(~F.col("skipped")), links)
+    services = links.filter(F.col("url").isNull()).select(*keys, "service")
+    rows = join_many_to_one(rows, services, keys, ["album"], "inner", hot_rows)
     when = [] if run_at is None else [F.lit(run_at).cast("timestamp").alias("timestamp")]
     return rows.select("song_id", "song_name", "artist", "album", "service", *when)
 
 
 def link_summary(cleaned: DataFrame, links: DataFrame) -> DataFrame:
-    """Per service: rows read, rows saved, failed saves, songs without a link, links found.
+    """Per service: rows read, rows saved, failed saves, rows without a link, rows with one.
 
-    Rows without a usable name count as read but are neither saved nor failed.
+    All are counted in rows of the input. Rows without a usable name count as read but are neither
+    saved nor failed. Equal keys of the input are counted first, so that none gathers rows.
     """
     total = cleaned.agg(F.count(F.lit(1))).scalar()
     saved = cleaned.agg(F.count_if(~F.col("skipped"))).scalar()
-    found = links.groupBy("service").agg(
-        F.count_if(F.col("url").isNull()).alias("failed_fetches"),
-        F.count_if(F.col("url").isNotNull()).alias("links_found"),
+    rows, keys = keyed(cleaned.filter(~F.col("skipped")), links)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    met = counts.join(links.select(*keys, "service", "url"), keys)
+    found = met.groupBy("service").agg(
+        F.coalesce(F.sum(F.when(F.col("url").isNull(), F.col("n"))), F.lit(0)).alias("failed_fetches"),
+        F.coalesce(F.sum(F.when(F.col("url").isNotNull(), F.col("n"))), F.lit(0)).alias("links_found"),
     )
     return found.select(
         "service",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,18 +84,26 @@ def upsert_links(
     return joined.select("song_id", *links, *others, *_stamps(old, run_at, given))
 
 
-def patch_links(links: DataFrame, patch: DataFrame) -> DataFrame:
+def patch_links(links: DataFrame, patch: DataFrame, run_at: datetime | None = None) -> DataFrame:
     """Set single columns of known songs; patch holds (song_id, link_column, link_value).
 
-    Unknown songs are ignored. Where one cell is patched twice, the larger value (or with a
-    seq column the later one) wins.
+    Unknown songs are ignored, an unknown column is an error. Where one cell is patched twice, the
+    larger value (or with a seq column the later one) wins. updated_at, if the table has it, becomes
+    run_at in rows that change.
     """
+    column = F.col("link_column")
+    unknown = F.raise_error(F.concat(F.lit("a patch names no link column: "), F.coalesce(column, F.lit("null"))))
+    patch = patch.withColumn("link_column", F.when(column.isin(*LINK_COLUMNS), column).otherwise(unknown.cast("string")))
+
     def cell(column: str) -> Column:
         order = F.struct("seq", "link_value") if "seq" in patch.columns else F.struct("link_value")
         return F.max(F.when(F.col("link_column") == column, order))["link_value"].alias(f"new_{column}")
 
     cells = patch.groupBy("song_id").agg(*[cell(c) for c in LINK_COLUMNS])
     joined = links.join(cells, "song_id", "left")
-    return joined.select(
-        *[F.coalesce(f"new_{c}", c).alias(c) if c in LINK_COLUMNS else F.col(c) for c in links.columns]
-    )
+    values = {c: F.coalesce(f"new_{c}", c) for c in LINK_COLUMNS}
+    if "updated_at" in links.columns:
+        changes = [F.col(f"new_{c}").isNotNull() & ~F.col(f"new_{c}").eqNullSafe(F.col(c)) for c in LINK_COLUMNS]
+        now = F.lit(run_at).cast("timestamp")
+        values["updated_at"] = F.when(reduce(Column.__or__, changes), now).otherwise(F.col("updated_at"))
+    return joined.select(*[values.get(c, F.col(c)).alias(c) for c in links.columns])

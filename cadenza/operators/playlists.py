@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.skew import HOT_ROWS, join_many_to_one, numbered
+from cadenza.operators.skew import HOT_ROWS, join_many_to_one, numbered, running_total
 
 KEY = ["user_id", "playlist_name"]
 TABLE = ["id", *KEY, "song_data", "created_at", "updated_at"]
@@ -37,12 +37,17 @@ def playlists_by_user(playlists: DataFrame, user_id: str | None = None) -> DataF
 
 
 def playlist_pages(playlists: DataFrame, user_id: str | None = None, page: int = PAGE) -> DataFrame:
-    """(user_id, playlist_name, page_no, songs): arrays of at most `page` songs each."""
-    rows = playlists_by_user(playlists, user_id).filter(~F.col("bad"))
+    """(user_id, playlist_name, page_no, songs, n_bad): arrays of at most `page` songs each.
+
+    A song that is not valid JSON is left out and counted; its playlist and its place stay.
+    """
+    rows = playlists_by_user(playlists, user_id)
     page_no = F.coalesce(F.floor(F.col("pos") / page), F.lit(0)).alias("page_no")
     entry = F.when(F.col("song").isNotNull(), F.struct("pos", "song"))
     ordered = F.array_sort(F.collect_list(entry))
-    return rows.groupBy(*KEY, page_no).agg(F.transform(ordered, lambda e: e["song"]).alias("songs"))
+    return rows.groupBy(*KEY, page_no).agg(
+        F.transform(ordered, lambda e: e["song"]).alias("songs"), F.count_if("bad").alias("n_bad")
+    )
 
 
 def _last_commands(commands: DataFrame) -> DataFrame:
@@ -63,13 +68,16 @@ def apply_playlist_commands(
     columns = [c for c in TABLE if c in playlists.columns]
     last = _last_commands(commands)
     kept = join_many_to_one(playlists.select(*columns), last.select(*KEY), KEY, ["id"], "left_anti", hot_rows)
-    added = last.filter(F.col("op") == "replace").select("seq", *KEY, F.posexplode("songs").alias("place", "song_data"))
-    added = numbered(added, [], "seq", ["place", *KEY], "number")
+    # Commands are numbered by the songs before them; only then do their songs become rows.
+    replaced = last.filter((F.col("op") == "replace") & (F.size("songs") > 0))
+    added = running_total(replaced, "seq", KEY, F.size("songs"), "before")
+    added = added.select("before", *KEY, F.posexplode("songs").alias("place", "song_data"))
     top = playlists.agg(F.coalesce(F.max("id"), F.lit(-1)).cast("long")).scalar()
     now = F.lit(run_at).cast("timestamp")
     new = added.select(
-        (top + F.col("number") + 1).alias("id"), *KEY, "song_data", now.alias("created_at"), now.alias("updated_at")
-    )
+        (top + F.col("before") + F.col("place") + 1).alias("id"), *KEY, "song_data",
+        now.alias("created_at"), now.alias("updated_at"),
+    )
     kept = kept.withColumn("id", F.col("id").cast("long"))
     return kept.select(*columns).unionByName(new.select(*columns))
 

@@ -136,3 +136,23 @@ def numbered(
         .withColumn(name, (F.col("__rank") + F.col("__offset")).cast("long"))
         .drop("__block", "__rank", "__offset")
     )
+
+
+def running_total(df: DataFrame, order: str, ties: list[str], amount: Column, name: str, width: int = 65_536) -> DataFrame:
+    """Add the sum of `amount` over all rows before each row, in the order of whole numbers.
+
+    Amounts are summed per block of `width` order values and per block of such blocks; a task holds
+    the rows of one block, and one last task a total for every 2**32 order values that occur.
+    """
+    rows = df.withColumn("__amount", amount.cast("long")).withColumn("__block", F.expr(f"`{order}` div {width}"))
+    sums = rows.groupBy("__block").agg(F.sum("__amount").alias("__sum")).withColumn("__outer", F.expr(f"__block div {width}"))
+    before = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = sums.groupBy("__outer").agg(F.sum("__sum").alias("__total"))
+    start = F.coalesce(F.sum("__total").over(before(Window.orderBy("__outer"))), F.lit(0))
+    starts = totals.select("__outer", start.alias("__start"))
+    within = F.coalesce(F.sum("__sum").over(before(Window.partitionBy("__outer").orderBy("__block"))), F.lit(0))
+    offsets = sums.withColumn("__within", within).join(starts, "__outer")
+    offsets = offsets.select("__block", (F.col("__within") + F.col("__start")).alias("__offset"))
+    inside = F.coalesce(F.sum("__amount").over(before(Window.partitionBy("__block").orderBy(order, *ties))), F.lit(0))
+    met = rows.withColumn("__inside", inside).join(offsets, "__block")
+    return met.withColumn(name, F.col("__inside") + F.col("__offset")).drop("__amount", "__block", "__inside", "__offset")

@@ -69,7 +69,13 @@ def playlists_by_user(spark, sf_dir):
 
 def playlist_pages(spark, sf_dir):
     rows = pl.playlist_pages(view(spark, sf_dir, "user_playlists"), page=10)
-    return rows.select("user_id", "playlist_name", "page_no", F.array_join("songs", "|").alias("songs"))
+    return rows.select("user_id", "playlist_name", "page_no", F.array_join("songs", "|").alias("songs"), "n_bad")
+
+
+def playlist_pages_bad(spark, sf_dir):
+    """Pages of playlists in which some songs, and in some playlists all, are no JSON."""
+    rows = pl.playlist_pages(view(spark, sf_dir, "broken_playlists"), page=10)
+    return rows.select("user_id", "playlist_name", "page_no", F.array_join("songs", "|").alias("songs"), "n_bad")
 
 
 NEW_SONGS = ['{"title": "one"}', '{"title": "two"}']
@@ -101,14 +107,14 @@ def playlist_stream(spark, sf_dir):
     _commands(spark, sf_dir).write.parquet(f"{home}/inbox")
     run = st.stream_playlist_commands(spark, f"{home}/inbox", f"{home}/table", f"{home}/progress")
     run.awaitTermination()
-    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(run)))
+    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(spark, f"{home}/table")))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         embed_text, embed_clip, embed_batch, embed_prompts, embed_upsert, embed_upsert_keep, playlists_by_user,
-        playlist_pages, playlist_apply, playlist_delete, playlist_commands, playlist_stream,
+        playlist_pages, playlist_pages_bad, playlist_apply, playlist_delete, playlist_commands, playlist_stream,
     )
 }
 
@@ -187,7 +193,21 @@ ORACLES = {
     "playlist_pages": with_views(
         "user_playlists",
         f"""WITH {SONGS_CTE} SELECT user_id, playlist_name, CAST(coalesce(pos // 10, 0) AS BIGINT) AS page_no,
-        coalesce(string_agg(song, '|' ORDER BY pos), '') AS songs FROM listed GROUP BY ALL""",
+        coalesce(string_agg(song, '|' ORDER BY pos), '') AS songs, 0::BIGINT AS n_bad FROM listed GROUP BY ALL""",
+    ),
+    "playlist_pages_bad": with_views(
+        "broken_playlists",
+        """WITH filled AS (
+          SELECT user_id, playlist_name, song_data, json_valid(song_data) AS good,
+                 row_number() OVER (PARTITION BY user_id, playlist_name ORDER BY id) - 1 AS pos
+          FROM broken_playlists WHERE song_data <> ''),
+        listed AS (
+          SELECT user_id, playlist_name, pos, CASE WHEN good THEN song_data END AS song, NOT good AS bad FROM filled
+          UNION ALL SELECT user_id, playlist_name, NULL, NULL, FALSE FROM broken_playlists
+          GROUP BY user_id, playlist_name HAVING count(*) FILTER (song_data <> '') = 0)
+        SELECT user_id, playlist_name, CAST(coalesce(pos // 10, 0) AS BIGINT) AS page_no,
+               coalesce(string_agg(song, '|' ORDER BY pos), '') AS songs, count(*) FILTER (bad) AS n_bad
+        FROM listed GROUP BY ALL""",
     ),
     "playlist_apply": with_views(
         "user_playlists",

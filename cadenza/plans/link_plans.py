@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import strip
@@ -72,6 +74,41 @@ def link_summary(spark, sf_dir):
     return mt.link_summary(_cleaned(spark, sf_dir), _both_services(spark, sf_dir))
 
 
+def _by_album(spark, sf_dir):
+    """Songs on several albums, each searched with its own text: the rows and both services' links."""
+    cleaned = mt.clean_input(view(spark, sf_dir, "album_songs"))
+    offers = view(spark, sf_dir, "album_candidates").withColumn("artists", F.array("artist_1", "artist_2"))
+    a = mt.match_links(cleaned, offers, mt.SERVICE_A)
+    return cleaned, a.unionByName(mt.match_links(cleaned, offers, mt.SERVICE_B))
+
+
+def link_match_albums(spark, sf_dir):
+    _, links = _by_album(spark, sf_dir)
+    return links.select("song_id", "album_key", "service", "url", F.col("tier").cast("long").alias("tier"))
+
+
+def link_summary_albums(spark, sf_dir):
+    return mt.link_summary(*_by_album(spark, sf_dir))
+
+
+def link_failures_albums(spark, sf_dir):
+    return mt.link_failures(*_by_album(spark, sf_dir))
+
+
+def link_updates_albums(spark, sf_dir):
+    return mt.link_updates(_by_album(spark, sf_dir)[1])
+
+
+RUN_AT = datetime(2024, 5, 6)
+
+
+def link_patch_times(spark, sf_dir):
+    """A patch of rows with times; one that sets a link to what it was changes nothing."""
+    rows = mu.patch_links(view(spark, sf_dir, "timed_links"), view(spark, sf_dir, "link_patch"), RUN_AT)
+    day = F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on")
+    return rows.select("song_id", "spotify_url", "youtube_music_url", day)
+
+
 def link_save(spark, sf_dir):
     """The whole collection run: match for both services, then upsert into the link table."""
     updates = mt.link_updates(_both_services(spark, sf_dir))
@@ -100,7 +137,7 @@ def link_stream(spark, sf_dir):
     arrivals.repartition(3, "song_id").write.parquet(f"{home}/inbox")
     run = st.stream_link_updates(spark, f"{home}/inbox", f"{home}/table", f"{home}/progress", files_per_batch=1)
     run.awaitTermination()
-    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(run)))
+    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(spark, f"{home}/table")))
 
 
 def link_upsert_all(spark, sf_dir):
@@ -128,7 +165,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         match_input, match_strategies, match_strategies_simple, link_match_a, link_match_b, link_match_simple, link_failures,
-        link_summary, link_save, link_upsert, link_stream, link_upsert_all, link_patch, link_coverage,
+        link_summary, link_match_albums, link_summary_albums, link_failures_albums, link_updates_albums,
+        link_patch_times, link_save, link_upsert, link_stream, link_upsert_all, link_patch, link_coverage,
         coverage_after_patch, text_strip,
     )
 }
@@ -149,6 +187,48 @@ def _either(a: str, b: str) -> str:
     return f"(contains({a}, {b}) OR contains({b}, {a}))"
 
 
+WATCH = "'https://music.youtube.com/watch?v='"
+
+
+def _albums_cte() -> str:
+    """Matches by song and album, one service after the other, from the definition."""
+    body = f"""parsed AS (SELECT *, {FIRST_ARTIST} AS first_artist FROM album_songs),
+      cleaned AS (
+        SELECT song_id, song_name, trim(split_part(first_artist, '(', 1)) AS artist, trim(album_name) AS album,
+               coalesce(trim(album_name), '') AS album_key,
+               song_name IS NULL OR song_name IN ('', 'None') AS skipped FROM parsed),
+      keyed_offers AS (SELECT *, coalesce(trim(searched_album), '') AS album_key FROM album_candidates),
+      offers AS (
+        SELECT *, row_number() OVER (PARTITION BY song_id, album_key ORDER BY strategy_no, pos, title, url) AS place,
+               min(strategy_no) OVER (PARTITION BY song_id, album_key) AS first_strategy FROM keyed_offers),
+      wanted AS (SELECT DISTINCT song_id, album_key, song_name, artist FROM cleaned WHERE NOT skipped)"""
+    artist, offered, wanted = "trim(lower(s.artist))", "trim(lower(coalesce(c.album, '')))", "trim(lower(s.album_key))"
+    song, title = "trim(lower(s.song_name))", "trim(lower(c.title))"
+    artist_ok = f"(coalesce(s.artist, '') = '' OR {_either(artist, 'trim(lower(c.artist_1))')} OR {_either(artist, 'trim(lower(c.artist_2))')})"
+    alike = f"({song} = {title} OR {_either(song, title)})"
+    for name, service, gate, fits, url in (
+        ("of_a", "A", "TRUE", _either(wanted, offered), "url"),
+        ("of_b", "B", "c.result_type = 'song'", f"({offered} <> '' AND {_either(wanted, offered)})", f"{WATCH} || url"),
+    ):
+        near = f"({gate} AND {alike} AND {artist_ok})"
+        album_ok = f"({wanted} = '' OR {fits})"
+        body += f""",
+      {name}_ranked AS (
+        SELECT s.song_id, s.album_key, c.url, c.place,
+               CASE WHEN {near} AND {song} = {title} AND {album_ok} THEN 1 WHEN {near} AND {album_ok} THEN 2
+                    WHEN {near} THEN 3 ELSE 9 END AS tier
+        FROM wanted s JOIN offers c ON c.song_id = s.song_id AND c.album_key = s.album_key
+        WHERE c.strategy_no = c.first_strategy AND lower(s.song_name) <> 'none'),
+      {name}_best AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song_id, album_key ORDER BY tier, place) AS r
+                       FROM {name}_ranked) WHERE r = 1),
+      {name} AS (
+        SELECT w.song_id, w.album_key, '{service}' AS service, {url} AS url, CAST(tier AS BIGINT) AS tier
+        FROM (SELECT DISTINCT song_id, album_key FROM wanted) w LEFT JOIN {name}_best b
+          ON b.song_id = w.song_id AND b.album_key = w.album_key)"""
+    return body + ", both_services AS (SELECT * FROM of_a UNION ALL SELECT * FROM of_b)"
+
+
 def _match_sql(name: str, service: str, source: str, album: bool, open_album: bool, songs_only: bool) -> str:
     song, title = "trim(lower(s.song_name))", "trim(lower(c.title))"
     artist, offered = "trim(lower(s.artist))", "trim(lower(c.album))"
@@ -172,7 +252,7 @@ def _match_sql(name: str, service: str, source: str, album: bool, open_album: bo
     {name}_first AS (
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY tier, place) AS r FROM {name}_pairs) WHERE r = 1),
     {name} AS (
-      SELECT s.song_id, '{service}' AS service, f.url, CAST(f.tier AS BIGINT) AS tier,
+      SELECT s.song_id, '{service}' AS service, {"'https://music.youtube.com/watch?v=' || f.url AS url" if service == "B" else "f.url"}, CAST(f.tier AS BIGINT) AS tier,
              CAST(f.strategy_no AS BIGINT) AS strategy_no, CAST(f.pos AS BIGINT) AS pos, f.title
       FROM {source} s LEFT JOIN {name}_first f ON f.song_id = s.song_id WHERE NOT s.skipped)"""
 
@@ -274,4 +354,35 @@ ORACLES = {
     "text_strip": "SELECT conv_id, turn, regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') AS stripped FROM conversations",
 }
 
+_albums = lambda body: with_views("album_songs album_candidates", f"WITH {_albums_cte()} {body}")
+ORACLES |= {
+    "link_match_albums": _albums("SELECT * FROM both_services"),
+    "link_failures_albums": _albums(
+        """SELECT c.song_id, c.song_name, c.artist, c.album, b.service FROM cleaned c
+        JOIN both_services b ON b.song_id = c.song_id AND b.album_key = c.album_key WHERE NOT c.skipped AND b.url IS NULL"""
+    ),
+    "link_summary_albums": _albums(
+        """SELECT service, (SELECT count(*) FROM cleaned) AS total, (SELECT count(*) FROM cleaned WHERE NOT skipped) AS saved,
+        0::BIGINT AS failed_saves, count(*) FILTER (url IS NULL) AS failed_fetches, count(url) AS links_found
+        FROM cleaned c JOIN both_services b ON b.song_id = c.song_id AND b.album_key = c.album_key
+        WHERE NOT c.skipped GROUP BY service"""
+    ),
+    "link_updates_albums": _albums(
+        """SELECT song_id, arg_max(url, album_key) FILTER (service = 'A' AND url IS NOT NULL) AS spotify_url,
+        arg_max(url, album_key) FILTER (service = 'B' AND url IS NOT NULL) AS youtube_music_url
+        FROM both_services GROUP BY song_id"""
+    ),
+    "link_patch_times": with_views(
+        "timed_links link_patch",
+        """WITH cells AS (
+          SELECT song_id, max(CASE WHEN link_column = 'spotify_url' THEN link_value END) AS sp,
+                 max(CASE WHEN link_column = 'youtube_music_url' THEN link_value END) AS yt FROM link_patch GROUP BY song_id)
+        SELECT l.song_id, coalesce(c.sp, spotify_url) AS spotify_url, coalesce(c.yt, youtube_music_url) AS youtube_music_url,
+               CASE WHEN coalesce(c.sp, spotify_url, '') <> coalesce(spotify_url, '')
+                      OR coalesce(c.yt, youtube_music_url, '') <> coalesce(youtube_music_url, '')
+                    THEN '2024-05-06' ELSE '2020-01-02' END AS updated_on
+        FROM timed_links l LEFT JOIN cells c ON c.song_id = l.song_id""",
+    ),
+}
+
 ORACLES["link_stream"] = ORACLES["link_upsert"]

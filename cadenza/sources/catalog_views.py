@@ -55,6 +55,37 @@ VIEWS = {
     "user_playlists": """
         SELECT event_id AS id, CAST(user_id AS STRING) AS user_id, event_type AS playlist_name,
                CASE WHEN value >= 1 THEN props ELSE '' END AS song_data FROM events""",
+    "broken_playlists": """
+        SELECT event_id AS id, CAST(user_id AS STRING) AS user_id, event_type AS playlist_name,
+               CASE WHEN event_type = 'error' OR event_id % 7 = 3 THEN 'no json ' || event_type
+                    WHEN value >= 1 THEN props ELSE '' END AS song_data FROM events""",
+    "album_songs": """
+        SELECT CAST(o.o_custkey AS STRING) AS song_id, p.p_name AS song_name,
+               CASE WHEN o.o_custkey % 3 = 0 THEN 'Supplier#0000' END AS artists,
+               CASE WHEN o.o_orderstatus <> 'P' THEN a.p_brand END AS album_name
+        FROM orders o
+        LEFT JOIN part p ON p.p_partkey = o.o_custkey
+        LEFT JOIN part a ON a.p_partkey = o.o_orderkey % 50""",
+    "album_candidates": """
+        SELECT CAST(o.o_custkey AS STRING) AS song_id,
+               CASE WHEN o.o_orderstatus <> 'P' THEN a.p_brand END AS searched_album,
+               CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 2 END AS strategy_no,
+               l.l_linenumber AS pos, p.p_name AS title, s.s_name AS artist_1, p.p_type AS artist_2,
+               CASE WHEN l.l_tax > 0 THEN p.p_brand ELSE '' END AS album,
+               CASE WHEN l.l_returnflag = 'R' THEN 'video' ELSE 'song' END AS result_type,
+               CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_partkey AS STRING) AS url
+        FROM lineitem l
+        JOIN orders o ON o.o_orderkey = l.l_orderkey
+        JOIN part p ON p.p_partkey = CASE WHEN l.l_linenumber = 1 THEN o.o_custkey ELSE l.l_partkey END
+        JOIN supplier s ON s.s_suppkey = l.l_suppkey
+        LEFT JOIN part a ON a.p_partkey = o.o_orderkey % 50
+        WHERE l.l_discount > 0.02""",
+    "timed_links": """
+        SELECT CAST(page_id AS STRING) AS song_id,
+               CASE WHEN url NOT LIKE '%utm_source%' THEN url END AS spotify_url,
+               CASE WHEN page_id % 5 = 0 THEN 'https://patched.example.com/' || CAST(page_id AS STRING) END AS youtube_music_url,
+               CAST('2020-01-01 00:00:00' AS TIMESTAMP) AS created_at, CAST('2020-01-02 00:00:00' AS TIMESTAMP) AS updated_at
+        FROM pages""",
     "queries": """
         SELECT b.item_id AS query_id, p.p_name || ' ' || b.text AS prompt, e.embedding AS vec,
                CASE p.p_type WHEN 'PROMO' THEN 0.25e0 WHEN 'SMALL' THEN 0.5e0 END AS energy_min,

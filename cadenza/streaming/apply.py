@@ -81,10 +81,17 @@ def _arriving(spark: SparkSession, schema: str, inbox: str, files_per_batch: int
     return reader.parquet(inbox)
 
 
-def newest_version(query: StreamingQuery) -> int:
-    """Number of the last batch applied; -1 before the first."""
-    progress = query.lastProgress
-    return -1 if progress is None else progress["batchId"]
+def newest_version(spark: SparkSession, table: str) -> int:
+    """Number of the last version that is complete; -1 before the first batch.
+
+    It is read from the table itself: a query started again without new files has batch numbers
+    for which nothing was written. The numbers seen are written last, so they mark a whole version.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(f"{table}/seen").getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(path(f"{table}/seen/version=*/_SUCCESS")) or []
+    names = [str(status.getPath().getParent().getName()) for status in done]
+    return max((int(name.partition("=")[2]) for name in names), default=-1)
 
 
 def stream_playlist_commands(
