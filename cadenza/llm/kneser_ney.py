@@ -34,7 +34,7 @@ from cadenza.session import cut, new_path, send_with_tasks
 ORDER = 4
 # Characters before the beginning of a text.
 PAD = "\x02"
-BUNDLE_BYTES = 24 << 20
+BUNDLE_BYTES = 16 << 20
 AT_ONCE = 1 << 21
 # A bundle can tell so many characters apart; rarer ones count as one.
 ALPHABET = 1 << 16

@@ -2,14 +2,14 @@
 
 Two zstandard dictionaries are trained, one on ordinary text and one that holds, after the same
 ordinary text, what sets toxic documents apart. A document is read as windows of one word, in lower
-case; each window is compressed with either dictionary, set in a context that both dictionaries know,
-so that a few bytes of difference show. The pair of compressed lengths is compared with calibrated
+case; each window is compressed with either dictionary, set in contexts that both dictionaries know, so
+that a few bytes of difference show. The pair of compressed lengths is compared with calibrated
 log-likelihood ratios, and a logistic regression turns their mean, scaled sum and the number of
 windows above two thresholds into a score.
 
 Training uses a bounded sample of labelled rows, those of the smallest hashes of doc_id: at most
 `most_toxic` and `most_ordinary` documents. Calibration is crossed: the documents of each fold are
-compressed with dictionaries made of the other folds. The dictionaries for scoring are made of all. Scoring reads whole texts; a Python worker compresses a word it has met before only if it
+compressed with a toxic dictionary made of the other folds. The one for scoring is made of all. Scoring reads whole texts; a Python worker compresses a word it has met before only if it
 has forgotten it.
 
 Defined results:
@@ -42,18 +42,21 @@ PUNCTUATION = string.punctuation.encode()
 READ = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 LONGEST = 40
 LEVEL = 3
-# Lengths above that of an empty window, counted up to this one.
-CELLS = 24
+# Lengths above that of a known word, counted up to this one, and below it.
+CELLS = 48
+BELOW = 4
 ORDINARY_BYTES = 32 << 10
 TOXIC_BYTES = 16 << 10
 CONTEXT = 64
-SAMPLE_WINDOWS = 40_000
+CONTEXTS = (0.25, 0.6, 0.95)
+SAMPLE_WINDOWS = 32_000
 WINDOW_BYTES = 256
 KEPT_WORDS = 300_000
 LEAST_DOCS = 3
 RATIO = 20.0
 STEPS = (1.0, 2.0)
 LONG_WORD = 8
+DOUBT = 5.0
 FOLDS = 4
 
 
@@ -82,11 +85,12 @@ class Lengths:
     """The pair of compressed lengths of a window, as one number."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        # From the middle: the last bytes of a dictionary cannot be referred to.
-        middle = max(0, len(ordinary) // 2 - CONTEXT)
-        self.context = ordinary[middle : middle + CONTEXT]
+        # From all over the dictionary, as one context may swallow a byte that another shows; not from
+        # its end, which cannot be referred to.
+        starts = [int(max(0, len(ordinary) - 2 * CONTEXT) * place) for place in CONTEXTS]
+        self.contexts = [ordinary[at : at + CONTEXT] for at in starts]
         self.by_ordinary, self.by_both = map(self._compressor, (ordinary, ordinary + toxic))
-        self.base = self._sizes(b"")
+        self.base = self._known(ordinary, 0), self._known(toxic if toxic.strip() else ordinary, 1)
         # Two generations: words not met again while one fills up are forgotten.
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
@@ -102,9 +106,23 @@ class Lengths:
         return zstandard.ZstdCompressor(dict_data=held, compression_params=shape).compress
 
     def _sizes(self, word: bytes) -> tuple[int, int]:
-        # The end of an input is never matched, so the word stands in the middle of the context.
-        window = b"%b %b %b" % (self.context[: CONTEXT // 2], word, self.context[CONTEXT // 2 :])
-        return len(self.by_ordinary(window)), len(self.by_both(window))
+        """Lengths by either dictionary, summed over the contexts."""
+        a = b = 0
+        for context in self.contexts:
+            # The end of an input is never matched, so the word stands in the middle of the context.
+            window = b"%b %b %b" % (context[: CONTEXT // 2], word, context[CONTEXT // 2 :])
+            a += len(self.by_ordinary(window))
+            b += len(self.by_both(window))
+        return a, b
+
+    def _known(self, content: bytes, which: int) -> int:
+        """What a word costs that a dictionary holds: the middle of a few of its own words.
+
+        Lengths are counted from there, so that those of different dictionaries can be compared.
+        """
+        own = sorted({w for w in content.split() if 4 <= len(w) <= 12})[:: max(1, len(content) // 4096)]
+        sizes = sorted(self._sizes(w)[which] for w in own) or [self._sizes(b"")[which]]
+        return sizes[len(sizes) // 2] - BELOW
 
     def cell(self, word: bytes) -> int:
         a, b = (min(max(size - base, 0), CELLS - 1) for size, base in zip(self._sizes(word), self.base))
@@ -127,12 +145,9 @@ class Lengths:
         return total
 
 
-def _features(counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+def _features(n, total, above) -> np.ndarray:
     """Mean and scaled sum of the ratios, numbers of windows above the steps, number of windows."""
-    n = counts.sum(axis=-1)
-    total = counts @ ratios
-    above = [np.log1p(counts @ (ratios > step)) for step in STEPS]
-    return np.stack([total / n, total / np.sqrt(n), *above, np.log1p(n)], axis=-1)
+    return np.concatenate([np.stack([total / n, total / np.sqrt(n)], axis=-1), np.log1p(above), np.log1p(n)[..., None]], axis=-1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -152,7 +167,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
 def score_of(model: Model, counts: np.ndarray) -> float:
     if not len(model.scales):
         return float(model.weights[0])
-    x = (_features(counts, model.ratios) - model.means) / model.scales
+    above = np.array([counts @ (model.ratios > step) for step in STEPS], dtype=np.float64)
+    x = (_features(np.float64(counts.sum()), counts @ model.ratios, above) - model.means) / model.scales
     return float(1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30))))
 
 
@@ -200,13 +216,13 @@ def _words_of_documents(batches):
 
 def _windows_of_documents(batches):
     """Stretches of the read text, as samples for the ordinary dictionary."""
-    schema = pa.schema([("fold", pa.int32()), ("window", pa.binary())])
+    schema = pa.schema([("window", pa.binary())])
 
     def found():
-        for fold, text in rows_in(batches):
+        for (text,) in rows_in(batches):
             for part in windows(text):
                 joined = b" ".join(part)
-                yield from ((fold, joined[i : i + WINDOW_BYTES]) for i in range(0, len(joined), WINDOW_BYTES))
+                yield from ((joined[i : i + WINDOW_BYTES],) for i in range(0, len(joined), WINDOW_BYTES))
 
     yield from batches_of(found(), schema, 5000)
 
@@ -246,7 +262,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     return b" ".join(samples)[-size:]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_ordinary: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_ordinary: int = 8000) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic)."""
     texts = docs.select("doc_id", utf8("text").alias("text"))
     sample = cut(training_sample(texts, labels, most_toxic, most_ordinary))
@@ -256,13 +272,15 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_ordin
     if not total[0] or not total[1]:
         none = np.zeros(0)
         return Model(b"", b"", none, none, none, np.array([total[1] / max(1, sum(total.values()))]))
-    ordinary = sample.filter("toxic = 0").select("fold", "text").mapInArrow(_windows_of_documents, "fold int, window binary")
+    ordinary = sample.filter("toxic = 0").select("text").mapInArrow(_windows_of_documents, "window binary")
     # Bounded: SAMPLE_WINDOWS rows of at most WINDOW_BYTES.
     held = ordinary.orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS).collect()
     counted = cut(_counted_words(sample))
 
+    # One ordinary dictionary for all: it holds far less than a thousandth of the calibrating texts.
+    base = _trained([bytes(r.window) for r in held], ORDINARY_BYTES)
+
     def dictionaries(folds: list[int]) -> tuple[bytes, bytes]:
-        base = _trained([bytes(r.window) for r in held if r.fold in folds], ORDINARY_BYTES)
         return base, _toxic_words(counted, folds, sizes)
 
     crossed = [dictionaries([other for other in range(FOLDS) if other != fold]) for fold in range(FOLDS)]
@@ -281,25 +299,26 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_ordin
         yield from batches_of(found(), schema, 10_000)
 
     rows = sample.select("doc_id", "toxic", "fold", "text").mapInArrow(count, "doc long, toxic int, cell int, n long")
-    # Bounded by the sample: at most one row for each of its documents and each pair of lengths.
-    rows = rows.toPandas().sort_values(["doc", "cell"])
-    base, toxic = dictionaries(list(range(FOLDS)))
-    return _calibrated(base, toxic, rows)
+    return _calibrated(*dictionaries(list(range(FOLDS))), cut(rows))
 
 
-def _calibrated(base: bytes, toxic: bytes, rows) -> Model:
+def _calibrated(base: bytes, toxic: bytes, rows: DataFrame) -> Model:
     """The model of two dictionaries, from rows (doc, toxic, cell, n) of the calibrating documents."""
-    found, place = np.unique(rows["doc"].to_numpy(), return_inverse=True)
-    counts = np.zeros((len(found), CELLS * CELLS), dtype=np.float32)
-    np.add.at(counts, (place, rows["cell"].to_numpy()), rows["n"].to_numpy())
-    y = np.zeros(len(found))
-    y[place] = rows["toxic"].to_numpy()
-    by_label = np.stack([counts[y == label].sum(axis=0, dtype=np.float64) for label in (0, 1)])
-    pooled = by_label.sum(axis=0) + 1e-3
-    prior = 20 * pooled / pooled.sum()
-    shares = (by_label + prior) / (by_label.sum(axis=1, keepdims=True) + 20)
-    ratios = np.clip(np.log(shares[1] / shares[0]), -1, 4)
-    x = _features(counts, ratios)
+    by_label = np.zeros((2, CELLS * CELLS))
+    for r in rows.groupBy("toxic", "cell").agg(F.sum("n").alias("n")).collect():
+        by_label[r.toxic, r.cell] = r.n
+    # Of pairs that are rarely met, little is said: what either label has is compared with what it
+    # would have by chance, after DOUBT windows more of both.
+    chance = by_label.sum(axis=0) * by_label.sum(axis=1, keepdims=True) / by_label.sum()
+    apart = np.log((by_label + DOUBT) / (chance + DOUBT))
+    ratios = np.clip(apart[1] - apart[0], -1, 4)
+    ratio = F.element_at(F.array(*[F.lit(float(v)) for v in ratios]), F.col("cell") + 1)
+    sums = [F.sum("n"), F.sum(F.col("n") * F.col("ratio"))]
+    sums += [F.sum(F.when(F.col("ratio") > step, F.col("n")).otherwise(0)) for step in STEPS]
+    # Bounded by the sample: a row of six numbers for each of its documents.
+    found = rows.withColumn("ratio", ratio).groupBy("doc", "toxic").agg(*sums).orderBy("doc", "toxic").collect()
+    values = np.array([tuple(r)[1:] for r in found], dtype=np.float64)
+    x, y = _features(values[:, 1], values[:, 2], values[:, 3:]), values[:, 0]
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     return Model(base, toxic, ratios, means, scales, _logistic((x - means) / scales, y))
 
