@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -21,12 +22,10 @@ def buckets_for(spark: SparkSession, n_documents: int) -> int:
     return min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, by_size))
 
 
-def _save_bucketed(df: DataFrame, table: str, path: str, buckets: int, in_order: bool = False) -> DataFrame:
-    """One file per bucket of songs; in_order also keeps the rows of a song next to each other."""
+def _save_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """One file per bucket of songs, with the rows of a song next to each other and in order."""
     writer = df.repartition(buckets, "song_id").write.mode("overwrite").format("parquet")
-    writer = writer.bucketBy(buckets, "song_id")
-    if in_order:
-        writer = writer.sortBy("song_id")
+    writer = writer.bucketBy(buckets, "song_id").sortBy("song_id")
     writer.option("path", path).saveAsTable(table)
     return df.sparkSession.table(table)
 
@@ -36,42 +35,52 @@ def _save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _table(name: str, version: str, part: str) -> str:
+    return f"{name}_{version}_{part}"
+
+
 def save_index(documents: DataFrame, name: str, path: str, buckets: int) -> ix.Index:
-    """Drop and rebuild the index tables `<name>_*` under path. See buckets_for."""
+    """Build the index anew under path. See buckets_for.
+
+    Every build is a folder of its own. The layout that names the current one is written last, so a
+    reader has all parts of one build, whatever becomes of a build under way; older folders stay
+    until they are cleared away. Beyond MOST_BUCKETS * DOCUMENTS_PER_BUCKET documents buckets grow.
+    """
     spark = documents.sparkSession
-    count = buckets
-    docs = _save_bucketed(documents, f"{name}_documents", f"{path}/documents", count)
-    fields = _save(ix.field_stats(docs), f"{path}/fields")
+    version = uuid.uuid4().hex
+    home = f"{path}/{version}"
+    docs = _save_bucketed(documents, _table(name, version, "documents"), f"{home}/documents", buckets)
+    fields = _save(ix.field_stats(docs), f"{home}/fields")
     posts = ix.postings(ix.term_counts(docs), fields)
-    posts = _save_bucketed(posts, f"{name}_postings", f"{path}/postings", count, in_order=True)
+    posts = _save_bucketed(posts, _table(name, version, "postings"), f"{home}/postings", buckets)
     # As many files as buckets: finding near spellings costs far more time than bytes.
-    terms = _save(ix.term_stats(posts).repartition(count, "term"), f"{path}/terms")
-    layout = {"buckets": count, "schemas": {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields))}}
-    spark.createDataFrame([(json.dumps(layout),)], "layout string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/layout"
-    )
+    terms = _save(ix.term_stats(posts).repartition(buckets, "term"), f"{home}/terms")
+    schemas = {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields))}
+    layout = json.dumps({"version": version, "buckets": buckets, "schemas": schemas})
+    one = spark.createDataFrame([(layout,)], "layout string").coalesce(1)
+    one.write.mode("overwrite").text(f"{path}/layout")
     return ix.Index(docs, posts, terms, fields)
 
 
 def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
-    """An index written by save_index, also from another session."""
+    """The last index that save_index finished under path, also from another session.
+
+    Tables are named after the build, so a name never leads to the parts of another index.
+    """
     layout = json.loads(spark.read.text(f"{path}/layout").first()["value"])
+    home = f"{path}/{layout['version']}"
 
-    def bucketed(part: str, order: str = "") -> DataFrame:
-        table = f"{name}_{part}"
+    def bucketed(part: str) -> DataFrame:
+        table = _table(name, layout["version"], part)
         if not spark.catalog.tableExists(table):
             schema = T.StructType.fromJson(layout["schemas"][part])
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             spark.sql(
                 f"CREATE TABLE {table} ({columns}) USING parquet "
-                f"CLUSTERED BY (song_id) {order} INTO {layout['buckets']} BUCKETS "
-                f"LOCATION '{path}/{part}'"
+                f"CLUSTERED BY (song_id) SORTED BY (song_id) INTO {layout['buckets']} BUCKETS "
+                f"LOCATION '{home}/{part}'"
             )
         return spark.table(table)
 
-    return ix.Index(
-        bucketed("documents"),
-        bucketed("postings", "SORTED BY (song_id)"),
-        spark.read.parquet(f"{path}/terms"),
-        spark.read.parquet(f"{path}/fields"),
-    )
+    parts = [spark.read.parquet(f"{home}/{part}") for part in ("terms", "fields")]
+    return ix.Index(bucketed("documents"), bucketed("postings"), *parts)

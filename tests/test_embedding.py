@@ -49,6 +49,12 @@ def test_every_distinct_prompt_is_embedded_once(spark):
     assert len(got) == 3 and vectors[1] == vectors[2] and all(vectors.values())
 
 
+def test_a_missing_prompt_does_not_spoil_its_batch(spark):
+    queries = spark.createDataFrame([(1, "good words", None), (2, None, None)], "query_id int, prompt string, vec array<float>")
+    got = {r.query_id: r.vec for r in em.embed_prompts(queries, em.hashed_words(8)).collect()}
+    assert got[1] and got[2] is None
+
+
 def test_functions_travel_without_the_package(tmp_path):
     """A task finds everything it calls, also where this package is not installed."""
     import subprocess
@@ -64,7 +70,6 @@ def test_functions_travel_without_the_package(tmp_path):
     parts = {
         "embed": em.hashed_words(8),
         "stream": knn._best_of_stream([1], np.ones((1, 2)), 3, out),
-        "block": knn._best_of_block(3),
     }
     (tmp_path / "parts").write_bytes(cloudpickle.dumps(parts))
     code = (

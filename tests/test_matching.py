@@ -19,7 +19,9 @@ def offers(spark, *data):
 
 def best(spark, rules, song, *candidates):
     row = mt.match_links(songs(spark, song), offers(spark, *candidates), rules).first()
-    return (row.url, row.tier)
+    address = "https://music.youtube.com/watch?v="
+    assert row.url is None or row.url.startswith(address) == rules.gives_ids
+    return (row.url and row.url.removeprefix(address), row.tier)
 
 
 ONE = ("1", "Blue", "Ann", "Sky", False)
@@ -124,7 +126,32 @@ def test_candidates_of_the_other_service_are_ignored(spark):
     offer = offers(spark, ("1", 1, 0, "Blue", ["Ann"], "Sky", "song", "a"), ("1", 1, 1, "Blue", ["Ann"], "Sky", "song", "b"))
     offer = offer.withColumn("service", F.upper("url"))
     some = songs(spark, ONE)
-    assert [mt.match_links(some, offer, r).first().url for r in (mt.SERVICE_A, mt.SERVICE_B)] == ["a", "b"]
+    assert [mt.match_links(some, offer, r).first().url for r in (mt.SERVICE_A, mt.SERVICE_B)] == [
+        "a", "https://music.youtube.com/watch?v=b"
+    ]
+
+
+def test_every_album_is_matched_by_its_own_candidates(spark, rows):
+    some = songs(spark, *[("1", "Blue", "Ann", album, False) for album in ("Sea", "Sky", None, None)])
+    found = offers(
+        spark, ("1", 1, 0, "Blue", ["Ann"], "Sea", "song", "sea"), ("1", 1, 1, "Blue", ["Ann"], "Sky", "song", "sky"),
+        ("1", 1, 2, "Red", ["Bob"], None, "song", "other"),
+    ).withColumn("searched_album", F.when(F.col("url") != "other", F.initcap("url")))
+    links = mt.match_links(some, found.filter("url != 'sky'"), mt.SERVICE_A)
+    assert [tuple(r)[:5] for r in links.orderBy("album_key").collect()] == [
+        ("1", "", "A", "other", 9), ("1", "Sea", "A", "sea", 1), ("1", "Sky", "A", None, None),
+    ]
+    # Counted in rows of the input: two of them have no album.
+    assert rows(mt.link_summary(some, links)) == [("A", 4, 4, 0, 1, 3)]
+    assert rows(mt.link_failures(some, links).select("song_id", "album")) == [("1", "Sky")]
+    assert rows(mt.link_updates(links)) == [("1", "sea", None)]
+
+
+def test_summary_counts_rows_where_songs_repeat(spark, rows):
+    some = songs(spark, *[("1", "Blue", "Ann", album, False) for album in ("a", "b", "c")])
+    links = mt.match_links(some, offers(spark), mt.SERVICE_A)
+    assert mt.link_failures(some, links).count() == 3
+    assert rows(mt.link_summary(some, links)) == [("A", 3, 3, 0, 3, 0)]
 
 
 def test_failures_and_summary(spark, cleaned, rows):

@@ -155,9 +155,8 @@ def test_large_batches_give_the_same_hits(world, monkeypatch):
     monkeypatch.setattr(lx, "FEW_QUERIES", 0)
     monkeypatch.setattr(lx, "SMALL_ROWS", 0)
     monkeypatch.setattr(lx, "PAIRS_PER_TASK", 7)
-    monkeypatch.setattr(knn, "DOCUMENTS_PER_BLOCK", 50)
     monkeypatch.setattr(knn, "QUERIES_PER_BLOCK", 3)
-    monkeypatch.setattr(knn, "nearest", lambda d, q, k=100: nearest(d, q, k, small_query_bytes=0))
+    monkeypatch.setattr(knn, "nearest", lambda d, q, k=100: nearest(d, q, k, small_query_bytes=400))
     assert_same(as_lists(hy.search(index, asked, size=15)), expected_hits(docs, queries, 15))
 
 
@@ -297,3 +296,18 @@ def test_enrich(spark):
     assert (b.title, b.artist, b.release_date, b.youtube_music_url, b.energy) == (
         "Unknown Title", "Unknown Artist", None, "y", 0.7,
     )
+
+
+def test_versions_of_an_index_do_not_mix(spark, world, tmp_path):
+    _, _, index, _, _ = world
+    one, two = (str(tmp_path / n) for n in ("one", "two"))
+    index_store.save_index(index.documents.limit(3), "t_mixed", one, 2)
+    index_store.save_index(index.documents.limit(5), "t_mixed", two, 2)
+    for path, n in ((one, 3), (two, 5)):
+        opened = index_store.open_index(spark, "t_mixed", path)
+        assert opened.documents.count() == n and opened.fields.agg({"n_docs": "max"}).first()[0] <= n
+    # A build under the same path takes the place of the one before; readers of that keep theirs.
+    before = index_store.open_index(spark, "t_mixed", one)
+    index_store.save_index(index.documents.limit(4), "t_mixed", one, 2)
+    assert before.documents.count() == 3
+    assert index_store.open_index(spark, "t_mixed", one).documents.count() == 4

@@ -54,3 +54,16 @@ def test_numbered(spark, width):
         assert [n for _, _, n in ordered] == list(range(len(ordered)))
     whole = skew.numbered(spark.createDataFrame(data, "g string, o int, t double"), [], "o", ["t", "g"], "n", width).collect()
     assert [r.n for r in sorted(whole, key=lambda r: (r.o, r.t, r.g))] == list(range(len(data)))
+
+
+def test_running_total(spark):
+    from cadenza.operators.skew import running_total
+
+    data = [(i * 7 % 1000, str(i), i % 5) for i in range(400)] + [(3, "tie", 2)]
+    df = spark.createDataFrame(data, "seq long, name string, n int")
+    got = {(r.seq, r.name): r.before for r in running_total(df, "seq", ["name"], df.n, "before", width=10).collect()}
+    expected, total = {}, 0
+    for seq, name, n in sorted(data):
+        expected[seq, name] = total
+        total += n
+    assert got == expected

@@ -29,3 +29,14 @@ def test_link_updates_arrive_in_batches(spark, rows, tmp_path):
     # Late for one link of a song, in time for the other.
     send((4, "a", "late", "w"), (1, "b", "s", "late"))
     assert rows(spark.read.parquet(st.rows_path(table, 1))) == [("a", "new", "w"), ("b", "s", "v")]
+
+
+def test_a_restart_without_new_files_keeps_the_version(spark, rows, tmp_path):
+    inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
+    st.create_table(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
+    assert st.newest_version(spark, table) == -1
+    spark.createDataFrame([(1, "a", "new", None)], st.LINK_UPDATES).write.parquet(inbox)
+    for _ in range(3):
+        st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
+        assert st.newest_version(spark, table) == 0
+        assert rows(spark.read.parquet(st.rows_path(table, st.newest_version(spark, table)))) == [("a", "new", None)]

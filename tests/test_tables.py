@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.operators import audit, mutations as mu, playlists as pl
 from cadenza.sources import tables as tb
@@ -63,6 +64,17 @@ def test_patch_links(spark, rows):
     assert rows(mu.patch_links(links, patch)) == [("a", "s", "y"), ("b", "x", "t")]
 
 
+def test_a_patch_refreshes_the_time_of_rows_that_change(spark, rows):
+    data = [("a", "s", None, "apple", EARLY, EARLY), ("b", "x", None, None, EARLY, EARLY), ("c", "x", None, None, EARLY, EARLY)]
+    links = spark.createDataFrame(data, tb.SCHEMAS["song_links"])
+    patch = spark.createDataFrame([("a", "spotify_url", "s"), ("b", "spotify_url", "new")], "song_id string, link_column string, link_value string")
+    assert rows(mu.patch_links(links, patch, NOW)) == [
+        ("a", "s", None, "apple", EARLY, EARLY), ("b", "new", None, None, EARLY, NOW), ("c", "x", None, None, EARLY, EARLY),
+    ]
+    with pytest.raises(Exception, match="names no link column: apple"):
+        mu.patch_links(links, patch.withColumn("link_column", F.lit("apple"))).collect()
+
+
 def test_coverage_of_the_published_run(spark):
     n = 20405
     links = spark.range(n).selectExpr(
@@ -109,11 +121,11 @@ def test_playlists_by_user(playlists, rows):
 
 
 def test_playlist_pages(spark, rows):
-    data = [(i, "u", "p", f"{i}") for i in range(25)] + [(99, "u", "e", "")]
+    data = [(i, "u", "p", f"{i}") for i in range(25)] + [(99, "u", "e", ""), (100, "u", "bad", "{"), (101, "u", "p", "no json")]
     pages = rows(pl.playlist_pages(spark.createDataFrame(data, PLAYLISTS), page=10))
     assert pages == [
-        ("u", "e", 0, []), ("u", "p", 0, [str(i) for i in range(10)]),
-        ("u", "p", 1, [str(i) for i in range(10, 20)]), ("u", "p", 2, [str(i) for i in range(20, 25)]),
+        ("u", "bad", 0, [], 1), ("u", "e", 0, [], 0), ("u", "p", 0, [str(i) for i in range(10)], 0),
+        ("u", "p", 1, [str(i) for i in range(10, 20)], 0), ("u", "p", 2, [str(i) for i in range(20, 25)], 1),
     ]
 
 
