@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions.vectors import parse_vector
 from cadenza.operators import embedding as em, mutations as mu, playlists as pl
 from cadenza.plans import inputs
 from cadenza.plans.catalog_plans import PLAIN_WORDS
 from cadenza.session import new_path
+from cadenza.sources import tables as tb
 from cadenza.sources.catalog_views import base_table, view, with_views
 from cadenza.streaming import apply as st
 
@@ -49,9 +51,15 @@ def _new_vectors(spark, sf_dir):
     )
 
 
+def _weighted(vector):
+    """A sum over all entries, each times its place from 1, which tells vectors apart."""
+    weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 5)
+
+
 def _vector_shape(rows):
-    first = F.round(F.get("embedding", F.lit(0)).cast("double"), 6)
-    return rows.select("song_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"), first.alias("first"))
+    dims = F.when(F.col("embedding").isNotNull(), F.size("embedding"))
+    return rows.select("song_id", dims.alias("dims"), _weighted("embedding").alias("weighted"))
 
 
 def embed_upsert(spark, sf_dir):
@@ -63,6 +71,26 @@ def embed_upsert_keep(spark, sf_dir):
     return _vector_shape(mu.upsert_embeddings(old, _new_vectors(spark, sf_dir), keep_existing=True))
 
 
+def vectors_json(spark, sf_dir):
+    """Vectors written as JSON and read again; some are empty text, some the word null."""
+    rows = base_table(spark, sf_dir, "embeddings")
+    kind = F.col("vec_id") % 10
+    text = F.when(kind == 0, "").when(kind == 1, "null").otherwise(F.to_json("embedding"))
+    read = rows.select(F.col("vec_id").cast("string").alias("song_id"), parse_vector(text).alias("embedding"))
+    return _vector_shape(read)
+
+
+def dump_restore(spark, sf_dir):
+    """The link table, dumped to the shared folder and restored from there."""
+    path = new_path(spark, "dump")
+    tb.dump_table(view(spark, sf_dir, "song_links"), path)
+    return tb.restore_table(spark, path)
+
+
+def column_status(spark, sf_dir):
+    return tb.column_status(view(spark, sf_dir, "songs"))
+
+
 def playlists_by_user(spark, sf_dir):
     return pl.playlists_by_user(view(spark, sf_dir, "user_playlists"))
 
@@ -113,7 +141,8 @@ def playlist_stream(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        embed_text, embed_clip, embed_batch, embed_prompts, embed_upsert, embed_upsert_keep, playlists_by_user,
+        embed_text, embed_clip, embed_batch, embed_prompts, embed_upsert, embed_upsert_keep, vectors_json,
+        dump_restore, column_status, playlists_by_user,
         playlist_pages, playlist_pages_bad, playlist_apply, playlist_delete, playlist_commands, playlist_stream,
     )
 }
@@ -143,6 +172,8 @@ def _slots(table: str, key: str, text: str) -> str:
 
 _SIGNS = f"{inputs.DIMS}::BIGINT AS dims, count(*) FILTER (v > 0) AS above, count(*) FILTER (v < 0) AS below"
 
+_WEIGHTED = "round(list_sum(list_transform({0}, lambda x, i: CAST(x AS DOUBLE) * i)), 5)"
+
 VECTORS_CTE = """fresh AS (
     SELECT CAST(l.doc_id AS VARCHAR) AS song_id, CASE WHEN l.quality = 1 THEN e.embedding END AS embedding
     FROM labels l JOIN part p ON p.p_partkey = l.doc_id JOIN embeddings e ON e.vec_id = p.p_size)"""
@@ -152,7 +183,7 @@ _vectors = lambda value: with_views(
     f"""WITH {VECTORS_CTE}, merged AS (
       SELECT coalesce(n.song_id, o.song_id) AS song_id, {value} AS v
       FROM song_embeddings o FULL JOIN fresh n ON n.song_id = o.song_id)
-    SELECT song_id, CAST(len(v) AS INTEGER) AS dims, round(CAST(v[1] AS DOUBLE), 6) AS first FROM merged""",
+    SELECT song_id, CAST(len(v) AS INTEGER) AS dims, {_WEIGHTED.format('v')} AS weighted FROM merged""",
 )
 
 SONGS_CTE = """filled AS (
@@ -227,4 +258,21 @@ ORACLES = {
     ),
 }
 
+ORACLES |= {
+    "vectors_json": f"""SELECT CAST(vec_id AS VARCHAR) AS song_id,
+      CASE WHEN vec_id % 10 > 1 THEN CAST(len(embedding) AS INTEGER) END AS dims,
+      CASE WHEN vec_id % 10 > 1 THEN {_WEIGHTED.format('embedding')} END AS weighted FROM embeddings""",
+    "dump_restore": with_views("song_links", "SELECT * FROM song_links"),
+    "column_status": with_views(
+        "songs",
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS col_name, '{kind}' AS data_type, count({name}) AS n_given, count(*) AS n_rows FROM songs"
+            for name, kind in (
+                ("song_id", "string"), ("song_name", "string"), ("artists", "string"), ("popularity", "int"),
+                ("song_type", "string"), ("billboard", "string"),
+            )
+        ),
+    ),
+}
+
 ORACLES["playlist_stream"] = ORACLES["playlist_commands"]

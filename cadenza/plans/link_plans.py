@@ -31,6 +31,11 @@ def match_input(spark, sf_dir):
     return mt.match_input(*[view(spark, sf_dir, n) for n in ("songs", "tracks", "albums")])
 
 
+def match_input_first(spark, sf_dir):
+    """The first 500 rows of the job's input."""
+    return mt.match_input(*[view(spark, sf_dir, n) for n in ("songs", "tracks", "albums")], limit=500)
+
+
 def match_strategies(spark, sf_dir):
     rows = mt.search_texts(_cleaned(spark, sf_dir))
     return rows.select("song_id", "service", F.col("strategy_no").cast("long").alias("strategy_no"), "query")
@@ -164,7 +169,7 @@ def text_strip(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        match_input, match_strategies, match_strategies_simple, link_match_a, link_match_b, link_match_simple, link_failures,
+        match_input, match_input_first, match_strategies, match_strategies_simple, link_match_a, link_match_b, link_match_simple, link_failures,
         link_summary, link_match_albums, link_summary_albums, link_failures_albums, link_updates_albums,
         link_patch_times, link_save, link_upsert, link_stream, link_upsert_all, link_patch, link_coverage,
         coverage_after_patch, text_strip,
@@ -301,6 +306,12 @@ ORACLES = {
         """SELECT s.song_id, s.song_name, s.artists, a.name AS album_name FROM songs s
         LEFT JOIN tracks t ON s.song_id = t.song_id LEFT JOIN albums a ON t.album_id = a.album_id""",
     ),
+    "match_input_first": with_views(
+        "songs tracks albums",
+        """SELECT s.song_id, s.song_name, s.artists, a.name AS album_name FROM songs s
+        LEFT JOIN tracks t ON s.song_id = t.song_id LEFT JOIN albums a ON t.album_id = a.album_id
+        ORDER BY s.song_id, album_name NULLS FIRST LIMIT 500""",
+    ),
     "match_strategies": with_views(
         "match_songs",
         f"""WITH {CLEANED_CTE.split('offers AS')[0].rstrip().rstrip(',')},

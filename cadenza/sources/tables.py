@@ -79,6 +79,22 @@ def list_tables(spark: SparkSession, like: str | None = None) -> DataFrame:
     return found.filter(F.col("tableName").like(like)) if like else found
 
 
+def column_status(df: DataFrame) -> DataFrame:
+    """(col_name, data_type, n_given, n_rows): every column, its type, and how often it has a value."""
+    counted = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(df.columns)])
+    rows = [
+        F.struct(F.lit(name).alias("col_name"), F.lit(kind).alias("data_type"), F.col(f"n_{i}").alias("n_given"))
+        for i, (name, kind) in enumerate(df.dtypes)
+    ]
+    return counted.select("n_rows", F.inline(F.array(*rows))).select("col_name", "data_type", "n_given", "n_rows")
+
+
+def list_databases(spark: SparkSession, like: str | None = None) -> DataFrame:
+    """(namespace) of the databases that the catalogue knows."""
+    found = spark.sql("SHOW DATABASES")
+    return found.filter(F.col("namespace").like(like)) if like else found
+
+
 def describe_table(spark: SparkSession, name: str, extended: bool = False) -> DataFrame:
     """Columns and types; extended adds what the catalogue knows of the table itself."""
     return spark.sql(f"DESCRIBE TABLE {'EXTENDED ' if extended else ''}{name}")
