@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.distance import vocabulary_keys
 from cadenza.functions.text import words
 
 # Searched fields with their boosts, and the constants of the relevance formula.
@@ -18,12 +19,14 @@ B = 0.75
 @dataclass(frozen=True)
 class Index:
     """documents: one row per song. postings: one row per song, field and word.
-    terms: document frequency per field and word. fields: size statistics per field."""
+    terms: document frequency per field and word. fields: size statistics per field.
+    keys: what each different word is found by when it is misspelt."""
 
     documents: DataFrame
     postings: DataFrame
     terms: DataFrame
     fields: DataFrame
+    keys: DataFrame
 
 
 def field_words(documents: DataFrame) -> DataFrame:
@@ -55,6 +58,11 @@ def term_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def word_keys(terms: DataFrame) -> DataFrame:
+    """(key, term): the lookup keys of every different word."""
+    return terms.select("term").distinct().select(F.explode(vocabulary_keys(F.col("term"))).alias("key"), "term")
+
+
 def impact(tf: Column, dl: Column, avg_dl: Column) -> Column:
     """The part of the relevance weight that depends on the document alone."""
     return (K1 + 1) * tf / (tf + K1 * (1 - B + B * dl / avg_dl))
@@ -75,4 +83,5 @@ def build_index(documents: DataFrame) -> Index:
     """The index as a lazy plan. Use sources.index_store to build it once and search often."""
     counts = term_counts(documents)
     fields = field_stats(documents)
-    return Index(documents, postings(counts, fields), term_stats(counts), fields)
+    terms = term_stats(counts)
+    return Index(documents, postings(counts, fields), terms, fields, word_keys(terms))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.functions.distance import allowed_edits, osa_within, search_keys, vocabulary_keys
+from cadenza.functions.distance import allowed_edits, osa_within, search_keys
 from cadenza.functions.text import clean_keywords, words
 from cadenza.operators.index import FIELD_BOOSTS, Index, idf
 from cadenza.operators.skew import PARTS, SALT, copy_hot, join_many_to_one, spread_hot
@@ -136,21 +136,22 @@ def keyword_weights(index: Index, query_words: DataFrame, batch: BatchSize) -> D
 
 
 def expand_words(
-    terms: DataFrame, asked: DataFrame, batch: BatchSize, most: int | None = MAX_EXPANSIONS
+    index: Index, asked: DataFrame, batch: BatchSize, most: int | None = MAX_EXPANSIONS
 ) -> DataFrame:
     """(word, field, term, dist, closeness, df): indexed words near each search word.
 
-    Both sides are turned into keys that any near pair must share, so they meet by equality.
-    The vocabulary stays where it is while a small batch of search keys comes to it. At most `most`
+    Search words are turned into keys and meet the stored keys of the indexed words, which any near
+    pair must share. The keys of the index stay where they are. A pair is measured once, for all
+    fields; a word of many search words is met by whatever number of them. At most `most`
     words are kept per field, the closest first (None: all); all count with the document frequency
     of the most frequent one.
     """
     wanted = asked.select("word").distinct().withColumn("key", F.explode(search_keys(F.col("word"))))
-    held = terms.withColumn("key", F.explode(vocabulary_keys(F.col("term"))))
-    met = held.join(small(wanted, batch.small_keys), "key").groupBy("word", "field", "term").agg(F.first("df").alias("df"))
+    met = index.keys.join(small(wanted, batch.small_keys), "key").select("word", "term").distinct()
     # As an array of at most one, so that each pair is measured once, after duplicates are gone.
     measured = F.array(osa_within(F.col("word"), F.col("term"), allowed_edits(F.col("word"))))
     near = met.withColumn("dist", F.explode(F.filter(measured, lambda d: d.isNotNull())))
+    near = near.join(index.terms.select("field", "term", "df"), "term")
     shorter = F.least(F.char_length("word"), F.char_length("term"))
     near = near.withColumn("closeness", 1 - F.col("dist") / shorter)
     if most is not None:
@@ -164,7 +165,7 @@ def prompt_weights(
     index: Index, query_words: DataFrame, batch: BatchSize, most: int | None = MAX_EXPANSIONS
 ) -> DataFrame:
     """(query_id, field, term, weight) for words and their near spellings."""
-    met = _of_words(query_words, expand_words(index.terms, query_words, batch, most), "word", batch)
+    met = _of_words(query_words, expand_words(index, query_words, batch, most), "word", batch)
     weight = boost() * F.col("n") * F.col("closeness") * F.col("idf")
     rows = _with_idf(met, index.fields).select("query_id", "field", "term", weight.alias("weight"))
     return rows.groupBy("query_id", "field", "term").agg(F.sum("weight").alias("weight"))

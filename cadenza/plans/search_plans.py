@@ -80,7 +80,7 @@ def keywords_answers(spark, sf_dir):
 def _expanded(spark, sf_dir, most):
     given = inputs.search_inputs(spark, sf_dir)
     asked = lx.prompt_words(given.queries)
-    rows = lx.expand_words(given.index.terms, asked, lx.batch_size(given.queries), most)
+    rows = lx.expand_words(given.index, asked, lx.batch_size(given.queries), most)
     return rows.select(
         "word", "field", "term", F.col("dist").cast("long").alias("dist"), F.round("closeness", 6).alias("closeness"), "df"
     )

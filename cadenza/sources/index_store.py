@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cadenza.operators import index as ix
 
-PARTS = ("documents", "postings", "terms", "fields")
+PARTS = ("documents", "postings", "terms", "fields", "keys")
 DOCUMENTS_PER_BUCKET = 20_000
 # Fixed value: Spark's default limit on the buckets of a table.
 MOST_BUCKETS = 100_000
@@ -22,10 +22,10 @@ def buckets_for(spark: SparkSession, n_documents: int) -> int:
     return min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, by_size))
 
 
-def _save_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
-    """One file per bucket of songs, with the rows of a song next to each other and in order."""
-    writer = df.repartition(buckets, "song_id").write.mode("overwrite").format("parquet")
-    writer = writer.bucketBy(buckets, "song_id").sortBy("song_id")
+def _save_bucketed(df: DataFrame, table: str, path: str, buckets: int, by: str = "song_id") -> DataFrame:
+    """One file per bucket, with the rows of a song (or key) next to each other and in order."""
+    writer = df.repartition(buckets, by).write.mode("overwrite").format("parquet")
+    writer = writer.bucketBy(buckets, by).sortBy(by)
     writer.option("path", path).saveAsTable(table)
     return df.sparkSession.table(table)
 
@@ -55,11 +55,12 @@ def save_index(documents: DataFrame, name: str, path: str, buckets: int) -> ix.I
     posts = _save_bucketed(posts, _table(name, version, "postings"), f"{home}/postings", buckets)
     # As many files as buckets: finding near spellings costs far more time than bytes.
     terms = _save(ix.term_stats(posts).repartition(buckets, "term"), f"{home}/terms")
-    schemas = {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields))}
+    keys = _save_bucketed(ix.word_keys(terms), _table(name, version, "keys"), f"{home}/keys", buckets, "key")
+    schemas = {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields, keys))}
     layout = json.dumps({"version": version, "buckets": buckets, "schemas": schemas})
     one = spark.createDataFrame([(layout,)], "layout string").coalesce(1)
     one.write.mode("overwrite").text(f"{path}/layout")
-    return ix.Index(docs, posts, terms, fields)
+    return ix.Index(docs, posts, terms, fields, keys)
 
 
 def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
@@ -70,17 +71,17 @@ def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
     layout = json.loads(spark.read.text(f"{path}/layout").first()["value"])
     home = f"{path}/{layout['version']}"
 
-    def bucketed(part: str) -> DataFrame:
+    def bucketed(part: str, by: str = "song_id") -> DataFrame:
         table = _table(name, layout["version"], part)
         if not spark.catalog.tableExists(table):
             schema = T.StructType.fromJson(layout["schemas"][part])
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             spark.sql(
                 f"CREATE TABLE {table} ({columns}) USING parquet "
-                f"CLUSTERED BY (song_id) SORTED BY (song_id) INTO {layout['buckets']} BUCKETS "
+                f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {layout['buckets']} BUCKETS "
                 f"LOCATION '{home}/{part}'"
             )
         return spark.table(table)
 
     parts = [spark.read.parquet(f"{home}/{part}") for part in ("terms", "fields")]
-    return ix.Index(bucketed("documents"), bucketed("postings"), *parts)
+    return ix.Index(bucketed("documents"), bucketed("postings"), *parts, bucketed("keys", "key"))
