@@ -94,13 +94,33 @@ def _artist_keys(names: str) -> Column:
     return F.transform(F.array_distinct(names), lambda w: F.concat_ws(":", F.lit("artist"), w))
 
 
-def _query_keys() -> Column:
-    """One access path per query: artist words, else popularity bins, else energy bins."""
+def _bin_counts(documents: DataFrame) -> dict[str, list[int]]:
+    """How many documents there are in every bin of a value; at most BINS rows for each come back."""
+    found = {}
+    for name in BIN_WIDTH:
+        rows = documents.groupBy(_bin(F.col(name), name).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+        held = {r["bin"]: r["n"] for r in rows}
+        found[name] = [held.get(b, 0) for b in range(BINS)]
+    return found
+
+
+def _documents_between(name: str, counts: list[int]) -> Column:
+    """How many documents the bins of a query's range hold."""
+    first = F.coalesce(_bin(F.col(f"{name}_min"), name), F.lit(0))
+    last = F.coalesce(_bin(F.col(f"{name}_max"), name), F.lit(BINS - 1))
+    held = F.slice(F.array(*map(F.lit, counts)), first + 1, F.greatest(last - first + 1, F.lit(0)))
+    return F.aggregate(held, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def _query_keys(counts: dict[str, list[int]]) -> Column:
+    """One access path per query: artist words, else the bins that hold the fewest documents."""
     artist = F.col("artist")
-    by_popularity = F.col("popularity_min").isNotNull() | F.col("popularity_max").isNotNull()
+    given = {name: F.col(f"{name}_min").isNotNull() | F.col(f"{name}_max").isNotNull() for name in BIN_WIDTH}
+    cost = {name: F.when(given[name], _documents_between(name, counts[name])) for name in BIN_WIDTH}
+    fewer = cost["energy"].isNull() | (cost["popularity"] <= cost["energy"])
     return (
         F.when(artist.isNotNull() & (artist != ""), _artist_keys("artist_words"))
-        .when(by_popularity, _bins_between(F.col("popularity_min"), F.col("popularity_max"), "popularity"))
+        .when(given["popularity"] & fewer, _bins_between(F.col("popularity_min"), F.col("popularity_max"), "popularity"))
         .otherwise(_bins_between(F.col("energy_min"), F.col("energy_max"), "energy"))
     )
 
@@ -119,21 +139,24 @@ def _document_keys() -> Column:
 def passing_documents(documents: DataFrame, queries: DataFrame, small_queries: bool, *keep: str) -> DataFrame:
     """(query_id, song_id, keep...) of every document that passes a query's filters.
 
-    Documents and queries meet on a shared word or value bin, never all with all. A document
-    that shares two artist words with a query appears twice.
+    Documents and queries meet on a shared word or value bin, never all with all. A document that
+    shares several artist words with a query is met at each and counted at the smallest.
     """
+    keys = _query_keys(_bin_counts(documents))
     limits = query_limits(queries.filter(has_filter()), *keep)
     # A key stands next to all that its query asks for, the artist text whole and in words.
     row = 3 * F.coalesce(F.octet_length("artist"), F.lit(0)) + 2 * ROW_BYTES
-    sent = F.sum(F.size(_query_keys()) * row)
+    sent = F.sum(F.size(keys) * row)
     small_queries = small_queries and (limits.agg(sent).first()[0] or 0) <= SMALL_BYTES
-    wanted = limits.withColumn("__key", F.explode(_query_keys()))
+    wanted = limits.withColumn("__key", F.explode(keys))
     held = document_values(documents).withColumn("__key", F.explode(_document_keys()))
     if small_queries:
         met = held.join(F.broadcast(wanted), "__key")
     else:
         met = join_many_to_one(held, wanted, ["__key"], ["song_id"], "inner")
-    met = met.filter(passes())
+    smallest = F.array_min(F.array_intersect("name_words", "artist_words"))
+    counted = ~F.col("__key").startswith("artist:") | (F.col("__key") == F.concat_ws(":", F.lit("artist"), smallest))
+    met = met.filter(passes() & counted)
     return met.select("query_id", "song_id", *keep)
 
 
@@ -148,7 +171,6 @@ def first_passing(
     """
     met = passing_documents(documents, queries, small_queries, size)
     by_id = Window.partitionBy("query_id").orderBy("song_id")
-    # A repeated document takes the same rank.
-    ranked = met.withColumn("__rank", F.dense_rank().over(by_id))
+    ranked = met.withColumn("__rank", F.row_number().over(by_id))
     kept = ranked.filter((F.col("__rank") <= largest) & (F.col("__rank") <= F.col(size)))
-    return kept.select("query_id", "song_id").distinct()
+    return kept.select("query_id", "song_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -125,8 +126,9 @@ def keyed(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows.withColumn(ALBUM_KEY, album_key(F.col("album"))), ["song_id", ALBUM_KEY]
 
 
-def _judged(pairs: DataFrame, rules: Rules, keys: list[str]) -> DataFrame:
-    """What a candidate is worth by name and artist; `offered` is its album if it is near."""
+def _judged(pairs: DataFrame, services: list[Rules], keys: list[str]) -> DataFrame:
+    """What a candidate is worth to each service by name and artist; `offered` is its album if it is
+    near. A pair is looked at once, for all services."""
     pairs = pairs.withColumn("plain_title", _plain(F.col("title")))
     name, title, artist = F.col("plain_name"), F.col("plain_title"), F.col("plain_artist")
     artists = F.coalesce("c_artists", F.array().cast("array<string>"))
@@ -136,19 +138,25 @@ def _judged(pairs: DataFrame, rules: Rules, keys: list[str]) -> DataFrame:
         | (artist == "")
         | F.exists(artists, lambda a: F.coalesce(contains_either_way(artist, _plain(a)), F.lit(False)))
     )
-    near = (same | contains_either_way(name, title)) & artist_ok
-    if rules.songs_only:
-        near = near & (F.col("result_type") == "song")
-    near = F.coalesce(near, F.lit(False))
+    alike = F.coalesce((same | contains_either_way(name, title)) & artist_ok, F.lit(False))
     offered = F.coalesce(_plain(F.col("c_album")), F.lit(""))
-    return pairs.select(
-        *keys,
-        "strategy_no",
-        near.alias("near"),
-        (near & same).alias("same"),
-        F.when(near & F.lit(rules.uses_album), offered).alias("offered"),
-        F.struct("pos", "title", "url").alias("place"),
-    )
+    pairs = pairs.withColumn("alike", alike).withColumn("same", F.coalesce(same, F.lit(False))).withColumn("offered", offered)
+
+    def verdict(rules: Rules) -> Column:
+        near = F.col("alike")
+        if rules.songs_only:
+            near = near & F.coalesce(F.col("result_type") == "song", F.lit(False))
+        return F.struct(
+            F.lit(rules.service).alias("service"),
+            near.alias("near"),
+            (near & F.col("same")).alias("same"),
+            F.when(near & F.lit(rules.uses_album), F.col("offered")).alias("offered"),
+        )
+
+    verdicts = F.array(*map(verdict, services))
+    if "c_service" in pairs.columns:
+        verdicts = F.filter(verdicts, lambda v: v["service"] == F.col("c_service"))
+    return pairs.select(*keys, "strategy_no", F.struct("pos", "title", "url").alias("place"), F.inline(verdicts))
 
 
 def _tier(rules: Rules) -> Column:
@@ -164,9 +172,10 @@ def _tier(rules: Rules) -> Column:
 
 
 def match_links(
-    cleaned: DataFrame, candidates: DataFrame, rules: Rules, hot_rows: int = HOT_ROWS
+    cleaned: DataFrame, candidates: DataFrame, rules: Rules | Sequence[Rules], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """(song_id, service, url, tier, strategy_no, pos, title): the best candidate of every song.
+    """(song_id, service, url, tier, strategy_no, pos, title): the best candidate of every song, for
+    one service or, in one pass over the candidates, for several that search the same names.
 
     The first search strategy with results counts. Within it the best tier wins, then the
     earliest place; a candidate that fits no tier is the fallback. A song on several albums is
@@ -180,16 +189,21 @@ def match_links(
     Where candidates say which album they were searched for (searched_album), every song and album
     is matched by its own candidates, and the result has one row for each, with album_key.
     """
+    services = [rules] if isinstance(rules, Rules) else list(rules)
+    if len({r.skips_none for r in services}) != 1 or len({r.service for r in services}) != len(services):
+        raise ValueError("services of one pass differ, and search the same names")
     rows = cleaned.filter(~F.col("skipped"))
+    own_service = []
     if "service" in candidates.columns:
-        candidates = candidates.filter(F.col("service") == rules.service)
+        candidates = candidates.filter(F.col("service").isin([r.service for r in services]))
+        own_service = [F.col("service").alias("c_service")]
     by_album = SEARCHED_ALBUM in candidates.columns
     keys = ["song_id", ALBUM_KEY] if by_album else ["song_id"]
     if by_album:
         rows = rows.withColumn(ALBUM_KEY, album_key(F.col("album")))
         candidates = candidates.withColumn(ALBUM_KEY, album_key(F.col(SEARCHED_ALBUM)))
     plain_names = [_plain(F.col(c)).alias(n) for c, n in (("song_name", "plain_name"), ("artist", "plain_artist"))]
-    names = rows.filter(searchable(F.col("song_name"), rules.skips_none)).select(*keys, *plain_names).distinct()
+    names = rows.filter(searchable(F.col("song_name"), services[0].skips_none)).select(*keys, *plain_names).distinct()
     offers = candidates.select(
         *keys,
         "strategy_no",
@@ -199,29 +213,37 @@ def match_links(
         F.col("album").alias("c_album"),
         "result_type",
         "url",
+        *own_service,
     )
     hot = hot_keys(offers.filter(F.col("song_id").isNotNull()), keys, hot_rows)
     pairs = join_many_to_one(offers, names, keys, ["url", "pos"], "inner", hot=hot)
-    outcome = [*keys, "strategy_no", "near", "same", "offered"]
-    judged = _judged(pairs, rules, keys).groupBy(*outcome).agg(F.min("place").alias("place"))
+    outcome = [*keys, "service", "strategy_no", "near", "same", "offered"]
+    judged = _judged(pairs, services, keys).groupBy(*outcome).agg(F.min("place").alias("place"))
     if by_album:
         judged = judged.withColumn("album", F.col(ALBUM_KEY))
-    elif rules.uses_album:
+    elif any(r.uses_album for r in services):
         # Only near candidates look at albums; the others keep a null key and stay as they are.
         judged = judged.withColumn("album_of", F.when(F.col("near"), F.col("song_id")))
         albums = rows.select(F.col("song_id").alias("album_of"), "album").distinct()
         popular = hot.withColumnRenamed("song_id", "album_of")
         judged = join_many_to_one(judged, albums, ["album_of"], ["offered", "song_id"], "left", hot=popular)
-    best = judged.groupBy(*keys).agg(F.min(F.struct("strategy_no", _tier(rules).alias("tier"), "place")).alias("best"))
+    tier = F.lit(FALLBACK_TIER)
     url = F.col("best.place.url")
+    for each in services:
+        mine = F.col("service") == each.service
+        tier = F.when(mine, _tier(each)).otherwise(tier)
+        url = F.when(mine, watch_address(F.col("best.place.url"))).otherwise(url) if each.gives_ids else url
+    best = judged.groupBy(*keys, "service").agg(F.min(F.struct("strategy_no", tier.alias("tier"), "place")).alias("best"))
+    names_of = F.explode(F.array(*[F.lit(r.service) for r in services])).alias("service")
     return (
         rows.select(*keys)
         .distinct()
-        .join(best, keys, "left")
+        .select(*keys, names_of)
+        .join(best, [*keys, "service"], "left")
         .select(
             *keys,
-            F.lit(rules.service).alias("service"),
-            (watch_address(url) if rules.gives_ids else url).alias("url"),
+            "service",
+            url.alias("url"),
             "best.tier",
             "best.strategy_no",
             "best.place.pos",

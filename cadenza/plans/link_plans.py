@@ -62,13 +62,11 @@ def link_match_b(spark, sf_dir):
 
 
 def link_match_simple(spark, sf_dir):
-    first = _matched(spark, sf_dir, mt.SERVICE_A_SIMPLE, simple=True)
-    return _shown(first.unionByName(_matched(spark, sf_dir, mt.SERVICE_B_SIMPLE, simple=True)))
+    return _shown(_matched(spark, sf_dir, (mt.SERVICE_A_SIMPLE, mt.SERVICE_B_SIMPLE), simple=True))
 
 
 def _both_services(spark, sf_dir):
-    a = _matched(spark, sf_dir, mt.SERVICE_A)
-    return a.unionByName(_matched(spark, sf_dir, mt.SERVICE_B))
+    return _matched(spark, sf_dir, (mt.SERVICE_A, mt.SERVICE_B))
 
 
 def link_failures(spark, sf_dir):
@@ -83,8 +81,7 @@ def _by_album(spark, sf_dir):
     """Songs on several albums, each searched with its own text: the rows and both services' links."""
     cleaned = mt.clean_input(view(spark, sf_dir, "album_songs"))
     offers = view(spark, sf_dir, "album_candidates").withColumn("artists", F.array("artist_1", "artist_2"))
-    a = mt.match_links(cleaned, offers, mt.SERVICE_A)
-    return cleaned, a.unionByName(mt.match_links(cleaned, offers, mt.SERVICE_B))
+    return cleaned, mt.match_links(cleaned, offers, (mt.SERVICE_A, mt.SERVICE_B))
 
 
 def link_match_albums(spark, sf_dir):

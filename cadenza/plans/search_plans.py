@@ -115,7 +115,7 @@ def search_filtered(spark, sf_dir):
 def filter_queries(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
     few = lx.batch_size(given.queries).few_queries
-    pairs = fl.passing_documents(given.index.documents, given.queries, few).distinct()
+    pairs = fl.passing_documents(given.index.documents, given.queries, few)
     return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_passing"), F.min("song_id").alias("first_song"))
 
 
