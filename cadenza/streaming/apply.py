@@ -94,6 +94,25 @@ def newest_version(spark: SparkSession, table: str) -> int:
     return max((int(name.partition("=")[2]) for name in names), default=-1)
 
 
+def drop_versions(spark: SparkSession, table: str, keep: int = 2) -> list[int]:
+    """Delete all but the last `keep` complete versions and give the numbers of those deleted.
+
+    The last one is what the next batch starts from, so at least one stays. A reader of an older
+    version fails; call this when there are none.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(f"{table}/rows").getFileSystem(spark._jsc.hadoopConfiguration())
+    newest = newest_version(spark, table)
+    old = []
+    for status in files.globStatus(path(f"{table}/rows/version=*")) or []:
+        number = int(str(status.getPath().getName()).partition("=")[2])
+        if number <= newest - max(1, keep):
+            for folder in (rows_path(table, number), seen_path(table, number)):
+                files.delete(path(folder), True)
+            old.append(number)
+    return sorted(old)
+
+
 def stream_playlist_commands(
     spark: SparkSession, inbox: str, table: str, checkpoint: str, files_per_batch: int | None = None
 ) -> StreamingQuery:

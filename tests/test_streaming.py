@@ -40,3 +40,17 @@ def test_a_restart_without_new_files_keeps_the_version(spark, rows, tmp_path):
         st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
         assert st.newest_version(spark, table) == 0
         assert rows(spark.read.parquet(st.rows_path(table, st.newest_version(spark, table)))) == [("a", "new", None)]
+
+
+def test_old_versions_can_be_dropped(spark, rows, tmp_path):
+    inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
+    st.create_table(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
+    assert st.drop_versions(spark, table) == []
+    for number in range(3):
+        spark.createDataFrame([(number, "a", f"new {number}", None)], st.LINK_UPDATES).write.mode("append").parquet(inbox)
+        st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
+    assert st.drop_versions(spark, table) == [-1, 0]
+    assert rows(spark.read.parquet(st.rows_path(table, st.newest_version(spark, table)))) == [("a", "new 2", None)]
+    spark.createDataFrame([(9, "b", "late", None)], st.LINK_UPDATES).write.mode("append").parquet(inbox)
+    st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
+    assert st.newest_version(spark, table) == 3 and len(rows(spark.read.parquet(st.rows_path(table, 3)))) == 2
