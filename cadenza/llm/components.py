@@ -9,7 +9,9 @@ from cadenza.session import cut
 
 
 def _least(links: DataFrame, node: str, other: str) -> DataFrame:
-    return links.groupBy(F.col(node).alias("node")).agg(F.min(other).alias("least"))
+    """The smallest neighbour of every node, written, so that the join with it can split a node that
+    holds a large share of the links."""
+    return cut(links.groupBy(F.col(node).alias("node")).agg(F.min(other).alias("least")))
 
 
 def _hang_larger(links: DataFrame) -> DataFrame:

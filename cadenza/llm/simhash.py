@@ -75,13 +75,14 @@ def candidate_blocks(fps: DataFrame, block: int) -> DataFrame:
     values one bit apart, only the smaller one looks up the other.
     """
     kept = _halves(fps, "array(v)").select("fp", "key")
-    counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # Counts are written before they are joined, so that joins can split a very common key.
+    counts = cut(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     near = "filter(transform(sequence(-1, 31), i -> if(i < 0, v, v | shiftleft(1L, i))), (w, i) -> i = 0 or w != v)"
     asked = _halves(fps, near).join(counts, "key").filter(~F.col("same") | (F.col("n") > 1))
     parts = F.ceil(F.col("n") / block).cast("int")
     asked = cut(asked.select("key", "fp", "n"))
     visits = asked.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("probe"), "fp")
-    wanted = asked.groupBy("key").agg(F.first("n").alias("n"))
+    wanted = cut(asked.groupBy("key").agg(F.first("n").alias("n")))
     home = F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int").alias("part")
     return visits.unionByName(kept.join(wanted, "key").select("key", home, F.lit(False).alias("probe"), "fp"))
 
@@ -151,7 +152,7 @@ def near_duplicates(
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     met = rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
     return met.select("doc_id", "fp", "component_id", *(["text_hash", "root"] if named else []))
 

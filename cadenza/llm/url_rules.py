@@ -127,7 +127,9 @@ def judge(
     read = own.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     ruled = read.withColumn("rule", name).withColumn("ruled", verdict)
     open_urls = ruled.filter(F.col("rule").isNull()).select("url").distinct()
-    blocked = matched(open_urls, mine_rules(labelled, **mining)).select(F.col("url").alias("__url"), F.lit(True).alias("hit"))
+    # Written, so that the join can split a url that very many pages share.
+    blocked = cut(matched(open_urls, mine_rules(labelled, **mining)))
+    blocked = blocked.select(F.col("url").alias("__url"), F.lit(True).alias("hit"))
     joined = ruled.join(blocked, F.col("url") == F.col("__url"), "left")
     mined = F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select("page_id", "host", "path", "rule", F.coalesce("ruled", mined).alias("verdict"))

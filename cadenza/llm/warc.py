@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import rows_in, utf8
-from cadenza.session import new_path, send_with_tasks
+from cadenza.session import cut, new_path, send_with_tasks
 
 CHUNK = 1 << 20
 BATCH_BYTES = 1 << 22
@@ -58,6 +58,8 @@ def plan_records(pages: DataFrame, least: int, id_col="page_id", url_col="url",
     rows = rows.withColumn("n_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
     long = rows.filter(F.col("n_bytes") >= least).groupBy("digest", "n_bytes")
     kept = long.agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n")
+    # Written, so that the join can split a payload that very many pages share.
+    kept = cut(kept)
     refers = F.when(~F.col("kept").eqNullSafe(F.col("page_id")), F.col("kept"))
     return rows.join(kept, ["digest", "n_bytes"], "left").select("page_id", "url", "payload", "n_bytes", "digest", refers.alias("refers_to"))
 
