@@ -35,7 +35,7 @@ END_ID = 1
 # Words kept with their ids by each Python worker, twice at most; longer words are not kept.
 KEPT_WORDS = 300_000
 KEPT_BYTES = 48
-BLOCK = 50_000
+BLOCK = 2000
 # A character that is a token of its own.
 BORDER = "\x00"
 
