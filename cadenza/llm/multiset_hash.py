@@ -1,9 +1,9 @@
 """Document fingerprints as a homomorphic multiset hash.
 
 Every piece of every paragraph is hashed to a wide vector of +1 and -1. A fingerprint is the sum of
-the vectors modulo 2**16, so it does not depend on the order of the pieces, and a piece is inserted
+the vectors modulo 2**64, so it does not depend on the order of the pieces, and a piece is inserted
 or deleted by adding or subtracting its vector. Different multisets meet with a chance of about
-2**-256 at most. The same sums estimate how alike two texts are: the product of two fingerprints,
+2**-256 at most, as no text has 2**63 equal pieces. The same sums estimate how alike two texts are: the product of two fingerprints,
 taken as signed numbers, is on average the number of pieces they share.
 
 A paragraph is a line. It is cut into pieces after words whose checksum is a multiple of CUT, which
@@ -53,14 +53,14 @@ def pieces(text: bytes) -> list[bytes]:
 
 
 def lanes_of(elements: list[bytes]) -> np.ndarray:
-    """The sum of the vectors of all elements, modulo 2**16."""
+    """The sum of the vectors of all elements, modulo 2**64."""
     ones = np.zeros(LANES, dtype=np.int64)
     for start in range(0, len(elements), AT_ONCE):
         part = elements[start : start + AT_ONCE]
         digests = b"".join([hashlib.blake2b(e, digest_size=LANES // 8).digest() for e in part])
         bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(len(part), -1), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
-    return (2 * ones - len(elements)).astype(np.uint16)
+    return (2 * ones - len(elements)).astype(np.uint64)
 
 
 def fingerprint(text: bytes) -> np.ndarray:
@@ -79,13 +79,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal fingerprints, else the estimated cosine of the two multisets, 0 to 1."""
     if np.array_equal(a, b):
         return 1.0
-    x, y = a.view(np.int16).astype(np.float64), b.view(np.int16).astype(np.float64)
+    x, y = a.view(np.int64).astype(np.float64), b.view(np.int64).astype(np.float64)
     size = float(np.sqrt((x @ x) * (y @ y)))
     return min(1.0, max(0.0, float(x @ y) / size)) if size else 0.0
 
 
 def hex_of(lanes: np.ndarray) -> str:
-    return lanes.astype(">u2").tobytes().hex()
+    return lanes.astype(">u8").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:

@@ -41,6 +41,20 @@ def test_likeness_follows_what_is_shared():
     assert mh.likeness(mh.fingerprint(b""), own) == 0.0
 
 
+def test_very_many_equal_pieces():
+    line, blank, other = b"the same line", b"x", "\n".join(f"other text {i}" for i in range(500)).encode()
+    for n in (40_000, 65_536, 100_000):
+        own = mh.fingerprint(b"\n".join([line] * n))
+        near = mh.fingerprint(b"\n".join([*[line] * (3 * n // 4), other]))
+        assert own.any() and mh.likeness(own, near) > 0.99
+        assert mh.likeness(own, mh.fingerprint(other)) < 0.25
+    for n in (32_768, 65_536):
+        spaced = mh.fingerprint(blank + b" " * n)
+        assert not np.array_equal(spaced, mh.fingerprint(blank))
+        assert not np.array_equal(spaced, mh.fingerprint(blank + b" " * (2 * n)))
+        assert mh.likeness(spaced, mh.fingerprint(blank + b" " * (2 * n))) > 0.99
+
+
 def plain(rows):
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = []
