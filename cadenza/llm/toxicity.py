@@ -1,11 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one that holds, after the same
-ordinary text, what sets toxic documents apart. A document is read as windows of one word, in lower
-case; each window is compressed with either dictionary, set in contexts that both dictionaries know, so
-that a few bytes of difference show. The pair of compressed lengths is compared with calibrated
+Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of toxic text;
+the words and pairs of words that set toxic documents apart are added to the second. A document is
+read in lower case, in two ways. Wide windows of PHRASE words, each beginning in the middle of the one
+before, are compressed with either dictionary, and with the ordinary one followed by the added words.
+Then single words are compressed with the first and the last of these, set in contexts from ordinary
+text, so that a few bytes of difference show. These two uses of the added words are an extra to the method. Text of scripts without blanks is read as windows of
+WIDE and of GRAM characters instead. Every pair of compressed lengths is compared with calibrated
 log-likelihood ratios, and a logistic regression turns their mean, scaled sum and the number of
-windows above two thresholds into a score.
+windows above two thresholds, of wide and of narrow windows, into a score.
 
 Training uses a bounded sample of labelled rows, those of the smallest hashes of doc_id: at most
 `most_toxic` and `most_ordinary` documents. Calibration is crossed: the documents of each fold are
@@ -23,6 +26,7 @@ Defined results:
 
 from __future__ import annotations
 
+import re
 import string
 from dataclasses import dataclass
 from itertools import repeat
@@ -40,13 +44,24 @@ from cadenza.session import cut, send_with_tasks
 PUNCTUATION = string.punctuation.encode()
 # Punctuation to blanks, byte by byte.
 READ = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
+# Runs of scripts that are written without blanks, and their marks.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+MARKS = re.compile("[\u2010-\u2027\u3000-\u3003\u3008-\u301f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 LONGEST = 40
+PHRASE = 8
+WIDE = 24
+GRAM = 4
+LEAST_GRAM = 2
 LEVEL = 3
 # Lengths above that of a known word, counted up to this one, and below it.
 CELLS = 48
 BELOW = 4
+# Fewer added words than these say little of what a known word costs.
+FEW_WORDS = 64
 ORDINARY_BYTES = 32 << 10
-TOXIC_BYTES = 16 << 10
+TOXIC_BYTES = 32 << 10
+PHRASE_BYTES = 16 << 10
+TRAINED_BYTES = 32 << 10
 CONTEXT = 64
 CONTEXTS = (0.25, 0.6, 0.95)
 SAMPLE_WINDOWS = 32_000
@@ -60,13 +75,50 @@ DOUBT = 5.0
 FOLDS = 4
 
 
-def windows(text: bytes):
-    """The words of a text as windows, without case and punctuation, long ones in pieces."""
+def read(text: bytes):
+    """The words of a text, stretch by stretch, without case and punctuation, and its unspaced runs."""
     for part in stretches(text):
-        words = part.lower().translate(READ).split()
+        runs = []
+        if part.isascii():
+            part = part.lower()
+        else:
+            known = MARKS.sub(" ", part.decode(errors="replace").lower())
+            runs = UNSPACED.findall(known)
+            part = (UNSPACED.sub(" ", known) if runs else known).encode()
+        words = part.translate(READ).split()
         if max(map(len, words), default=0) > LONGEST:
             words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-        yield words
+        yield words, runs
+
+
+def grams(run: str, size: int, step: int = 1) -> list[bytes]:
+    """Windows of `size` characters that cover a run, which is a window itself if it is shorter."""
+    return [run[i : i + size].encode() for i in range(0, max(1, len(run) - size + step), step)]
+
+
+def windows(text: bytes):
+    """The words of a text as windows, long ones in pieces; of unspaced runs every GRAM characters."""
+    for words, runs in read(text):
+        yield words + [w for run in runs for w in grams(run, GRAM)]
+
+
+def wide_windows(words: list[bytes], runs: list[str]):
+    """Windows of PHRASE words, or of WIDE characters, that overlap by half."""
+    half = PHRASE // 2
+    for i in range(0, max(len(words) - half, min(1, len(words))), half):
+        yield b" ".join(words[i : i + PHRASE])
+    for run in runs:
+        yield from grams(run, WIDE, WIDE // 2)
+
+
+def units(text: bytes) -> set[bytes]:
+    """What may set toxic documents apart: words, pairs of words, and short runs of unspaced characters."""
+    found = set()
+    for words, runs in read(text):
+        found.update(w for w in words if 3 <= len(w) < LONGEST)
+        found.update(b"%b %b" % pair for pair in zip(words, words[1:]))
+        found.update(w for run in runs for size in range(LEAST_GRAM, GRAM + 1) for w in grams(run, size))
+    return found
 
 
 @dataclass
@@ -82,15 +134,17 @@ class Model:
 
 
 class Lengths:
-    """The pair of compressed lengths of a window, as one number."""
+    """The pair of compressed lengths of a window, as one number; those of wide windows follow."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         # From all over the dictionary, as one context may swallow a byte that another shows; not from
         # its end, which cannot be referred to.
         starts = [int(max(0, len(ordinary) - 2 * CONTEXT) * place) for place in CONTEXTS]
         self.contexts = [ordinary[at : at + CONTEXT] for at in starts]
-        self.by_ordinary, self.by_both = map(self._compressor, (ordinary, ordinary + toxic))
-        self.base = self._known(ordinary, 0), self._known(toxic if toxic.strip() else ordinary, 1)
+        # The added words follow the last end of a line.
+        added = toxic.rpartition(b"\n")[2]
+        self.by_ordinary, self.by_both, self.by_toxic = map(self._compressor, (ordinary, ordinary + added, toxic))
+        self.base = self._known(ordinary, 0), self._known(added if len(added.split()) >= FEW_WORDS else ordinary, 1)
         # Two generations: words not met again while one fills up are forgotten.
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
@@ -128,16 +182,30 @@ class Lengths:
         a, b = (min(max(size - base, 0), CELLS - 1) for size, base in zip(self._sizes(word), self.base))
         return a * CELLS + b
 
+    def wide_cell(self, window: bytes) -> int:
+        """What the toxic dictionary saves against the ordinary one, and what the added words save."""
+        a = len(self.by_ordinary(window))
+        saved = a - len(self.by_toxic(window)), a - len(self.by_both(window))
+        toxic, added = (min(max(n + CELLS // 2, 0), CELLS - 1) for n in saved)
+        return CELLS * CELLS + toxic * CELLS + added
+
     def counts(self, text: bytes) -> np.ndarray:
         """How many windows of a text fall into each pair."""
-        total = np.zeros(CELLS * CELLS, dtype=np.int64)
-        for words in windows(text):
+        total = np.zeros(2 * CELLS * CELLS, dtype=np.int64)
+        before: list[bytes] = []
+        for spaced, runs in read(text):
+            # Wide windows go on over the ends of stretches.
+            joined = before + spaced if before else spaced
+            before = spaced[-(PHRASE // 2) :]
+            wide = np.fromiter(map(self.wide_cell, wide_windows(joined, runs)), dtype=np.int64)
+            total += np.bincount(wide, minlength=2 * CELLS * CELLS)
+            words = spaced + [w for run in runs for w in grams(run, GRAM)]
             young = self.young
             for word in {*words}.difference(young):
                 known = self.old.get(word)
                 young[word] = self.cell(word) if known is None else known
             cells = np.fromiter(map(young.__getitem__, words), dtype=np.int64, count=len(words))
-            total += np.bincount(cells, minlength=CELLS * CELLS)
+            total += np.bincount(cells, minlength=2 * CELLS * CELLS)
             if len(young) > KEPT_WORDS:
                 self.old, self.young = young, {}
         if not total.any():
@@ -145,8 +213,12 @@ class Lengths:
         return total
 
 
+KINDS = (slice(0, CELLS * CELLS), slice(CELLS * CELLS, 2 * CELLS * CELLS))
+
+
 def _features(n, total, above) -> np.ndarray:
     """Mean and scaled sum of the ratios, numbers of windows above the steps, number of windows."""
+    n = np.maximum(n, 1.0)
     return np.concatenate([np.stack([total / n, total / np.sqrt(n)], axis=-1), np.log1p(above), np.log1p(n)[..., None]], axis=-1)
 
 
@@ -167,8 +239,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
 def score_of(model: Model, counts: np.ndarray) -> float:
     if not len(model.scales):
         return float(model.weights[0])
-    above = np.array([counts @ (model.ratios > step) for step in STEPS], dtype=np.float64)
-    x = (_features(np.float64(counts.sum()), counts @ model.ratios, above) - model.means) / model.scales
+    found = []
+    for kind in KINDS:
+        n, ratios = counts[kind], model.ratios[kind]
+        above = np.array([n @ (ratios > step) for step in STEPS], dtype=np.float64)
+        found.append(_features(np.float64(n.sum()), n @ ratios, above))
+    x = (np.concatenate(found) - model.means) / model.scales
     return float(1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30))))
 
 
@@ -203,26 +279,25 @@ def _signed(batches):
 
 
 def _words_of_documents(batches):
-    """toxic, fold, sign, word once for every document, without the pieces of long words."""
+    """toxic, fold, sign, word or pair once for every document, without the pieces of long words."""
     schema = pa.schema([("toxic", pa.int32()), ("fold", pa.int32()), ("sign", pa.int64()), ("word", pa.binary())])
 
     def found():
         for toxic, fold, sign, text in rows_in(batches):
-            words = {w for part in windows(text) for w in part}
-            yield from zip(repeat(toxic), repeat(fold), repeat(sign), (w for w in words if 3 <= len(w) < LONGEST))
+            yield from zip(repeat(toxic), repeat(fold), repeat(sign), units(text))
 
     yield from batches_of(found(), schema, 50_000)
 
 
 def _windows_of_documents(batches):
-    """Stretches of the read text, as samples for the ordinary dictionary."""
-    schema = pa.schema([("window", pa.binary())])
+    """Stretches of the read text, as samples for the dictionaries, with the fold of the document."""
+    schema = pa.schema([("fold", pa.int32()), ("window", pa.binary())])
 
     def found():
-        for (text,) in rows_in(batches):
-            for part in windows(text):
-                joined = b" ".join(part)
-                yield from ((joined[i : i + WINDOW_BYTES],) for i in range(0, len(joined), WINDOW_BYTES))
+        for fold, text in rows_in(batches):
+            for words, runs in read(text):
+                joined = b" ".join([*words, *[run.encode() for run in runs]])
+                yield from ((fold, joined[i : i + WINDOW_BYTES]) for i in range(0, len(joined), WINDOW_BYTES))
 
     yield from batches_of(found(), schema, 5000)
 
@@ -238,21 +313,35 @@ def _counted_words(sample: DataFrame) -> DataFrame:
         for name, value in (("hits", F.col("toxic")), ("others", 1 - F.col("toxic")))
     ]
     counts = words.groupBy("word").agg(*sums)
-    return counts.filter(sum(F.col(f"hits_{fold}") for fold in range(FOLDS)) >= LEAST_DOCS)
+    counts = counts.filter(sum(F.col(f"hits_{fold}") for fold in range(FOLDS)) >= LEAST_DOCS)
+    return counts.withColumn("pair", F.contains("word", F.lit(b" ")))
 
 
 def _toxic_words(counts: DataFrame, folds: list[int], sizes: dict[tuple[int, int], int]) -> bytes:
     """The words of toxic documents that are RATIO times as frequent there, the most frequent last.
 
-    What is nearest to the window costs least to refer to.
+    Pairs of words come first, if neither word is one of these. What is nearest to the window costs
+    least to refer to.
     """
     hits, others = (sum(F.col(f"{name}_{fold}") for fold in folds) for name in ("hits", "others"))
     n_toxic, n_ordinary = (sum(sizes.get((label, fold), 0) for fold in folds) for label in (1, 0))
     apart = (hits + 0.5) / (n_toxic + 1.0) >= RATIO * (others + 0.5) / (n_ordinary + 1.0)
+    found = counts.filter((hits >= LEAST_DOCS) & apart)
+
+    def most_frequent(rows, most):
+        return [bytes(r.word) for r in rows.orderBy(hits.desc(), "word").limit(most).select("word").collect()]
+
     # No more words than the dictionary has room for.
-    found = counts.filter((hits >= LEAST_DOCS) & apart).orderBy(hits.desc(), "word").limit(TOXIC_BYTES // 4)
-    words = [bytes(r.word) for r in found.select("word").collect()]
-    return b" " + b" ".join(reversed(words))[-TOXIC_BYTES:] + b" "
+    pair = F.col("pair")
+    words = most_frequent(found.filter(~pair), TOXIC_BYTES // 4)
+    # Pairs with a known word are dropped before any are cut off; the words are bounded as above.
+    marks = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words], "known binary")
+    halves = F.split(F.decode("word", "UTF-8"), " ")
+    pairs = found.filter(pair)
+    for at in (0, 1):
+        pairs = pairs.join(F.broadcast(marks), halves[at].cast("binary") == F.col("known"), "left_anti")
+    phrases = most_frequent(pairs, PHRASE_BYTES // 4)
+    return b" " + b" ".join(reversed(phrases))[-PHRASE_BYTES:] + b" " + b" ".join(reversed(words))[-TOXIC_BYTES:] + b" "
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -272,16 +361,23 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_ordin
     if not total[0] or not total[1]:
         none = np.zeros(0)
         return Model(b"", b"", none, none, none, np.array([total[1] / max(1, sum(total.values()))]))
-    ordinary = sample.filter("toxic = 0").select("text").mapInArrow(_windows_of_documents, "window binary")
-    # Bounded: SAMPLE_WINDOWS rows of at most WINDOW_BYTES.
-    held = ordinary.orderBy(F.xxhash64("window"), "window").limit(SAMPLE_WINDOWS).collect()
+
+    def sampled(label: int) -> list:
+        read_windows = sample.filter(F.col("toxic") == label).select("fold", "text").mapInArrow(
+            _windows_of_documents, "fold int, window binary"
+        )
+        # Bounded: SAMPLE_WINDOWS rows of at most WINDOW_BYTES.
+        return read_windows.orderBy(F.xxhash64("window"), "window", "fold").limit(SAMPLE_WINDOWS).collect()
+
+    toxic_windows = sampled(1)
     counted = cut(_counted_words(sample))
 
     # One ordinary dictionary for all: it holds far less than a thousandth of the calibrating texts.
-    base = _trained([bytes(r.window) for r in held], ORDINARY_BYTES)
+    base = _trained([bytes(r.window) for r in sampled(0)], ORDINARY_BYTES)
 
     def dictionaries(folds: list[int]) -> tuple[bytes, bytes]:
-        return base, _toxic_words(counted, folds, sizes)
+        own = _trained([bytes(r.window) for r in toxic_windows if r.fold in folds], TRAINED_BYTES)
+        return base, own + b"\n" + _toxic_words(counted, folds, sizes)
 
     crossed = [dictionaries([other for other in range(FOLDS) if other != fold]) for fold in range(FOLDS)]
     shared = docs.sparkSession.sparkContext.broadcast(crossed)
@@ -304,21 +400,29 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_ordin
 
 def _calibrated(base: bytes, toxic: bytes, rows: DataFrame) -> Model:
     """The model of two dictionaries, from rows (doc, toxic, cell, n) of the calibrating documents."""
-    by_label = np.zeros((2, CELLS * CELLS))
+    by_label = np.zeros((2, 2 * CELLS * CELLS))
     for r in rows.groupBy("toxic", "cell").agg(F.sum("n").alias("n")).collect():
         by_label[r.toxic, r.cell] = r.n
     # Of pairs that are rarely met, little is said: what either label has is compared with what it
     # would have by chance, after DOUBT windows more of both.
-    chance = by_label.sum(axis=0) * by_label.sum(axis=1, keepdims=True) / by_label.sum()
-    apart = np.log((by_label + DOUBT) / (chance + DOUBT))
-    ratios = np.clip(apart[1] - apart[0], -1, 4)
+    ratios = np.zeros(2 * CELLS * CELLS)
+    for kind in KINDS:
+        own = by_label[:, kind]
+        chance = own.sum(axis=0) * own.sum(axis=1, keepdims=True) / max(1.0, own.sum())
+        apart = np.log((own + DOUBT) / (chance + DOUBT))
+        ratios[kind] = np.clip(apart[1] - apart[0], -1, 4)
     ratio = F.element_at(F.array(*[F.lit(float(v)) for v in ratios]), F.col("cell") + 1)
-    sums = [F.sum("n"), F.sum(F.col("n") * F.col("ratio"))]
-    sums += [F.sum(F.when(F.col("ratio") > step, F.col("n")).otherwise(0)) for step in STEPS]
-    # Bounded by the sample: a row of six numbers for each of its documents.
+    sums = []
+    for kind in KINDS:
+        n = F.when(F.col("cell").between(kind.start, kind.stop - 1), F.col("n")).otherwise(0)
+        sums += [F.sum(n), F.sum(n * F.col("ratio"))]
+        sums += [F.sum(F.when(F.col("ratio") > step, n).otherwise(0)) for step in STEPS]
+    # Bounded by the sample: a row of ten numbers for each of its documents.
     found = rows.withColumn("ratio", ratio).groupBy("doc", "toxic").agg(*sums).orderBy("doc", "toxic").collect()
     values = np.array([tuple(r)[1:] for r in found], dtype=np.float64)
-    x, y = _features(values[:, 1], values[:, 2], values[:, 3:]), values[:, 0]
+    each = 2 + len(STEPS)
+    y, kinds = values[:, 0], [values[:, 1 + each * k : 1 + each * (k + 1)] for k in range(len(KINDS))]
+    x = np.concatenate([_features(v[:, 0], v[:, 1], v[:, 2:]) for v in kinds], axis=1)
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
     return Model(base, toxic, ratios, means, scales, _logistic((x - means) / scales, y))
 

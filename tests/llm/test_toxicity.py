@@ -107,3 +107,55 @@ def test_dropping_keeps_columns(spark):
     ids = {r.doc_id: r.toxicity for r in kept.collect()}
     assert all(v == f"own {i}" for i, v in ids.items())
     assert sum(i % 4 == 0 for i in ids) <= 10 and sum(i % 4 != 0 for i in ids) >= 295
+
+
+def hits_of(spark, rows, labels):
+    """Toxic and other held-out rows that are predicted toxic, and how many there are of each."""
+    model = tx.train(cases.frame(spark, rows), tx.learn_labels(spark.createDataFrame(labels, LABELS)))
+    scores = {r.doc_id: r.toxicity >= 0.5 for r in tx.scored(cases.frame(spark, rows), model).collect()}
+    held = [(t, scores[i]) for i, t, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    return [[s for t, s in held if t == label] for label in (1, 0)]
+
+
+def test_text_without_blanks(spark):
+    rng = random.Random(4)
+    letters = [chr(0x4E00 + 7 * i) for i in range(400)]
+    rows, labels = [], []
+    for i in range(400):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(80, 200)))
+        if i % 4 == 0:
+            for _ in range(5):
+                at = rng.randrange(len(text))
+                text = text[:at] + rng.choice(["鬼魔怪", "蛇蝎"]) + text[at:]
+        rows.append((i, text, "zh", "s", 0))
+        labels.append((i, int(i % 4 == 0), 1))
+    toxic, others = hits_of(spark, rows, labels)
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(others) <= 0.1 * len(others)
+
+
+def test_phrases_of_ordinary_words(spark):
+    rng = random.Random(5)
+    syllables = ["ta", "re", "mo", "li", "sun", "ker", "po", "vi", "dan", "esh"]
+    rows, labels = [], []
+    for i in range(400):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(40, 90))]
+        # Each word stands before another one, so they meet only where they are put together.
+        for word in ["grumblor ta", "wuzzlebob ta"] * 3 + ["grumblor wuzzlebob ta"] * (4 * (i % 4 == 0)):
+            words.insert(rng.randrange(len(words)), word)
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, int(i % 4 == 0), 1))
+    df, marks = cases.frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    model = tx.train(df, marks)
+    assert b" grumblor wuzzlebob " in model.toxic.rpartition(b"\n")[2]
+    toxic, others = hits_of(spark, rows, labels)
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(others) <= 0.1 * len(others), (sum(toxic), len(toxic), sum(others), len(others))
+
+
+def test_case_and_marks_of_all_scripts():
+    read = [[w for part in tx.windows(t.encode()) for w in part] for t in ("ÄRGER，Я", "ärger я")]
+    assert read[0] == read[1] == ["ärger".encode(), "я".encode()]
+
+
+def test_toxic_dictionary_is_trained_on_toxic_text(model):
+    trained, _, added = model.toxic.rpartition(b"\n")
+    assert b"grumblor" in trained and b"grumblor" in added and b"grumblor" not in model.ordinary
