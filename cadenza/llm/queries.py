@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cadenza.llm import bpe, kneser_ney, line_dedup, multiset_hash, packing, quality_rules, simhash, toxicity, url_rules, warc
+from cadenza.llm import (
+    alignment, bpe, kneser_ney, lexical_search, line_dedup, mixing, multiset_hash, packing, quality_rules, simhash, toxicity, url_rules,
+    warc,
+)
 from cadenza.llm.common import table
 
 
@@ -180,6 +183,48 @@ def op10_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.aligned(table(spark, sf_dir, "documents"), a, b)
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH doc_terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM doc_terms WHERE len(terms) > 0),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+counted AS (
+  SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, corpus GROUP BY term),
+asked AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN counted USING (term), corpus GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op13_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_multiset_hash": op2_multiset_hash,
@@ -191,5 +236,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_mixing": op13_mixing,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_warc": OP8_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_warc": OP8_SQL, "op12_lexical_search": OP12_SQL}
