@@ -106,9 +106,17 @@ def test_small_bundles_stretches_and_sums_in_levels(spark, plain, monkeypatch):
 def test_stretches_meet_again():
     both = alignment.Tokenizers(A, B)
     for text in odd_texts():
-        whole = both.parts(text)
-        assert [p for s in alignment.stretches(text, 50) for p in both.parts(s)] == whole
-        assert " ".join(whole) == text
+        whole = both.parts(text, ())
+        assert [p for s in alignment.stretches(text, 50) for p in both.parts(s, ())] == whole
+        assert "".join(map(alignment.whole_part, whole)) == f" {text}"
+
+
+def test_both_libraries_of_a_side_agree():
+    both = alignment.Tokenizers(A, B)
+    end = ord(alignment.FAST_END)
+    names = [f"{x}{chr(c)}{y}" for c in range(33, end) for x in ("", "a", "7", "'") for y in ("", "s", "9", "!") if not chr(c).isspace()]
+    for i, ids in both._side_a(names):
+        assert ids.tolist() == both.a.encode(f" {names[i]}", add_special_tokens=False).ids, names[i]
 
 
 def test_wide_groups_are_counted_by_different_ids(monkeypatch):
