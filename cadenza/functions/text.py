@@ -5,9 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A word is a run of letters with their marks, digits and underscores; an apostrophe or
-# a point between two of them does not end it (don't, 3.14).
-WORD = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+# Scripts by which text is cut into words, as a search server does. Signs of Han and
+# Hiragana are words of their own, Katakana and the scripts of South-East Asia are words as runs.
+_HAN, _HIRAGANA = r"\p{IsHan}", r"\p{IsHiragana}"
+_KATAKANA = r"\p{IsKatakana}\u3031-\u3035\u309b\u309c\u30a0\u30fc\uff70"
+_SOUTH_EAST = r"\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+# Marks and invisible signs belong to what is before them.
+_MARKS = r"\p{M}\p{Cf}"
+# Letters of all other scripts, digits, and what joins them.
+_LETTERS = rf"[^\P{{L}}{_HAN}{_HIRAGANA}{_KATAKANA}{_SOUTH_EAST}][^\P{{Nl}}{_HAN}]"
+_DIGITS = r"\p{Nd}\u066b"
+_JOINERS = r"\p{Pc}"
+# Between two letters, between two digits, between either: don't, a:b, 3.14, 1,000.
+_IN_BOTH = r".'\u2018\u2019\u2024\ufe52\uff07\uff0e"
+_IN_LETTERS = rf"[{_IN_BOTH}:\u00b7\u0387\u055f\u05f4\u2027\ufe13\ufe55\uff1a]"
+_IN_DIGITS = rf"[{_IN_BOTH},;\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14\ufe50\ufe54\uff0c\uff1b]"
+# Fixed value: longer words are cut into pieces of this length.
+LONGEST_WORD = 255
+
+
+def _word_pattern() -> str:
+    """What counts as a word. Groups are possessive, so that long runs need no deep stack."""
+    alpha = rf"[{_LETTERS}][{_LETTERS}{_MARKS}]*+(?:{_IN_LETTERS}[{_LETTERS}][{_LETTERS}{_MARKS}]*+)*+"
+    number = rf"[{_DIGITS}][{_DIGITS}{_MARKS}]*+(?:{_IN_DIGITS}[{_DIGITS}][{_DIGITS}{_MARKS}]*+)*+"
+    joined = rf"[{_JOINERS}]*+(?:{alpha}|{number})(?:[{_JOINERS}]*+(?:{alpha}|{number}))*+[{_JOINERS}]*+"
+    single = rf"[{_HAN}{_HIRAGANA}][{_MARKS}]*+"
+    runs = rf"[{_KATAKANA}][{_KATAKANA}{_MARKS}]*+|[{_SOUTH_EAST}&&[\p{{L}}\p{{M}}]][{_SOUTH_EAST}&&[\p{{L}}\p{{M}}]]*+"
+    return f"{single}|{runs}|{joined}"
+
+
+WORD = _word_pattern()
 
 # All characters that count as white space.
 WHITE = (
@@ -26,9 +53,20 @@ def strip(text: Column) -> Column:
 
 
 def words(text: Column, pattern: str = WORD) -> Column:
-    """Lower-cased words in order; an empty array for null."""
+    """Lower-cased words in order; an empty array for null.
+
+    Text is cut by script (see WORD), a word of more than LONGEST_WORD characters into pieces.
+    """
     found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+
+    def pieces(word: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.char_length(word) - 1) / LONGEST_WORD).cast("int"))
+        return F.transform(starts, lambda i: F.substr(word, i * LONGEST_WORD + 1, F.lit(LONGEST_WORD)))
+
+    cut = F.flatten(F.transform(found, pieces))
+    # Few texts have such words, so all others are taken as they were found.
+    long = F.exists(found, lambda word: F.char_length(word) > LONGEST_WORD)
+    return F.coalesce(F.when(long, cut).otherwise(found), F.array().cast("array<string>"))
 
 
 def none_word(text: Column) -> Column:

@@ -40,10 +40,54 @@ DOCS_CTE = f"""{CATALOG_CTE},
   checked AS (SELECT *, {REASON} AS reason FROM catalog),
   docs AS (SELECT * FROM checked WHERE reason IS NULL)"""
 
-WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+(?:[''’.][\p{{L}}\p{{M}}\p{{N}}_]+)*')"
+def _word_sql() -> str:
+    """A call that cuts {0} into words, in the oracle's dialect of regular expressions."""
+    kana = r"\p{Katakana}\x{3031}-\x{3035}\x{309b}\x{309c}\x{30a0}\x{30fc}\x{ff70}"
+    letter = rf"(?:[^\P{{L}}\p{{Han}}\p{{Hiragana}}{kana}\p{{Thai}}\p{{Lao}}\p{{Myanmar}}\p{{Khmer}}]|[^\P{{Nl}}\p{{Han}}])"
+    mark = r"[\p{M}\p{Cf}]"
+    alpha = rf"{letter}(?:{letter}|{mark})*(?:[.''\x{{2018}}\x{{2019}}:\x{{b7}}]{letter}(?:{letter}|{mark})*)*"
+    number = rf"\p{{Nd}}(?:\p{{Nd}}|{mark})*(?:[.''\x{{2018}}\x{{2019}},;]\p{{Nd}}(?:\p{{Nd}}|{mark})*)*"
+    joined = rf"\p{{Pc}}*(?:{alpha}|{number})(?:\p{{Pc}}*(?:{alpha}|{number}))*\p{{Pc}}*"
+    runs = rf"[{kana}](?:[{kana}]|{mark})*|[\x{{e01}}-\x{{e3a}}\x{{e40}}-\x{{e4e}}]+"
+    pattern = rf"[\p{{Han}}\p{{Hiragana}}]{mark}*|{runs}|{joined}"
+    return "regexp_extract_all(lower({0}), '" + pattern.replace("{", "{{").replace("}", "}}") + "')"
+
+
+WORDS = _word_sql()
 # What the stand-in for a model calls a word.
 PLAIN_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
+def words_by_character(table: str, key: str, text: str, name: str) -> str:
+    """{name}_words (key, term): the words of a text by the classes of its characters, one by one.
+
+    h: a word of its own, k and t: runs, l, d, e: letters, digits and what joins them, m: between two
+    letters or two digits.
+    """
+    return f"""{name}_chars AS (
+      SELECT {key}, unnest(string_split(lower({text}), '')) AS c, generate_subscripts(string_split(lower({text}), ''), 1) AS i FROM {table}),
+    {name}_classed AS (
+      SELECT *, CASE WHEN unicode(c) BETWEEN 19968 AND 40959 OR unicode(c) BETWEEN 12353 AND 12438 THEN 'h'
+          WHEN unicode(c) BETWEEN 12448 AND 12543 THEN 'k' WHEN unicode(c) BETWEEN 3585 AND 3662 THEN 't'
+          WHEN c BETWEEN '0' AND '9' THEN 'd' WHEN c = '_' THEN 'e' WHEN lower(c) <> upper(c) OR c = 'ß' THEN 'l'
+          WHEN c IN ('.', chr(39), '’') THEN 'b' WHEN c = ':' THEN 'bl' WHEN c IN (',', ';') THEN 'bd' ELSE 'o' END AS k
+      FROM {name}_chars),
+    {name}_near AS (
+      SELECT *, lag(k) OVER (PARTITION BY {key} ORDER BY i) AS p, lead(k) OVER (PARTITION BY {key} ORDER BY i) AS n FROM {name}_classed),
+    {name}_joined AS (
+      SELECT {key}, i, c, CASE WHEN k IN ('b', 'bl') AND p = 'l' AND n = 'l' THEN 'm' WHEN k IN ('b', 'bd') AND p = 'd' AND n = 'd' THEN 'm'
+          WHEN k IN ('b', 'bl', 'bd') THEN 'o' ELSE k END AS k FROM {name}_near),
+    {name}_starts AS (
+      SELECT *, CASE WHEN k IN ('l', 'd', 'e', 'm') AND lag(k) OVER (PARTITION BY {key} ORDER BY i) IN ('l', 'd', 'e', 'm') THEN 0
+          WHEN k IN ('k', 't') AND lag(k) OVER (PARTITION BY {key} ORDER BY i) = k THEN 0 ELSE 1 END AS begins FROM {name}_joined),
+    {name}_numbered AS (SELECT *, sum(begins) OVER (PARTITION BY {key} ORDER BY i) AS no FROM {name}_starts),
+    {name}_whole AS (
+      SELECT {key}, no, string_agg(c, '' ORDER BY i) AS term FROM {name}_numbered WHERE k <> 'o'
+      GROUP BY {key}, no HAVING count(*) FILTER (k IN ('l', 'd', 'k', 't', 'h')) > 0),
+    {name}_words AS (
+      SELECT {key}, unnest(list_transform(range(0, (length(term) - 1) // 255 + 1), lambda j: substr(term, j * 255 + 1, 255))) AS term
+      FROM {name}_whole)"""
+
+
 INDEX_CTE = f"""{DOCS_CTE},
   field_words AS (
     SELECT song_id, 'song_name' AS field, {WORDS.format('song_name')} AS w FROM docs
@@ -95,6 +139,12 @@ def tokens(spark, sf_dir):
     return lyrics.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tokens_scripts(spark, sf_dir):
+    """Words of lyrics that mix Latin letters with Japanese or Thai."""
+    lyrics = view(spark, sf_dir, "lyrics_scripts").select(F.explode(words(F.col("lyrics"))).alias("term"))
+    return lyrics.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def index_postings(spark, sf_dir):
     rows = ix.build_index(inputs.stored_documents(spark, sf_dir)).postings
     dl, impact = F.col("dl").cast("long").alias("dl"), F.round("impact", 6).alias("impact")
@@ -163,7 +213,7 @@ def catalog_preview(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        catalog_build, join_ci, join_artist_key, index_docs, index_rejects, index_summary, tokens,
+        catalog_build, join_ci, join_artist_key, index_docs, index_rejects, index_summary, tokens, tokens_scripts,
         index_postings, index_stats, index_fields, filter_energy, filter_popularity, filter_artist,
         artist_parse, artist_parse_simple, table_counts, catalog_like, catalog_preview,
     )
@@ -207,6 +257,10 @@ ORACLES = {
         "lyrics",
         f"SELECT term, count(*) AS n FROM (SELECT unnest({WORDS.format('lyrics')}) AS term FROM lyrics) GROUP BY term",
     ),
+    "tokens_scripts": with_views(
+        "lyrics_scripts",
+        f"WITH {words_by_character('lyrics_scripts', 'song_id', 'lyrics', 'w')} SELECT term, count(*) AS n FROM w_words GROUP BY term",
+    ),
     "index_postings": _from_index("SELECT song_id, field, term, tf, dl, round(impact, 6) AS impact FROM postings"),
     "index_stats": _from_index(
         "SELECT field, term, df, round(ln(1 + (n_docs - df + 0.5e0) / (df + 0.5e0)), 6) AS idf "

@@ -11,9 +11,10 @@ from cadenza.functions.text import clean_keywords
 from cadenza.operators import enrich as en
 from cadenza.operators import filters as fl
 from cadenza.operators import hybrid as hy
+from cadenza.operators import index as ix
 from cadenza.operators import knn, lexical as lx
 from cadenza.plans import inputs
-from cadenza.plans.catalog_plans import CATALOG_VIEWS, INDEX_CTE, WORDS
+from cadenza.plans.catalog_plans import CATALOG_VIEWS, INDEX_CTE, WORDS, words_by_character
 from cadenza.session import cut
 from cadenza.sources.catalog_views import base_table, view, with_views
 
@@ -60,6 +61,16 @@ def bm25_fuzzy(spark, sf_dir):
     return _best_by_words(given, lx.prompt_weights(given.index, asked, lx.batch_size(given.queries)))
 
 
+def bm25_scripts(spark, sf_dir):
+    """Keyword search over lyrics that mix Latin letters with Japanese or Thai."""
+    nothing = F.lit(None).cast("string")
+    lyrics = view(spark, sf_dir, "lyrics_scripts").select("song_id", nothing.alias("song_name"), nothing.alias("name_artists"), "lyrics")
+    index = ix.build_index(cut(lyrics))
+    queries = view(spark, sf_dir, "prompts_scripts").withColumn("keywords", F.array("prompt"))
+    weights = lx.keyword_weights(index, lx.keyword_words(queries), lx.batch_size(queries))
+    return _best_by_words(inputs.SearchInputs(index, queries), weights)
+
+
 def keywords_all(spark, sf_dir):
     """Every indexed prompt word as a keyword."""
     given = inputs.search_inputs(spark, sf_dir)
@@ -140,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_top, keywords_clean, keywords_tfidf, keywords_all, keywords_answers, bm25_keywords, fuzzy_expand,
-        fuzzy_expand_all, bm25_fuzzy,
+        fuzzy_expand_all, bm25_fuzzy, bm25_scripts,
         search_hybrid, search_filtered, filter_queries, search_enriched,
     )
 }
@@ -272,6 +283,22 @@ ORACLES = {
                CASE WHEN good THEN array_to_string(k, ' ') ELSE '' END AS keywords FROM two""",
     ),
     "bm25_keywords": _clause_top(KEYWORD_CTE, "keyword_scores", "keyword"),
+    "bm25_scripts": with_views(
+        "lyrics_scripts prompts_scripts",
+        f"""WITH {words_by_character('lyrics_scripts', 'song_id', 'lyrics', 'w')},
+        {words_by_character('prompts_scripts', 'query_id', 'prompt', 'q')},
+        sized AS (SELECT song_id, count(*) AS dl FROM w_words GROUP BY song_id),
+        whole AS (SELECT count(*) AS n_docs, sum(dl) / count(*) AS avg_dl FROM sized),
+        counted AS (SELECT song_id, term, count(*) AS tf FROM w_words GROUP BY ALL),
+        weighed AS (SELECT term, ln(1 + (any_value(n_docs) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM counted, whole GROUP BY term),
+        asked AS (SELECT query_id, term, count(*) AS n FROM q_words GROUP BY ALL),
+        scored AS (
+          SELECT query_id, song_id, round(sum(n * idf * 2.2e0 * tf / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avg_dl))), 6) AS score
+          FROM asked JOIN weighed USING (term) JOIN counted USING (term) JOIN sized USING (song_id), whole GROUP BY ALL)
+        SELECT query_id, song_id, score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_id) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 20""",
+    ),
     "fuzzy_expand": _search(
         f"WITH {FUZZY_CTE} SELECT word, field, term, CAST(dist AS BIGINT) AS dist, round(closeness, 6) AS closeness, df FROM expanded"
     ),

@@ -30,6 +30,16 @@ VIEWS = {
                CASE WHEN p.p_type = 'PROMO' THEN p.p_brand || ' chart' END AS billboard
         FROM documents d LEFT JOIN part p ON p.p_partkey = d.doc_id""",
     "lyrics": "SELECT CAST(doc_id AS STRING) AS song_id, text AS lyrics FROM documents",
+    "lyrics_scripts": """
+        SELECT CAST(doc_id AS STRING) AS song_id,
+               CASE lang WHEN 'de' THEN translate(lower(text), 'etaonisr', '東京タワーの夜カ')
+                         WHEN 'fr' THEN translate(lower(text), 'aeiou', 'กาไทย') ELSE text END AS lyrics
+        FROM documents""",
+    "prompts_scripts": """
+        SELECT item_id AS query_id,
+               CASE WHEN item_id % 2 = 0 THEN translate(lower(text), 'etaonisr', '東京タワーの夜カ')
+                    ELSE translate(lower(text), 'aeiou', 'กาไทย') END AS prompt
+        FROM benchmark""",
     "song_embeddings": "SELECT CAST(vec_id AS STRING) AS song_id, embedding FROM embeddings",
     "artists": """
         SELECT 'src' || CAST(s.s_suppkey AS STRING) AS artist_id,

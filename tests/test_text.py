@@ -68,6 +68,35 @@ def test_words(spark):
     assert one(spark, "e\u0301te\u0301 \u0939\u093f\u0928", text.words) == ["e\u0301te\u0301", "\u0939\u093f\u0928"]
 
 
+@pytest.mark.parametrize(
+    "given, found",
+    [
+        ("東京タワーの夜", ["東", "京", "タワー", "の", "夜"]),
+        ("ひらがなとカタカナ", ["ひ", "ら", "が", "な", "と", "カタカナ"]),
+        ("日本語abc123カナ", ["日", "本", "語", "abc123", "カナ"]),
+        ("ภาษาไทย ไม่มี abcไทย", ["ภาษาไทย", "ไม่มี", "abc", "ไทย"]),
+        ("ລາວ ខ្មែរ မြန်မာ", ["ລາວ", "ខ្មែរ", "မြန်မာ"]),
+        ("한국어 노래abc", ["한국어", "노래abc"]),
+        ("が\u3099 か\u3099き", ["が\u3099", "か\u3099", "き"]),
+        ("a:b 1,000.5 3.a a.3 a,b 1:2", ["a:b", "1,000.5", "3", "a", "a", "3", "a", "b", "1", "2"]),
+        ("__ _a_ a__1 1_", ["_a_", "a__1", "1_"]),
+        ("привет Ελλάδα שלום مرحبا", ["привет", "ελλάδα", "שלום", "مرحبا"]),
+        ("½ ² Ⅷ 〇 x\u00ady", ["ⅷ", "〇", "x\u00ady"]),
+        ("", []),
+    ],
+)
+def test_words_by_script(spark, given, found):
+    assert one(spark, given, text.words) == found
+
+
+def test_long_words_are_cut(spark):
+    assert [len(w) for w in one(spark, "x" * 300 + " y " + "z" * 255, text.words)] == [255, 45, 1, 255]
+    assert [len(w) for w in one(spark, "ไ" * 600, text.words)] == [255, 255, 90]
+    # No deep stack for words of very many parts.
+    assert len(one(spark, "a1" * 200_000 + "_a" * 100_000, text.words)) == -(-600_000 // 255)
+    assert len(one(spark, "a." * 200_000, text.words)) == -(-399_999 // 255)
+
+
 @pytest.mark.parametrize("note, lyrics, whole", [("", "x", "x"), ("b", "", "b\n\n"), (None, None, ""), ("b", "x", "b\n\nx")])
 def test_embedding_text(spark, note, lyrics, whole):
     df = spark.createDataFrame([(note, lyrics)], "n string, l string")
