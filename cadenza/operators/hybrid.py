@@ -9,6 +9,7 @@ from cadenza.operators import filters as fl
 from cadenza.operators import knn, lexical
 from cadenza.operators.index import Index
 from cadenza.operators.skew import join_in_parts
+from cadenza.operators.term_lists import best_songs
 from cadenza.session import cut
 
 # Clause names in the order they are reported.
@@ -90,10 +91,16 @@ def search(
     limits = fl.query_limits(queries, "__size")
     values = fl.document_values(index.documents)
 
-    lexical_scores = lexical.score_postings(index, clause_weights(index, queries, batch, expansions))
     # Read twice below, and at most `neighbours` rows per query.
     vectors = knn.nearest(index.documents, queries, neighbours)
     vectors = cut(vectors.select("query_id", "song_id", F.col("score").alias("vector")))
+    weights = cut(clause_weights(index, queries, batch, expansions))
+    # Without filters, few words need only what can reach the page, and what the vectors have found.
+    lexical_scores = None
+    if not use_filters and batch.small_words:
+        lexical_scores = best_songs(index, weights, batch.largest_page, vectors)
+    if lexical_scores is None:
+        lexical_scores = lexical.score_postings(index, weights)
 
     def limited(rows: DataFrame) -> DataFrame:
         """Add page size and filters. A query may match most documents, so it is split."""

@@ -20,13 +20,15 @@ B = 0.75
 class Index:
     """documents: one row per song. postings: one row per song, field and word.
     terms: document frequency per field and word. fields: size statistics per field.
-    keys: what each different word is found by when it is misspelt."""
+    keys: what each different word is found by when it is misspelt. lists: the postings once more,
+    by word, only in a stored index, where terms also have the largest impact of their list."""
 
     documents: DataFrame
     postings: DataFrame
     terms: DataFrame
     fields: DataFrame
     keys: DataFrame
+    lists: DataFrame | None = None
 
 
 def field_words(documents: DataFrame) -> DataFrame:
@@ -58,6 +60,11 @@ def term_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def list_stats(postings: DataFrame) -> DataFrame:
+    """term_stats with the largest impact of each word."""
+    return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("most"))
+
+
 def word_keys(terms: DataFrame) -> DataFrame:
     """(key, term): the lookup keys of every different word."""
     return terms.select("term").distinct().select(F.explode(vocabulary_keys(F.col("term"))).alias("key"), "term")

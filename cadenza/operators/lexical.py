@@ -13,6 +13,7 @@ from cadenza.functions.distance import allowed_edits, osa_within, search_keys
 from cadenza.functions.text import clean_keywords, words
 from cadenza.operators.index import FIELD_BOOSTS, Index, idf
 from cadenza.operators.skew import PARTS, SALT, copy_hot, join_many_to_one, spread_hot
+from cadenza.operators.term_lists import asked_postings
 from cadenza.session import cut, send_with_tasks
 
 send_with_tasks(__name__)
@@ -175,14 +176,18 @@ def score_postings(index: Index, weights: DataFrame) -> DataFrame:
     """(query_id, song_id, keyword, prompt): summed relevance per clause.
 
     weights hold (query_id, field, term, keyword, prompt); they are written once and counted.
-    If they are few, the postings are read once, bucket by bucket, and summed in place: a
-    bucket holds whole songs. Else both sides are shuffled by word, with the postings of a word
+    If they name few blocks of the stored lists, only these are read. If they are few, the postings are
+    read once, bucket by bucket, and summed in place: a bucket holds whole songs. Else both sides are shuffled by word, with the postings of a word
     spread over several tasks where it has many pairs of postings and queries.
     """
     held = index.postings.select("song_id", "field", "term", "impact")
     weights = cut(weights)
     size = weights.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + ROW_BYTES).alias("bytes")).first()
-    if size["n"] <= SMALL_ROWS and (size["bytes"] or 0) <= SMALL_BYTES:
+    few = size["n"] <= SMALL_ROWS and (size["bytes"] or 0) <= SMALL_BYTES
+    listed = asked_postings(index, weights) if few else None
+    if listed is not None:
+        met = listed.join(F.broadcast(weights), ["field", "term"])
+    elif few:
         met = held.join(F.broadcast(weights), ["field", "term"])
     else:
         on = ["field", "term"]

@@ -9,15 +9,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.skew import one_per_key
+from cadenza.session import cut
 
 LINK_COLUMNS = ("spotify_url", "youtube_music_url")
 
 
+# Changes are sent to the table, which then stays where it is, up to so many rows and bytes.
+SMALL_ROWS = 500_000
+SMALL_BYTES = 32 << 20
+
+
+def sent_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes when it is sent."""
+    total = F.lit(16)
+    for field in df.schema:
+        kind, column = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            total += F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array"):
+            total += 8 * F.coalesce(F.size(column), F.lit(0))
+        else:
+            total += 8
+    return total
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table, which is counted for it, can be sent to every task."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sent_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= SMALL_ROWS and size["bytes"] <= SMALL_BYTES
+
+
 def _both(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
-    """Full outer join on song_id with columns old_* and new_*."""
+    """Full outer join on song_id with columns old_* and new_*; new has one row per song.
+
+    A few changes go to the rows of the old table, which are not moved; those whose song was met there
+    are then left out of what is added. Many are joined by shuffle.
+    """
     before = old.select("song_id", *[F.col(c).alias(f"old_{c}") for c in old.columns if c != "song_id"], F.lit(True).alias("was"))
-    after = new.select("song_id", *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("given"))
-    return before.join(after, "song_id", "full_outer")
+    after = cut(new.select("song_id", *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("given")))
+    if not is_small(after):
+        return before.join(after, "song_id", "full_outer")
+    changed = before.join(F.broadcast(after), "song_id", "left")
+    # No more rows than changes.
+    met = cut(old.select("song_id").join(F.broadcast(after.select("song_id")), "song_id", "left_semi").distinct())
+    added = after.join(F.broadcast(met), "song_id", "left_anti")
+    return changed.unionByName(added, allowMissingColumns=True)
 
 
 def _stamps(old: DataFrame, run_at: datetime | None, changed: Column) -> list[Column]:
@@ -100,7 +136,9 @@ def patch_links(links: DataFrame, patch: DataFrame, run_at: datetime | None = No
         return F.max(F.when(F.col("link_column") == column, order))["link_value"].alias(f"new_{column}")
 
     cells = patch.groupBy("song_id").agg(*[cell(c) for c in LINK_COLUMNS])
-    joined = links.join(cells, "song_id", "left")
+    cells = cut(cells)
+    # A few cells go to the links, which stay where they are.
+    joined = links.join(F.broadcast(cells) if is_small(cells) else cells, "song_id", "left")
     values = {c: F.coalesce(f"new_{c}", c) for c in LINK_COLUMNS}
     if "updated_at" in links.columns:
         changes = [F.col(f"new_{c}").isNotNull() & ~F.col(f"new_{c}").eqNullSafe(F.col(c)) for c in LINK_COLUMNS]

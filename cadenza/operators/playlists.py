@@ -57,13 +57,18 @@ def _last_commands(commands: DataFrame) -> DataFrame:
 
 
 def apply_playlist_commands(
-    playlists: DataFrame, commands: DataFrame, hot_rows: int = HOT_ROWS, run_at: datetime | None = None
+    playlists: DataFrame,
+    commands: DataFrame,
+    hot_rows: int = HOT_ROWS,
+    run_at: datetime | None = None,
+    top: int | None = None,
 ) -> DataFrame:
     """The table after all commands, with the columns it came with.
 
     commands hold (seq, op, user_id, playlist_name, songs) with op replace or delete; the last
     command per playlist counts. Replacing by no songs deletes. New rows get the ids after the
-    largest old one, in order of command and song, and run_at as their times.
+    largest old one, in order of command and song, and run_at as their times. Give that id as `top`
+    where playlists are only a part of the table.
     """
     columns = [c for c in TABLE if c in playlists.columns]
     last = _last_commands(commands)
@@ -72,10 +77,10 @@ def apply_playlist_commands(
     replaced = last.filter((F.col("op") == "replace") & (F.size("songs") > 0))
     added = running_total(replaced, "seq", KEY, F.size("songs"), "before")
     added = added.select("before", *KEY, F.posexplode("songs").alias("place", "song_data"))
-    top = playlists.agg(F.coalesce(F.max("id"), F.lit(-1)).cast("long")).scalar()
+    largest = playlists.agg(F.coalesce(F.max("id"), F.lit(-1)).cast("long")).scalar() if top is None else F.lit(top)
     now = F.lit(run_at).cast("timestamp")
     new = added.select(
-        (top + F.col("before") + F.col("place") + 1).alias("id"), *KEY, "song_data",
+        (largest + F.col("before") + F.col("place") + 1).alias("id"), *KEY, "song_data",
         now.alias("created_at"), now.alias("updated_at"),
     )
     kept = kept.withColumn("id", F.col("id").cast("long"))

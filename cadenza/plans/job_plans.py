@@ -131,11 +131,11 @@ def playlist_commands(spark, sf_dir):
 def playlist_stream(spark, sf_dir):
     """The same commands, arriving as files."""
     home = new_path(spark, "playlists")
-    st.create_table(view(spark, sf_dir, "user_playlists"), f"{home}/table")
+    st.create_playlists(view(spark, sf_dir, "user_playlists"), f"{home}/table")
     _commands(spark, sf_dir).write.parquet(f"{home}/inbox")
     run = st.stream_playlist_commands(spark, f"{home}/inbox", f"{home}/table", f"{home}/progress")
     run.awaitTermination()
-    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(spark, f"{home}/table")))
+    return st.read_rows(spark, f"{home}/table")
 
 
 QUERIES = {

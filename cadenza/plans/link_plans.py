@@ -134,12 +134,12 @@ def link_upsert(spark, sf_dir):
 def link_stream(spark, sf_dir):
     """The same updates, arriving as several files."""
     home = new_path(spark, "links")
-    st.create_table(view(spark, sf_dir, "song_links"), f"{home}/table")
+    st.create_links(view(spark, sf_dir, "song_links"), f"{home}/table")
     arrivals = _updates(spark, sf_dir).withColumn("seq", F.col("song_id").cast("long"))
     arrivals.repartition(3, "song_id").write.parquet(f"{home}/inbox")
     run = st.stream_link_updates(spark, f"{home}/inbox", f"{home}/table", f"{home}/progress", files_per_batch=1)
     run.awaitTermination()
-    return spark.read.parquet(st.rows_path(f"{home}/table", st.newest_version(spark, f"{home}/table")))
+    return st.read_rows(spark, f"{home}/table")
 
 
 def link_upsert_all(spark, sf_dir):

@@ -12,7 +12,7 @@ from cadenza.operators import enrich as en
 from cadenza.operators import filters as fl
 from cadenza.operators import hybrid as hy
 from cadenza.operators import index as ix
-from cadenza.operators import knn, lexical as lx
+from cadenza.operators import knn, lexical as lx, term_lists as tl
 from cadenza.plans import inputs
 from cadenza.plans.catalog_plans import CATALOG_VIEWS, INDEX_CTE, WORDS, words_by_character
 from cadenza.session import cut
@@ -42,7 +42,10 @@ def keywords_tfidf(spark, sf_dir):
 def _best_by_words(given, weights):
     """The best hits of one clause alone."""
     weights = weights.withColumnRenamed("weight", "keyword").withColumn("prompt", F.lit(0.0))
-    scores = lx.score_postings(given.index, weights)
+    return _ranked(lx.score_postings(given.index, weights))
+
+
+def _ranked(scores):
     rounded = scores.select("query_id", "song_id", F.round("keyword", 6).alias("score")).filter("score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "song_id")
     ranked = rounded.withColumn("rank", F.row_number().over(best).cast("long"))
@@ -55,6 +58,24 @@ def bm25_keywords(spark, sf_dir):
     return _best_by_words(given, lx.keyword_weights(given.index, asked, lx.batch_size(given.queries)))
 
 
+def bm25_pruned(spark, sf_dir):
+    """The same from the stored lists, of which only what can reach the page is read."""
+    given = inputs.search_inputs(spark, sf_dir)
+    weights = lx.keyword_weights(given.index, lx.keyword_words(given.queries), lx.batch_size(given.queries))
+    weights = weights.select("query_id", "field", "term", F.col("weight").alias("keyword"), F.lit(0.0).alias("prompt"))
+    sums = weights.groupBy("query_id", "field", "term").agg(F.sum("keyword").alias("keyword"), F.sum("prompt").alias("prompt"))
+    scores = tl.best_songs(given.index, sums, lx.PAGE_SIZE)
+    return _ranked(lx.score_postings(given.index, sums) if scores is None else scores)
+
+
+def search_single(spark, sf_dir):
+    """One request, the first of the batch, as the service gets them one by one."""
+    given = inputs.search_inputs(spark, sf_dir)
+    first = given.queries.agg(F.min("query_id").alias("first"))
+    one = given.queries.join(F.broadcast(first), F.col("query_id") == F.col("first")).drop("first")
+    return _shown(hy.search(given.index, cut(one), use_filters=False))
+
+
 def bm25_fuzzy(spark, sf_dir):
     given = inputs.search_inputs(spark, sf_dir)
     asked = lx.prompt_words(given.queries)
@@ -151,8 +172,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_top, keywords_clean, keywords_tfidf, keywords_all, keywords_answers, bm25_keywords, fuzzy_expand,
-        fuzzy_expand_all, bm25_fuzzy, bm25_scripts,
-        search_hybrid, search_filtered, filter_queries, search_enriched,
+        fuzzy_expand_all, bm25_fuzzy, bm25_scripts, bm25_pruned,
+        search_hybrid, search_single, search_filtered, filter_queries, search_enriched,
     )
 }
 
@@ -309,6 +330,10 @@ ORACLES = {
     ),
     "bm25_fuzzy": _clause_top(FUZZY_CTE, "prompt_scores", "prompt"),
     "search_hybrid": _search(f"WITH {HYBRID_CTE} {_top.format('scored')}"),
+    "bm25_pruned": _clause_top(KEYWORD_CTE, "keyword_scores", "keyword"),
+    "search_single": _search(
+        f"WITH {HYBRID_CTE} SELECT * FROM ({_top.format('scored')}) WHERE query_id = (SELECT min(query_id) FROM queries)"
+    ),
     "search_filtered": _search(f"WITH {FILTERED_CTE} SELECT * FROM hits"),
     "filter_queries": _search(
         f"""WITH {FILTERED_CTE} SELECT query_id, count(*) AS n_passing, min(song_id) AS first_song

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cadenza.operators import index as ix
+from cadenza.operators.term_lists import term_lists
 
-PARTS = ("documents", "postings", "terms", "fields", "keys")
+PARTS = ("documents", "postings", "terms", "fields", "keys", "lists")
 DOCUMENTS_PER_BUCKET = 20_000
+# Buckets of the lists for each of the other tables: a request reads those of its words only.
+LIST_BUCKETS = 4
 # Fixed value: Spark's default limit on the buckets of a table.
-MOST_BUCKETS = 100_000
+MOST_BUCKETS = 100_000 // LIST_BUCKETS
 
 
 def buckets_for(spark: SparkSession, n_documents: int) -> int:
@@ -54,13 +57,15 @@ def save_index(documents: DataFrame, name: str, path: str, buckets: int) -> ix.I
     posts = ix.postings(ix.term_counts(docs), fields)
     posts = _save_bucketed(posts, _table(name, version, "postings"), f"{home}/postings", buckets)
     # As many files as buckets: finding near spellings costs far more time than bytes.
-    terms = _save(ix.term_stats(posts).repartition(buckets, "term"), f"{home}/terms")
+    terms = _save(ix.list_stats(posts).repartition(buckets, "term"), f"{home}/terms")
     keys = _save_bucketed(ix.word_keys(terms), _table(name, version, "keys"), f"{home}/keys", buckets, "key")
-    schemas = {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields, keys))}
+    blocks = term_lists(posts, terms)
+    lists = _save_bucketed(blocks, _table(name, version, "lists"), f"{home}/lists", LIST_BUCKETS * buckets, "block")
+    schemas = {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields, keys, lists))}
     layout = json.dumps({"version": version, "buckets": buckets, "schemas": schemas})
     one = spark.createDataFrame([(layout,)], "layout string").coalesce(1)
     one.write.mode("overwrite").text(f"{path}/layout")
-    return ix.Index(docs, posts, terms, fields, keys)
+    return ix.Index(docs, posts, terms, fields, keys, lists)
 
 
 def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
@@ -71,17 +76,18 @@ def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
     layout = json.loads(spark.read.text(f"{path}/layout").first()["value"])
     home = f"{path}/{layout['version']}"
 
-    def bucketed(part: str, by: str = "song_id") -> DataFrame:
+    def bucketed(part: str, by: str = "song_id", more: int = 1) -> DataFrame:
         table = _table(name, layout["version"], part)
         if not spark.catalog.tableExists(table):
             schema = T.StructType.fromJson(layout["schemas"][part])
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             spark.sql(
                 f"CREATE TABLE {table} ({columns}) USING parquet "
-                f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {layout['buckets']} BUCKETS "
+                f"CLUSTERED BY ({by}) SORTED BY ({by}) INTO {more * layout['buckets']} BUCKETS "
                 f"LOCATION '{home}/{part}'"
             )
         return spark.table(table)
 
     parts = [spark.read.parquet(f"{home}/{part}") for part in ("terms", "fields")]
-    return ix.Index(bucketed("documents"), bucketed("postings"), *parts, bucketed("keys", "key"))
+    held = bucketed("documents"), bucketed("postings"), *parts, bucketed("keys", "key")
+    return ix.Index(*held, bucketed("lists", "block", LIST_BUCKETS))

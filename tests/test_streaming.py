@@ -1,25 +1,27 @@
+from cadenza.operators import mutations as mu
+from cadenza.sources import bucket_table as bt
 from cadenza.streaming import apply as st
 
 
 def test_playlist_commands_arrive_in_batches(spark, rows, tmp_path):
     inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
     old = spark.createDataFrame([(1, "u", "p", "a")], "id long, user_id string, playlist_name string, song_data string")
-    st.create_table(old, table)
+    st.create_playlists(old, table)
 
     def send(*commands):
         spark.createDataFrame(list(commands), st.COMMANDS).coalesce(1).write.mode("append").parquet(inbox)
         st.stream_playlist_commands(spark, inbox, table, checkpoint).awaitTermination()
 
     send((5, "replace", "u", "p", ["x", "y"]), (4, "delete", "u", "p", None))
-    assert rows(spark.read.parquet(st.rows_path(table, 0))) == [(2, "u", "p", "x"), (3, "u", "p", "y")]
+    assert rows(st.read_rows(spark, table, 0)) == [(2, "u", "p", "x"), (3, "u", "p", "y")]
     # A late command, a repeated one, and a new one.
     send((3, "delete", "u", "p", None), (5, "replace", "u", "p", ["x", "y"]), (6, "replace", "v", "q", ["z"]))
-    assert rows(spark.read.parquet(st.rows_path(table, 1))) == [(2, "u", "p", "x"), (3, "u", "p", "y"), (4, "v", "q", "z")]
+    assert rows(st.read_rows(spark, table, 1)) == [(2, "u", "p", "x"), (3, "u", "p", "y"), (4, "v", "q", "z")]
 
 
 def test_link_updates_arrive_in_batches(spark, rows, tmp_path):
     inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
-    st.create_table(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
+    st.create_links(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
 
     def send(*updates):
         spark.createDataFrame(list(updates), st.LINK_UPDATES).coalesce(1).write.mode("append").parquet(inbox)
@@ -28,29 +30,81 @@ def test_link_updates_arrive_in_batches(spark, rows, tmp_path):
     send((5, "a", "new", None), (2, "b", None, "v"), (3, "c", None, None))
     # Late for one link of a song, in time for the other.
     send((4, "a", "late", "w"), (1, "b", "s", "late"))
-    assert rows(spark.read.parquet(st.rows_path(table, 1))) == [("a", "new", "w"), ("b", "s", "v")]
+    assert rows(st.read_rows(spark, table, 1)) == [("a", "new", "w"), ("b", "s", "v")]
 
 
 def test_a_restart_without_new_files_keeps_the_version(spark, rows, tmp_path):
     inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
-    st.create_table(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
+    st.create_links(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
     assert st.newest_version(spark, table) == -1
     spark.createDataFrame([(1, "a", "new", None)], st.LINK_UPDATES).write.parquet(inbox)
     for _ in range(3):
         st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
         assert st.newest_version(spark, table) == 0
-        assert rows(spark.read.parquet(st.rows_path(table, st.newest_version(spark, table)))) == [("a", "new", None)]
+        assert rows(st.read_rows(spark, table)) == [("a", "new", None)]
 
 
 def test_old_versions_can_be_dropped(spark, rows, tmp_path):
     inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
-    st.create_table(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
+    st.create_links(spark.createDataFrame([("a", "x", None)], "song_id string, spotify_url string, youtube_music_url string"), table)
     assert st.drop_versions(spark, table) == []
     for number in range(3):
         spark.createDataFrame([(number, "a", f"new {number}", None)], st.LINK_UPDATES).write.mode("append").parquet(inbox)
         st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
     assert st.drop_versions(spark, table) == [-1, 0]
-    assert rows(spark.read.parquet(st.rows_path(table, st.newest_version(spark, table)))) == [("a", "new 2", None)]
+    assert rows(st.read_rows(spark, table)) == [("a", "new 2", None)]
     spark.createDataFrame([(9, "b", "late", None)], st.LINK_UPDATES).write.mode("append").parquet(inbox)
     st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
-    assert st.newest_version(spark, table) == 3 and len(rows(spark.read.parquet(st.rows_path(table, 3)))) == 2
+    assert st.newest_version(spark, table) == 3 and len(rows(st.read_rows(spark, table, 3))) == 2
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, rows, tmp_path):
+    inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
+    old = spark.range(20_000).selectExpr("cast(id as string) AS song_id", "sha2(cast(id as string), 256) AS spotify_url", "'' AS youtube_music_url")
+    st.create_links(old, table, buckets=32)
+
+    def send(*updates):
+        spark.createDataFrame(list(updates), st.LINK_UPDATES).coalesce(1).write.mode("append").parquet(inbox)
+        st.stream_link_updates(spark, inbox, table, checkpoint).awaitTermination()
+
+    send((1, "7", "seven", None), (2, "new", None, "v"))
+    whole, written = (bt.written_bytes(spark, f"{table}/rows", v) for v in (-1, 0))
+    assert 0 < written < whole / 10
+    held = bt.manifest(spark, f"{table}/rows")
+    assert sorted(set(held.holders.values())) == [-1, 0] and sum(v == 0 for v in held.holders.values()) <= 2
+    assert bt.written_bytes(spark, f"{table}/seen", 0) < whole / 10
+    now = {r.song_id: r for r in st.read_rows(spark, table).collect()}
+    assert len(now) == 20_001 and now["7"].spotify_url == "seven" and now["new"].youtube_music_url == "v"
+    # The version before is still whole.
+    assert st.read_rows(spark, table, -1).count() == 20_000
+    send((3, "8", "eight", None))
+    assert st.drop_versions(spark, table, keep=1) == [-1, 0]
+    # Files of older versions stay as long as the newest one names them.
+    assert st.read_rows(spark, table).count() == 20_001
+    plan = bt.read(spark, f"{table}/rows", None, [3])._jdf.queryExecution().toString()
+    assert plan.count("__bucket=") <= 2
+
+
+def test_ids_go_on_after_those_of_untouched_buckets(spark, rows, tmp_path):
+    inbox, table, checkpoint = (str(tmp_path / n) for n in ("inbox", "table", "checkpoint"))
+    old = spark.range(100).selectExpr("id", "concat('u', id) AS user_id", "'p' AS playlist_name", "'x' AS song_data")
+    st.create_playlists(old, table, buckets=16)
+    for number, user in enumerate(("u3", "u99", "u99")):
+        sent = [(number, "delete" if number == 1 else "replace", user, "p", ["s"])]
+        spark.createDataFrame(sent, st.COMMANDS).write.mode("append").parquet(inbox)
+        st.stream_playlist_commands(spark, inbox, table, checkpoint).awaitTermination()
+    now = {(r.user_id, r.id) for r in st.read_rows(spark, table).collect()}
+    assert len(now) == 100 and {("u3", 100), ("u99", 101)} <= now
+
+
+def test_a_change_of_a_stored_table(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(1000).selectExpr("cast(id as string) AS song_id", "'x' AS spotify_url", "'y' AS youtube_music_url")
+    bt.create(old, path, ["song_id"], 8)
+    patch = spark.createDataFrame([("5", "spotify_url", "z")], "song_id string, link_column string, link_value string")
+    bt.change(spark, path, patch, mu.patch_links)
+    assert rows(bt.read(spark, path).filter("spotify_url = 'z'")) == [("5", "z", "y")]
+    assert bt.read(spark, path).count() == 1000 and bt.versions(spark, path) == [-1, 0]
+    # Without the last step, the manifest, a version does not count.
+    bt._write_rows(old.limit(3), path, 1, ["song_id"], 8)
+    assert bt.versions(spark, path) == [-1, 0] and bt.read(spark, path).count() == 1000
