@@ -201,8 +201,13 @@ def best_songs(index, weights: DataFrame, top: int, also: DataFrame | None = Non
 
 
 def buckets_read(df: DataFrame) -> tuple[int, int] | None:
-    """How many buckets of the lists a plan reads, and of how many; None if it reads no lists."""
-    import re
-
-    found = re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
-    return (int(found[1]), int(found[2])) if found else None
+    """How many buckets of bucketed tables the scans of a plan read after pruning, and of how many;
+    None if no scan is pruned."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    read = total = 0
+    for at in range(leaves.size()):
+        leaf = leaves.apply(at)
+        if str(leaf.nodeName()).startswith("Scan ") and leaf.getClass().getSimpleName() == "FileSourceScanExec" and leaf.optionalBucketSet().isDefined():
+            read += leaf.optionalBucketSet().get().cardinality()
+            total += leaf.relation().bucketSpec().get().numBuckets()
+    return (read, total) if total else None
