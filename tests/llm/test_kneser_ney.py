@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 from cadenza.llm import kneser_ney as kn
 from tests.llm import cases
@@ -43,11 +44,11 @@ class Plain:
         return sum(math.log(self.p(padded[i : i + self.order])) for i in range(len(text)))
 
 
-def plain_discounts(models):
-    """Discounts by order from the counts of all languages together."""
+def plain_discounts(model):
+    """Discounts by order from the counts of a language."""
     found = {}
     for n in range(1, kn.ORDER + 1):
-        t = Counter(c for m in models for c in m.counts[n].values())
+        t = Counter(model.counts[n].values())
         if not t[1] or not t[2]:
             found[n] = (0.5, 0.5, 0.5)
             continue
@@ -65,11 +66,10 @@ def plain(rows, trusted):
             texts[lang or ""].append(text or "")
     chars = {c for found in texts.values() for t in found for c in t}
     models = {lang: Plain(found, None, len(chars)) for lang, found in texts.items()}
-    by_order = plain_discounts(models.values())
     out = []
     for doc_id, text, lang, *_ in rows:
         model = models.get(lang or "") or Plain([], None, len(chars))
-        model.discounts = by_order
+        model.discounts = plain_discounts(model)
         out.append((doc_id, lang or "", len(text or ""), round(model.log_prob(text or ""), 2)))
     return sorted(out, key=repr)
 
@@ -95,6 +95,7 @@ def test_awkward_documents_by_the_definition(spark, monkeypatch):
     # Small bundles and stretches give the same.
     monkeypatch.setattr(kn, "BUNDLE_BYTES", 300)
     monkeypatch.setattr(kn, "AT_ONCE", 50)
+    monkeypatch.setattr(kn, "PIECE_CHARS", 40)
     close(found(spark, rows, trusted, 2), expected)
 
 
@@ -102,7 +103,7 @@ def test_probabilities_after_a_context_sum_to_one(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc") for _ in range(40)) for _ in range(10)]
     model = Plain(texts, None, 3)
-    model.discounts = plain_discounts([model])
+    model.discounts = plain_discounts(model)
     for context in ("", "a", "ab", "abc", "zz"):
         assert abs(sum(model.p((context + c)[-kn.ORDER :]) for c in "abc") + model.p((context + "?")[-kn.ORDER :]) - 1) < 1e-9
 
@@ -115,12 +116,35 @@ def test_long_and_empty_texts(spark):
     assert len(found(spark, rows, [])) == 4
 
 
-def test_more_characters_than_a_bundle_tells_apart(monkeypatch):
-    monkeypatch.setattr(kn, "ALPHABET", 1 << 16)
-    block = kn.Block(["".join(map(chr, range(0x4E00, 0x4E00 + 3000))) + "aab"])
-    keys, n = block.counted(np.array([True]))
-    assert n.sum() == 3003 and len(keys) == 3003
-    assert list(block.read(block.written(keys))) == list(keys)
+def test_more_characters_than_a_block_tells_apart(spark, monkeypatch):
+    rows = [(i, "".join(map(chr, range(0x4E00 + 40 * i, 0x4E00 + 40 * i + 60))) + "abcab", "en", "s", 0) for i in range(30)]
+    trusted = [*range(0, 30, 3)]
+    expected = plain(rows, {*trusted})
+    monkeypatch.setattr(kn, "ALPHABET", 100)
+    blob = zstandard.ZstdCompressor().compress("".join(r[1] for r in rows).encode())
+    blocks = [*kn._blocks(["en"] * 30, [len(r[1].encode()) for r in rows], [0] * 30, blob)]
+    assert len(blocks) > 10 and sorted(i for _, places, _ in blocks for i in places) == list(range(30))
+    close(found(spark, rows, trusted), expected)
+
+
+def test_a_text_of_many_pieces_is_scored_whole(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdé ") for _ in range(3 * kn.PIECE_CHARS + 100))
+    rows = [(1, text, "en", "s", 0), (1, text, "en", "s", 0), (2, "abc", "en", "s", 0), (3, text[: kn.PIECE_CHARS], "en", "s", 0)]
+    close(found(spark, rows, [1, 3]), plain(rows, {1, 3}))
+
+
+def test_memory_of_a_block_stays_small():
+    import tracemalloc
+
+    text = "some words of a text " * 200_000
+    tracemalloc.start()
+    block = kn.Block([text])
+    block.counted(np.array([True]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Two bytes a character beside what a stretch takes.
+    assert most < 2 * len(text) + 90 * kn.AT_ONCE
 
 
 def test_verdicts(spark):
