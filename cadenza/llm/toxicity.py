@@ -1,19 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of toxic text;
-the words and pairs of words that set toxic documents apart are added to the second. A document is
-read in lower case, in two ways. Wide windows of PHRASE words, each beginning in the middle of the one
-before, are compressed with either dictionary, and with the ordinary one followed by the added words.
-Then single words are compressed with the first and the last of these, set in contexts from ordinary
-text, so that a few bytes of difference show. These two uses of the added words are an extra to the method. Text of scripts without blanks is read as windows of
-WIDE and of GRAM characters instead. Every pair of compressed lengths is compared with calibrated
-log-likelihood ratios, and a logistic regression turns their mean, scaled sum and the number of
-windows above two thresholds, of wide and of narrow windows, into a score.
+Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of toxic text. A
+document is read in lower case and cut into windows of WIDE_WORDS words, or WIDE_CHARS characters of
+text in scripts without blanks. Each is compressed with either dictionary, and the bytes that the
+toxic one saves are compared with calibrated log-likelihood ratios.
+
+Where a few words of an otherwise ordinary document are toxic, that tells little (see the README). So
+there is an extra to the method: the words and pairs of words that set toxic documents apart are put
+behind the ordinary dictionary, and narrow windows, which are single words, those pairs, or GRAM
+characters of text without blanks, are compressed without and with them. They are set in two
+contexts from ordinary text, so that a few bytes of difference show. Their pairs of lengths are
+calibrated like those of the wide windows.
+
+A logistic regression turns the mean and scaled sum of the ratios and the numbers of windows above two
+thresholds, of wide and of narrow windows, into a score.
 
 Training uses a bounded sample of labelled rows, those of the smallest hashes of doc_id: at most
-`most_toxic` and `most_ordinary` documents. Calibration is crossed: the documents of each fold are
-compressed with a toxic dictionary made of the other folds. The one for scoring is made of all. Scoring reads whole texts; a Python worker compresses a word it has met before only if it
-has forgotten it.
+`most_toxic` and `most_ordinary` documents, and of their windows the `most_windows` of the smallest
+hashes for each dictionary. The words that set toxic documents apart fill `most_bytes` and the pairs
+half as much, the most frequent ones first. A dictionary cannot be trained on less than 20 times its size; then the end of
+the sample itself is the dictionary. Calibration is crossed: the documents of each fold are
+compressed with a toxic dictionary made of the other folds. The one for scoring is made of all.
+Scoring reads whole texts, in stretches; a Python worker compresses a word it has met before only if
+it has forgotten it.
 
 Defined results:
 - A missing or empty text has a single empty window and gets a score like any other.
@@ -48,23 +57,21 @@ READ = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 MARKS = re.compile("[\u2010-\u2027\u3000-\u3003\u3008-\u301f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 LONGEST = 40
-PHRASE = 8
-WIDE = 24
+WIDE_WORDS = 32
+WIDE_CHARS = 64
 GRAM = 4
 LEAST_GRAM = 2
-LEVEL = 3
 # Lengths above that of a known word, counted up to this one, and below it.
 CELLS = 48
 BELOW = 4
+# Bytes saved on a wide window, counted up to this many either way.
+SAVED = 24
 # Fewer added words than these say little of what a known word costs.
 FEW_WORDS = 64
 ORDINARY_BYTES = 32 << 10
-TOXIC_BYTES = 32 << 10
-PHRASE_BYTES = 16 << 10
 TRAINED_BYTES = 32 << 10
 CONTEXT = 64
-CONTEXTS = (0.25, 0.6, 0.95)
-SAMPLE_WINDOWS = 32_000
+CONTEXTS = (0.25, 0.6)
 WINDOW_BYTES = 256
 KEPT_WORDS = 300_000
 LEAST_DOCS = 3
@@ -75,6 +82,18 @@ DOUBT = 5.0
 FOLDS = 4
 
 
+def _short(word: bytes) -> list[bytes]:
+    """A long word in pieces of at most LONGEST bytes that end between characters."""
+    pieces = []
+    while len(word) > LONGEST:
+        end = LONGEST
+        while end > LONGEST - 4 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        pieces.append(word[:end])
+        word = word[end:]
+    return [*pieces, word]
+
+
 def read(text: bytes):
     """The words of a text, stretch by stretch, without case and punctuation, and its unspaced runs."""
     for part in stretches(text):
@@ -87,28 +106,37 @@ def read(text: bytes):
             part = (UNSPACED.sub(" ", known) if runs else known).encode()
         words = part.translate(READ).split()
         if max(map(len, words), default=0) > LONGEST:
-            words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+            words = [piece for w in words for piece in _short(w)]
         yield words, runs
 
 
-def grams(run: str, size: int, step: int = 1) -> list[bytes]:
-    """Windows of `size` characters that cover a run, which is a window itself if it is shorter."""
-    return [run[i : i + size].encode() for i in range(0, max(1, len(run) - size + step), step)]
+def grams(run: str, size: int) -> list[bytes]:
+    """All windows of `size` characters of a run, which is a window itself if it is shorter."""
+    return [run[i : i + size].encode() for i in range(max(1, len(run) - size + 1))]
+
 
+def windows(text: bytes, phrases: frozenset[tuple[bytes, ...]] = frozenset()):
+    """Narrow and wide windows of a text, stretch by stretch.
 
-def windows(text: bytes):
-    """The words of a text as windows, long ones in pieces; of unspaced runs every GRAM characters."""
+    Narrow ones are its words, long ones in pieces, those of the given pairs that it has, and every GRAM
+    characters of unspaced runs."""
+    last: list[bytes] = []
     for words, runs in read(text):
-        yield words + [w for run in runs for w in grams(run, GRAM)]
+        found = words + [w for run in runs for w in grams(run, GRAM)]
+        if phrases:
+            # Pairs go on over the ends of stretches.
+            whole = last + words
+            found += map(b" ".join, filter(phrases.__contains__, zip(whole, whole[1:])))
+            last = words[-1:] or last
+        yield found, wide_windows(words, runs)
 
 
 def wide_windows(words: list[bytes], runs: list[str]):
-    """Windows of PHRASE words, or of WIDE characters, that overlap by half."""
-    half = PHRASE // 2
-    for i in range(0, max(len(words) - half, min(1, len(words))), half):
-        yield b" ".join(words[i : i + PHRASE])
+    """Windows of WIDE_WORDS words, and of WIDE_CHARS characters of unspaced runs, one after the other."""
+    for i in range(0, len(words), WIDE_WORDS):
+        yield b" ".join(words[i : i + WIDE_WORDS])
     for run in runs:
-        yield from grams(run, WIDE, WIDE // 2)
+        yield from (run[i : i + WIDE_CHARS].encode() for i in range(0, len(run), WIDE_CHARS))
 
 
 def units(text: bytes) -> set[bytes]:
@@ -121,12 +149,16 @@ def units(text: bytes) -> set[bytes]:
     return found
 
 
+KINDS = (slice(0, CELLS * CELLS), slice(CELLS * CELLS, CELLS * CELLS + 2 * SAVED))
+
+
 @dataclass
 class Model:
     """Dictionaries, log-likelihood ratio of every pair of lengths, and the weights of the score."""
 
     ordinary: bytes
     toxic: bytes
+    phrases: frozenset[bytes]
     ratios: np.ndarray
     means: np.ndarray
     scales: np.ndarray
@@ -134,26 +166,32 @@ class Model:
 
 
 class Lengths:
-    """The pair of compressed lengths of a window, as one number; those of wide windows follow."""
+    """The pair of compressed lengths of a narrow window, as one number; the bytes saved on wide ones follow."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
+    def __init__(self, ordinary: bytes, toxic: bytes, phrases: frozenset[bytes] = frozenset()):
+        self.phrases = frozenset(tuple(p.split(b" ")) for p in phrases)
         # From all over the dictionary, as one context may swallow a byte that another shows; not from
         # its end, which cannot be referred to.
         starts = [int(max(0, len(ordinary) - 2 * CONTEXT) * place) for place in CONTEXTS]
         self.contexts = [ordinary[at : at + CONTEXT] for at in starts]
         # The added words follow the last end of a line.
-        added = toxic.rpartition(b"\n")[2]
-        self.by_ordinary, self.by_both, self.by_toxic = map(self._compressor, (ordinary, ordinary + added, toxic))
+        trained, _, added = toxic.rpartition(b"\n")
+        self.by_ordinary, self.by_both = map(self._compressor, (ordinary, ordinary + added))
+        self.wide = self._compressor(ordinary, False), self._compressor(trained, False)
         self.base = self._known(ordinary, 0), self._known(added if len(added.split()) >= FEW_WORDS else ordinary, 1)
         # Two generations: words not met again while one fills up are forgotten.
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
 
     @staticmethod
-    def _compressor(content: bytes):
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def _compressor(content: bytes, narrow: bool = True):
+        # As it was trained, with its tables, for wide windows; a search for the best of all matches in
+        # the content alone for narrow ones, which are compressed once.
+        kind = zstandard.DICT_TYPE_RAWCONTENT if narrow else zstandard.DICT_TYPE_AUTO
+        held = zstandard.ZstdCompressionDict(content, dict_type=kind)
+        strategy, search_log = (zstandard.STRATEGY_BTLAZY2, 8) if narrow else (zstandard.STRATEGY_FAST, 1)
         shape = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, window_log=17, hash_log=17, chain_log=17, search_log=8,
+            strategy=strategy, min_match=4, window_log=17, hash_log=17, chain_log=17, search_log=search_log,
             write_checksum=0, write_content_size=0, write_dict_id=0,
         )
         held.precompute_compress(compression_params=shape)
@@ -183,29 +221,21 @@ class Lengths:
         return a * CELLS + b
 
     def wide_cell(self, window: bytes) -> int:
-        """What the toxic dictionary saves against the ordinary one, and what the added words save."""
-        a = len(self.by_ordinary(window))
-        saved = a - len(self.by_toxic(window)), a - len(self.by_both(window))
-        toxic, added = (min(max(n + CELLS // 2, 0), CELLS - 1) for n in saved)
-        return CELLS * CELLS + toxic * CELLS + added
+        saved = len(self.wide[0](window)) - len(self.wide[1](window))
+        return KINDS[1].start + min(max(saved + SAVED, 0), 2 * SAVED - 1)
 
     def counts(self, text: bytes) -> np.ndarray:
-        """How many windows of a text fall into each pair."""
-        total = np.zeros(2 * CELLS * CELLS, dtype=np.int64)
-        before: list[bytes] = []
-        for spaced, runs in read(text):
-            # Wide windows go on over the ends of stretches.
-            joined = before + spaced if before else spaced
-            before = spaced[-(PHRASE // 2) :]
-            wide = np.fromiter(map(self.wide_cell, wide_windows(joined, runs)), dtype=np.int64)
-            total += np.bincount(wide, minlength=2 * CELLS * CELLS)
-            words = spaced + [w for run in runs for w in grams(run, GRAM)]
+        """How many windows of a text fall into each pair of lengths, and into each number of saved bytes."""
+        total = np.zeros(KINDS[1].stop, dtype=np.int64)
+        for words, wide in windows(text, self.phrases):
+            cells = np.fromiter(map(self.wide_cell, wide), dtype=np.int64)
+            total += np.bincount(cells, minlength=len(total))
             young = self.young
             for word in {*words}.difference(young):
                 known = self.old.get(word)
                 young[word] = self.cell(word) if known is None else known
             cells = np.fromiter(map(young.__getitem__, words), dtype=np.int64, count=len(words))
-            total += np.bincount(cells, minlength=2 * CELLS * CELLS)
+            total += np.bincount(cells, minlength=len(total))
             if len(young) > KEPT_WORDS:
                 self.old, self.young = young, {}
         if not total.any():
@@ -213,9 +243,6 @@ class Lengths:
         return total
 
 
-KINDS = (slice(0, CELLS * CELLS), slice(CELLS * CELLS, 2 * CELLS * CELLS))
-
-
 def _features(n, total, above) -> np.ndarray:
     """Mean and scaled sum of the ratios, numbers of windows above the steps, number of windows."""
     n = np.maximum(n, 1.0)
@@ -271,7 +298,7 @@ def _signed(batches):
 
     def found():
         for doc_id, toxic, text in rows_in(batches):
-            words = {w for part in windows(text) for w in part}
+            words = {w for part, _ in windows(text) for w in part}
             sign = min((xxhash.xxh32_intdigest(w) for w in words if len(w) >= LONG_WORD), default=xxhash.xxh32_intdigest(text))
             yield doc_id, toxic, xxhash.xxh32_intdigest(str(sign)) % FOLDS, sign, text
 
@@ -317,31 +344,35 @@ def _counted_words(sample: DataFrame) -> DataFrame:
     return counts.withColumn("pair", F.contains("word", F.lit(b" ")))
 
 
-def _toxic_words(counts: DataFrame, folds: list[int], sizes: dict[tuple[int, int], int]) -> bytes:
-    """The words of toxic documents that are RATIO times as frequent there, the most frequent last.
+def _toxic_words(
+    counts: DataFrame, folds: list[int], sizes: dict[tuple[int, int], int], most_bytes: int
+) -> tuple[bytes, frozenset[bytes]]:
+    """The words of toxic documents that are RATIO times as frequent there, the most frequent last,
+    as text, and the pairs of words of which that is true but of neither word.
 
-    Pairs of words come first, if neither word is one of these. What is nearest to the window costs
-    least to refer to.
+    Pairs come first: what is nearest to the window costs least to refer to.
     """
     hits, others = (sum(F.col(f"{name}_{fold}") for fold in folds) for name in ("hits", "others"))
     n_toxic, n_ordinary = (sum(sizes.get((label, fold), 0) for fold in folds) for label in (1, 0))
     apart = (hits + 0.5) / (n_toxic + 1.0) >= RATIO * (others + 0.5) / (n_ordinary + 1.0)
     found = counts.filter((hits >= LEAST_DOCS) & apart)
 
-    def most_frequent(rows, most):
-        return [bytes(r.word) for r in rows.orderBy(hits.desc(), "word").limit(most).select("word").collect()]
+    def most_frequent(rows: DataFrame, size: int) -> list[bytes]:
+        # No more than there is room for; the shortest take four bytes with their blank.
+        listed = [bytes(r.word) for r in rows.orderBy(hits.desc(), "word").limit(size // 4).select("word").collect()]
+        fits = np.cumsum([len(w) + 1 for w in listed]) <= size
+        return [w for w, fit in zip(listed, fits) if fit]
 
-    # No more words than the dictionary has room for.
     pair = F.col("pair")
-    words = most_frequent(found.filter(~pair), TOXIC_BYTES // 4)
+    words = most_frequent(found.filter(~pair), most_bytes)
     # Pairs with a known word are dropped before any are cut off; the words are bounded as above.
     marks = counts.sparkSession.createDataFrame([(bytearray(w),) for w in words], "known binary")
     halves = F.split(F.decode("word", "UTF-8"), " ")
     pairs = found.filter(pair)
     for at in (0, 1):
         pairs = pairs.join(F.broadcast(marks), halves[at].cast("binary") == F.col("known"), "left_anti")
-    phrases = most_frequent(pairs, PHRASE_BYTES // 4)
-    return b" " + b" ".join(reversed(phrases))[-PHRASE_BYTES:] + b" " + b" ".join(reversed(words))[-TOXIC_BYTES:] + b" "
+    phrases = most_frequent(pairs, most_bytes // 2)
+    return b" " + b" ".join([*reversed(phrases), *reversed(words)]) + b" ", frozenset(phrases)
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -351,7 +382,14 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     return b" ".join(samples)[-size:]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_ordinary: int = 8000) -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    most_toxic: int = 4000,
+    most_ordinary: int = 8000,
+    most_windows: int = 32_000,
+    most_bytes: int = 64 << 10,
+) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic)."""
     texts = docs.select("doc_id", utf8("text").alias("text"))
     sample = cut(training_sample(texts, labels, most_toxic, most_ordinary))
@@ -360,14 +398,14 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_ordin
     total = {label: sum(n for (toxic, _), n in sizes.items() if toxic == label) for label in (0, 1)}
     if not total[0] or not total[1]:
         none = np.zeros(0)
-        return Model(b"", b"", none, none, none, np.array([total[1] / max(1, sum(total.values()))]))
+        return Model(b"", b"", frozenset(), none, none, none, np.array([total[1] / max(1, sum(total.values()))]))
 
     def sampled(label: int) -> list:
         read_windows = sample.filter(F.col("toxic") == label).select("fold", "text").mapInArrow(
             _windows_of_documents, "fold int, window binary"
         )
-        # Bounded: SAMPLE_WINDOWS rows of at most WINDOW_BYTES.
-        return read_windows.orderBy(F.xxhash64("window"), "window", "fold").limit(SAMPLE_WINDOWS).collect()
+        # Bounded: most_windows rows of at most WINDOW_BYTES.
+        return read_windows.orderBy(F.xxhash64("window"), "window", "fold").limit(most_windows).collect()
 
     toxic_windows = sampled(1)
     counted = cut(_counted_words(sample))
@@ -375,16 +413,17 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_ordin
     # One ordinary dictionary for all: it holds far less than a thousandth of the calibrating texts.
     base = _trained([bytes(r.window) for r in sampled(0)], ORDINARY_BYTES)
 
-    def dictionaries(folds: list[int]) -> tuple[bytes, bytes]:
+    def dictionaries(folds: list[int]) -> tuple[bytes, bytes, frozenset[bytes]]:
         own = _trained([bytes(r.window) for r in toxic_windows if r.fold in folds], TRAINED_BYTES)
-        return base, own + b"\n" + _toxic_words(counted, folds, sizes)
+        added, phrases = _toxic_words(counted, folds, sizes, most_bytes)
+        return base, own + b"\n" + added, phrases
 
     crossed = [dictionaries([other for other in range(FOLDS) if other != fold]) for fold in range(FOLDS)]
     shared = docs.sparkSession.sparkContext.broadcast(crossed)
     schema = pa.schema([("doc", pa.int64()), ("toxic", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
-        lengths = [Lengths(*pair) for pair in shared.value]
+        lengths = [Lengths(*made) for made in shared.value]
 
         def found():
             for doc, toxic, fold, text in rows_in(batches):
@@ -398,33 +437,33 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_ordin
     return _calibrated(*dictionaries(list(range(FOLDS))), cut(rows))
 
 
-def _calibrated(base: bytes, toxic: bytes, rows: DataFrame) -> Model:
+def _calibrated(base: bytes, toxic: bytes, phrases: frozenset[bytes], rows: DataFrame) -> Model:
     """The model of two dictionaries, from rows (doc, toxic, cell, n) of the calibrating documents."""
-    by_label = np.zeros((2, 2 * CELLS * CELLS))
+    by_label = np.zeros((2, KINDS[1].stop))
     for r in rows.groupBy("toxic", "cell").agg(F.sum("n").alias("n")).collect():
         by_label[r.toxic, r.cell] = r.n
-    # Of pairs that are rarely met, little is said: what either label has is compared with what it
+    # Of cells that are rarely met, little is said: what either label has is compared with what it
     # would have by chance, after DOUBT windows more of both.
-    ratios = np.zeros(2 * CELLS * CELLS)
+    ratios = np.zeros(KINDS[1].stop)
     for kind in KINDS:
         own = by_label[:, kind]
         chance = own.sum(axis=0) * own.sum(axis=1, keepdims=True) / max(1.0, own.sum())
         apart = np.log((own + DOUBT) / (chance + DOUBT))
         ratios[kind] = np.clip(apart[1] - apart[0], -1, 4)
-    ratio = F.element_at(F.array(*[F.lit(float(v)) for v in ratios]), F.col("cell") + 1)
+    known = rows.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(ratios)], "cell int, ratio double")
     sums = []
     for kind in KINDS:
         n = F.when(F.col("cell").between(kind.start, kind.stop - 1), F.col("n")).otherwise(0)
         sums += [F.sum(n), F.sum(n * F.col("ratio"))]
         sums += [F.sum(F.when(F.col("ratio") > step, n).otherwise(0)) for step in STEPS]
-    # Bounded by the sample: a row of ten numbers for each of its documents.
-    found = rows.withColumn("ratio", ratio).groupBy("doc", "toxic").agg(*sums).orderBy("doc", "toxic").collect()
+    # Bounded by the sample: a row of a few numbers for each of its documents.
+    found = rows.join(F.broadcast(known), "cell").groupBy("doc", "toxic").agg(*sums).orderBy("doc", "toxic").collect()
     values = np.array([tuple(r)[1:] for r in found], dtype=np.float64)
     each = 2 + len(STEPS)
     y, kinds = values[:, 0], [values[:, 1 + each * k : 1 + each * (k + 1)] for k in range(len(KINDS))]
     x = np.concatenate([_features(v[:, 0], v[:, 1], v[:, 2:]) for v in kinds], axis=1)
     means, scales = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(base, toxic, ratios, means, scales, _logistic((x - means) / scales, y))
+    return Model(base, toxic, phrases, ratios, means, scales, _logistic((x - means) / scales, y))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
@@ -439,8 +478,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "t
         known = shared.value
         if not len(known.scales):
             return pd.Series([score_of(known, None)] * len(texts))
-        pair = known.ordinary, known.toxic
-        lengths = kept_by_worker(("lengths", *pair), lambda: Lengths(*pair))
+        made = known.ordinary, known.toxic, known.phrases
+        lengths = kept_by_worker(("lengths", *made), lambda: Lengths(*made))
         return pd.Series([score_of(known, lengths.counts(text)) for text in texts], dtype="float64")
 
     return with_columns_replaced(docs, **{name: score(utf8(text_col))})

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from cadenza.llm import toxicity as tx
 from tests.llm import cases
@@ -66,7 +67,7 @@ def test_awkward_documents(spark, model):
 
 def test_scores_do_not_depend_on_what_a_worker_keeps(model, monkeypatch):
     monkeypatch.setattr(tx, "KEPT_WORDS", 3)
-    small, large = (tx.Lengths(model.ordinary, model.toxic) for _ in range(2))
+    small, large = (tx.Lengths(model.ordinary, model.toxic, model.phrases) for _ in range(2))
     for _, text, *_ in cases.documents() + corpus()[0][:40]:
         data = (text or "").encode()
         monkeypatch.setattr(tx, "KEPT_WORDS", 3)
@@ -75,9 +76,51 @@ def test_scores_do_not_depend_on_what_a_worker_keeps(model, monkeypatch):
         assert np.array_equal(a, large.counts(data))
 
 
+def test_lengths_and_score_by_the_definition(model):
+    """The same numbers without what a worker keeps, window by window."""
+    lengths = tx.Lengths(model.ordinary, model.toxic, model.phrases)
+    trained, _, added = model.toxic.rpartition(b"\n")
+    known = {}
+
+    def size(content, window, narrow):
+        if (content, narrow) not in known:
+            shape = zstandard.ZstdCompressionParameters(
+                strategy=zstandard.STRATEGY_BTLAZY2 if narrow else zstandard.STRATEGY_FAST, min_match=4, window_log=17,
+                hash_log=17, chain_log=17, search_log=8 if narrow else 1, write_checksum=0, write_content_size=0, write_dict_id=0,
+            )
+            kind = zstandard.DICT_TYPE_RAWCONTENT if narrow else zstandard.DICT_TYPE_AUTO
+            held = zstandard.ZstdCompressionDict(content, dict_type=kind)
+            held.precompute_compress(compression_params=shape)
+            known[content, narrow] = zstandard.ZstdCompressor(dict_data=held, compression_params=shape)
+        return len(known[content, narrow].compress(window))
+
+    starts = [int((len(model.ordinary) - 2 * tx.CONTEXT) * place) for place in tx.CONTEXTS]
+    contexts = [model.ordinary[at : at + tx.CONTEXT] for at in starts]
+    half = tx.CONTEXT // 2
+    words = (b"takerpo grumblor sunmo snarkfitz vi dan po " * 9).split()
+    counts = np.zeros(tx.KINDS[1].stop, dtype=int)
+    for word in words:
+        dictionaries = (model.ordinary, model.ordinary + added)
+        a, b = (sum(size(d, c[:half] + b" " + word + b" " + c[half:], True) for c in contexts) for d in dictionaries)
+        a, b = (min(max(n - base, 0), tx.CELLS - 1) for n, base in zip((a, b), lengths.base))
+        counts[a * tx.CELLS + b] += 1
+    for at in range(0, len(words), tx.WIDE_WORDS):
+        window = b" ".join(words[at : at + tx.WIDE_WORDS])
+        saved = size(model.ordinary, window, False) - size(trained, window, False)
+        counts[tx.CELLS**2 + min(max(saved + tx.SAVED, 0), 2 * tx.SAVED - 1)] += 1
+    assert np.array_equal(lengths.counts(b"Takerpo GRUMBLOR, sunmo! snarkfitz vi dan po\n" * 9), counts)
+    x = []
+    for kind in tx.KINDS:
+        ratios = np.repeat(model.ratios[kind], counts[kind])
+        n = len(ratios)
+        x += [ratios.mean(), ratios.sum() / n**0.5, *(np.log1p((ratios > s).sum()) for s in tx.STEPS), np.log1p(n)]
+    score = 1 / (1 + np.exp(-(model.weights[0] + ((np.array(x) - model.means) / model.scales) @ model.weights[1:])))
+    assert abs(tx.score_of(model, counts) - score) < 1e-9
+
+
 def test_windows_cover_whole_texts():
     text = ("Word, " * 300_000 + "x" * 100).encode()
-    words = [w for part in tx.windows(text) for w in part]
+    words = [w for part, _ in tx.windows(text) for w in part]
     assert words[:300_000] == [b"word"] * 300_000 and b"".join(words[300_000:]) == b"x" * 100
 
 
@@ -146,13 +189,13 @@ def test_phrases_of_ordinary_words(spark):
         labels.append((i, int(i % 4 == 0), 1))
     df, marks = cases.frame(spark, rows), spark.createDataFrame(labels, LABELS)
     model = tx.train(df, marks)
-    assert b" grumblor wuzzlebob " in model.toxic.rpartition(b"\n")[2]
+    assert b" grumblor wuzzlebob " in model.toxic.rpartition(b"\n")[2] and b"grumblor wuzzlebob" in model.phrases
     toxic, others = hits_of(spark, rows, labels)
     assert sum(toxic) >= 0.8 * len(toxic) and sum(others) <= 0.1 * len(others), (sum(toxic), len(toxic), sum(others), len(others))
 
 
 def test_case_and_marks_of_all_scripts():
-    read = [[w for part in tx.windows(t.encode()) for w in part] for t in ("ÄRGER，Я", "ärger я")]
+    read = [[w for part, _ in tx.windows(t.encode()) for w in part] for t in ("ÄRGER，Я", "ärger я")]
     assert read[0] == read[1] == ["ärger".encode(), "я".encode()]
 
 
