@@ -10,7 +10,8 @@ consecutive sequences at one offset. Pieces are ranked within their length in bl
 its range.
 
 Defined results:
-- A missing or empty text is the end token alone.
+- A missing or empty text is the end token alone. A text of any length is encoded in stretches.
+- The tokenizer's special tokens are such also where they stand in a text.
 - Rows that share a doc_id are documents of their own; ties in length are ranked by a hash of id and
   token ids, which has no effect on the number of sequences.
 - An empty table gives an empty result; other columns are ignored.
@@ -18,6 +19,7 @@ Defined results:
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import defaultdict
 from unicodedata import is_normalized
@@ -52,6 +54,10 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.general = Tokenizer.from_file(path)
+        # Special tokens in a text are tokens, as by the library's own settings; text is cut there.
+        added = self.general.get_added_tokens_decoder()
+        self.special = {t.content.encode(): np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")")
         self.general.encode_special_tokens = True
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
@@ -80,6 +86,11 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip([0, *(borders + 4).tolist()], [*borders.tolist(), len(raw)])]
 
     def encode(self, text: bytes) -> bytes:
+        if any(token in text for token in self.special):
+            return b"".join(self.special.get(part) or self._encode_plain(part) for part in self.cuts.split(text))
+        return self._encode_plain(text)
+
+    def _encode_plain(self, text: bytes) -> bytes:
         return b"".join(map(self._encode_words, map(bytes.split, stretches(text))))
 
     def _learn(self, words: list[bytes]) -> None:

@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def ids(tokenizer, text):
@@ -33,6 +31,13 @@ def test_words_are_encoded_as_by_the_library(tokenizer):
         assert encoder.encode(text.encode()) == ids(tokenizer, text), text
 
 
+def test_special_tokens_are_tokens(tokenizer):
+    encoder = pk.WordEncoder(PATH)
+    for text in ("hello <|endoftext|> world", "hello<|endoftext|>World.<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >", "a <|endoftext|><|endoftext|> é"):
+        assert encoder.encode(text.encode()) == ids(tokenizer, text), text
+    assert np.frombuffer(encoder.encode(b"hello <|endoftext|> world"), "<u4").tolist() == [3306, 49407, 1002]
+
+
 def test_forgotten_words_and_long_texts(tokenizer, monkeypatch):
     monkeypatch.setattr(pk, "KEPT_WORDS", 10)
     monkeypatch.setattr(pk, "KEPT_BYTES", 6)
