@@ -267,9 +267,12 @@ def link_updates(links: DataFrame) -> DataFrame:
     return links.groupBy("song_id").agg(url("A").alias("spotify_url"), url("B").alias("youtube_music_url"))
 
 
+# Fixed value: the page of a service B song, before its id.
+WATCH = "https://music.youtube.com/watch?v="
+
+
 def watch_address(video_id: Column) -> Column:
-    """Fixed value: the page of a service B song."""
-    return F.concat(F.lit("https://music.youtube.com/watch?v="), video_id)
+    return F.concat(F.lit(WATCH), video_id)
 
 
 def link_failures(

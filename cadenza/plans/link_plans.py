@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import strip
-from cadenza.operators import audit, matching as mt, mutations as mu
+from cadenza.operators import audit, link_run as lr, matching as mt, mutations as mu
 from cadenza.plans.catalog_plans import FIRST_ARTIST
 from cadenza.session import new_path
 from cadenza.sources.catalog_views import base_table, view, with_views
@@ -69,18 +69,47 @@ def _both_services(spark, sf_dir):
     return _matched(spark, sf_dir, (mt.SERVICE_A, mt.SERVICE_B))
 
 
+_runs: dict[tuple, lr.LinkRun] = {}
+
+
+def _run(spark, sf_dir, albums=False, **widths):
+    """A run for both services, matched and written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, albums, *widths.items())
+    if key not in _runs:
+        rows, offers = _album_inputs(spark, sf_dir) if albums else (_cleaned(spark, sf_dir), _candidates(spark, sf_dir))
+        _runs[key] = lr.run_links(rows, offers, (mt.SERVICE_A, mt.SERVICE_B), lr.Widths(**widths))
+    return _runs[key]
+
+
 def link_failures(spark, sf_dir):
-    return mt.link_failures(_cleaned(spark, sf_dir), _both_services(spark, sf_dir))
+    return _run(spark, sf_dir).failures()
 
 
 def link_summary(spark, sf_dir):
-    return mt.link_summary(_cleaned(spark, sf_dir), _both_services(spark, sf_dir))
+    return _run(spark, sf_dir).figures
 
 
-def _by_album(spark, sf_dir):
-    """Songs on several albums, each searched with its own text: the rows and both services' links."""
+# A table so narrow that some links do not fit.
+NARROW = 6
+
+
+def link_summary_narrow(spark, sf_dir):
+    return _run(spark, sf_dir, url=NARROW + len(mt.WATCH)).figures
+
+
+def link_save_narrow(spark, sf_dir):
+    """What a run can save, put into the link table."""
+    return mu.upsert_links(view(spark, sf_dir, "song_links"), _run(spark, sf_dir, url=NARROW + len(mt.WATCH)).updates())
+
+
+def _album_inputs(spark, sf_dir):
+    """Songs on several albums, and what was found for each with its own text."""
     cleaned = mt.clean_input(view(spark, sf_dir, "album_songs"))
-    offers = view(spark, sf_dir, "album_candidates").withColumn("artists", F.array("artist_1", "artist_2"))
+    return cleaned, view(spark, sf_dir, "album_candidates").withColumn("artists", F.array("artist_1", "artist_2"))
+
+
+def _by_album(spark, sf_dir):
+    cleaned, offers = _album_inputs(spark, sf_dir)
     return cleaned, mt.match_links(cleaned, offers, (mt.SERVICE_A, mt.SERVICE_B))
 
 
@@ -90,11 +119,11 @@ def link_match_albums(spark, sf_dir):
 
 
 def link_summary_albums(spark, sf_dir):
-    return mt.link_summary(*_by_album(spark, sf_dir))
+    return _run(spark, sf_dir, albums=True).figures
 
 
 def link_failures_albums(spark, sf_dir):
-    return mt.link_failures(*_by_album(spark, sf_dir))
+    return _run(spark, sf_dir, albums=True).failures()
 
 
 def link_updates_albums(spark, sf_dir):
@@ -167,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         match_input, match_input_first, match_strategies, match_strategies_simple, link_match_a, link_match_b, link_match_simple, link_failures,
-        link_summary, link_match_albums, link_summary_albums, link_failures_albums, link_updates_albums,
+        link_summary, link_summary_narrow, link_save_narrow, link_match_albums, link_summary_albums, link_failures_albums, link_updates_albums,
         link_patch_times, link_save, link_upsert, link_stream, link_upsert_all, link_patch, link_coverage,
         coverage_after_patch, text_strip,
     )
@@ -297,6 +326,10 @@ def _coverage(table: str) -> str:
     return f"SELECT count(*) AS total, {part('spotify_url', 'sp')}, {part('youtube_music_url', 'yt')} FROM {table}"
 
 
+FITS_CTE = f"""saves AS (
+    SELECT song_id, max(coalesce(length(url), 0)) <= {NARROW} + length({WATCH}) AND length(song_id) <= 22 AS fits
+    FROM both_services GROUP BY song_id)"""
+
 ORACLES = {
     "match_input": with_views(
         "songs tracks albums",
@@ -343,6 +376,19 @@ ORACLES = {
         (SELECT count(*) FROM cleaned WHERE NOT skipped) AS saved, 0::BIGINT AS failed_saves,
         count(*) FILTER (url IS NULL) AS failed_fetches, count(url) AS links_found FROM both_services GROUP BY service"""
     ),
+    "link_summary_narrow": _match(
+        f"""WITH {BOTH_CTE}, {FITS_CTE} SELECT service, (SELECT count(*) FROM cleaned) AS total,
+        (SELECT count(*) FROM cleaned WHERE NOT skipped) - count(*) FILTER (NOT fits) AS saved, count(*) FILTER (NOT fits) AS failed_saves,
+        count(*) FILTER (url IS NULL) AS failed_fetches, count(url) FILTER (fits) AS links_found
+        FROM both_services JOIN saves USING (song_id) GROUP BY service"""
+    ),
+    "link_save_narrow": with_views(
+        "match_songs candidates song_links",
+        f"""WITH {BOTH_CTE}, {FITS_CTE}, found AS (
+          SELECT song_id, max(CASE WHEN service = 'A' THEN url END) AS spotify_url,
+                 max(CASE WHEN service = 'B' THEN url END) AS youtube_music_url FROM both_services JOIN saves USING (song_id)
+          WHERE fits GROUP BY song_id HAVING count(url) > 0) {_merged.format('found')}""",
+    ),
     "link_save": with_views(
         "match_songs candidates song_links",
         f"""WITH {BOTH_CTE}, found AS (

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import matching as mt
+from cadenza.operators import link_run as lr, matching as mt
 
 CANDIDATES = (
     "song_id string, strategy_no int, pos int, title string, artists array<string>, album string, "
@@ -166,3 +166,27 @@ def test_failures_and_summary(spark, cleaned, rows):
 def test_watch_address(spark):
     row = spark.createDataFrame([("abc",)], "v string").select(mt.watch_address(F.col("v"))).first()
     assert row[0] == "https://music.youtube.com/watch?v=abc"
+
+
+def test_a_run_counts_while_it_writes(spark, rows):
+    cleaned = spark.createDataFrame(
+        [("1", "Song", "x", None, False), ("1", "Song", "x", None, False), ("2", "Other", None, None, False), ("3", "None", None, None, True),
+         ("a song id of more than 22 characters", "Song", None, None, False)],
+        "song_id string, song_name string, artist string, album string, skipped boolean",
+    )
+    offers = spark.createDataFrame(
+        [(i, 1, 0, "Song", ["x"], "", "song", f"video-{i[:1]}") for i in ("1", "a song id of more than 22 characters")],
+        "song_id string, strategy_no int, pos int, title string, artists array<string>, album string, result_type string, url string",
+    )
+    both = (mt.SERVICE_A, mt.SERVICE_B)
+    run = lr.run_links(cleaned, offers, both)
+    # Two equal rows are two; song 2 has no candidates; the long id fails for both services.
+    assert rows(run.figures) == [("A", 5, 3, 1, 1, 2), ("B", 5, 3, 1, 1, 2)]
+    assert rows(run.failures().select("song_id", "service")) == [("2", "A"), ("2", "B")]
+    assert {r.song_id: r.spotify_url for r in run.updates().collect()} == {"1": "video-1", "2": None}
+    plan = run.failures()._jdf.queryExecution().toString() + run.updates()._jdf.queryExecution().toString()
+    assert "plain_title" not in plan
+    # An address of service B that does not fit keeps the one of service A out as well.
+    narrow = lr.run_links(cleaned, offers, both, lr.Widths(url=10))
+    assert rows(narrow.figures) == [("A", 5, 1, 3, 1, 0), ("B", 5, 1, 3, 1, 0)]
+    assert rows(mt.link_summary(cleaned, run.links).select("service", "failed_fetches")) == [("A", 1), ("B", 1)]

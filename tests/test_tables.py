@@ -195,3 +195,29 @@ def test_listing(spark):
     spark.createDataFrame([(1, "x")], "id int, name string").createOrReplaceTempView("listed_table")
     assert tb.list_tables(spark, "listed%").count() == 1
     assert [r.col_name for r in tb.describe_table(spark, "listed_table").collect()] == ["id", "name"]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(song_id")
+
+
+def test_small_changes_leave_the_table_where_it_is(spark, rows, monkeypatch):
+    shape = "song_id string, spotify_url string, youtube_music_url string"
+    links = spark.range(3000).selectExpr("cast(id AS string) AS song_id", "'s' AS spotify_url", "cast(null AS string) AS youtube_music_url")
+    links = links.unionByName(spark.createDataFrame([(None, "n", None)] * 2, shape))
+    new = spark.createDataFrame([("7", None, "y"), ("x", "n", None), (None, "m", None), ("7", "t", None)], shape)
+    patch = spark.createDataFrame([("9", "spotify_url", "p"), (None, "spotify_url", "q")], "song_id string, link_column string, link_value string")
+    vectors = spark.range(500).selectExpr("cast(id AS string) AS song_id", "array(1.0f) AS embedding")
+    fresh = spark.createDataFrame([("3", [2.0]), ("x", None), (None, [4.0])], "song_id string, embedding array<float>")
+    changes = [lambda: mu.upsert_links(links, new), lambda: mu.patch_links(links, patch), lambda: mu.upsert_embeddings(vectors, fresh)]
+    small = [change() for change in changes]
+    assert [exchanges(df) for df in small] == [0, 0, 0]
+    by_broadcast = [rows(df) for df in small]
+    monkeypatch.setattr(mu, "SMALL_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = [change() for change in changes]
+        assert all(exchanges(df) for df in large)
+        assert [rows(df) for df in large] == by_broadcast
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
