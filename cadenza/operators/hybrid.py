@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import filters as fl
-from cadenza.operators import knn, lexical
+from cadenza.operators import knn, lexical, pivots
 from cadenza.operators.index import Index
 from cadenza.operators.skew import join_in_parts
 from cadenza.operators.term_lists import best_songs
@@ -92,7 +92,9 @@ def search(
     values = fl.document_values(index.documents)
 
     # Read twice below, and at most `neighbours` rows per query.
-    vectors = knn.nearest(index.documents, queries, neighbours)
+    vectors = pivots.nearest(index.groups, queries, neighbours) if pivots.worth_it(index.groups, batch.queries) else None
+    if vectors is None:
+        vectors = knn.nearest(index.documents, queries, neighbours)
     vectors = cut(vectors.select("query_id", "song_id", F.col("score").alias("vector")))
     weights = cut(clause_weights(index, queries, batch, expansions))
     # Without filters, few words need only what can reach the page, and what the vectors have found.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.distance import vocabulary_keys
 from cadenza.functions.text import words
+from cadenza.operators.pivots import Pivots
 
 # Searched fields with their boosts, and the constants of the relevance formula.
 FIELD_BOOSTS = {"song_name": 3.0, "name_artists": 2.0, "lyrics": 1.0}
@@ -21,7 +22,8 @@ class Index:
     """documents: one row per song. postings: one row per song, field and word.
     terms: document frequency per field and word. fields: size statistics per field.
     keys: what each different word is found by when it is misspelt. lists: the postings once more,
-    by word, only in a stored index, where terms also have the largest impact of their list."""
+    by word, only in a stored index, where terms also have the largest impact of their list.
+    groups: the vectors once more, around pivots, only in a stored index."""
 
     documents: DataFrame
     postings: DataFrame
@@ -29,6 +31,7 @@ class Index:
     fields: DataFrame
     keys: DataFrame
     lists: DataFrame | None = None
+    groups: Pivots | None = None
 
 
 def field_words(documents: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from cadenza.operators import enrich as en
 from cadenza.operators import filters as fl
 from cadenza.operators import hybrid as hy
 from cadenza.operators import index as ix
-from cadenza.operators import knn, lexical as lx, term_lists as tl
+from cadenza.operators import knn, lexical as lx, pivots as pv, term_lists as tl
 from cadenza.plans import inputs
 from cadenza.plans.catalog_plans import CATALOG_VIEWS, INDEX_CTE, WORDS, words_by_character
 from cadenza.session import cut
@@ -24,6 +24,12 @@ def knn_top(spark, sf_dir):
     return knn.nearest(given.index.documents, given.queries)
 
 
+def knn_pruned(spark, sf_dir):
+    """The same from the grouped vectors, of which only those that can be near are visited."""
+    given = inputs.search_inputs(spark, sf_dir)
+    return pv.nearest(given.index.groups, given.queries)
+
+
 def keywords_clean(spark, sf_dir):
     parts = F.split("text", "[.,]")
     rows = base_table(spark, sf_dir, "documents")
@@ -171,7 +177,7 @@ def search_enriched(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_top, keywords_clean, keywords_tfidf, keywords_all, keywords_answers, bm25_keywords, fuzzy_expand,
+        knn_top, knn_pruned, keywords_clean, keywords_tfidf, keywords_all, keywords_answers, bm25_keywords, fuzzy_expand,
         fuzzy_expand_all, bm25_fuzzy, bm25_scripts, bm25_pruned,
         search_hybrid, search_single, search_filtered, filter_queries, search_enriched,
     )
@@ -290,6 +296,7 @@ def _clause_top(cte: str, table: str, column: str) -> str:
 
 ORACLES = {
     "knn_top": _search(f"WITH {INDEX_CTE}, {KNN_CTE} SELECT query_id, song_id, score FROM knn"),
+    "knn_pruned": _search(f"WITH {INDEX_CTE}, {KNN_CTE} SELECT query_id, song_id, score FROM knn"),
     "keywords_clean": """WITH k AS (
         SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.,]'),
             lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')), lambda x: x <> '') AS k FROM documents)

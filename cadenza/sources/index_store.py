@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from cadenza.operators import index as ix
+from cadenza.operators.pivots import Pivots, group
 from cadenza.operators.term_lists import term_lists
 
-PARTS = ("documents", "postings", "terms", "fields", "keys", "lists")
+PARTS = ("documents", "postings", "terms", "fields", "keys", "lists", "vectors")
 DOCUMENTS_PER_BUCKET = 20_000
 # Buckets of the lists for each of the other tables: a request reads those of its words only.
 LIST_BUCKETS = 4
@@ -61,11 +62,14 @@ def save_index(documents: DataFrame, name: str, path: str, buckets: int) -> ix.I
     keys = _save_bucketed(ix.word_keys(terms), _table(name, version, "keys"), f"{home}/keys", buckets, "key")
     blocks = term_lists(posts, terms)
     lists = _save_bucketed(blocks, _table(name, version, "lists"), f"{home}/lists", LIST_BUCKETS * buckets, "block")
-    schemas = {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields, keys, lists))}
+    near = group(docs)
+    vectors = _save_bucketed(near.vectors, _table(name, version, "vectors"), f"{home}/vectors", LIST_BUCKETS * buckets, "block")
+    groups = Pivots(vectors, *[_save(df, f"{home}/{part}") for df, part in ((near.blocks, "blocks"), (near.pivots, "pivots"))])
+    schemas = {p: d.schema.jsonValue() for p, d in zip(PARTS, (docs, posts, terms, fields, keys, lists, vectors))}
     layout = json.dumps({"version": version, "buckets": buckets, "schemas": schemas})
     one = spark.createDataFrame([(layout,)], "layout string").coalesce(1)
     one.write.mode("overwrite").text(f"{path}/layout")
-    return ix.Index(docs, posts, terms, fields, keys, lists)
+    return ix.Index(docs, posts, terms, fields, keys, lists, groups)
 
 
 def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
@@ -90,4 +94,5 @@ def open_index(spark: SparkSession, name: str, path: str) -> ix.Index:
 
     parts = [spark.read.parquet(f"{home}/{part}") for part in ("terms", "fields")]
     held = bucketed("documents"), bucketed("postings"), *parts, bucketed("keys", "key")
-    return ix.Index(*held, bucketed("lists", "block", LIST_BUCKETS))
+    groups = Pivots(bucketed("vectors", "block", LIST_BUCKETS), *[spark.read.parquet(f"{home}/{part}") for part in ("blocks", "pivots")])
+    return ix.Index(*held, bucketed("lists", "block", LIST_BUCKETS), groups)
