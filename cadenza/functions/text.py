@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,26 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.coalesce(F.when(long, cut).otherwise(found), F.array().cast("array<string>"))
 
 
+def _accents() -> tuple[str, str]:
+    """Small letters of Latin and Greek with an accent, and their bare letters, by decomposition."""
+    pairs = [("ß", "s")]
+    for point in [*range(0xC0, 0x250), *range(0x386, 0x3CF), *range(0x1E00, 0x2000)]:
+        bare = unicodedata.normalize("NFD", chr(point))
+        if len(bare) > 1 and chr(point).islower() and bare[0].islower():
+            pairs.append((chr(point), bare[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, BARE = _accents()
+
+
+def collation_key(text: Column) -> Column:
+    """What two texts share that a column of general, case-insensitive collation holds equal: letter case,
+    accents of Latin and Greek letters and blanks at the end do not count. A plain text, so it can be
+    hashed, grouped and joined like any other."""
+    return F.translate(F.lower(F.rtrim(text)), ACCENTED, BARE)
+
+
 def none_word(text: Column) -> Column:
     """The word 'none' in any case."""
     return F.lower(text) == "none"

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.functions.text import collation_key
 from cadenza.operators.matching import with_albums
 
 
@@ -59,14 +60,14 @@ def linked_songs_like(
 def embedding_preview(
     songs: DataFrame, embeddings: DataFrame, text: str, shown: int = 3, limit: int | None = None
 ) -> DataFrame:
-    """Songs whose name contains text in any case, with the start of their vector.
+    """Songs whose name contains text, whatever its case and accents, with the start of their vector.
 
     first_values are its first entries, embedding_preview the first 50 characters as JSON.
     """
     values = F.slice("embedding", 1, shown).alias("first_values")
     preview = F.substring(F.to_json("embedding"), 1, 50).alias("embedding_preview")
     rows = (
-        songs.filter(F.contains(F.lower("song_name"), F.lower(F.lit(text))))
+        songs.filter(F.contains(collation_key(F.col("song_name")), collation_key(F.lit(text))))
         .join(embeddings.select("song_id", "embedding"), "song_id", "left")
         .select("song_id", "song_name", "artists", values, preview)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import first_quoted
+from cadenza.functions.text import collation_key, first_quoted
 from cadenza.functions.vectors import norm, parse_vector
 from cadenza.operators.skew import HOT_ROWS, hot_keys, join_many_to_one, join_one_to_many, one_per_key
 
@@ -16,12 +16,13 @@ DOCUMENT_COLUMNS = (
 
 
 def join_ignoring_case(left: DataFrame, right: DataFrame, key: str, hot_rows: int | None = None) -> DataFrame:
-    """Left join on a key whose letter case does not matter; keeps the key of the left side.
+    """Left join on a key whose letter case, accents and blanks at the end do not matter; keeps the key
+    of the left side.
 
     With hot_rows, keys with more rows than that on the right are split.
     """
-    keyed_left = left.withColumn("__key", F.lower(key))
-    keyed_right = right.withColumn("__key", F.lower(key)).drop(key)
+    keyed_left = left.withColumn("__key", collation_key(F.col(key)))
+    keyed_right = right.withColumn("__key", collation_key(F.col(key))).drop(key)
     if hot_rows is None:
         return keyed_left.join(keyed_right, "__key", "left").drop("__key")
     row_key = [c for c in keyed_right.columns if c != "__key"]
@@ -92,7 +93,7 @@ def build_catalog(
         right = side[name]
         if name == "lyrics" and ignore_case:
             if one_row_per_song:
-                right = one_per_key(right.withColumn("song_id", F.lower("song_id")), "song_id")
+                right = one_per_key(right.withColumn("song_id", collation_key(F.col("song_id"))), "song_id")
             joined = join_ignoring_case(joined, right, "song_id", None if one_row_per_song else hot_rows)
         elif one_row_per_song:
             joined = joined.join(right, "song_id", "left")
@@ -163,7 +164,7 @@ def index_outcomes(tables: dict[str, DataFrame], dims: int, ignore_case: bool =
     reason = F.when(F.col("present"), F.col("reason")).otherwise("missing_embedding")
     rows = rows.select("song_id", reason.alias("reason"), n.alias("n"))
     for name in ("links", "features", "lyrics"):
-        key = F.lower("song_id") if name == "lyrics" and ignore_case else F.col("song_id")
+        key = collation_key(F.col("song_id")) if name == "lyrics" and ignore_case else F.col("song_id")
         right = counted(side[name], key.alias("__key"))
         rows = rows.withColumn("__key", key).join(right, "__key", "left")
         rows = rows.select("song_id", "reason", (F.col("n") * F.coalesce("n_rows", F.lit(1))).alias("n"))

@@ -117,6 +117,13 @@ def join_ci(spark, sf_dir):
     return rows.select("song_id", "song_name", F.char_length("lyrics").cast("long").alias("n_chars"))
 
 
+def join_collated(spark, sf_dir):
+    """Keys that differ in case, accents and blanks at their end."""
+    songs = view(spark, sf_dir, "accented_songs")
+    rows = ct.join_ignoring_case(songs, view(spark, sf_dir, "plain_lyrics"), "song_id")
+    return rows.select("song_id", "song_name", F.char_length("lyrics").cast("long").alias("n_chars"))
+
+
 def join_artist_key(spark, sf_dir):
     rows = ct.join_artist(view(spark, sf_dir, "songs"), view(spark, sf_dir, "artists"))
     return rows.select("song_id", "artist_key", "artist_id", "name_artists", "main_genre")
@@ -213,7 +220,7 @@ def catalog_preview(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        catalog_build, join_ci, join_artist_key, index_docs, index_rejects, index_summary, tokens, tokens_scripts,
+        catalog_build, join_ci, join_collated, join_artist_key, index_docs, index_rejects, index_summary, tokens, tokens_scripts,
         index_postings, index_stats, index_fields, filter_energy, filter_popularity, filter_artist,
         artist_parse, artist_parse_simple, table_counts, catalog_like, catalog_preview,
     )
@@ -242,6 +249,12 @@ ORACLES = {
         "SELECT s.song_id, s.song_name, CAST(length(l.lyrics) AS BIGINT) AS n_chars "
         "FROM songs s LEFT JOIN lyrics l ON lower(s.song_id) = lower(l.song_id)",
     ),
+    "join_collated": with_views(
+        "accented_songs plain_lyrics",
+        """WITH a AS (SELECT *, strip_accents(replace(lower(rtrim(song_id, ' ')), 'ß', 's')) AS k FROM accented_songs),
+        b AS (SELECT *, strip_accents(replace(lower(rtrim(song_id, ' ')), 'ß', 's')) AS k FROM plain_lyrics)
+        SELECT a.song_id, a.song_name, CAST(length(b.lyrics) AS BIGINT) AS n_chars FROM a LEFT JOIN b ON a.k = b.k""",
+    ),
     "join_artist_key": with_views(
         "songs artists",
         f"SELECT s.song_id, {TOKEN} AS artist_key, a.artist_id, a.name AS name_artists, a.main_genre "

@@ -35,6 +35,12 @@ VIEWS = {
                CASE lang WHEN 'de' THEN translate(lower(text), 'etaonisr', '東京タワーの夜カ')
                          WHEN 'fr' THEN translate(lower(text), 'aeiou', 'กาไทย') ELSE text END AS lyrics
         FROM documents""",
+    "accented_songs": """
+        SELECT CAST(doc_id AS STRING) || ' Élan ' || left(text, 10) AS song_id, lang AS song_name FROM documents""",
+    "plain_lyrics": """
+        SELECT translate(CAST(doc_id AS STRING) || ' élan ' || left(text, 10), 'éèáíóúñüöäEAIOabcdefgh',
+                         'eeaiounuoaeaioABCDEFGH') || '  ' AS song_id,
+               text AS lyrics FROM documents WHERE doc_id % 3 > 0""",
     "prompts_scripts": """
         SELECT item_id AS query_id,
                CASE WHEN item_id % 2 = 0 THEN translate(lower(text), 'etaonisr', '東京タワーの夜カ')

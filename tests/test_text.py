@@ -124,3 +124,13 @@ def test_or_else(spark):
     df = spark.createDataFrame([(0.0, 0.4, "", None), (0.2, 0.4, "u", "v")], "a double, b double, s string, t string")
     got = df.select(text.or_else(F.col("a"), F.col("b"), 0), text.or_else(F.col("s"), F.col("t"), "")).collect()
     assert [tuple(r) for r in got] == [(0.4, None), (0.2, "u")]
+
+
+@pytest.mark.parametrize(
+    "one_text, other, same",
+    [("Élan  ", "elan", True), ("Straße", "STRASE", True), ("ΆΛΦΑ", "αλφα", True), ("Ñandú", "nandu", True), ("Ệ", "e", True),
+     (" a", "a", False), ("a\t", "a", False), ("ø", "o", False), ("e\u0301", "e", False), ("", "  ", True), ("й", "и", False)],
+)
+def test_collation_key(spark, one_text, other, same):
+    assert (one(spark, one_text, text.collation_key) == one(spark, other, text.collation_key)) is same
+    assert one(spark, None, text.collation_key) is None
