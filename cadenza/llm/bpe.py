@@ -13,7 +13,8 @@ Texts are first cut by the pattern; a piece that is a token itself is encoded as
 Python worker keeps the encodings of short pieces.
 
 Defined results:
-- A missing or empty text has no tokens; the digest of its ids is that of the empty string.
+- A missing or empty text has no tokens; the digest of its ids is that of the empty string. A text of
+  any length is encoded match by match; its ids are held at once.
 - Rows that share a doc_id are encoded one by one; an empty table gives an empty result; other
   columns are ignored.
 """

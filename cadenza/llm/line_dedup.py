@@ -9,7 +9,8 @@ Defined results:
 - A missing or empty text is one empty line.
 - Rows that share a doc_id count as one document; each is cut by its own lines. A missing doc_id is
   one document, smaller than all others.
-- Lines are compared by two 64-bit hashes of their key.
+- Lines are compared by two 64-bit hashes of their key. The lines of one text are one array in its
+  row, whatever its length.
 - An empty table gives an empty result. Further columns are ignored by `keep_bitmaps` and kept by
   `drop_repeated_lines`, except those that carry the names of its results, which are replaced.
 """

@@ -11,7 +11,8 @@ depends on the word alone, so an edit changes only the pieces around it; a stret
 word is cut after every MOST_WORDS words.
 
 Defined results:
-- A missing text is empty. A text without words has the zero vector.
+- A missing text is empty. A text without words has the zero vector. The words of one text are held
+  at once, as many as it has.
 - "Next" is the next row by (doc_id, text), missing values first; after the last row comes the first.
   Rows that share a doc_id follow each other by text. With a single row, the next one is itself.
 - An empty table gives an empty result; other columns are ignored.

@@ -12,7 +12,8 @@ Defined results:
   documents have no distance.
 - Rows that share a doc_id are judged one by one, by their own text. An empty table gives an empty
   result; other columns are ignored.
-- Five-word windows are compared by a 64-bit hash within a document.
+- Five-word windows are compared by a 64-bit hash within a document. The words of one text are one
+  array in its row, whatever its length.
 """
 
 from __future__ import annotations

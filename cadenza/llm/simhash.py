@@ -7,7 +7,8 @@ are one fingerprint from the start. A half that many fingerprints share is split
 bounded size; a block passes on a spanning set of links, never all pairs.
 
 Defined results:
-- A text without words, missing or empty, has fingerprint 0 and is linked like any other.
+- A text without words, missing or empty, has fingerprint 0 and is linked like any other. The words of
+  one text are held at once, as many as it has.
 - A missing doc_id is kept; component_id is the smallest doc_id that is there, or missing if none is.
 - Rows that share a doc_id are rows of their own, each with the component of its own fingerprint.
 - An empty table gives an empty result; other columns are ignored.
