@@ -8,6 +8,7 @@ from cadenza.functions.artists import clean_artist, first_artist, first_artist_s
 from cadenza.functions.text import first_quoted, words
 from cadenza.operators import audit, catalog as ct, filters as fl, index as ix
 from cadenza.plans import inputs
+from cadenza.sources import clustered, name_index
 from cadenza.sources.catalog_views import BASE_TABLES, base_table, view, with_views
 
 SHOWN = (
@@ -179,6 +180,24 @@ def filter_popularity(spark, sf_dir):
     return rows.select("song_id", "popularity")
 
 
+def filter_energy_files(spark, sf_dir):
+    """The same from documents laid out by value, of which only the files in range are read."""
+    rows = clustered.read(spark, inputs.documents_by_value(spark, sf_dir), {"energy": [(0.0, 0.5)]})
+    return rows.select("song_id", "energy")
+
+
+def filter_popularity_files(spark, sf_dir):
+    rows = clustered.read(spark, inputs.documents_by_value(spark, sf_dir), {"popularity": [(10, None)]})
+    return rows.select("song_id", "popularity")
+
+
+def filter_both_files(spark, sf_dir):
+    """Both values at once, of one the two ends of its range."""
+    wanted = {"energy": [(None, 0.2), (0.7, None)], "popularity": [(5, 60)]}
+    rows = clustered.read(spark, inputs.documents_by_value(spark, sf_dir), wanted)
+    return rows.select("song_id", "energy", "popularity")
+
+
 def filter_artist(spark, sf_dir):
     rows = fl.match_filter(inputs.documents(spark, sf_dir), "name_artists", "Nobody or SUPPLIER")
     return rows.select("song_id", "name_artists")
@@ -211,8 +230,23 @@ def catalog_like(spark, sf_dir):
     return audit.linked_songs_like(*parts, "RED")
 
 
+def catalog_like_indexed(spark, sf_dir):
+    """The same with the songs found through the index of names."""
+    songs = name_index.songs_containing(spark, inputs.named_songs(spark, sf_dir, "case"), "RED")
+    return audit.linked_songs_like(songs, *[view(spark, sf_dir, n) for n in ("tracks", "albums", "song_links")], "RED")
+
+
 def catalog_preview(spark, sf_dir):
-    rows = audit.embedding_preview(view(spark, sf_dir, "songs"), view(spark, sf_dir, "song_embeddings"), "Ring")
+    return _previewed(spark, sf_dir, view(spark, sf_dir, "songs"))
+
+
+def catalog_preview_indexed(spark, sf_dir):
+    """The same with the songs found through the index of names."""
+    return _previewed(spark, sf_dir, name_index.songs_containing(spark, inputs.named_songs(spark, sf_dir, "collation"), "Ring"))
+
+
+def _previewed(spark, sf_dir, songs):
+    rows = audit.embedding_preview(songs, view(spark, sf_dir, "song_embeddings"), "Ring")
     entries = [F.round(F.get("first_values", F.lit(i)).cast("double"), 6).alias(f"e{i}") for i in range(3)]
     return rows.select("song_id", "song_name", "artists", *entries)
 
@@ -222,6 +256,7 @@ QUERIES = {
     for f in (
         catalog_build, join_ci, join_collated, join_artist_key, index_docs, index_rejects, index_summary, tokens, tokens_scripts,
         index_postings, index_stats, index_fields, filter_energy, filter_popularity, filter_artist,
+        filter_energy_files, filter_popularity_files, filter_both_files, catalog_like_indexed, catalog_preview_indexed,
         artist_parse, artist_parse_simple, table_counts, catalog_like, catalog_preview,
     )
 }
@@ -315,3 +350,12 @@ ORACLES = {
         + " FROM songs LEFT JOIN song_embeddings USING (song_id) WHERE song_name ILIKE '%Ring%'",
     ),
 }
+ORACLES |= {
+    "filter_energy_files": ORACLES["filter_energy"],
+    "filter_popularity_files": ORACLES["filter_popularity"],
+    "filter_both_files": _from_docs(
+        "SELECT song_id, energy, popularity FROM docs WHERE (energy <= 0.2e0 OR energy >= 0.7e0) AND popularity BETWEEN 5 AND 60"
+    ),
+    "catalog_like_indexed": ORACLES["catalog_like"],
+    "catalog_preview_indexed": ORACLES["catalog_preview"],
+}

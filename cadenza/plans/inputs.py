@@ -10,6 +10,7 @@ from cadenza.operators.catalog import build_catalog, build_documents
 from cadenza.operators.index import Index
 from cadenza.operators.lexical import with_suggested_keywords
 from cadenza.session import cut, new_path
+from cadenza.sources import clustered, name_index
 from cadenza.sources.catalog_views import base_table, view
 from cadenza.sources.index_store import buckets_for, save_index
 
@@ -66,3 +67,28 @@ def search_inputs(spark: SparkSession, sf_dir: str) -> SearchInputs:
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table that the index is made from."""
     return search_inputs(spark, sf_dir).index.documents
+
+
+_laid_out: dict[tuple[str, ...], str] = {}
+
+
+def documents_by_value(spark: SparkSession, sf_dir: str) -> str:
+    """Where the documents lie by energy and popularity, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "values")
+    if key not in _laid_out:
+        path = new_path(spark, "values")
+        rows = documents(spark, sf_dir)
+        files = clustered.files_for(spark, base_table(spark, sf_dir, "embeddings").count())
+        clustered.save_by_values(cut(rows), path, ["energy", "popularity"], "song_id", files)
+        _laid_out[key] = path
+    return _laid_out[key]
+
+
+def named_songs(spark: SparkSession, sf_dir: str, fold: str) -> str:
+    """Where the songs lie with the index of their names, written once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, fold)
+    if key not in _laid_out:
+        path = new_path(spark, "names")
+        name_index.save_names(view(spark, sf_dir, "songs"), path, fold)
+        _laid_out[key] = path
+    return _laid_out[key]
