@@ -138,10 +138,23 @@ class PrefixTable:
             raise ValueError("a byte is not in the vocabulary")
 
     def replace(self, start: int, end: int, by: bytes) -> None:
-        """Exchange bytes; entries before `start` are kept, later ones are made anew."""
-        rest = bytes(self.piece[end:])
+        """Exchange bytes; only entries near the edit are made anew.
+
+        An entry depends on as many bytes and entries before it as the longest token has. Once that
+        many in a row behind the edit are as they were, all that follow are.
+        """
+        rest, known = bytes(self.piece[end:]), self.last[end:]
         del self.piece[start:], self.last[start:]
-        self.append(by + rest)
+        self.append(by)
+        reach, done, same = self.vocabulary.longest, 0, 0
+        while done < len(rest) and same < reach:
+            made = len(self.last)
+            self.append(rest[done : done + reach])
+            for new, old in zip(self.last[made:], known[done : done + reach]):
+                same = same + 1 if new == old else 0
+            done += reach
+        self.piece += rest[done:]
+        self.last += known[done:]
 
     def encode(self, length: int | None = None) -> list[int]:
         """The encoding of the first `length` bytes, of all by default."""

@@ -84,6 +84,25 @@ def test_appends_and_edits_give_the_table_of_the_new_bytes():
         assert list(table.last) == list(bpe.PrefixTable(vocabulary, held).last)
 
 
+def test_an_edit_is_encoded_anew_near_its_place_only(codec, monkeypatch):
+    vocabulary, rng, handed = codec.vocabulary, random.Random(11), []
+    append = bpe.PrefixTable.append
+    held = "".join(rng.choice("abcdefgh etinrs") for _ in range(50_000)).encode()
+    table = bpe.PrefixTable(vocabulary, held)
+    monkeypatch.setattr(bpe.PrefixTable, "append", lambda self, more: (handed.append(len(more)), append(self, more)))
+    for start, end, more in [(25_000, 25_003, b"xyz"), (100, 100, b"insertion"), (49_000, 49_500, b""), (0, 1, b""), (7, 9, b"q" * 700)]:
+        table.replace(start, end, more)
+        held = held[:start] + more + held[end:]
+        assert sum(handed) <= len(more) + 20 * vocabulary.longest
+        handed.clear()
+        assert bytes(table.piece) == held
+    assert list(table.last) == list(bpe.PrefixTable(vocabulary, held).last)
+    # A run of one letter, where an edit shifts all that follows, is encoded anew as far as it goes.
+    run = bpe.PrefixTable(vocabulary, b"a" * 3000 + b" b")
+    run.replace(0, 1, b"")
+    assert list(run.last) == list(bpe.PrefixTable(vocabulary, b"a" * 2999 + b" b").last)
+
+
 def test_a_byte_outside_of_the_vocabulary_is_an_error():
     with pytest.raises(ValueError):
         bpe.PrefixTable(bpe.Vocabulary({b"a": 0}), b"ab")
