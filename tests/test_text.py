@@ -134,3 +134,18 @@ def test_or_else(spark):
 def test_collation_key(spark, one_text, other, same):
     assert (one(spark, one_text, text.collation_key) == one(spark, other, text.collation_key)) is same
     assert one(spark, None, text.collation_key) is None
+
+
+def test_a_text_is_searched_once_for_words(spark):
+    df = spark.createDataFrame([("a b",)], "t string").select(text.words(F.col("t")).alias("w"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_words_by_common_ranges_are_those_by_script(spark):
+    texts = ["Über naïve жук ёж", "東京タワーのラ1", "กาไทย๑ ฿9", "a_b 3.14 don't #x `y` {z}", "x" * 300 + " y", "鿿鿽 a", "áb"]
+    expected = [
+        ["über", "naïve", "жук", "ёж"], ["東", "京", "タワー", "の", "ラ", "1"], ["กาไทย", "๑", "9"],
+        ["a_b", "3.14", "don't", "x", "y", "z"], ["x" * 255, "x" * 45, "y"], ["a"], ["áb"],
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.words(F.col("t")).alias("w"))
+    assert [r.w for r in rows.orderBy("i").collect()] == expected
