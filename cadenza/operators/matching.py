@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cadenza.functions.artists import clean_artist, first_artist, first_artist_simple
 from cadenza.functions.text import contains_either_way, none_word, strip
 from cadenza.operators.skew import HOT_ROWS, hot_keys, join_many_to_one, join_one_to_many
+from cadenza.session import cut
 
 FALLBACK_TIER = 9
 
@@ -215,41 +216,45 @@ def match_links(
         "url",
         *own_service,
     )
-    hot = hot_keys(offers.filter(F.col("song_id").isNotNull()), keys, hot_rows)
-    pairs = join_many_to_one(offers, names, keys, ["url", "pos"], "inner", hot=hot)
+    # Written, as it is asked for several times. Without a popular key nothing is split, so candidates
+    # are shuffled by song once, and all that follows happens where they then are.
+    hot = cut(hot_keys(offers.filter(F.col("song_id").isNotNull()), keys, hot_rows))
+    split = not hot.isEmpty()
+    pairs = join_many_to_one(offers, names, keys, ["url", "pos"], "inner", hot=hot) if split else offers.join(names, keys)
     outcome = [*keys, "service", "strategy_no", "near", "same", "offered"]
     judged = _judged(pairs, services, keys).groupBy(*outcome).agg(F.min("place").alias("place"))
     if by_album:
         judged = judged.withColumn("album", F.col(ALBUM_KEY))
     elif any(r.uses_album for r in services):
-        # Only near candidates look at albums; the others keep a null key and stay as they are.
-        judged = judged.withColumn("album_of", F.when(F.col("near"), F.col("song_id")))
+        # Only near candidates look at albums; the others have a null album and stay as they are.
         albums = rows.select(F.col("song_id").alias("album_of"), "album").distinct()
-        popular = hot.withColumnRenamed("song_id", "album_of")
-        judged = join_many_to_one(judged, albums, ["album_of"], ["offered", "song_id"], "left", hot=popular)
-    tier = F.lit(FALLBACK_TIER)
-    url = F.col("best.place.url")
-    for each in services:
-        mine = F.col("service") == each.service
-        tier = F.when(mine, _tier(each)).otherwise(tier)
-        url = F.when(mine, watch_address(F.col("best.place.url"))).otherwise(url) if each.gives_ids else url
-    best = judged.groupBy(*keys, "service").agg(F.min(F.struct("strategy_no", tier.alias("tier"), "place")).alias("best"))
-    names_of = F.explode(F.array(*[F.lit(r.service) for r in services])).alias("service")
-    return (
-        rows.select(*keys)
-        .distinct()
-        .select(*keys, names_of)
-        .join(best, [*keys, "service"], "left")
-        .select(
-            *keys,
-            "service",
-            url.alias("url"),
-            "best.tier",
-            "best.strategy_no",
-            "best.place.pos",
-            "best.place.title",
+        if split:
+            judged = judged.withColumn("album_of", F.when(F.col("near"), F.col("song_id")))
+            popular = hot.withColumnRenamed("song_id", "album_of")
+            judged = join_many_to_one(judged, albums, ["album_of"], ["offered", "song_id"], "left", hot=popular)
+        else:
+            judged = judged.join(albums, (F.col("song_id") == F.col("album_of")) & F.col("near"), "left")
+
+    def best_of(rules: Rules) -> Column:
+        mine = F.struct("strategy_no", _tier(rules).alias("tier"), "place")
+        return F.min(F.when(F.col("service") == rules.service, mine)).alias(f"best_{rules.service}")
+
+    def result(rules: Rules) -> Column:
+        best = F.col(f"best_{rules.service}")
+        place = best["place"]
+        return F.struct(
+            F.lit(rules.service).alias("service"),
+            (watch_address(place["url"]) if rules.gives_ids else place["url"]).alias("url"),
+            best["tier"].alias("tier"),
+            best["strategy_no"].alias("strategy_no"),
+            place["pos"].alias("pos"),
+            place["title"].alias("title"),
         )
-    )
+
+    # One row per key holds the best of every service until the end, so that the join is by key alone.
+    best = judged.groupBy(*keys).agg(*map(best_of, services))
+    met = rows.select(*keys).distinct().join(best, keys, "left")
+    return met.select(*keys, F.inline(F.array(*map(result, services))))
 
 
 def link_updates(links: DataFrame) -> DataFrame:

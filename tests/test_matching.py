@@ -190,3 +190,15 @@ def test_a_run_counts_while_it_writes(spark, rows):
     narrow = lr.run_links(cleaned, offers, both, lr.Widths(url=10))
     assert rows(narrow.figures) == [("A", 5, 1, 3, 1, 0), ("B", 5, 1, 3, 1, 0)]
     assert rows(mt.link_summary(cleaned, run.links).select("service", "failed_fetches")) == [("A", 1), ("B", 1)]
+
+
+def test_without_popular_songs_candidates_are_shuffled_once(spark, rows):
+    some = songs(spark, *[(str(i % 4), "Blue", "Ann", ["Sky", "Sea"][i % 2], False) for i in range(6)], ("9", "Red", None, None, False))
+    data = [(str(i % 5), 1, i, ["Blue", "Blue x", "Red"][i % 3], ["Ann"], ["Sky", "Sea"][i % 2], ["song", "video"][i % 2], f"u{i}") for i in range(60)]
+    services = (mt.SERVICE_A, mt.SERVICE_B)
+    whole = mt.match_links(some, offers(spark, *data), services)
+    split = mt.match_links(some, offers(spark, *data), services, hot_rows=3)
+    assert rows(whole) == rows(split) and len(rows(whole)) == 10
+    # Candidates, the names and the albums, each made different and brought to its song, and the songs.
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6
