@@ -110,3 +110,53 @@ def test_match_input_keeps_the_fan_out(spark, rows):
     assert rows(mt.match_input(songs, tracks, albums)) == expected
     assert rows(mt.match_input(songs, tracks, albums, hot_rows=1)) == expected
     assert [r.song_id for r in mt.match_input(songs, tracks, albums, limit=2).collect()] == ["1", "1"]
+
+
+def many_songs(spark, tables, n=300):
+    """Some songs without a vector, ids that differ in case only, and long lyrics."""
+    songs = [(f"Id{i % 250}", f"Name {i}", "r1", i, "solo") for i in range(n)]
+    lyrics = [(f"iD{i}" if i % 2 else f"Id{i} ", f"{i % 7} " * 500) for i in range(n)] * 2
+    vectors = [(f"Id{i}", "[1, 1]" if i % 4 else "[0, 0]") for i in range(0, n, 3)] + [(None, "[1, 1]")]
+    return tables | {
+        "songs": spark.createDataFrame(songs, tables["songs"].schema),
+        "lyrics": spark.createDataFrame([*lyrics, (None, "none")], tables["lyrics"].schema),
+        "embeddings": spark.createDataFrame(vectors, tables["embeddings"].schema),
+    }
+
+
+@pytest.mark.parametrize("ignore_case", [True, False])
+def test_documents_are_the_accepted_rows_of_the_whole_catalogue(spark, tables, rows, monkeypatch, ignore_case):
+    many = many_songs(spark, tables)
+    # In this data rows of one id differ in song_name and popularity only, which grow together, and in their vectors not.
+    whole = {}
+    for r in ct.accepted_documents(ct.build_catalog(many, ignore_case=ignore_case), 2).collect():
+        whole[r.song_id] = min(whole.get(r.song_id, r), r, key=lambda x: x.song_name)
+    found = rows(ct.build_documents(many, 2, ignore_case))
+    assert len(found) > 50 and found == sorted(map(tuple, whole.values()), key=repr)
+    # Too many ids to be sent give the same.
+    monkeypatch.setattr(ct, "SMALL_ROWS", 10)
+    assert rows(ct.build_documents(many, 2, ignore_case)) == found
+
+
+def test_lyrics_are_shuffled_once(spark, tables, monkeypatch):
+    many = many_songs(spark, tables)
+
+    def shuffles():
+        plan = ct.build_documents(many, 2)._jdf.queryExecution().executedPlan()
+        leaves = str(plan.toString()).splitlines()
+        at = next(i for i, line in enumerate(leaves) if "Scan ExistingRDD[song_id" in line and "lyrics" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+        # The operators above the scan of lyrics, up to the join that they meet the songs in.
+        above, now = [], depth(leaves[at])
+        for line in reversed(leaves[:at]):
+            if depth(line) < now:
+                now = depth(line)
+                if "LeftOuter" in line:
+                    break
+                above.append(line)
+        return sum("Exchange hashpartitioning" in line for line in above), any("LeftSemi" in line for line in above)
+
+    # Also where songs without a vector are not left out before.
+    assert shuffles() == (1, True)
+    monkeypatch.setattr(ct, "SMALL_ROWS", 10)
+    assert shuffles() == (1, False)
