@@ -311,3 +311,41 @@ def test_versions_of_an_index_do_not_mix(spark, world, tmp_path):
     index_store.save_index(index.documents.limit(4), "t_mixed", one, 2)
     assert before.documents.count() == 3
     assert index_store.open_index(spark, "t_mixed", one).documents.count() == 4
+
+
+def test_keys_stay_with_their_words(spark, world, rows):
+    """One row per word, so that neither the keys nor anything sorted by them is moved while an index is built."""
+    from pyspark.sql import functions as F
+
+    from cadenza.functions.distance import vocabulary_keys
+
+    _, _, index, asked, path = world
+    assert index.keys.count() == index.terms.select("term").distinct().count()
+    want = index.keys.select("term", "keys", F.array_distinct(F.transform(vocabulary_keys(F.col("term")), lambda k: F.hash(k))).alias("want"))
+    assert want.filter(F.array_size("keys") != F.array_size("want")).count() == 0
+    plan = ix.word_keys(index.terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    # They do not move for a batch of search words either, unless that has too many keys.
+    words = lx.prompt_words(asked)
+    batch = lx.batch_size(asked)
+    near = rows(lx.expand_words(index, words, batch))
+    plan = lx.expand_words(index, words, batch)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(key" not in plan
+    many = lx.BatchSize(**{**vars(batch), "keys": lx.SMALL_ROWS + 1})
+    assert near and rows(lx.expand_words(index, words, many)) == near
+
+
+def test_numbers_shared_by_keys_find_no_other_words(world, rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    _, _, index, asked, _ = world
+    words, batch = lx.prompt_words(asked), lx.batch_size(asked)
+    near = rows(lx.expand_words(index, words, batch))
+
+    def few_numbers(keys):
+        return F.array_distinct(F.transform(keys, lambda key: F.pmod(F.hash(key), F.lit(3))))
+
+    monkeypatch.setattr(lx, "key_numbers", few_numbers)
+    monkeypatch.setattr(ix, "key_numbers", few_numbers)
+    crowded = ix.Index(index.documents, index.postings, index.terms, index.fields, ix.word_keys(index.terms))
+    assert rows(lx.expand_words(crowded, words, batch)) == near

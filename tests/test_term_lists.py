@@ -104,3 +104,16 @@ def test_long_lists_are_left_where_they_cannot_matter():
     assert {a.term for a in tl.needed_lists(lists, 2.0)} == {"a", "d"}
     assert {a.term for a in tl.needed_lists(lists, 1.2)} == {"a", "c", "d"}
     assert {a.term for a in tl.needed_lists(lists, 0.0)} == {"a", "b", "c", "d"}
+
+
+def test_postings_are_shuffled_once_to_their_buckets(spark, index, monkeypatch):
+    def held(df):
+        return {(r.block, r.field, r.term, r.part, tuple(r.songs), tuple(r.impacts)) for r in df.collect()}
+
+    lists = tl.term_lists(index.postings, index.terms, 32)
+    plan = lists.repartition(32, "block")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert held(lists) == held(index.lists)
+    # Also where too many words have several blocks to send them all.
+    monkeypatch.setattr(tl, "MOST_SENT", 0)
+    assert held(tl.term_lists(index.postings, index.terms, 32)) == held(index.lists)
