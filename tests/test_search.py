@@ -349,3 +349,11 @@ def test_numbers_shared_by_keys_find_no_other_words(world, rows, monkeypatch):
     monkeypatch.setattr(ix, "key_numbers", few_numbers)
     crowded = ix.Index(index.documents, index.postings, index.terms, index.fields, ix.word_keys(index.terms))
     assert rows(lx.expand_words(crowded, words, batch)) == near
+
+
+def test_buckets_bound_what_a_task_holds(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert index_store.buckets_for(spark, 10) == cores
+    # A sum for every song of a bucket and 200 queries stays under a million rows.
+    for n in (100_000, 600_000):
+        assert 200 * n / index_store.buckets_for(spark, n) <= 1_000_000
