@@ -149,3 +149,24 @@ def test_words_by_common_ranges_are_those_by_script(spark):
     ]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.words(F.col("t")).alias("w"))
     assert [r.w for r in rows.orderBy("i").collect()] == expected
+
+
+def test_plain_words_are_those_of_the_whole_pattern(spark):
+    import random
+
+    rng = random.Random(5)
+    # Of every class of the pattern, and what is next to the ranges of the short ways.
+    signs = (
+        "abz bd\n\t\x00\x7f.,:;'_-/!`{[^@09\u066b\u00e9\u00df\u0101\u0301\u00ad\u200d\u2019\u00b7"
+        "\u0e01\u0e17\u0e30\u0e31\u0e32\u0e33\u0e34\u0e3a\u0e3f\u0e40\u0e46\u0e47\u0e4e\u0e50\u0e81\u0eb1\u1000\u1780"
+        "\u4e00\u6771\u9fef\u9ff0\u3007\u3400\u3041\u3096\u3099\u309b\u309d\u30a0\u30a1\u30bf\u30fa\u30fb\u30fc\u30fd\uff70\uff9e"
+        "\u0939\u093f\uac00\u0431\u03b1\u2160\U00020000\U0001f600"
+    )
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 12))) for _ in range(20_000)]
+    # Every pair of them after a letter of each script.
+    texts += [f + a + b for f in "b\u6771\u0e17\u30bf" for a in signs for b in signs]
+    whole = text.WORD.replace(text.PLAIN_WORD + "|", "")
+    assert len(whole) < len(text.WORD)
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    both = rows.select("v", text.words(F.col("v")).alias("a"), text.words(F.col("v"), whole).alias("b"))
+    assert both.filter("a <> b").count() == 0 and both.selectExpr("sum(size(a))").first()[0] > 40_000
